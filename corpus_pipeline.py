@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality_classifier, quality_rules
+from millrace.llm import decontaminate, jaccard_join, quality_classifier, quality_rules, sentencepiece_codec
 from millrace.llm.common import materialize, table
 
 
@@ -14,14 +14,36 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the base rules and the learned decision list."""
+    """Keeps the documents that pass the base rules and the decision list, learned from the labels of all documents:
+    those that the classifier rejected are what the rules have to learn from."""
     labels = table(spark, sf_dir, "labels")
-    known = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
     rules = quality_rules.learn(materialize(quality_rules.with_statistics(known).drop("text"), "stage-rules"), labels)
     return quality_rules.filter_kept(docs, rules)
 
 
-STAGES = [("quality classifier", classify), ("quality rules", apply_rules)]
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group linked by a Jaccard similarity of at least 0.8 over five-word shingles."""
+    return jaccard_join.keep_one(docs, 5, 80, 100)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents without a passage of a benchmark item."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token counts and token ids of every document that is left."""
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.Vocabulary.load(sentencepiece_codec.default_model()))
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", apply_rules),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", drop_leaks),
+    ("SentencePiece encoding and decoding", encode),
+]
 #: SQL can't express the fitted classifier; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
@@ -29,6 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each over the Parquet that the one before wrote."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
