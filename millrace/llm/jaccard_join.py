@@ -3,7 +3,7 @@
 Every text is the set of its distinct word n-grams, as 64-bit hashes. All sets are put in one global n-gram order
 (n-grams that few texts have first), the order is cut into fragments, each fragment of two sets is intersected on its
 own, and the partial overlaps are summed per pair. Pairs whose overlap can reach the threshold must share an n-gram in
-the front of their sets, so only such pairs are counted.
+the front of their sets; the front is the first fragment, and pairs that share too little of it are not counted further.
 
 Big groups: equal sets are one class from the start, so copies never pair up. Inside a bucket (sets with the same front
 n-gram), pairs are first counted against one hub only; what those links already connect is not compared again, and only
@@ -36,10 +36,10 @@ from .common import as_bytes, materialize, release, words_of
 HEAVY = 1 << 18
 BITMAP = 1 << 26
 FRAGMENTS = 5
-#: Odd multipliers, one for a word's place in an n-gram (fixed values of a public 64-bit mixer and their multiples).
+#: Multipliers of a public 64-bit mixer (fixed values).
 _mix = np.uint64(0xBF58476D1CE4E5B9)
 _mix2 = np.uint64(0x94D049BB133111EB)
-_step = 0x9E3779B97F4A7C15
+_step = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
@@ -57,9 +57,11 @@ def shingles(text: bytes | None, n: int, hashes: WordHashes) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     width = min(n, len(words))
-    total = np.full(len(h) - width + 1, (width * _step) & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for k in range(width):
-        total += h[k : len(h) - width + 1 + k] * np.uint64(((2 * k + 3) * _step | 1) & 0xFFFFFFFFFFFFFFFF)
+    total = np.full(len(h) - width + 1, width, np.uint64)
+    for k in range(width):  # word by word, so that words in another order give another hash
+        total ^= h[k : len(h) - width + 1 + k]
+        total *= _step
+        total ^= total >> np.uint64(29)
     total ^= total >> np.uint64(30)
     total *= _mix
     total ^= total >> np.uint64(27)
@@ -128,8 +130,8 @@ class Order:
 
 
 def _fronts(n: int, num: int, den: int, order):
-    """(gram, node, size, place) for the n-grams in front of which a partner must share one."""
-    schema = pa.schema([("gram", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("place", pa.int32())])
+    """(gram, node, size) for the n-grams in front, of which a partner must share some."""
+    schema = pa.schema([("gram", pa.int64()), ("node", pa.binary()), ("size", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = order.value
@@ -151,11 +153,10 @@ def _fronts(n: int, num: int, den: int, order):
             if not nodes:
                 continue
             each = np.repeat(np.arange(len(nodes)), lengths)
-            places = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
             out = pa.array(nodes, pa.binary()).take(pa.array(each))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), out, pa.array(np.array(sizes, np.int32)[each]), pa.array(places)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), out, pa.array(np.array(sizes, np.int32)[each])], schema=schema)
 
-    return run, "gram long, node binary, size int, place int"
+    return run, "gram long, node binary, size int"
 
 
 def _bit(doc_ids: np.ndarray) -> np.ndarray:
@@ -216,23 +217,26 @@ def least_overlap(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for the nodes of edges (a, b): least labels of neighbours with pointer jumping, until none moves."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "labels")
+    """(node, comp) for the nodes of edges (a, b), comp being the least node of the component: rounds of large and small
+    stars, each one window over a node's neighbours, until the edges stay the same."""
+    near = Window.partitionBy("a")
+    now = materialize(edges.select("a", "b"), "stars")
+    before = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("m")).withColumnRenamed("a", "node")
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        after = materialize(step.join(jump, "comp").select("node", "old", F.least("comp", "next").alias("comp")), "labels")
-        moved = after.where("old <> comp").limit(1).count()
-        release(labels)
-        labels = after
-        labels_only = labels.select("node", "comp")
-        labels_only._written_at = after._written_at
-        labels = labels_only
-        if not moved:
-            release(both)
-            return labels
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # large star: neighbours above a node move to the least of its neighbourhood
+        large = both.withColumn("m", F.least("a", F.min("b").over(near))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # small star: a node and its neighbours below it move to the least of them
+        least = large.withColumn("m", F.min("b").over(near))
+        after = materialize(least.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct(), "stars")
+        release(now)
+        now = after
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if (state.n, state.h) == before:
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+            out._written_at = now._written_at
+            return out
+        before = (state.n, state.h)
 
 
 class Join:
@@ -246,98 +250,94 @@ class Join:
         self.survey = materialize(self.texts.mapInArrow(run, schema), "survey")
         self.docs = self.survey.where("n_shingles is not null").select("doc_id", "n_shingles", "node")
         self.order = self.spark.sparkContext.broadcast(Order(heavy_grams(self.survey.where("gram is not null").select("gram", "texts"))))
+        self.first = materialize(self.docs.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "first")
         self.links: DataFrame | None = None
 
     def shared_fronts(self) -> DataFrame:
-        """(gram, node, size, place) where two or more sets have the n-gram in front."""
+        """(gram, node, size, all_rows) where two or more sets have the n-gram in front."""
         run, schema = _fronts(self.n, self.num, self.den, self.order)
         rows = self.texts.mapInArrow(run, schema)
         several = Window.partitionBy("gram")
-        rows = rows.withColumn("least", F.min("node").over(several)).withColumn("most", F.max("node").over(several)).where("least <> most")
-        return materialize(rows.select("gram", "node", "size", "place").distinct(), "fronts")
+        rows = rows.withColumns({"least": F.min("node").over(several), "most": F.max("node").over(several), "all_rows": F.count("*").over(several)}).where("least <> most")
+        return materialize(rows.select("gram", "node", "size", "all_rows").distinct(), "fronts")
 
     def counted(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b, a_size, b_size) the links (a, b): fragments are intersected, then summed per pair."""
         pairs = materialize(pairs, "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        first = self.docs.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        chosen = materialize(first.join(nodes, "node", "left_semi"), "chosen")
-        wanted = self.spark.sparkContext.broadcast(_bitmap(chosen.select("doc_id")))
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+        wanted = self.spark.sparkContext.broadcast(_bitmap(self.first.join(nodes, "node", "left_semi").select("doc_id")))
         run, schema = _segments(self.n, self.order, wanted)
-        segments = materialize(self.texts.mapInArrow(run, schema).join(chosen, ["doc_id", "node"], "left_semi").dropDuplicates(["node", "fragment"]).drop("doc_id"), "segments")
+        segments = materialize(self.texts.mapInArrow(run, schema), "segments")
         left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("a_grams"))
         right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("b_grams"))
-        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "a_size", "b_size", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
-        summed = partial.groupBy("a", "b", "a_size", "b_size").agg(F.sum("overlap").alias("overlap"))
+        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "a_size", "b_size", "fragment", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
+        # the bitmap can let a second text of one set through: then the same overlap is there twice
+        once = partial.groupBy("a", "b", "a_size", "b_size", "fragment").agg(F.max("overlap").alias("overlap"))
+        summed = once.groupBy("a", "b", "a_size", "b_size").agg(F.sum("overlap").alias("overlap"))
         out = materialize(summed.where(F.col("overlap") >= least_overlap(F.col("a_size"), F.col("b_size"), self.num, self.den)).select("a", "b"), "links")
         wanted.destroy()
-        release(pairs, chosen, segments)
+        release(pairs, segments)
         return out
 
-    def possible(self, left: DataFrame, right: DataFrame, on: list[Column]) -> DataFrame:
-        """Pairs of bucket rows (prefixes x_, y_) whose sizes and places allow enough overlap, each pair once."""
-        need = least_overlap(F.col("x_size"), F.col("y_size"), self.num, self.den)
-        fits = (F.col("x_size") - F.col("x_place") >= need) & (F.col("y_size") - F.col("y_place") >= need) & (F.col("x_node") != F.col("y_node"))
-        condition = fits
-        for c in on:
-            condition = condition & c
-        rows = left.join(right, condition)
-        first = F.col("x_node") < F.col("y_node")
-        pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
-        return rows.select(pick("x_node", "y_node").alias("a"), pick("y_node", "x_node").alias("b"), pick("x_size", "y_size").alias("a_size"), pick("y_size", "x_size").alias("b_size")).distinct()
-
-    def run(self, rounds: int = 6, enough: int = 4) -> DataFrame:
+    def hopeful(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) of bucket rows x_, y_ that share enough of their fronts. Of two sets, the one whose front ends
+        first has all its front matches in the other's front, so the overlap is at most the shared front n-grams plus
+        what that set has behind its front. This is the partial count of the first fragment of the order."""
+        pick = lambda a, b: F.when(F.col("x_node") < F.col("y_node"), F.col(a)).otherwise(F.col(b))
+        pairs = rows.where("x_node <> y_node").select(pick("x_node", "y_node").alias("a"), pick("y_node", "x_node").alias("b"), pick("x_size", "y_size").alias("a_size"), pick("y_size", "x_size").alias("b_size"))
+        shared = pairs.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("shared"))
+        behind = F.ceil(self.num * F.greatest("a_size", "b_size").cast("long") / F.lit(self.den)) - 1
+        need = least_overlap(F.col("a_size"), F.col("b_size"), self.num, self.den)
+        near = self.num * F.greatest("a_size", "b_size").cast("long") <= self.den * F.least("a_size", "b_size").cast("long")
+        return shared.where(near & (F.col("shared") + behind >= need)).drop("shared")
+
+    def against_hubs(self, rows: DataFrame, seed: int) -> DataFrame:
+        """Pairs of each bucket's hub with its rows of other components. The first hub is the set whose buckets are the
+        largest, later ones are drawn by a hash. Buckets of a pair with other hubs don't count here; a pair missed for
+        that reason is left to the last round."""
+        if seed:
+            rows = rows.withColumn("weight", F.xxhash64("node", F.lit(seed)))
+        else:
+            rows = rows.join(rows.groupBy("node").agg(F.sum("all_rows").alias("weight")), "node")
+        hub = F.max(F.struct("weight", "node", "size", "comp")).over(Window.partitionBy("gram"))
+        paired = rows.withColumn("h", hub).where("h.comp <> comp")
+        return self.hopeful(paired.select(F.col("node").alias("x_node"), F.col("size").alias("x_size"), F.col("h.node").alias("y_node"), F.col("h.size").alias("y_size")))
+
+    def across(self, rows: DataFrame) -> DataFrame:
+        """All pairs of rows of one bucket that are in different components."""
+        comps = rows.select("gram", "comp").distinct()
+        other = comps.join(comps.withColumnRenamed("comp", "other"), "gram").where("comp < other")
+        x = rows.join(other, ["gram", "comp"]).select("gram", "other", F.col("node").alias("x_node"), F.col("size").alias("x_size"))
+        y = rows.select("gram", F.col("comp").alias("other"), F.col("node").alias("y_node"), F.col("size").alias("y_size"))
+        return self.hopeful(x.join(y, ["gram", "other"]))
+
+    def run(self, rounds: int = 6, enough: int = 8) -> DataFrame:
         """(node, comp) of every set that has a link. Up to `rounds` rounds against hubs go on while more than `enough`
         pairs a bucket row are left across components; the last round counts all that are left."""
         fronts = self.shared_fronts()
-        row = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
-        labels = None
-        links: list[DataFrame] = []
-        for k in range(rounds + 1):
-            if labels is None:
-                at = fronts.withColumn("comp", F.col("node"))
-            else:
-                at = fronts.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            per = at.groupBy("gram", "comp").agg(F.count("*").alias("c"))
-            buckets = materialize(per.groupBy("gram").agg(F.sum("c").alias("all_rows"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.count("*").alias("comps")).where("comps > 1"), "buckets")
-            left_over = buckets.agg(F.sum((F.col("all_rows") * F.col("all_rows") - F.col("inside")) / 2).alias("pairs"), F.sum("all_rows").alias("in_buckets")).first()
+        self.links = self.counted(self.against_hubs(fronts.withColumn("comp", F.col("node")), 0))
+        labels = components(self.links)
+        for k in range(1, rounds + 1):
+            at = fronts.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            bucket = Window.partitionBy("gram")
+            several = at.withColumns({"first": F.min("comp").over(bucket), "last": F.max("comp").over(bucket)}).where("first <> last").drop("first", "last")
+            open_rows = materialize(several, "open")
+            per = open_rows.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("inside"))
+            left_over = per.agg(F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs"), F.sum("all").alias("in_buckets")).first()
             if not left_over.pairs:
-                release(buckets)
+                release(open_rows)
                 break
-            open_rows = materialize(at.join(buckets.select("gram", "all_rows"), "gram"), "open")
-            release(buckets)
-            if k < rounds and (k == 0 or left_over.pairs > enough * left_over.in_buckets):
-                if k == 0:
-                    weight = open_rows.groupBy("node").agg(F.sum("all_rows").alias("weight"))
-                else:
-                    weight = open_rows.select("node").distinct().withColumn("weight", F.xxhash64("node", F.lit(k)))
-                best = F.max(F.struct("weight", "node", "size", "place", "comp")).alias("h")
-                hubs = open_rows.join(weight, "node").groupBy("gram").agg(best).select("gram", "h.node", "h.size", "h.place", "h.comp")
-                pairs = self.possible(row(hubs, "x_"), row(open_rows.drop("all_rows"), "y_"), [F.col("x_gram") == F.col("y_gram"), F.col("x_comp") != F.col("y_comp")])
-                last = False
-            else:
-                comps = open_rows.select("gram", "comp").distinct()
-                other = comps.join(comps.withColumnRenamed("comp", "other"), "gram").where("comp < other")
-                mine = open_rows.drop("all_rows").join(other, ["gram", "comp"])
-                pairs = self.possible(row(mine, "x_"), row(open_rows.drop("all_rows"), "y_"), [F.col("x_gram") == F.col("y_gram"), F.col("x_other") == F.col("y_comp")])
-                last = True
-            found = self.counted(pairs)
+            last = k == rounds or left_over.pairs <= enough * left_over.in_buckets
+            found = self.counted(self.across(open_rows) if last else self.against_hubs(open_rows, k))
             release(open_rows)
-            links.append(found)
-            known = links[0]
-            for x in links[1:]:
-                known = known.union(x)
-            before = labels
-            labels = components(known)
-            if before is not None:
-                release(before)
+            self.links = self.links.union(found)
+            if found.limit(1).count():
+                release(labels)
+                labels = components(self.links)
             if last:
                 break
         release(fronts)
-        self.links = links[0] if links else None
-        for x in links[1:]:
-            self.links = self.links.union(x)
-        return labels if labels is not None else self.docs.select("node", F.col("node").alias("comp")).limit(0)
+        return labels
 
 
 def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -348,7 +348,7 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
     twice = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     if twice.limit(1).count():  # rows of one doc_id with different texts: that document links them
         of_id = rows.join(twice.select("doc_id", F.col("a").alias("first")), "doc_id").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        labels = components(of_id if join.links is None else of_id.union(join.links))
+        labels = components(of_id.union(join.links))
     rows = join.docs.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = rows.where("comp is not null and doc_id is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
