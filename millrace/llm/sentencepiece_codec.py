@@ -7,10 +7,10 @@ trie, and are visited depth-first: the forward scores of a prefix stay on a stac
 In a unigram model the best path to a prefix maximizes the sum of piece scores; ties go to the longer last piece. In a
 BPE model a path may only join pieces that merging leaves side by side: a sequence of pieces is what merging gives
 exactly if each two neighbours, merged alone, stay as they are. So of all pieces that end a prefix one is left, and
-the path is the library's own segmentation. Which neighbours may meet is remembered per task. Characters outside of
+the path is the library's own segmentation. Which neighbours may meet is remembered. Characters outside of
 the vocabulary fall back to bytes. Each text's ids are joined from those of its words; decoding maps ids back.
 
-Scale: one narrow pass, no shuffle; a task keeps the words of at most about `cache_words` words and one slice of texts.
+Scale: one narrow pass, no shuffle; a worker remembers at most about 2 * `cache_words` words and holds one slice of texts.
 Broadcast is the vocabulary, whose size is the model's. The model file is read on the driver only.
 
 Defined cases: null and empty text have no ids and decode to the empty text; a text's own U+2581 decodes to a space, as
@@ -21,8 +21,9 @@ Only doc_id and text are read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -74,13 +75,16 @@ def is_bpe(model_file: str) -> bool:
 
 def merged(text: str, scores: dict[str, float]) -> list[str]:
     """Merging done literally, for short strings: the best-scored neighbours first, the leftmost of equals."""
-    parts = list(text)
+    parts, score_of = list(text), scores.get
     while len(parts) > 1:
-        found = [(scores[x + y], -k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in scores]
-        if not found:
+        top, at = None, 0
+        for k in range(len(parts) - 1):
+            s = score_of(parts[k] + parts[k + 1])
+            if s is not None and (top is None or s > top):
+                top, at = s, k
+        if top is None:
             break
-        k = -max(found)[1]
-        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return parts
 
 
@@ -89,10 +93,16 @@ class Vocabulary:
     bpe: bool
     scores: dict[str, float]
     ids: dict[str, int]
+    pieces: list[str]  # of each id; empty if no text gives it
+    ends: dict  # trie of reversed pieces; a piece's id is under ""
     decoded: list[bytes]  # of each id
     byte_ids: list[int]  # of each byte value
     longest: int
     unknown_score: float
+    #: What a worker process remembers from task to task, as the broadcast value stays with it.
+    new_words: dict[str, bytes] = field(default_factory=dict)
+    old_words: dict[str, bytes] = field(default_factory=dict)
+    may_meet: dict[int, bool] = field(default_factory=dict)
 
     @staticmethod
     def load(model_file: str) -> Vocabulary:
@@ -117,60 +127,101 @@ class Vocabulary:
             raise ValueError("a piece reaches across words; this model can't be cut at marks")
         if bpe := is_bpe(model_file):
             ids = {x: i for x, i in ids.items() if merged(x, scores) == [x]}
-        return Vocabulary(bpe, scores, ids, decoded, byte_ids, max(map(len, scores)), min(scores.values()) - UNKNOWN_PENALTY)
-
-    def segment(self, words: list[str], may_meet: dict[tuple[str, str], bool]) -> Iterator[tuple[str, bytes]]:
+        pieces, ends = [""] * len(decoded), {}
+        for piece, i in ids.items():
+            pieces[i], node = piece, ends
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = i
+        return Vocabulary(bpe, scores, ids, pieces, ends, decoded, byte_ids, max(map(len, scores)), min(scores.values()) - UNKNOWN_PENALTY)
+
+    def segment(self, words: list[str], may_meet: dict[int, bool]) -> Iterator[tuple[str, bytes]]:
         """(word, ids as int32 bytes) for sorted distinct words: a depth-first walk over their trie. may_meet remembers
-        which pieces of a BPE model may be neighbours."""
-        ids, longest = self.ids, self.longest
+        which pieces of a BPE model may be neighbours, by left id * number of pieces + right id."""
         forward = self._only if self.bpe else self._best
-        before, best, start = "", [0.0], [0]
+        before, score, last, start = "", [0.0], [-1], [0]
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del best[shared + 1 :], start[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                forward(word, end, end - longest if end > longest else 0, best, start, may_meet)
+            del score[shared + 1 :], last[shared + 1 :], start[shared + 1 :]
+            forward(word, shared + 1, score, last, start, may_meet)
             found, end = [], len(word)
             while end:
-                k = start[end]
-                i = ids.get(word[k:end])
-                found.extend((i,) if i is not None else [self.byte_ids[b] for b in reversed(word[k:end].encode())])
+                i, k = last[end], start[end]
+                if i >= 0:
+                    found.append(i)
+                else:
+                    found.extend([self.byte_ids[b] for b in reversed(word[k:end].encode())])
                 end = k
+            found.reverse()
             before = word
-            yield word, np.array(found[::-1], np.int32).tobytes()
-
-    def _best(self, word: str, end: int, least: int, best: list[float], start: list[int], _) -> None:
-        """Unigram: the piece up to `end` that ends the path of the greatest score."""
-        top, at, score_of = None, end - 1, self.scores.get
-        for k in range(least, end):
-            s = score_of(word[k:end])
-            if s is not None and (top is None or best[k] + s > top):
-                top, at = best[k] + s, k
-        if word[end - 1] not in self.scores and (top is None or best[end - 1] + self.unknown_score > top):
-            top, at = best[end - 1] + self.unknown_score, end - 1
-        best.append(top)
-        start.append(at)
-
-    def _only(self, word: str, end: int, least: int, best: list[float], start: list[int], may_meet: dict) -> None:
-        """BPE: the piece up to `end` that may stand next to the last piece of the path before it."""
-        ids, scores = self.ids, self.scores
-        for k in range(least, end - 1):
-            piece = word[k:end]
-            if piece in ids:
-                if k == 0:
-                    break
-                pair = (word[start[k] : k], piece)
-                meets = may_meet.get(pair)
-                if meets is None:
-                    meets = may_meet[pair] = merged(pair[0] + piece, scores) == [*pair]
-                if meets:
+            yield word, array("i", found).tobytes()
+
+    def ids_of(self, words: set[str], most: int) -> dict[str, bytes]:
+        """Ids (int32 bytes) of at least these words. Of what was asked before, up to 2 * most words are remembered, in
+        two generations; the older one goes as a whole."""
+        if len(self.new_words) + len(words) > most:
+            self.old_words, self.new_words = self.new_words, {}
+        if len(self.may_meet) > 4 * most:
+            self.may_meet.clear()
+        known, older = self.new_words, self.old_words
+        missing = []
+        for word in words - known.keys():
+            ids = older.get(word)
+            if ids is None:
+                missing.append(word)
+            else:
+                known[word] = ids
+        known.update(self.segment(sorted(missing), self.may_meet))
+        return known
+
+    def _best(self, word: str, first: int, score: list[float], last: list[int], start: list[int], _) -> None:
+        """Unigram: for each end from `first` on, the piece up to it that ends the path of the greatest score."""
+        score_of, id_of, longest = self.scores.get, self.ids.get, self.longest
+        for end in range(first, len(word) + 1):
+            top, at = None, end - 1
+            for k in range(end - longest if end > longest else 0, end):
+                s = score_of(word[k:end])
+                if s is not None and (top is None or score[k] + s > top):
+                    top, at = score[k] + s, k
+            if word[end - 1] not in self.scores and (top is None or score[end - 1] + self.unknown_score > top):
+                top, at = score[end - 1] + self.unknown_score, end - 1
+            score.append(top)
+            last.append(id_of(word[at:end], -1))
+            start.append(at)
+
+    def _only(self, word: str, first: int, score: list[float], last: list[int], start: list[int], may_meet: dict[int, bool]) -> None:
+        """BPE: for each end from `first` on, the piece up to it that may stand next to the last piece before it. Pieces
+        that end there are found from behind, by a trie of reversed pieces."""
+        ends, n, meets, pieces = self.ends, len(self.decoded), may_meet.get, self.pieces
+        for end in range(first, len(word) + 1):
+            node, k, at, found = ends, end, end - 1, -1
+            while k:
+                k -= 1
+                node = node.get(word[k])
+                if node is None:
                     break
-        else:
-            k = end - 1
-        best.append(0.0)
-        start.append(k)
+                i = node.get("")
+                if i is not None:
+                    if k == 0:
+                        at, found = 0, i
+                        break
+                    left = last[k]
+                    if left >= 0:
+                        pair = left * n + i
+                        fits = meets(pair)
+                        if fits is None:
+                            fits = may_meet[pair] = merged(pieces[left] + pieces[i], self.scores) == [pieces[left], pieces[i]]
+                        if fits:
+                            at, found = k, i
+                            break
+                    else:  # behind a character without a piece, which nothing merges with
+                        at, found = k, i
+                        break
+            score.append(0.0)
+            last.append(found)
+            start.append(at)
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "replace")
@@ -198,7 +249,7 @@ def slices(texts: list[str | None], chars: int) -> Iterator[slice]:
 ENCODED = "doc_id long, n_tokens long, n_byte_tokens long, round_trip boolean, token_ids array<int>"
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, cache_words: int = 400_000, slice_chars: int = 2_000_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, cache_words: int = 500_000, slice_chars: int = 2_000_000) -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, round_trip (decoding the ids gave the text) and token_ids of every row."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_byte_tokens", pa.int64()), ("round_trip", pa.bool_()), ("token_ids", pa.list_(pa.int32()))])
@@ -207,18 +258,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, cache_words: int = 400_000,
         v = held.value
         is_byte = np.zeros(len(v.decoded), bool)
         is_byte[v.byte_ids] = True
-        known: dict[str, bytes] = {}
-        may_meet: dict[tuple[str, str], bool] = {}
         for batch in batches:
             for part in slices(texts := batch["text"].to_pylist(), slice_chars):
                 texts_here = texts[part]
                 words = [marked_words(x) for x in texts_here]
-                new = set().union(*words)
-                if len(known) + len(new) > cache_words:
-                    known.clear()
-                if len(may_meet) > cache_words:
-                    may_meet.clear()
-                known.update(v.segment(sorted(new - known.keys()), may_meet))
+                known = v.ids_of(set().union(*words), cache_words)
                 ids = [np.frombuffer(b"".join(map(known.__getitem__, x)), np.int32) for x in words]
                 del words
                 sizes = np.array([len(x) for x in ids], np.int64)
