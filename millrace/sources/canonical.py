@@ -36,7 +36,7 @@ CANONICAL: dict[str, str] = {
         select l.order_id * 10 + l.line_no as wo_id, l.part_id, l.quantity, case when o.status = 'Shipped' then 'released' else 'closed' end as status,
           o.order_date as open_date, case when o.status = 'Shipped' then l.ship_date else o.order_date + 45 end as required_date,
           case when o.status = 'Closed' then l.ship_date end as close_date,
-          round(l.amount * 0.30, 2) as act_lab_cost, round(l.amount * 0.20, 2) as act_bur_cost, round(l.amount * 0.05, 2) as act_ser_cost, round(l.amount * 0.25, 2) as act_mat_cost,
+          cast(round(cast(l.amount * 0.30 as decimal(28, 8)), 2) as double) as act_lab_cost, cast(round(cast(l.amount * 0.20 as decimal(28, 8)), 2) as double) as act_bur_cost, cast(round(cast(l.amount * 0.05 as decimal(28, 8)), 2) as double) as act_ser_cost, cast(round(cast(l.amount * 0.25 as decimal(28, 8)), 2) as double) as act_mat_cost,
           case when l.return_flag = 'R' then 1 else 0 end as outside_service
         from {order_line} l join {customer_order} o on o.order_id = l.order_id
         where o.status = 'Shipped' or (o.status = 'Closed' and l.ship_date < date '1998-07-01')""",
@@ -61,7 +61,7 @@ CANONICAL: dict[str, str] = {
     "payable_line": """
         select receipt_line_id * 10 as payable_line_id, receipt_id * 10 as invoice_id, receipt_line_id, po_line_id, part_id, supplier_id,
           case when tax >= 0.07 then quantity_received + 1 when tax >= 0.05 then quantity_received / 2 else quantity_received end as qty,
-          round(quantity_received * unit_cost, 2) as amount
+          cast(round(cast(quantity_received * unit_cost as decimal(28, 8)), 2) as double) as amount
         from {receiving_line} where discount >= 0.02""",
     "payables": """
         select p.invoice_id, min(p.supplier_id) as supplier_id, min(r.receipt_date) + 5 as invoice_date, min(r.receipt_date) + 35 as due_date, round(sum(p.amount), 2) as amount_dollars,
@@ -77,7 +77,7 @@ CANONICAL: dict[str, str] = {
         from (select l.order_id, l.line_no, l.amount, o.order_date from {order_line} l join {customer_order} o on o.order_id = l.order_id where o.status <> 'Open') x""",
     "gl_events": """
         select event_id, user_id as job_id, case event_type when 'purchase' then 'RM_ISSUE' when 'click' then 'LABOR' when 'view' then 'BURDEN' when 'signup' then 'FG_COMPLETION' else 'CASH_RECEIPT' end as event_type,
-          round(value, 2) as amount, cast(ts as date) as event_date, 'events' as source_table, event_id as source_id
+          cast(round(cast(value as decimal(28, 8)), 2) as double) as amount, cast(ts as date) as event_date, 'events' as source_table, event_id as source_id
         from {events}""",
     "delivery": """
         select l.order_id * 10 + l.line_no as delivery_id, l.supplier_id, l.part_id, l.ship_date as delivery_date, l.quantity as planned_quantity,
