@@ -7,9 +7,9 @@ the front of their sets; the front is the first fragment, and pairs that share t
 
 Big groups: equal sets are one class from the start, so copies never pair up. Inside a bucket (sets with the same front
 n-gram), pairs are first counted against one hub only; what those links already connect is not compared again, and only
-pairs of sets from different components of one bucket follow. A group of k near copies thus costs about k pairs, not
-k * k, and every link between components is found: the result is exact but for collisions of 64-bit n-gram hashes
-(below 1e-9 for a pair) and 128-bit set digests.
+pairs of sets from different components of one bucket follow, as far as their sizes and places allow a link. A group of
+k near copies thus costs about k pairs, not k * k, and every link between components is found: the result is exact but
+for collisions of 64-bit n-gram hashes (below 1e-9 for a pair) and 128-bit set digests.
 
 Scale: texts are reread instead of shuffled (two narrow passes, and one over candidates). Shuffled are the fronts of
 the sets (16 % of the n-grams at 0.85), rows of shared fronts, and the fragments of candidate sets. Broadcast are the
@@ -130,8 +130,8 @@ class Order:
 
 
 def _fronts(n: int, num: int, den: int, order):
-    """(gram, node, size) for the n-grams in front, of which a partner must share some."""
-    schema = pa.schema([("gram", pa.int64()), ("node", pa.binary()), ("size", pa.int32())])
+    """(gram, node, size, place) for the n-grams in front, of which a partner must share some."""
+    schema = pa.schema([("gram", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = order.value
@@ -153,10 +153,11 @@ def _fronts(n: int, num: int, den: int, order):
             if not nodes:
                 continue
             each = np.repeat(np.arange(len(nodes)), lengths)
+            places = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
             out = pa.array(nodes, pa.binary()).take(pa.array(each))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), out, pa.array(np.array(sizes, np.int32)[each])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), out, pa.array(np.array(sizes, np.int32)[each]), pa.array(places)], schema=schema)
 
-    return run, "gram long, node binary, size int"
+    return run, "gram long, node binary, size int, place int"
 
 
 def _bit(doc_ids: np.ndarray) -> np.ndarray:
@@ -254,12 +255,12 @@ class Join:
         self.links: DataFrame | None = None
 
     def shared_fronts(self) -> DataFrame:
-        """(gram, node, size, all_rows) where two or more sets have the n-gram in front."""
+        """(gram, node, size, place, all_rows) where two or more sets have the n-gram in front."""
         run, schema = _fronts(self.n, self.num, self.den, self.order)
         rows = self.texts.mapInArrow(run, schema)
         several = Window.partitionBy("gram")
         rows = rows.withColumns({"least": F.min("node").over(several), "most": F.max("node").over(several), "all_rows": F.count("*").over(several)}).where("least <> most")
-        return materialize(rows.select("gram", "node", "size", "all_rows").distinct(), "fronts")
+        return materialize(rows.select("gram", "node", "size", "place", "all_rows").distinct(), "fronts")
 
     def counted(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b, a_size, b_size) the links (a, b): fragments are intersected, then summed per pair."""
@@ -304,32 +305,37 @@ class Join:
         return self.hopeful(paired.select(F.col("node").alias("x_node"), F.col("size").alias("x_size"), F.col("h.node").alias("y_node"), F.col("h.size").alias("y_size")))
 
     def across(self, rows: DataFrame) -> DataFrame:
-        """All pairs of rows of one bucket that are in different components."""
-        comps = rows.select("gram", "comp").distinct()
-        other = comps.join(comps.withColumnRenamed("comp", "other"), "gram").where("comp < other")
-        x = rows.join(other, ["gram", "comp"]).select("gram", "other", F.col("node").alias("x_node"), F.col("size").alias("x_size"))
-        y = rows.select("gram", F.col("comp").alias("other"), F.col("node").alias("y_node"), F.col("size").alias("y_size"))
-        return self.hopeful(x.join(y, ["gram", "other"]))
-
-    def run(self, rounds: int = 6, enough: int = 8) -> DataFrame:
-        """(node, comp) of every set that has a link. Up to `rounds` rounds against hubs go on while more than `enough`
-        pairs a bucket row are left across components; the last round counts all that are left."""
+        """Candidate pairs of rows of one bucket in different components. The first shared n-gram of a link leaves both
+        sets enough behind it, so sizes and places are part of the join; of two components one isn't the bucket's
+        largest, so the rows of the largest meet only the others."""
+        mine = F.count("*").over(Window.partitionBy("gram", "comp"))
+        ranked = rows.withColumn("mine", mine)
+        largest = F.max(F.struct("mine", "comp")).over(Window.partitionBy("gram"))
+        ranked = ranked.withColumn("other", F.col("comp") != largest["comp"])
+        side = lambda p: [F.col(c).alias(p + c) for c in ("gram", "node", "size", "place", "comp", "other")]
+        x, y = ranked.where("other").select(side("x_")), ranked.select(side("y_"))
+        need = least_overlap(F.col("x_size"), F.col("y_size"), self.num, self.den)
+        enough = (F.col("x_size") - F.col("x_place") >= need) & (F.col("y_size") - F.col("y_place") >= need)
+        once = ~F.col("y_other") | (F.col("x_node") < F.col("y_node"))
+        met = x.join(y, (F.col("x_gram") == F.col("y_gram")) & (F.col("x_comp") != F.col("y_comp")) & once & enough)
+        pick = lambda a, b: F.when(F.col("x_node") < F.col("y_node"), F.col(a)).otherwise(F.col(b))
+        return met.select(pick("x_node", "y_node").alias("a"), pick("y_node", "x_node").alias("b"), pick("x_size", "y_size").alias("a_size"), pick("y_size", "x_size").alias("b_size")).distinct()
+
+    def run(self, rounds: int = 6, enough: int = 4) -> DataFrame:
+        """(node, comp) of every set that has a link. After a round against hubs, the candidate pairs across components
+        are counted further; while there are more than `enough` for a bucket row, another round against other hubs goes
+        first, up to `rounds`."""
         fronts = self.shared_fronts()
         self.links = self.counted(self.against_hubs(fronts.withColumn("comp", F.col("node")), 0))
         labels = components(self.links)
         for k in range(1, rounds + 1):
             at = fronts.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             bucket = Window.partitionBy("gram")
-            several = at.withColumns({"first": F.min("comp").over(bucket), "last": F.max("comp").over(bucket)}).where("first <> last").drop("first", "last")
-            open_rows = materialize(several, "open")
-            per = open_rows.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("inside"))
-            left_over = per.agg(F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs"), F.sum("all").alias("in_buckets")).first()
-            if not left_over.pairs:
-                release(open_rows)
-                break
-            last = k == rounds or left_over.pairs <= enough * left_over.in_buckets
-            found = self.counted(self.across(open_rows) if last else self.against_hubs(open_rows, k))
-            release(open_rows)
+            open_rows = materialize(at.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low <> high").drop("low", "high"), "open")
+            pairs = materialize(self.across(open_rows), "across")
+            last = k == rounds or pairs.count() <= enough * open_rows.count()
+            found = self.counted(pairs if last else self.against_hubs(open_rows, k))
+            release(open_rows, pairs)
             self.links = self.links.union(found)
             if found.limit(1).count():
                 release(labels)
