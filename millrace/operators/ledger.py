@@ -33,6 +33,11 @@ def post(events: DataFrame, posted: DataFrame | None = None) -> DataFrame:
     good = events.where("amount > 0 and event_date is not null").dropDuplicates(key)
     if posted is not None:
         good = good.join(posted.select(*key).distinct(), key, "left_anti")
+    return post_lines(good)
+
+
+def post_lines(good: DataFrame) -> DataFrame:
+    """The signed ledger lines of valid events, batch or stream."""
     lines = F.when(F.lit(False), F.array().cast("array<struct<ledger:string,sign:int>>"))
     for kind in sorted({p[0] for p in POSTINGS}):
         lines = lines.when(F.col("event_type") == kind, F.array(*[F.struct(F.lit(ledger).alias("ledger"), F.lit(sign).alias("sign")) for k, ledger, sign in POSTINGS if k == kind]))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import planning
+from . import ledger, planning, purchasing, quality, relations, sales, shopfloor, streams
 
-MODULES = [planning]
+MODULES = [planning, purchasing, sales, shopfloor, ledger, quality, relations, streams]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
 FLAGSHIP = "p04_time_phased_atp"
