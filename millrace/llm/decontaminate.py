@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds find candidate places, Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits (A-Z lower-cased), so changed punctuation doesn't hide a copy. Every n-gram of the
-test items is counted over all texts; the rarer half of an item's n-grams are its seeds (at least MIN_SEEDS, or all).
-Rarity is relative within an item, so an item that many texts leak keeps its seeds. A place of a text that has a seed
-is aligned with the item: match +1, mismatch and gap -0.5 a word, local, over the item's length; edited, cut or
-reworded copies score by how much of the item they keep.
+Words are runs of letters and digits (A-Z lower-cased), so changed punctuation doesn't hide a copy. Every word of the
+test items is counted over all texts; of an item's n-grams the SHARE with the rarest words are its seeds (at least
+MIN_SEEDS, or all). Words are counted, not n-grams: an n-gram that leaks is frequent for that very reason, and the
+n-grams that an edited copy has lost would seem the rarest. Rarity is relative within an item, so an item that many
+texts leak keeps its seeds. A place of a text that has a seed is aligned with the item: match +1, mismatch and gap -0.5
+a word, local, over the item's length; edited, cut or reworded copies score by how much of the item they keep.
 
 Scale: two narrow passes over the texts, no shuffle of text. Broadcast is a block of items of at most about
 `block_words` words; a larger benchmark is taken in several such blocks, each against all texts.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes
 
 MIN_SEEDS = 8
+SHARE = 0.75
 MISMATCH = 0.5
 GAP = 0.5
 #: Bytes to bytes: A-Z to a-z, other ASCII that is no letter or digit to a space.
@@ -177,33 +179,32 @@ def blocks_of(benchmark: DataFrame, n: int, block_words: int) -> Iterator[Block]
 
 
 def rare_seeds(docs: DataFrame, block: Block) -> np.ndarray:
-    """Which keys of the block are seeds, by the number of texts that have each: counted over all texts."""
+    """Which keys of the block are seeds: of each item the SHARE n-grams whose words are the rarest over all texts."""
     held = docs.sparkSession.sparkContext.broadcast(block)
+    size = len(block.words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = held.value
-        total = np.zeros(len(b.keys), np.int64)
+        total = np.zeros(size + 1, np.int64)
         for batch in batches:
             for text_slice in chunks(batch["text"].to_pylist()):
-                numbers, begin = b.numbers(text_slice)
-                places, which = b.hits(numbers)
-                pairs = np.unique((np.searchsorted(begin, places, side="right") - 1) * max(1, len(b.keys)) + which)
-                total += np.bincount(pairs % max(1, len(b.keys)), minlength=len(total))[: len(total)]
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "texts"])
-
-    texts = np.zeros(len(block.keys), np.int64)
-    for r in as_bytes(docs).mapInArrow(count, "at long, texts long").groupBy("at").agg(F.sum("texts").alias("texts")).collect():
-        texts[r["at"]] = r.texts
+                total += np.bincount(b.numbers(text_slice)[0] + 1, minlength=size + 1)
+        at = np.flatnonzero(total[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[1:][at])], names=["at", "n"])
+
+    counts = np.ones(size)
+    for r in as_bytes(docs).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[r["at"]] += r.n
     held.unpersist()
-    of_item: list[set[int]] = [set() for _ in block.items]
+    weight = np.log(counts)
+    of_item: list[dict[int, float]] = [{} for _ in block.items]
     for k, where in enumerate(block.where):
-        for item, _ in where:
-            of_item[item].add(k)
+        for item, q in where:
+            of_item[item][k] = float(weight[block.items[item][q : q + block.n]].sum())
     out = np.zeros(len(block.keys), bool)
     for keys in of_item:
-        rarest = sorted(keys, key=lambda k: (texts[k], k))
-        out[rarest[: max(MIN_SEEDS, -(-len(rarest) // 2))]] = True
+        rarest = sorted(keys, key=lambda k: (keys[k], k))
+        out[rarest[: max(MIN_SEEDS, int(np.ceil(SHARE * len(rarest))))]] = True
     return out
 
 
