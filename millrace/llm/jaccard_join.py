@@ -286,11 +286,14 @@ class Join:
         what that set has behind its front. This is the partial count of the first fragment of the order."""
         pick = lambda a, b: F.when(F.col("x_node") < F.col("y_node"), F.col(a)).otherwise(F.col(b))
         pairs = rows.where("x_node <> y_node").select(pick("x_node", "y_node").alias("a"), pick("y_node", "x_node").alias("b"), pick("x_size", "y_size").alias("a_size"), pick("y_size", "x_size").alias("b_size"))
-        shared = pairs.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("shared"))
+        return self.sharing(pairs.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("shared")))
+
+    def sharing(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs with the count of shared front n-grams, those that can still be links."""
         behind = F.ceil(self.num * F.greatest("a_size", "b_size").cast("long") / F.lit(self.den)) - 1
         need = least_overlap(F.col("a_size"), F.col("b_size"), self.num, self.den)
         near = self.num * F.greatest("a_size", "b_size").cast("long") <= self.den * F.least("a_size", "b_size").cast("long")
-        return shared.where(near & (F.col("shared") + behind >= need)).drop("shared")
+        return pairs.where(near & (F.col("shared") + behind >= need)).drop("shared")
 
     def against_hubs(self, rows: DataFrame, seed: int) -> DataFrame:
         """Pairs of each bucket's hub with its rows of other components. The first hub is the set whose buckets are the
@@ -321,6 +324,14 @@ class Join:
         pick = lambda a, b: F.when(F.col("x_node") < F.col("y_node"), F.col(a)).otherwise(F.col(b))
         return met.select(pick("x_node", "y_node").alias("a"), pick("y_node", "x_node").alias("b"), pick("x_size", "y_size").alias("a_size"), pick("y_size", "x_size").alias("b_size")).distinct()
 
+    def narrowed(self, pairs: DataFrame, fronts: DataFrame) -> DataFrame:
+        """Candidate pairs whose fronts, intersected whole, share enough: the first fragment's partial overlap."""
+        whole = fronts.groupBy("node").agg(F.collect_list("gram").alias("grams"))
+        a = whole.select(F.col("node").alias("a"), F.col("grams").alias("a_grams"))
+        b = whole.select(F.col("node").alias("b"), F.col("grams").alias("b_grams"))
+        met = pairs.join(a, "a").join(b, "b")
+        return self.sharing(met.select("a", "b", "a_size", "b_size", F.size(F.array_intersect("a_grams", "b_grams")).alias("shared")))
+
     def run(self, rounds: int = 6, enough: int = 4) -> DataFrame:
         """(node, comp) of every set that has a link. After a round against hubs, the candidate pairs across components
         are counted further; while there are more than `enough` for a bucket row, another round against other hubs goes
@@ -334,7 +345,7 @@ class Join:
             open_rows = materialize(at.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low <> high").drop("low", "high"), "open")
             pairs = materialize(self.across(open_rows), "across")
             last = k == rounds or pairs.count() <= enough * open_rows.count()
-            found = self.counted(pairs if last else self.against_hubs(open_rows, k))
+            found = self.counted(self.narrowed(pairs, fronts) if last else self.against_hubs(open_rows, k))
             release(open_rows, pairs)
             self.links = self.links.union(found)
             if found.limit(1).count():
