@@ -216,5 +216,7 @@ def learn(stats: DataFrame, labels: DataFrame, prefix: str = "", max_rules: int
 
 
 def filter_kept(docs: DataFrame, rules: DecisionList, min_words: int = 50) -> DataFrame:
-    """The rows of docs that pass the base rules and the list, with their own columns only; one narrow pass."""
-    return with_statistics(docs, prefix="__rules_").where(rules.kept("__rules_", min_words)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that pass the base rules and the list, with their own columns only; one narrow pass. The row
+    number keeps the optimizer from moving the condition below the statistics, where each use would compute them anew."""
+    stats = with_statistics(docs, prefix="__rules_").withColumn("__rules_row", F.monotonically_increasing_id())
+    return stats.where(rules.kept("__rules_", min_words) & (F.col("__rules_row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
