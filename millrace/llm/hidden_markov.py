@@ -73,10 +73,7 @@ class Lexicon:
     distinct: int  # V
     class_total: np.ndarray  # training tokens of tail words by class
     class_distinct: np.ndarray
-
-    @property
-    def own(self) -> int:
-        return min(SYMBOLS, len(self.counts))
+    own: int  # so many words, the most frequent, are symbols of their own
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the smoothed unigram probability."""
@@ -87,13 +84,13 @@ class Lexicon:
         return np.log10((counts + ALPHA) / (self.class_total[classes] + ALPHA * (self.class_distinct[classes] + 1)))
 
 
-def lexicon_of(counts: DataFrame) -> Lexicon:
-    """At most FREQUENT words with their counts, the totals, and totals by class of all words that aren't symbols."""
+def lexicon_of(counts: DataFrame, frequent: int = FREQUENT, symbols_most: int = SYMBOLS) -> Lexicon:
+    """At most `frequent` words with their counts, the totals, and totals by class of all words that aren't symbols."""
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     width = F.floor(F.log2("c") * 16).cast("int")
     found, least = 0, None
     for r in sorted(counts.groupBy(width.alias("w")).count().collect(), key=lambda r: -r.w):
-        if found + r["count"] > FREQUENT:
+        if found + r["count"] > frequent:
             break
         found, least = found + r["count"], r.w
     if least is None:
@@ -102,7 +99,7 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
         got = counts.where(width >= least).toArrow()
         order = sorted(range(got.num_rows), key=lambda k, c=got["c"].to_pylist(), w=got["word"].to_pylist(): (-c[k], w[k]))
         words, c = got["word"].take(pa.array(order, pa.int64())).to_pylist(), got["c"].to_numpy()[order]
-    out = Lexicon({w: k for k, w in enumerate(words)}, c, int(whole.n or 0), int(whole.v), np.zeros(TAIL), np.zeros(TAIL))
+    out = Lexicon({w: k for k, w in enumerate(words)}, c, int(whole.n or 0), int(whole.v), np.zeros(TAIL), np.zeros(TAIL), min(symbols_most, len(words)))
     symbols = counts.sparkSession.sparkContext.broadcast(frozenset(words[: out.own]))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,10 +258,10 @@ def train(read: DataFrame, first: Model, rounds: int, segment: int, batch_segmen
     return model
 
 
-def score(docs: DataFrame, states: int = 6, rounds: int = 3, segment: int = 128, batch_segments: int = 2048, seed: int = 11) -> DataFrame:
+def score(docs: DataFrame, states: int = 6, rounds: int = 3, segment: int = 128, batch_segments: int = 2048, seed: int = 11, frequent: int = FREQUENT, symbols: int = SYMBOLS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     counts = materialize(word_counts(docs), "counts")
-    lexicon = lexicon_of(counts)
+    lexicon = lexicon_of(counts, frequent, symbols)
     context = docs.sparkSession.sparkContext
     held = context.broadcast(lexicon)
     read = materialize(read_texts(docs, held), "read")
