@@ -38,5 +38,18 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_chat_format": op1_chat_format}
-#: The digests that any right formatter must give; formatted_chars follows from the template's marks and escapes.
-ORACLES: dict[str, str] = {}
+#: The same digests from the rows themselves; formatted_chars follows from the template's marks and escapes.
+CHAT_SQL = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+x as (
+  select *, length(regexp_replace(text, '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|OUT\]|<SYS>>|</SYS>>|<ROLE>>|</ROLE>>)', '\1\2\\\3', 'g'))
+    + case role when 'user' then 18 when 'assistant' then 10 when 'system' then 15 else 21 + length(role) end as n
+  from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(n) as bigint) as formatted_chars
+from x group by 1
+"""
+ORACLES = {"op1_chat_format": CHAT_SQL}

@@ -6,9 +6,9 @@ pattern become validity intervals; each capture is joined with the intervals of
 directories that were valid when it was fetched. The longest valid pattern decides; of one pattern's entries with one
 date block goes before allow, allow before remove.
 
-Scale: equal captures are evaluated once. The join is on the pattern, with the interval as a further condition; a
-pattern that a third of all captures share makes a skewed partition, which adaptive execution splits. The aggregate
-after it is by capture, of at most (labels of the host + directories) rows.
+Scale: equal captures are evaluated once. The join is on the pattern and a salt, with the interval as a further
+condition: a pattern that a third of all captures share is dealt over `salts` places, to each of which its intervals
+are copied. The aggregate after it is by capture, of at most (labels of the host + directories) rows.
 
 Defined cases: a null url or one without a host has no pattern and the verdict "none"; with a null fetch date nothing
 is valid; entries without pattern, date or verdict are ignored; repeated captures are all returned. Only page_id, url
@@ -50,12 +50,13 @@ def intervals(entries: DataFrame) -> DataFrame:
     return dated.withColumn("until", F.coalesce(until, F.lit(FOREVER).cast("date"))).where("verdict <> 'remove'").drop("first")
 
 
-def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
+def evaluate(captures: DataFrame, entries: DataFrame, salts: int = 16) -> DataFrame:
     """page_id, url, fetched, host, verdict (block, allow or none) and the pattern that decided, of every capture."""
     once = captures.groupBy("page_id", "url", "fetched").agg(F.count("*").alias("times"))
     keyed = once.withColumn("host", host_of(F.coalesce("url", F.lit("")))).select("*", F.explode_outer(patterns_of(F.col("host"), F.col("url"))).alias("key"))
-    valid = intervals(entries)
-    joined = keyed.join(valid, (F.col("key") == F.col("pattern")) & (F.col("since") <= F.col("fetched")) & (F.col("fetched") < F.col("until")), "left")
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched"), F.lit(salts)).cast("int"))
+    valid = intervals(entries).withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = keyed.join(valid, (F.col("key") == F.col("pattern")) & (F.col("salt") == F.col("of_salt")) & (F.col("since") <= F.col("fetched")) & (F.col("fetched") < F.col("until")), "left")
     best = F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.length("pattern").alias("n"), "pattern", "verdict"))).alias("best")
     decided = joined.groupBy("page_id", "url", "fetched", "host", "times").agg(best)
     return decided.select("page_id", "url", "fetched", "host", F.coalesce("best.verdict", F.lit("none")).alias("verdict"), "best.pattern", F.explode(F.sequence(F.lit(1), "times")).alias("nth")).drop("nth")
