@@ -69,6 +69,10 @@ add("a05_mann_kendall", lambda t: st.mann_kendall(days(t).where("i <= 200"), "i"
   with s as (select a.series, cast(sum(sign(b.rate - a.rate)) as double) as s from {SHORT} a join {SHORT} b on a.series = b.series and a.i < b.i group by 1), n as (select series, count(*) as n from {SHORT} c group by 1),
   x as (select n.series, n, s, round(if(s > 0, s - 1, if(s < 0, s + 1, 0)) / sqrt(n * (n - 1) * (2 * n + 5) / 18), 4) as z from n join s on s.series = n.series)
   select series, n, s, z, if(abs(z) < 1.96, 'no trend', if(z > 0, 'increasing', 'decreasing')) as trend from x""")
+add("a05_mann_kendall_all", lambda t: st.mann_kendall(days(t), "i", "rate"), f"""
+  with d as materialized (select * from {DAYS} x), s as (select a.series, cast(sum(sign(b.rate - a.rate)) as double) as s from d a join d b on a.series = b.series and a.i < b.i group by 1), n as (select series, count(*) as n from d group by 1),
+  x as (select n.series, n, s, round(if(s > 0, s - 1, if(s < 0, s + 1, 0)) / sqrt(n * (n - 1) * (2 * n + 5) / 18), 4) as z from n join s on s.series = n.series)
+  select series, n, s, z, if(abs(z) < 1.96, 'no trend', if(z > 0, 'increasing', 'decreasing')) as trend from x""")
 add("a06_control_chart", lambda t: st.control_chart(days(t), "rate"), f"""
   with l as (select series, avg(rate) as m, stddev_samp(rate) as s from {DAYS} d group by 1)
   select d.series, round(any_value(m), 6) as mean, round(any_value(greatest(m - 3 * s, 0)), 6) as lcl, round(any_value(m + 3 * s), 6) as ucl, count(*) filter (rate < greatest(m - 3 * s, 0) or rate > m + 3 * s) as out_of_control,

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from millrace.operators import statistics
 from millrace.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -54,3 +55,26 @@ def test_components_of_the_smallest_tables(spark):
     rows = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_partkey").collect()
     found = [tuple(r) for r in catalog.QUERIES["n05_connected_components_all"](spark, SMALL).select("id", "component").collect()]
     assert sorted(found) == sorted(components(links(rows)).items())
+
+
+def test_trend_over_all_days(spark, lines):
+    folder, rows = lines
+    series = {}
+    for r in rows:
+        day = series.setdefault(r[6], {}).setdefault(r[4], [0, 0])
+        day[0] += r[5] == "R"
+        day[1] += 1
+    expected = {}
+    for name, days in series.items():
+        rates = [days[d][0] / days[d][1] for d in sorted(days)]
+        expected[name] = (len(rates), sum((v > u) - (v < u) for k, u in enumerate(rates) for v in rates[k + 1 :]))
+    late = spark.createDataFrame([("x", i, 0.0 if i <= 210 else float(i)) for i in range(1, 261)], "series string, i int, rate double")
+    found = {r["series"]: (r["n"], r["s"]) for r in catalog.QUERIES["a05_mann_kendall_all"](spark, folder).collect()}
+    assert found == expected
+    assert {(r["n"], r["trend"]) for r in statistics.mann_kendall(late, "i", "rate").collect()} == {(260, "increasing")}
+
+
+def test_trend_days_are_not_cut(spark):
+    days = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_linestatus", "l_shipdate").distinct().groupBy("l_linestatus").count().collect()
+    found = {r["series"]: r["n"] for r in catalog.QUERIES["a05_mann_kendall_all"](spark, SMALL).collect()}
+    assert found == {r["l_linestatus"]: r["count"] for r in days} and max(found.values()) > 200
