@@ -89,20 +89,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = after.select("id", "component")
 
 
-def page_rank(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """A page's rank goes in equal parts to the pages it links to; rank of pages without links is spread over all."""
+def page_rank(edges: DataFrame, rounds: int = 10, change: bool = False) -> DataFrame:
+    """A page's rank goes in equal parts to the pages it links to; rank of pages without links is spread over all.
+    change: adds avg_change, by how much the last round moved a rank on average. Ranks of a graph in two halves swap
+    between them and don't settle."""
     links = cut(edges.select("src", "dst").distinct())
     degree = links.groupBy("src").agg(F.count("*").alias("out"))
     nodes = cut(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct())
     n = nodes.count()
-    ranks = nodes.select("id", F.lit(1.0).alias("rank"))
+    ranks = before = nodes.select("id", F.lit(1.0).alias("rank"))
     out = cut(links.join(degree, "src"))
     for _ in range(rounds):
         given = out.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         after = cut(nodes.join(given, "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias("got")))
         lost = (n - after.agg(F.sum("got")).first()[0]) / n
-        ranks = after.select("id", (F.col("got") + F.lit(lost)).alias("rank"))
-    return ranks
+        before, ranks = ranks, after.select("id", (F.col("got") + F.lit(lost)).alias("rank"))
+    if not change:
+        return ranks
+    moved = ranks.join(before.withColumnRenamed("rank", "was"), "id").agg(F.avg(F.abs(F.col("rank") - F.col("was"))).alias("avg_change"))
+    return ranks.crossJoin(F.broadcast(moved))
 
 
 def join_cardinality(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -78,3 +78,33 @@ def test_trend_days_are_not_cut(spark):
     days = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_linestatus", "l_shipdate").distinct().groupBy("l_linestatus").count().collect()
     found = {r["series"]: r["n"] for r in catalog.QUERIES["a05_mann_kendall_all"](spark, SMALL).collect()}
     assert found == {r["l_linestatus"]: r["count"] for r in days} and max(found.values()) > 200
+
+
+def test_degrees_and_density_of_all_pairs(spark, lines):
+    folder, rows = lines
+    degree = {}
+    for edge in links(rows):
+        for x in edge:
+            degree[x] = degree.get(x, 0) + 1
+    found = {r["id"]: r["degree"] for r in catalog.QUERIES["n04_degree_centrality_all"](spark, folder).collect()}
+    assert found == degree
+    whole = catalog.QUERIES["n04_density_all"](spark, folder).first()
+    assert (whole["nodes"], whole["edges"]) == (len(degree), len(links(rows)))
+
+
+def test_ranks_of_all_pairs_after_ten_rounds(spark, lines):
+    folder, rows = lines
+    near = {}
+    for a, b in links(rows):
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    rank = dict.fromkeys(near, 1.0)
+    for _ in range(10):
+        before, rank = rank, dict.fromkeys(near, 0.0)
+        for x, others in near.items():
+            for y in others:
+                rank[y] += before[x] / len(others)
+    change = sum(abs(rank[x] - before[x]) for x in near) / len(near)
+    found = catalog.QUERIES["n06_page_rank_all"](spark, folder).collect()
+    assert {r["id"]: r["rank"] for r in found} == pytest.approx(rank, abs=2e-6)
+    assert [r["avg_change"] for r in found] == pytest.approx([change] * len(near), abs=2e-6) and change > 0
