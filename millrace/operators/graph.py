@@ -1,8 +1,10 @@
-"""Graph, hierarchy and similarity operators over edge DataFrames (src, dst). Iterations cut their lineage, stop on an
-empty frontier and are bounded; a cycle in a hierarchy raises."""
+"""Graph, hierarchy and similarity operators over edge DataFrames (src, dst). Iterations cut their lineage and stop on an
+empty frontier; one that meets a bound before raises, as does a cycle in a hierarchy."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,32 +35,37 @@ def where_used(edges: DataFrame, node, max_depth: int = 50) -> DataFrame:
     return explode_hierarchy(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), node, max_depth).groupBy("node").agg(F.min("level").alias("distance"))
 
 
-def reference_levels(edges: DataFrame, nodes: DataFrame, max_depth: int = 50) -> DataFrame:
+def reference_levels(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Levels of tables by foreign keys (src references dst): roots are referenced and reference nothing; what no root
-    reaches is at level -1; of several parents the least counts."""
+    reaches is at level -1; of several parents the least counts. Nodes below max_depth, if there is one, raise."""
     roots = edges.select(F.col("dst").alias("id")).distinct().join(edges.select(F.col("src").alias("id")), "id", "left_anti")
     if roots.isEmpty():
         roots = edges.groupBy(F.col("dst").alias("id")).count().orderBy(F.desc("count"), "id").limit(3).select("id")
     seen = cut(roots.select("id", F.lit(0).alias("level"), F.lit(None).cast(edges.schema["dst"].dataType).alias("parent")))
     frontier = seen
-    for level in range(1, max_depth + 1):
+    for level in count(1):
         reached = edges.join(frontier.select(F.col("id").alias("dst")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("parent"))
         frontier = cut(reached.join(seen, "id", "left_anti").select("id", F.lit(level).alias("level"), "parent"))
         if frontier.isEmpty():
             break
+        if max_depth is not None and level > max_depth:
+            raise ValueError(f"references are deeper than {max_depth} levels")
         seen = cut(seen.union(frontier))
     return nodes.select("id").distinct().join(seen, "id", "left").withColumn("level", F.coalesce("level", F.lit(-1)))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 20) -> DataFrame:
-    """source, node, distance and the least predecessor, for many sources at once by breadth-first frontiers."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """source, node, distance and the least predecessor, for many sources at once by breadth-first frontiers. Nodes
+    beyond max_depth, if there is one, raise."""
     seen = cut(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(None).cast(edges.schema["src"].dataType).alias("via")))
     frontier = seen
-    for distance in range(1, max_depth + 1):
+    for distance in count(1):
         step = edges.join(frontier.select("source", F.col("node").alias("src")), "src").groupBy("source", F.col("dst").alias("node")).agg(F.min("src").alias("via"))
         frontier = cut(step.join(seen, ["source", "node"], "left_anti").select("source", "node", F.lit(distance).alias("distance"), "via"))
         if frontier.isEmpty():
             break
+        if max_depth is not None and distance > max_depth:
+            raise ValueError(f"paths are longer than {max_depth} edges")
         seen = cut(seen.union(frontier))
     return seen
 

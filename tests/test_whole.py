@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from millrace.operators import statistics
+from millrace.operators import graph, statistics
 from millrace.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -108,3 +108,22 @@ def test_ranks_of_all_pairs_after_ten_rounds(spark, lines):
     found = catalog.QUERIES["n06_page_rank_all"](spark, folder).collect()
     assert {r["id"]: r["rank"] for r in found} == pytest.approx(rank, abs=2e-6)
     assert [r["avg_change"] for r in found] == pytest.approx([change] * len(near), abs=2e-6) and change > 0
+
+
+def test_paths_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(24)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "id long")
+    found = {r["node"]: r["distance"] for r in graph.shortest_paths(edges, start).collect()}
+    assert found == {k: k for k in range(25)}
+    with pytest.raises(ValueError):
+        graph.shortest_paths(edges.where("dst <= 5"), start, max_depth=4)
+    assert graph.shortest_paths(edges.where("dst <= 5"), start, max_depth=5).count() == 6
+
+
+def test_levels_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(53)], "src long, dst long")
+    nodes = spark.range(54)
+    found = {r["id"]: r["level"] for r in graph.reference_levels(edges, nodes).collect()}
+    assert found == {k: k for k in range(54)}
+    with pytest.raises(ValueError):
+        graph.reference_levels(edges.where("src <= 5"), nodes, max_depth=4)
