@@ -129,9 +129,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k most similar other vectors of each query (id, v), for a stated query set that is broadcast: the caller
-    passes queries in blocks whose size it knows."""
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2000) -> DataFrame:
+    """The k most similar other vectors of each query (id, v). Queries are broadcast in blocks of about `block` rows, dealt
+    by a hash of the id; each task keeps the k best of a query before they meet."""
+    blocks = max(1, -(-queries.count() // block))
+    if blocks == 1:
+        return top_k_of_block(vectors, queries, k)
+    found = None
+    for n in range(blocks):
+        best = cut(top_k_of_block(vectors, queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n), k))
+        found = best if found is None else found.union(best)
+    return found
+
+
+def top_k_of_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     rows = vectors.select("id", "v").join(F.broadcast(q), F.col("id") != F.col("query_id"))
     norm = F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("q"), F.col("q")))

@@ -127,3 +127,22 @@ def test_levels_of_a_long_chain(spark):
     assert found == {k: k for k in range(54)}
     with pytest.raises(ValueError):
         graph.reference_levels(edges.where("src <= 5"), nodes, max_depth=4)
+
+
+def test_top_k_by_blocks_of_queries(spark):
+    rng = random.Random(12)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(40)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = vectors.where("id % 4 = 0")
+
+    def cosine(a, b):
+        norm = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / norm, 6)
+
+    expected = set()
+    for q, v in rows[::4]:
+        best = sorted((-cosine(v, w), x) for x, w in rows if x != q)[:3]
+        expected |= {(q, x, rank + 1) for rank, (_, x) in enumerate(best)}
+    found = graph.cosine_top_k(vectors, queries, 3, block=3)
+    assert {(r["query_id"], r["id"], r["rank"]) for r in found.collect()} == expected
+    assert found.count() == len(expected) == 30
