@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,18 @@ def release(*frames: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def chunks(texts: list[bytes | None], size: int = 4_000_000) -> Iterator[list[bytes | None]]:
+    """Runs of texts of about `size` bytes; the text that reaches it ends the run."""
+    begin = total = 0
+    for k, x in enumerate(texts):
+        total += len(x or b"")
+        if total >= size:
+            yield texts[begin : k + 1]
+            begin, total = k + 1, 0
+    if begin < len(texts):
+        yield texts[begin:]
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-cases A-Z and splits at ASCII white space, as the contracts for words ask; other letters stay as they are."""
     return text.lower().split() if text else []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, chunks
 
 MIN_SEEDS = 8
 SHARE = 0.75
@@ -208,17 +208,6 @@ def rare_seeds(docs: DataFrame, block: Block) -> np.ndarray:
     return out
 
 
-def chunks(texts: list[bytes | None], size: int = 4_000_000) -> Iterator[list[bytes | None]]:
-    begin = total = 0
-    for k, x in enumerate(texts):
-        total += len(x or b"")
-        if total >= size:
-            yield texts[begin : k + 1]
-            begin, total = k + 1, 0
-    if begin < len(texts):
-        yield texts[begin:]
-
-
 PAIRS = "doc_id long, item_id long, score double, first_word long, end_word long"
 _pairs = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 

@@ -1,19 +1,25 @@
 """N-gram Jaccard join by vertical partitioning, and the groups that its links form.
 
-Every text is the set of its distinct word n-grams, as 64-bit hashes. All sets are put in one global n-gram order
-(n-grams that few texts have first), the order is cut into fragments, each fragment of two sets is intersected on its
-own, and the partial overlaps are summed per pair. Pairs whose overlap can reach the threshold must share an n-gram in
-the front of their sets; the front is the first fragment, and pairs that share too little of it are not counted further.
+Every text is the set of its distinct word n-grams, as 64-bit hashes. The global n-gram order is cut into fragments at
+fixed hash values; of two sets, each fragment is intersected on its own, and the partial overlaps are summed per pair.
+
+1. *First fragment, all sets.* A set can lack at most a fixed share of its n-grams in any partner, so of its n-grams in
+   the first fragment nearly all must be in some other set as well. Sets that fail this are done: they have no link.
+2. *Fronts.* The first fragment of the sets that are left is put in order of frequency, rarest first. Partners share an
+   n-gram in the front of their sets, and for most sizes many; pairs that share too few there are not counted further.
+3. *All fragments.* What is left is intersected fragment by fragment and summed.
 
 Big groups: equal sets are one class from the start, so copies never pair up. Inside a bucket (sets with the same front
 n-gram), pairs are first counted against one hub only; what those links already connect is not compared again, and only
 pairs of sets from different components of one bucket follow, as far as their sizes and places allow a link. A group of
 k near copies thus costs about k pairs, not k * k, and every link between components is found: the result is exact but
-for collisions of 64-bit n-gram hashes (below 1e-9 for a pair) and 128-bit set digests.
+for collisions of 64-bit n-gram hashes (below 1e-9 for a pair) and 128-bit set digests. The operator gives the classes
+that the links form, not the list of links: pairs inside of a class that is connected already are never counted.
 
-Scale: texts are reread instead of shuffled (two narrow passes, and one over candidates). Shuffled are the fronts of
-the sets (16 % of the n-grams at 0.85), rows of shared fronts, and the fragments of candidate sets. Broadcast are the
-HEAVY most frequent n-grams, which only shape the order, and a bitmap of BITMAP bits: both of fixed size.
+Scale: texts are reread instead of shuffled (two narrow passes, and one over the sets that step 1 leaves). Shuffled are
+the first fragment of all sets (27 % of the n-grams at 0.85), combined per slice of texts before, so that a frequent
+n-gram sends one row a slice; then the sets of step 2. Nothing is windowed by an n-gram: hubs and counts are aggregates
+joined back, which adaptive execution splits where one n-gram is hot. Broadcast is a bitmap of BITMAP bits (8 MB).
 
 Defined cases: null or empty text, or text without words: no n-grams, linked with nothing, its own group; fewer than n
 words: the whole sequence is the one n-gram. Rows that share a doc_id count as one document with one group; a null
@@ -31,11 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, materialize, release, words_of
+from .common import as_bytes, chunks, materialize, release, words_of
 
-HEAVY = 1 << 18
 BITMAP = 1 << 26
-FRAGMENTS = 5
+FRAGMENTS = 4
+#: The first fragment's share of the n-grams beyond the share that a partner can lack.
+MARGIN = 0.12
+SLICE_BYTES = 16_000_000
 #: Multipliers of a public 64-bit mixer (fixed values).
 _mix = np.uint64(0xBF58476D1CE4E5B9)
 _mix2 = np.uint64(0x94D049BB133111EB)
@@ -74,142 +82,121 @@ def node_of(found: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
 
 
-def _survey(n: int):
-    """Each text's size and digest, and the n-grams that two or more texts of a batch have, with how many have them."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("gram", pa.int64()), ("texts", pa.int64())])
+def tag_of(node: bytes) -> int:
+    """Half of a set's digest, as a long."""
+    return int.from_bytes(node[:8], "little", signed=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = WordHashes()
-            sets = [shingles(x.as_py(), n, hashes) for x in batch["text"]]
-            m = len(sets)
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.binary()), none, none], schema=schema)
-            del hashes
-            grams, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            often = counts > 1
-            k = int(often.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(grams[often].view(np.int64)), pa.array(counts[often])], schema=schema)
-
-    return run, "doc_id long, n_shingles long, node binary, gram long, texts long"
-
-
-def heavy_grams(seen: DataFrame, most: int = HEAVY) -> np.ndarray:
-    """At most `most` of the most frequent n-grams, rarest first (uint64). They only decide the order of n-grams."""
-    counts = materialize(seen.groupBy("gram").agg(F.sum("texts").alias("texts")), "heavy")
-    width = F.floor(F.log2("texts") * 8).cast("int")
-    found, least = 0, None
-    for r in sorted(counts.groupBy(width.alias("w")).count().collect(), key=lambda r: -r.w):
-        if found + r["count"] > most:
-            break
-        found, least = found + r["count"], r.w
-    if least is None:
-        release(counts)
-        return np.empty(0, np.uint64)
-    got = counts.where(width >= least).toArrow()
-    release(counts)
-    grams, texts = got["gram"].to_numpy().astype(np.int64).view(np.uint64), got["texts"].to_numpy()
-    return grams[np.lexsort((grams, texts))]
 
+class Cuts:
+    """Where the hash order is cut: the first fragment, and the rest in equal parts."""
+
+    def __init__(self, num: int, den: int):
+        first = int(min(0.95, (den - num) / den + MARGIN) * 2**64)
+        rest = (2**64 - first) // (FRAGMENTS - 1)
+        self.at = np.array([first + k * rest for k in range(FRAGMENTS - 1)], np.uint64)
 
-class Order:
-    """The global n-gram order: light n-grams by hash, then the heavy ones by frequency."""
+    def first(self, found: np.ndarray) -> np.ndarray:
+        return found[: np.searchsorted(found, self.at[0])]
 
-    def __init__(self, heavy: np.ndarray):
-        self.at = np.argsort(heavy, kind="stable")
-        self.sorted = heavy[self.at]
+    def split(self, found: np.ndarray) -> list[np.ndarray]:
+        return np.split(found, np.searchsorted(found, self.at))
 
-    def split(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Light n-grams in order, heavy n-grams in order."""
-        if not len(self.sorted) or not len(found):
-            return found, found[:0]
-        place = np.minimum(np.searchsorted(self.sorted, found), len(self.sorted) - 1)
-        is_heavy = self.sorted[place] == found
-        heavy = found[is_heavy]
-        return found[~is_heavy], heavy[np.argsort(self.at[place[is_heavy]], kind="stable")]
 
+def may_lack(size, num: int, den: int):
+    """How many n-grams of a set of this size a partner can lack."""
+    return (den - num) * size // den
 
-def _fronts(n: int, num: int, den: int, order):
-    """(gram, node, size, place) for the n-grams in front, of which a partner must share some."""
-    schema = pa.schema([("gram", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("place", pa.int32())])
+
+def _survey(n: int):
+    """Each text's size and digest."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("tag", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = order.value
         for batch in batches:
-            hashes, seen = WordHashes(), set()
-            grams, nodes, lengths, sizes = [], [], [], []
+            hashes, sizes, nodes = WordHashes(), [], []
             for x in batch["text"]:
                 found = shingles(x.as_py(), n, hashes)
-                node = node_of(found)
-                if node is None or node in seen:
-                    continue
-                seen.add(node)
-                front = len(found) - -(-num * len(found) // den) + 1
-                light, heavy = ranks.split(found)
-                grams.append(np.concatenate([light[:front], heavy[: max(0, front - len(light))]]))
-                nodes.append(node)
-                lengths.append(front)
                 sizes.append(len(found))
-            if not nodes:
-                continue
-            each = np.repeat(np.arange(len(nodes)), lengths)
-            places = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
-            out = pa.array(nodes, pa.binary()).take(pa.array(each))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), out, pa.array(np.array(sizes, np.int32)[each]), pa.array(places)], schema=schema)
+                nodes.append(node_of(found))
+            tags = [None if node is None else tag_of(node) for node in nodes]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(tags, pa.int64())], schema=schema)
+
+    return run, "doc_id long, n_shingles long, node binary, tag long"
 
-    return run, "gram long, node binary, size int, place int"
 
+def _first_fragment(n: int, cuts: Cuts):
+    """Of every slice of texts: (gram, tag) for the n-grams of the first fragment that one set of the slice has, (gram,
+    null) for those that more of them have, and (null, tag, held, local) for each set: its n-grams in the fragment, and
+    how many of them another set of the slice has."""
+    schema = pa.schema([("gram", pa.int64()), ("tag", pa.int64()), ("held", pa.int32()), ("local", pa.int32())])
+
+    def rows(gram, tag, held, local) -> pa.RecordBatch:
+        size = len(next(x for x in (gram, tag) if x is not None))
+        return pa.RecordBatch.from_arrays([pa.nulls(size, f.type) if x is None else pa.array(x, f.type) for x, f in zip((gram, tag, held, local), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = WordHashes()
+            for texts in chunks(batch["text"].to_pylist(), SLICE_BYTES):
+                parts: dict[int, np.ndarray] = {}
+                for x in texts:
+                    found = shingles(x, n, hashes)
+                    if len(found):
+                        parts.setdefault(tag_of(node_of(found)), cuts.first(found))
+                if not parts:
+                    continue
+                tags, held = np.fromiter(parts, np.int64, len(parts)), np.array([len(x) for x in parts.values()])
+                grams, own = np.concatenate(list(parts.values())), np.repeat(np.arange(len(parts)), held)
+                distinct, at, count = np.unique(grams, return_inverse=True, return_counts=True)
+                often = count[at] > 1
+                yield rows(grams[~often].view(np.int64), tags[own[~often]], None, None)
+                yield rows(distinct[count > 1].view(np.int64), None, None, None)
+                yield rows(None, tags, held, np.bincount(own[often], minlength=len(parts)))
 
-def _bit(doc_ids: np.ndarray) -> np.ndarray:
-    mixed = doc_ids.view(np.uint64) * _mix
-    return (mixed ^ (mixed >> np.uint64(29))) % np.uint64(BITMAP)
+    return run, "gram long, tag long, held int, local int"
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A fixed-size filter of ids, made per task and joined by bit-or in a tree, so no id list reaches the driver."""
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A fixed-size filter of doc_ids: at most BITMAP / 64 words reach the driver, whatever the number of ids."""
+    bit = F.col("bit")
+    words = ids.select(bit_of("doc_id").alias("bit")).groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(BITMAP >> 6, np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unique(np.concatenate([np.empty(0, np.uint64), *[_bit(np.ascontiguousarray(b["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64))) for b in batches]]))
-        words = bits >> np.uint64(5)
-        value = np.zeros(BITMAP >> 5, np.uint32)
-        np.bitwise_or.at(value, words.astype(np.int64), np.left_shift(np.uint32(1), (bits & np.uint64(31)).astype(np.uint32)))
-        at = np.flatnonzero(value)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(value[at].astype(np.int64))], names=["at", "bits"])
 
-    merged = ids.mapInArrow(local, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BITMAP >> 5, np.uint32)
-    out[merged["at"].to_numpy()] = merged["bits"].to_numpy().astype(np.uint32)
-    return out
+def bit_of(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(BITMAP))
 
 
-def _segments(n: int, order, wanted):
-    """(doc_id, node, fragment, grams) of the texts that the bitmap lets through."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
+def _segments(n: int, num: int, den: int, cuts: Cuts, wanted):
+    """(doc_id, node, fragment, grams) of the texts that the bitmap lets through. For the first fragment also extra: what
+    a front that is longer than the fragment takes of the rest."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64())), ("extra", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, bits = order.value, wanted.value
+        bits = wanted.value
         for batch in batches:
-            batch = batch.filter(batch["doc_id"].is_valid())
-            b = _bit(np.ascontiguousarray(batch["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)))
-            batch = batch.filter(pa.array((bits[(b >> np.uint64(5)).astype(np.int64)] >> (b & np.uint64(31)).astype(np.uint32)) & 1 == 1))
+            at = batch["bit"].to_numpy(zero_copy_only=False).astype(np.uint64)
+            batch = batch.filter(pa.array((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1))
             hashes = WordHashes()
-            ids, nodes, fragments, grams = [], [], [], []
-            for doc_id, x in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                found = shingles(x.as_py(), n, hashes)
-                node = node_of(found)
-                if node is None:
-                    continue
-                light, heavy = ranks.split(found)
-                cuts = np.searchsorted(light, np.arange(1, FRAGMENTS - 1, dtype=np.uint64) << np.uint64(62))
-                for k, part in enumerate([*np.split(light, cuts), heavy]):
-                    if len(part):
-                        ids.append(doc_id)
-                        nodes.append(node)
-                        fragments.append(k)
-                        grams.append(part.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.binary()), pa.array(fragments, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], schema=schema)
-
-    return run, "doc_id long, node binary, fragment int, grams array<long>"
+            begin = 0
+            for texts in chunks(batch["text"].to_pylist(), SLICE_BYTES):
+                out: list[tuple] = []
+                for doc_id, x in zip(batch["doc_id"][begin : begin + len(texts)].to_pylist(), texts):
+                    found = shingles(x, n, hashes)
+                    node = node_of(found)
+                    if node is None:
+                        continue
+                    parts = cuts.split(found)
+                    more = max(0, may_lack(len(found), num, den) + 1 - len(parts[0]))
+                    for k, part in enumerate(parts):
+                        if k == 0 or len(part):
+                            out.append((doc_id, node, k, part.view(np.int64), found[len(parts[0]) : len(parts[0]) + more].view(np.int64) if k == 0 else None))
+                begin += len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
+
+    return run, "doc_id long, node binary, fragment int, grams array<long>, extra array<long>"
 
 
 def least_overlap(a: Column, b: Column, num: int, den: int) -> Column:
@@ -218,24 +205,24 @@ def least_overlap(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for the nodes of edges (a, b), comp being the least node of the component: rounds of large and small
-    stars, each one window over a node's neighbours, until the edges stay the same."""
-    near = Window.partitionBy("a")
-    now = materialize(edges.select("a", "b"), "stars")
+    """(id, comp) for the nodes of edges (a, b), comp being the least node of the component: rounds of large and small
+    stars, each an aggregate over a node's neighbours joined back, until the edges stay the same."""
+    now = materialize(edges.select("a", "b").where("a <> b"), "stars")
     before = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: neighbours above a node move to the least of its neighbourhood
-        large = both.withColumn("m", F.least("a", F.min("b").over(near))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "stars")
         # small star: a node and its neighbours below it move to the least of them
-        least = large.withColumn("m", F.min("b").over(near))
-        after = materialize(least.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct(), "stars")
-        release(now)
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        after = materialize(large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct(), "stars")
+        release(now, large)
         now = after
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (state.n, state.h) == before:
-            out = now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
-            out._written_at = now._written_at
+            out = materialize(now.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct()), "labels")
+            release(now)
             return out
         before = (state.n, state.h)
 
@@ -244,116 +231,134 @@ class Join:
     """One run of the join over documents; the intermediate tables are in the shared folder."""
 
     def __init__(self, docs: DataFrame, n: int, num: int, den: int):
-        self.n, self.num, self.den = n, num, den
+        self.n, self.num, self.den, self.cuts = n, num, den, Cuts(num, den)
         self.spark = docs.sparkSession
         self.texts = as_bytes(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
         run, schema = _survey(n)
-        self.survey = materialize(self.texts.mapInArrow(run, schema), "survey")
-        self.docs = self.survey.where("n_shingles is not null").select("doc_id", "n_shingles", "node")
-        self.order = self.spark.sparkContext.broadcast(Order(heavy_grams(self.survey.where("gram is not null").select("gram", "texts"))))
-        self.first = materialize(self.docs.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "first")
-        self.links: DataFrame | None = None
-
-    def shared_fronts(self) -> DataFrame:
-        """(gram, node, size, place, all_rows) where two or more sets have the n-gram in front."""
-        run, schema = _fronts(self.n, self.num, self.den, self.order)
-        rows = self.texts.mapInArrow(run, schema)
-        several = Window.partitionBy("gram")
-        rows = rows.withColumns({"least": F.min("node").over(several), "most": F.max("node").over(several), "all_rows": F.count("*").over(several)}).where("least <> most")
-        return materialize(rows.select("gram", "node", "size", "place", "all_rows").distinct(), "fronts")
+        self.docs = materialize(self.texts.mapInArrow(run, schema), "survey")
+        sets = self.docs.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("tag").alias("tag"), F.first("n_shingles").cast("int").alias("size"))
+        self.sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+        self.links: list[DataFrame] = []
+
+    def lack(self, size) -> Column:
+        return F.floor((self.den - self.num) * F.col(size) / F.lit(self.den)).cast("int")
+
+    def suspects(self) -> DataFrame:
+        """The sets of which another set, or others together, have enough of the first fragment."""
+        run, schema = _first_fragment(self.n, self.cuts)
+        rows = self.texts.where("doc_id is not null").select("text").mapInArrow(run, schema).withColumn("k", F.coalesce("gram", "tag"))
+        same = Window.partitionBy("k")
+        shared = (F.min("tag").over(same) != F.max("tag").over(same)) | (F.max(F.col("tag").isNull()).over(same))
+        flagged = rows.withColumn("shared", shared).where("tag is not null and (held is not null or shared)")
+        # copies in several slices count more than once, which only keeps more sets
+        counts = flagged.groupBy("tag").agg(F.max("held").alias("held"), F.max("local").alias("local"), F.count_if(F.col("held").isNull()).alias("others"))
+        rest = self.sets.join(counts, "tag").where(F.col("local") + F.col("others") >= F.col("held") - self.lack("size"))
+        return materialize(rest.select("id", "doc_id", "node", "size"), "suspects")
+
+    def segments(self, suspects: DataFrame) -> DataFrame:
+        """(id, size, fragment, grams, extra) of the suspects, each fragment once."""
+        wanted = self.spark.sparkContext.broadcast(bitmap(suspects))
+        run, schema = _segments(self.n, self.num, self.den, self.cuts, wanted)
+        found = self.texts.where("doc_id is not null").withColumn("bit", bit_of("doc_id")).mapInArrow(run, schema)
+        out = found.join(suspects, ["doc_id", "node"]).dropDuplicates(["doc_id", "node", "fragment"])
+        out = materialize(out.select("id", "size", "fragment", "grams", "extra"), "segments")
+        wanted.destroy()
+        return out
+
+    def fronts(self) -> DataFrame:
+        """(gram, id, size, place, weight): the front of each set in the global order, which is the first fragment by
+        frequency and then the rest by hash. N-grams that no other suspect has come first, and are left out."""
+        zero = self.all_segments.where("fragment = 0")
+        each = zero.select("id", F.explode("grams").alias("gram"))
+        often = each.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
+        listed = each.join(often, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("l"))
+        whole = zero.join(listed, "id", "left").select("id", "size", "extra", F.size("grams").alias("held"), F.coalesce("l", F.array().cast("array<struct<sets:bigint,gram:bigint>>")).alias("l"))
+        alone = F.col("held") - F.size("l")
+        front = F.slice("l", F.lit(1), F.greatest(self.lack("size") + 1 - alone, F.lit(0)))
+        places = F.transform(front, lambda x, i: F.struct(x["gram"].alias("gram"), (i + alone).alias("place")))
+        more = F.transform("extra", lambda x, i: F.struct(x.alias("gram"), (i + F.col("held")).alias("place")))
+        weight = F.aggregate(front, F.lit(0).cast("long"), lambda s, x: s + x["sets"])
+        rows = whole.select("id", "size", weight.alias("weight"), F.explode(F.concat(places, more)).alias("x"))
+        return materialize(rows.select("x.gram", "id", "size", "x.place", "weight"), "fronts")
+
+    def buckets(self, at: DataFrame) -> DataFrame:
+        """Of each front n-gram in two or more components: the hub (the set whose buckets are the largest), the
+        component with most rows, and how many pairs of rows from different components there are."""
+        of_comp = at.groupBy("gram", "comp").agg(F.count("*").alias("n"), F.max(F.struct("weight", "id", "size")).alias("hub"))
+        of_gram = of_comp.groupBy("gram").agg(
+            F.count("*").alias("comps"), F.max(F.struct("hub.weight", "hub.id", "hub.size", "comp")).alias("hub"), F.max(F.struct("n", "comp")).alias("most"),
+            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("n_rows"),
+        )
+        return of_gram.where("comps > 1").select("gram", "hub", F.col("most.comp").alias("most"), "pairs", "n_rows")
 
     def counted(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b, a_size, b_size) the links (a, b): fragments are intersected, then summed per pair."""
         pairs = materialize(pairs, "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-        wanted = self.spark.sparkContext.broadcast(_bitmap(self.first.join(nodes, "node", "left_semi").select("doc_id")))
-        run, schema = _segments(self.n, self.order, wanted)
-        segments = materialize(self.texts.mapInArrow(run, schema), "segments")
-        left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("a_grams"))
-        right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("b_grams"))
-        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "a_size", "b_size", "fragment", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
-        # the bitmap can let a second text of one set through: then the same overlap is there twice
-        once = partial.groupBy("a", "b", "a_size", "b_size", "fragment").agg(F.max("overlap").alias("overlap"))
-        summed = once.groupBy("a", "b", "a_size", "b_size").agg(F.sum("overlap").alias("overlap"))
+        left = self.all_segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("a_grams"))
+        right = self.all_segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("b_grams"))
+        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "a_size", "b_size", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
+        summed = partial.groupBy("a", "b", "a_size", "b_size").agg(F.sum("overlap").alias("overlap"))
         out = materialize(summed.where(F.col("overlap") >= least_overlap(F.col("a_size"), F.col("b_size"), self.num, self.den)).select("a", "b"), "links")
-        wanted.destroy()
-        release(pairs, segments)
+        release(pairs)
         return out
 
     def hopeful(self, rows: DataFrame) -> DataFrame:
         """Pairs (a, b) of bucket rows x_, y_ that share enough of their fronts. Of two sets, the one whose front ends
         first has all its front matches in the other's front, so the overlap is at most the shared front n-grams plus
-        what that set has behind its front. This is the partial count of the first fragment of the order."""
-        pick = lambda a, b: F.when(F.col("x_node") < F.col("y_node"), F.col(a)).otherwise(F.col(b))
-        pairs = rows.where("x_node <> y_node").select(pick("x_node", "y_node").alias("a"), pick("y_node", "x_node").alias("b"), pick("x_size", "y_size").alias("a_size"), pick("y_size", "x_size").alias("b_size"))
-        return self.sharing(pairs.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("shared")))
-
-    def sharing(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs with the count of shared front n-grams, those that can still be links."""
-        behind = F.ceil(self.num * F.greatest("a_size", "b_size").cast("long") / F.lit(self.den)) - 1
-        need = least_overlap(F.col("a_size"), F.col("b_size"), self.num, self.den)
+        what that set has behind its front."""
+        pick = lambda a, b: F.when(F.col("x_id") < F.col("y_id"), F.col(a)).otherwise(F.col(b))
+        pairs = rows.select(pick("x_id", "y_id").alias("a"), pick("y_id", "x_id").alias("b"), pick("x_size", "y_size").alias("a_size"), pick("y_size", "x_size").alias("b_size"))
         near = self.num * F.greatest("a_size", "b_size").cast("long") <= self.den * F.least("a_size", "b_size").cast("long")
-        return pairs.where(near & (F.col("shared") + behind >= need)).drop("shared")
-
-    def against_hubs(self, rows: DataFrame, seed: int) -> DataFrame:
-        """Pairs of each bucket's hub with its rows of other components. The first hub is the set whose buckets are the
-        largest, later ones are drawn by a hash. Buckets of a pair with other hubs don't count here; a pair missed for
-        that reason is left to the last round."""
-        if seed:
-            rows = rows.withColumn("weight", F.xxhash64("node", F.lit(seed)))
-        else:
-            rows = rows.join(rows.groupBy("node").agg(F.sum("all_rows").alias("weight")), "node")
-        hub = F.max(F.struct("weight", "node", "size", "comp")).over(Window.partitionBy("gram"))
-        paired = rows.withColumn("h", hub).where("h.comp <> comp")
-        return self.hopeful(paired.select(F.col("node").alias("x_node"), F.col("size").alias("x_size"), F.col("h.node").alias("y_node"), F.col("h.size").alias("y_size")))
-
-    def across(self, rows: DataFrame) -> DataFrame:
-        """Candidate pairs of rows of one bucket in different components. The first shared n-gram of a link leaves both
-        sets enough behind it, so sizes and places are part of the join; of two components one isn't the bucket's
-        largest, so the rows of the largest meet only the others."""
-        mine = F.count("*").over(Window.partitionBy("gram", "comp"))
-        ranked = rows.withColumn("mine", mine)
-        largest = F.max(F.struct("mine", "comp")).over(Window.partitionBy("gram"))
-        ranked = ranked.withColumn("other", F.col("comp") != largest["comp"])
-        side = lambda p: [F.col(c).alias(p + c) for c in ("gram", "node", "size", "place", "comp", "other")]
+        pairs = pairs.where(near).groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("shared"))
+        behind = F.ceil(self.num * F.greatest("a_size", "b_size").cast("long") / F.lit(self.den)) - 1
+        return pairs.where(F.col("shared") + behind >= least_overlap(F.col("a_size"), F.col("b_size"), self.num, self.den)).drop("shared")
+
+    def against_hubs(self, rows: DataFrame, buckets: DataFrame) -> DataFrame:
+        """Pairs of each bucket's hub with its rows of other components. Buckets of a pair with other hubs don't count
+        here; a pair missed for that reason is left to the last round."""
+        paired = rows.join(buckets.select("gram", "hub"), "gram").where("hub.comp <> comp")
+        return self.hopeful(paired.select(F.col("id").alias("x_id"), F.col("size").alias("x_size"), F.col("hub.id").alias("y_id"), F.col("hub.size").alias("y_size")))
+
+    def across(self, rows: DataFrame, buckets: DataFrame) -> DataFrame:
+        """Candidate pairs of rows of one bucket in different components. Of two components one isn't the bucket's largest,
+        so the rows of the largest meet only the others; a pair counts once for each bucket that it shares."""
+        ranked = rows.join(buckets.select("gram", "most"), "gram").withColumn("other", F.col("comp") != F.col("most"))
+        side = lambda p: [F.col(c).alias(p + c) for c in ("gram", "id", "size", "comp", "other")]
         x, y = ranked.where("other").select(side("x_")), ranked.select(side("y_"))
-        need = least_overlap(F.col("x_size"), F.col("y_size"), self.num, self.den)
-        enough = (F.col("x_size") - F.col("x_place") >= need) & (F.col("y_size") - F.col("y_place") >= need)
-        once = ~F.col("y_other") | (F.col("x_node") < F.col("y_node"))
-        met = x.join(y, (F.col("x_gram") == F.col("y_gram")) & (F.col("x_comp") != F.col("y_comp")) & once & enough)
-        pick = lambda a, b: F.when(F.col("x_node") < F.col("y_node"), F.col(a)).otherwise(F.col(b))
-        return met.select(pick("x_node", "y_node").alias("a"), pick("y_node", "x_node").alias("b"), pick("x_size", "y_size").alias("a_size"), pick("y_size", "x_size").alias("b_size")).distinct()
-
-    def narrowed(self, pairs: DataFrame, fronts: DataFrame) -> DataFrame:
-        """Candidate pairs whose fronts, intersected whole, share enough: the first fragment's partial overlap."""
-        whole = fronts.groupBy("node").agg(F.collect_list("gram").alias("grams"))
-        a = whole.select(F.col("node").alias("a"), F.col("grams").alias("a_grams"))
-        b = whole.select(F.col("node").alias("b"), F.col("grams").alias("b_grams"))
-        met = pairs.join(a, "a").join(b, "b")
-        return self.sharing(met.select("a", "b", "a_size", "b_size", F.size(F.array_intersect("a_grams", "b_grams")).alias("shared")))
-
-    def run(self, rounds: int = 6, enough: int = 4) -> DataFrame:
-        """(node, comp) of every set that has a link. After a round against hubs, the candidate pairs across components
-        are counted further; while there are more than `enough` for a bucket row, another round against other hubs goes
-        first, up to `rounds`."""
-        fronts = self.shared_fronts()
-        self.links = self.counted(self.against_hubs(fronts.withColumn("comp", F.col("node")), 0))
-        labels = components(self.links)
-        for k in range(1, rounds + 1):
-            at = fronts.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            bucket = Window.partitionBy("gram")
-            open_rows = materialize(at.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low <> high").drop("low", "high"), "open")
-            pairs = materialize(self.across(open_rows), "across")
-            last = k == rounds or pairs.count() <= enough * open_rows.count()
-            found = self.counted(self.narrowed(pairs, fronts) if last else self.against_hubs(open_rows, k))
-            release(open_rows, pairs)
-            self.links = self.links.union(found)
-            if found.limit(1).count():
-                release(labels)
-                labels = components(self.links)
+        once = ~F.col("y_other") | (F.col("x_id") < F.col("y_id"))
+        near = (self.num * F.col("x_size").cast("long") <= self.den * F.col("y_size").cast("long")) & (self.num * F.col("y_size").cast("long") <= self.den * F.col("x_size").cast("long"))
+        return self.hopeful(x.join(y, (F.col("x_gram") == F.col("y_gram")) & (F.col("x_comp") != F.col("y_comp")) & once & near))
+
+    def run(self, rounds: int = 6, enough: int = 8) -> DataFrame | None:
+        """(id, comp) of every set that has a link. Each round counts the buckets' hubs against their rows of other
+        components. The last one, which comes once there are at most `enough` pairs of rows for a row, or a round has
+        found nothing, or after `rounds`, counts all pairs across components."""
+        suspects = self.suspects()
+        self.all_segments = self.segments(suspects)
+        rows, labels = self.fronts(), None
+        release(suspects)
+        for k in range(rounds + 1):
+            at = rows.withColumn("comp", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            buckets = materialize(self.buckets(at), "buckets")
+            still = materialize(at.join(buckets.select("gram"), "gram", "left_semi").drop("comp"), "fronts")
+            release(rows)
+            rows = still
+            at = rows.withColumn("comp", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            total = buckets.agg(F.sum("pairs").alias("pairs"), F.sum("n_rows").alias("n_rows")).first()
+            last = k == rounds or (k > 0 and (not found or (total.pairs or 0) <= enough * (total.n_rows or 0)))
+            links = self.counted(self.across(at, buckets) if last else self.against_hubs(at, buckets))
+            release(buckets)
+            found = links.limit(1).count()
+            self.links.append(links)
+            if found:
+                edges = links if labels is None else links.union(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+                after = components(edges)
+                if labels is not None:
+                    release(labels)
+                labels = after
             if last:
                 break
-        release(fronts)
+        release(rows, self.all_segments)
         return labels
 
 
@@ -361,18 +366,26 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
     """doc_id, n_shingles and component_id (least doc_id that links reach) of every row of docs."""
     join = Join(docs, n, num, den)
     labels = join.run()
+    sets = join.sets.select("node", "id", F.col("doc_id").alias("least"))
     rows = join.docs.where("node is not null and doc_id is not null")
     twice = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    if twice.limit(1).count():  # rows of one doc_id with different texts: that document links them
-        of_id = rows.join(twice.select("doc_id", F.col("a").alias("first")), "doc_id").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        labels = components(of_id.union(join.links))
-    rows = join.docs.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = rows.where("comp is not null and doc_id is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    if not twice.limit(1).count():
-        return out
-    whole = out.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return out.drop("component_id").join(whole, "doc_id", "left")
+    several = twice.limit(1).count() > 0
+    if several:  # rows of one doc_id with different texts: that document links them
+        number = sets.select("node", "id")
+        of_id = rows.join(twice.select("doc_id", F.col("a").alias("first")), "doc_id").where("node <> first").select("first", "node").distinct()
+        edges = of_id.join(number.select(F.col("node").alias("first"), F.col("id").alias("a")), "first").join(number.withColumnRenamed("id", "b"), "node").select("a", "b")
+        labels = components(edges if labels is None else edges.union(labels.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+    if labels is None:
+        known = sets.select("node", F.col("least").alias("component_id"))
+    else:
+        of_comp = sets.join(labels, "id").groupBy("comp").agg(F.min("least").alias("of_comp"))
+        known = sets.join(labels.join(of_comp, "comp"), "id", "left").select("node", F.coalesce("of_comp", "least").alias("component_id"))
+    out = join.docs.join(known, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    if several:
+        out = out.drop("component_id").join(out.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
+    done = materialize(out, "groups")
+    release(join.docs, join.sets, *join.links, *([] if labels is None else [labels]))
+    return done
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
