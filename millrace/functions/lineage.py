@@ -5,20 +5,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset a local session gets a folder of its own;
+    on a cluster that raises, as executors and driver don't see each other's local folders."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return _own[0]
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df to the cluster's shared folder (spark.checkpoint.dir; one of our own only where that is unset) and
-    rereads it."""
+    """Writes df as Parquet to the shared folder and rereads it."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-        folder = _own[0]
-    path, schema = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}", df.schema
+    path, schema = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what cut() wrote, once nothing that is still to run reads it."""
+    for df in frames:
+        if path := getattr(df, "_written_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ledger, planning, purchasing, quality, registers, relations, sales, shopfloor, streams
+from . import ledger, planning, plant, purchasing, quality, registers, relations, sales, shopfloor, streams
 
-MODULES = [planning, purchasing, sales, shopfloor, ledger, quality, relations, registers, streams]
+MODULES = [planning, purchasing, sales, shopfloor, plant, ledger, quality, relations, registers, streams]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
 FLAGSHIP = "p04_time_phased_atp"

@@ -97,6 +97,48 @@ CANONICAL: dict[str, str] = {
         select l.order_id * 10 + l.line_no as transaction_id, l.part_id, l.supplier_id % 3 as site_id, case when l.return_flag = 'N' then 'O' else 'I' end as type,
           case l.return_flag when 'A' then 'R' when 'R' then 'A' else 'I' end as class, l.quantity, l.ship_date as trans_date
         from {order_line} l""",
+    "ncm": """
+        select order_id * 10 + line_no as ncm_id, 'type ' || cast(part_id % 7 as varchar(10)) as material_type, ship_date as detection_date,
+          case order_id % 3 when 0 then 'Scrap' when 1 then 'Rework' else 'Use as is' end as disposition_status, quantity as quantity_affected, supplier_id % 40 as assigned_employee_id
+        from {order_line} where return_flag = 'R'""",
+    "corrective_action": """
+        select ncm_id, 'action ' || cast(ncm_id % 5 as varchar(10)) as action_description, cast(ncm_id % 100 as double) / 100 as effectiveness_score, case when ncm_id % 2 = 0 then 'Closed' else 'Open' end as status
+        from {ncm} where ncm_id % 3 = 0""",
+    "employee": """
+        select s_suppkey as employee_id, 'First' || cast(s_suppkey as varchar(10)) as first_name, 'Last' || cast(s_suppkey % 9 as varchar(10)) as last_name from {supplier} where s_suppkey < 35""",
+    "quality_incident": """
+        select event_id as incident_id, case when value > 80 then 'Critical' when value > 40 then 'Major' else 'Minor' end as severity_level, cast(ts as date) as incident_date, value / 8 as resolution_time_hours,
+          cast(round(cast(value * 12 as decimal(28, 8)), 2) as double) as cost_impact
+        from {events} where event_type = 'error'""",
+    "equipment": """
+        select cast(n_nationkey as bigint) as equipment_id, 'EQ ' || n_name as equipment_name from {nation}""",
+    "equipment_metric": """
+        select e.event_id as metric_id, q.equipment_id, q.equipment_name, cast(e.ts as date) as measurement_date, cast(70 + e.event_id % 30 as double) / 100 as availability_rate, cast(60 + e.user_id % 40 as double) / 100 as performance_rate,
+          cast(90 + e.event_id % 10 as double) / 100 as quality_rate, cast(40 + e.event_id % 50 as double) / 100 as oee_score, cast(e.event_id % 17 as double) / 4 as downtime_hours
+        from {events} e join {equipment} q on q.equipment_id = e.user_id % 25 where e.event_type = 'view'""",
+    "downtime_event": """
+        select event_id, cast(ts as date) as event_date, case user_id % 4 when 0 then 'Mechanical' when 1 then 'Electrical' when 2 then 'Setup' else 'Material' end as downtime_category, event_id % 240 as duration_minutes,
+          event_id % 13 as production_loss_units, cast(round(cast(value * 3 as decimal(28, 8)), 2) as double) as cost_impact
+        from {events} where event_type in ('error', 'signup')""",
+    "failure_event": """
+        select event_id as failure_id, user_id % 29 as equipment_id, cast(ts as date) as failure_date, cast(event_id % 31 as double) / 2 as downtime_hours, cast(100 + event_id % 900 as double) as repair_cost, cast(event_id % 500 as double) as mtbf_impact
+        from {events} where event_type = 'error'""",
+    "production_line": """
+        select cast(r_regionkey as bigint) as line_id, 'Line ' || r_name as line_name, case when r_regionkey % 2 = 0 then 'Assembly' else 'Machining' end as line_type from {region}""",
+    "production_schedule": """
+        select wo_id as schedule_id, wo_id % 6 as line_id, open_date as planned_start, open_date + cast(wo_id % 3 as int) as actual_start, quantity as target_quantity, case when wo_id % 4 = 0 then quantity / 2 else quantity end as actual_quantity,
+          cast(50 + wo_id % 50 as double) / 100 as efficiency_score
+        from {work_order}""",
+    "quality_cost": """
+        select order_id * 10 + line_no as cost_id, case return_flag when 'R' then 'Internal failure' when 'A' then 'Appraisal' else 'Prevention' end as cost_category, 'sub ' || cast(part_id % 4 as varchar(10)) as cost_subcategory, ship_date as cost_date,
+          cast(round(cast(amount * 0.01 as decimal(28, 8)), 2) as double) as cost_amount, quantity as units_affected, cast(1 + line_no as double) as cost_per_unit
+        from {order_line}""",
+    "defect_record": """
+        select ncm_id as defect_id, case ncm_id % 4 when 0 then 'Critical' when 1 then 'Major' when 2 then 'Minor' else 'Cosmetic' end as severity_level, case when ncm_id % 6 = 0 then 0.0 else quantity_affected * 2.5 end as ncm_cost,
+          case when ncm_id % 2 = 0 then 'Scrap' else 'Rework' end as cost_category, quantity_affected * 1.5 as repair_cost, quantity_affected * 0.5 as scrap_cost, case when ncm_id % 5 = 0 then 1 else 0 end as customer_impact_flag,
+          case when ncm_id % 10 = 0 then ncm_id * 7 end as complaint_id, case when ncm_id % 5 = 0 then detection_date + 3 end as customer_notification_date, 'kind ' || cast(ncm_id % 8 as varchar(10)) as defect_type,
+          'cause ' || cast(ncm_id % 11 as varchar(10)) as root_cause, cast(ncm_id % 100 as double) as quality_score
+        from {ncm}""",
 }
 
 

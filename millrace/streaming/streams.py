@@ -6,20 +6,19 @@ Watermarks bound the state of windows and of deduplication; a keyed table takes
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.lineage import shared_folder
 from millrace.operators import ledger
 from millrace.sources.canonical import CANONICAL
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

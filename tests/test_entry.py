@@ -25,3 +25,9 @@ def test_imports_without_the_corpus_part(tmp_path):
         (tmp_path / part).symlink_to(ROOT / part)
     said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()), any(x.startswith('op') for x in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"})
     assert said.returncode == 0 and said.stdout.split()[1] == "False", said.stderr
+
+
+def test_imports_without_what_the_corpus_part_needs():
+    code = "import sys; sys.modules['xxhash'] = None\nimport __spark_entry__ as e; print(len(e.queries()), any(x.startswith('op') for x in e.queries()))"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, capture_output=True, text=True, env={"PATH": "/usr/bin"})
+    assert said.returncode == 0 and said.stdout.split()[1] == "False", said.stderr
