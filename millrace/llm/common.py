@@ -1,54 +1,25 @@
-"""What the corpus operators share: table access, shared-folder materialization, and the word rules of the contracts."""
+"""What the corpus operators share: table access, materialization in the shared folder, and the word rules of the contracts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.lineage import cut as materialize
+from millrace.functions.lineage import release
+
 #: ASCII white space; `bytes.split()` splits at exactly these bytes.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-_own_folder: list[str] = []
+__all__ = ["as_bytes", "chunks", "crc_mod", "crc_mod_py", "materialize", "release", "table", "words_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); only where that is unset, as in tests, one of our own."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return _own_folder[0]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and rereads it: cuts lineage in a form that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes what materialize() wrote, once nothing that is still to run reads it."""
-    for df in frames:
-        if path := getattr(df, "_written_at", None):
-            spark = df.sparkSession
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def chunks(texts: list[bytes | None], size: int = 4_000_000) -> Iterator[list[bytes | None]]:
     """Runs of texts of about `size` bytes; the text that reaches it ends the run."""
     begin = total = 0
