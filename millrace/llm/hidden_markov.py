@@ -1,18 +1,29 @@
 """Language-model scoring with a hidden Markov model.
 
-Word counts of all training texts give the unigram base and the symbols: the SYMBOLS most frequent words are symbols of
-their own, any other word is one of TAIL classes by the shape of its ending, and within its class it has its own
-smoothed share. Latent states are trained by Baum-Welch over all training texts, cut into segments: each task returns
-expected counts (initial, transition, emission), which are summed across tasks. A text's score is exact: the scaled
-forward recursion over its whole symbol sequence, plus the log share of each tail word within its class.
+Latent states are trained by Baum-Welch over all training texts, each as one whole sequence: every task returns expected
+counts (initial, transition, emission), which are summed across tasks. A text's score is exact: the scaled forward
+recursion over its whole sequence of words.
 
-Scale: broadcast are the frequent words and the model, both of fixed size. Counts of tail words never reach one place:
-(text, word) rows of tail words only, combined per batch, are joined with their counts by a shuffle. Symbols are kept
-as 2-byte arrays in the shared folder and reread by each pass.
+Emissions: the SYMBOLS most frequent words have a row of the emission matrix each. While the states are trained, any
+other word counts as one of TAIL classes by the shape of its ending; the last round also returns the expected counts of
+each of those words by state, which a shuffle sums, and from which each word has its own emission in the final model:
+
+    P(w | s) = P(class | s) * (n(w, s) + MIX * q(w)) / (n(class, s) + MIX),
+
+q(w) being the word's smoothed share of its class over all states. Words that training texts don't have share the one
+place of their class that is left, so the emissions of a state sum to 1.
+
+Long texts: a text is cut into segments so that many segments are one array; a segment's transfer matrix carries the
+forward and backward messages over its borders, so the counts and the likelihood are those of the whole sequence, and
+`segment` only bounds memory.
+
+Scale: broadcast are the FREQUENT most frequent words and the model, both of fixed size. Other words never reach one
+place: their counts and emissions are tables, joined with the (text, word) rows of the texts that have them. Words other
+than SYMBOLS are told apart by 64-bit hashes there. Texts are kept as arrays in the shared folder and reread each round.
 
 Defined cases: null and empty text are the end token alone; with no training text every count is 0 and smoothing alone
-speaks (V is 0, so the end has probability 1); rows that share a doc_id are scored one by one. Only doc_id and text
-are read; a null doc_id is never held out.
+speaks (V is 0, so the end has probability 1); a corpus without tail words has an empty table of them; rows that share a
+doc_id are scored one by one. Only doc_id and text are read; a null doc_id is never held out.
 """
 
 from __future__ import annotations
@@ -24,16 +35,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, materialize, release, words_of
 
 ALPHA = 0.1
-#: Bound of the frequent words (broadcast with their counts), of those that are symbols of their own, and of classes.
+#: Bound of the frequent words (broadcast with their counts), of those that have a row of the emission matrix, of classes.
 FREQUENT = 1 << 18
-SYMBOLS = 1 << 13
+SYMBOLS = (1 << 15) - (1 << 8)
 TAIL = 1 << 8
+#: How many expected counts of a class in a state its words' shares over all states are worth.
+MIX = 4.0
 #: The end of a text counts as a token; no word is empty.
 END = b""
 
@@ -43,12 +57,18 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:] + (b"s" if len(word) < 6 else b"l")) % TAIL
 
 
+def hash_of(word: bytes) -> int:
+    """64-bit hash, as a signed long."""
+    h = xxhash.xxh3_64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def held_out_py(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over the training texts, ends included: counted per batch, then summed by a shuffle."""
+    """(word, c) over the training texts, ends included: counted per slice, then summed by a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,84 +91,99 @@ class Lexicon:
     counts: np.ndarray  # by rank
     total: int  # N
     distinct: int  # V
-    class_total: np.ndarray  # training tokens of tail words by class
-    class_distinct: np.ndarray
-    own: int  # so many words, the most frequent, are symbols of their own
+    own: int  # so many words, the most frequent, have a row of the emission matrix
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the smoothed unigram probability."""
         return np.log10((counts + ALPHA) / (self.total + ALPHA * (self.distinct + 1)))
 
-    def in_class(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """log10 of a tail word's smoothed share of its class; the one place left is for words not seen in training."""
-        return np.log10((counts + ALPHA) / (self.class_total[classes] + ALPHA * (self.class_distinct[classes] + 1)))
-
 
 def lexicon_of(counts: DataFrame, frequent: int = FREQUENT, symbols_most: int = SYMBOLS) -> Lexicon:
-    """At most `frequent` words with their counts, the totals, and totals by class of all words that aren't symbols."""
+    """At most `frequent` words with their counts, at most `symbols_most` of them with emissions of their own from the
+    start, and the totals. Both are all words from some count on."""
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     width = F.floor(F.log2("c") * 16).cast("int")
-    found, least = 0, None
+    found = own = 0
+    least = None
     for r in sorted(counts.groupBy(width.alias("w")).count().collect(), key=lambda r: -r.w):
         if found + r["count"] > frequent:
             break
         found, least = found + r["count"], r.w
+        if found <= symbols_most:
+            own = found
     if least is None:
         words, c = [], np.empty(0, np.int64)
     else:
         got = counts.where(width >= least).toArrow()
         order = sorted(range(got.num_rows), key=lambda k, c=got["c"].to_pylist(), w=got["word"].to_pylist(): (-c[k], w[k]))
         words, c = got["word"].take(pa.array(order, pa.int64())).to_pylist(), got["c"].to_numpy()[order]
-    out = Lexicon({w: k for k, w in enumerate(words)}, c, int(whole.n or 0), int(whole.v), np.zeros(TAIL), np.zeros(TAIL), min(symbols_most, len(words)))
-    symbols = counts.sparkSession.sparkContext.broadcast(frozenset(words[: out.own]))
+    return Lexicon({w: k for k, w in enumerate(words)}, c, int(whole.n or 0), int(whole.v), own)
+
+
+def class_counts(words: DataFrame) -> np.ndarray:
+    """Training tokens of these words by class."""
 
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(tail_class(w), n) for w, n in zip(batch["word"].to_pylist(), batch["c"].to_pylist()) if w not in symbols.value]
-            k, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAIL)), pa.array(np.bincount(k, n, TAIL)), pa.array(np.bincount(k, minlength=TAIL).astype(np.float64))], names=["k", "n", "v"])
+            found = np.bincount([tail_class(w) for w in batch["word"].to_pylist()] or np.empty(0, np.int64), batch["c"].to_numpy(), TAIL).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAIL)), pa.array(found)], names=["k", "n"])
 
-    for r in counts.mapInArrow(classes, "k long, n double, v double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        out.class_total[r.k], out.class_distinct[r.k] = r.n, r.v
+    out = np.zeros(TAIL)
+    for r in words.mapInArrow(run, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out[r.k] = r.n
     return out
 
 
-#: One row a text (row is set), and rows of its tail words outside of the frequent ones (word is set).
-READ = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, head_base double, head_in_class double, symbols binary, word binary, n long"
-_read = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("head_base", pa.float64()), ("head_in_class", pa.float64()), ("symbols", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
+#: One row a text: its symbols, the hashes of its tail words in order, and those that aren't among the frequent words.
+READ = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, head_base double, symbols binary, tail binary, rare array<long>"
+_read = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("head_base", pa.float64()), ("symbols", pa.binary()), ("tail", pa.binary()), ("rare", pa.list_(pa.int64()))])
 
 
 def read_texts(docs: DataFrame, lexicon) -> DataFrame:
-    """Each whole text as symbols, with what its frequent words add to the scores; and its rare words with counts."""
+    """Each whole text as symbols and hashes of tail words, with what its frequent words add to the base score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: Lexicon = lexicon.value
         rank, own, rare = x.rank, x.own, len(x.counts)
         base = np.append(x.base(x.counts), 0.0)
-        classes = np.array([tail_class(w) for w in list(rank)[own:]], np.int64)
-        inside = np.concatenate([np.zeros(own), x.in_class(x.counts[own:], classes) if len(classes) else np.empty(0), [0.0]])
-        symbol = np.concatenate([np.arange(own), own + classes, [0]]).astype(np.uint16)
+        inside = list(rank)[own:]
+        symbol = np.concatenate([np.arange(own), [own + tail_class(w) for w in inside], [0]]).astype(np.uint16)
+        hashes = np.concatenate([np.zeros(own, np.int64), np.array([hash_of(w) for w in inside], np.int64), [0]])
         for batch in batches:
-            rows: dict[str, list] = {f.name: [] for f in _read}
+            rows: list[tuple] = []
             for row, doc_id, text in zip(batch["row"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
                 words = words_of(text.as_py())
                 words.append(END)
                 at = np.fromiter((rank.get(w, rare) for w in words), np.int64, len(words))
-                found = symbol[at]
+                found, h = symbol[at], hashes[at]
                 unknown = np.flatnonzero(at == rare)
-                seldom: Counter = Counter(words[k] for k in unknown)
                 for k in unknown:
-                    found[k] = own + tail_class(words[k])
-                for k, v in (("row", row), ("doc_id", doc_id), ("held_out", held_out_py(doc_id)), ("n_tokens", len(words)), ("n_known", len(words) - len(unknown)), ("head_base", float(base[at].sum())), ("head_in_class", float(inside[at].sum())), ("symbols", found.tobytes()), ("word", None), ("n", None)):
-                    rows[k].append(v)
-                if seldom:
-                    for k in rows:
-                        rows[k].extend(seldom.keys() if k == "word" else seldom.values() if k == "n" else [row if k == "row" else None] * len(seldom))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _read], schema=_read)
+                    found[k], h[k] = own + tail_class(words[k]), hash_of(words[k])
+                rows.append((row, doc_id, held_out_py(doc_id), len(words), len(words) - len(unknown), float(base[at].sum()), found.tobytes(), h[at >= own].tobytes(), np.unique(h[unknown])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_read), _read)], schema=_read)
 
     return as_bytes(docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id()), "row", "doc_id").mapInArrow(run, READ)
 
 
+class Layout:
+    """Texts, one behind the other, cut into segments of at most `segment` tokens: places of segments and steps."""
+
+    def __init__(self, lengths: np.ndarray, segment: int):
+        n = -(-lengths // segment)
+        text = np.repeat(np.arange(len(lengths)), n)
+        self.rank = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        self.begin = (np.cumsum(lengths) - lengths)[text] + self.rank * segment
+        self.length = np.minimum(segment, lengths[text] - self.rank * segment)
+        self.first, self.last = self.rank == 0, self.rank == n[text] - 1
+        self.text = text
+
+    def steps(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of some segments: their order, the longest first, and how many of them have a token at each step."""
+        order = which[np.argsort(-self.length[which], kind="stable")]
+        longest = int(self.length[order[0]]) if len(order) else 0
+        return order, np.searchsorted(-self.length[order], -np.arange(1, longest + 1), side="right")
+
+
 @dataclass
 class Model:
     initial: np.ndarray  # K
@@ -164,136 +199,254 @@ class Model:
         np.fill_diagonal(transition, 0.9)
         return Model(np.full(states, 1 / states), transition / transition.sum(1, keepdims=True), emission / emission.sum(0))
 
-    def log10_likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Scaled forward recursion over whole sequences, many at a time: the longest first, so that those that still
-        run are the front rows."""
-        order = np.argsort([-len(x) for x in texts], kind="stable")
-        lengths = np.array([len(texts[k]) for k in order])
-        out = np.zeros(len(texts))
-        if not len(texts):
-            return out
-        flat, begin = np.concatenate([texts[k] for k in order]), np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        running = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-        alpha = np.broadcast_to(self.initial, (len(texts), len(self.initial)))
-        total = np.zeros(len(texts))
+    def transfers(self, e: np.ndarray, at: Layout) -> tuple[np.ndarray, np.ndarray]:
+        """Of each segment of a text with several: the matrix from its first state to its last one with all its tokens
+        emitted, scaled, and log10 of the scale."""
+        states = len(self.initial)
+        matrix, logs = np.zeros((len(at.begin), states, states)), np.zeros(len(at.begin))
+        order, running = at.steps(np.flatnonzero(~(at.first & at.last)))
+        if not len(order):
+            return matrix, logs
+        begin = at.begin[order]
+        a, total = np.eye(states)[None] * e[begin][:, None, :], np.zeros(len(order))
+        for t in range(1, len(running)):
+            m = running[t]
+            step = (a[:m].reshape(-1, states) @ self.transition).reshape(m, states, states) * e[begin[:m] + t][:, None, :]
+            scale = step.sum((1, 2))
+            a[:m] = step / scale[:, None, None]
+            total[:m] += np.log10(scale)
+        matrix[order], logs[order] = a, total
+        return matrix, logs
+
+    def into(self, matrix: np.ndarray, at: Layout) -> tuple[np.ndarray, np.ndarray]:
+        """For each segment the share of states before its first token is emitted; and log10 of each step between."""
+        u, logs = np.broadcast_to(self.initial, (len(at.begin), len(self.initial))).copy(), np.zeros(len(at.begin))
+        for j in range(int(at.rank.max(initial=0)) + 1):
+            here = np.flatnonzero((at.rank == j) & ~(at.first & at.last))
+            end = np.einsum("mk,mkl->ml", u[here], matrix[here])
+            scale = end.sum(1)
+            logs[here] = np.log10(scale)
+            go = ~at.last[here]
+            u[here[go] + 1] = (end[go] / scale[go, None]) @ self.transition
+        return u, logs
+
+    def log10_likelihood(self, e: np.ndarray, lengths: np.ndarray, segment: int = 512) -> np.ndarray:
+        """Scaled forward recursion over whole sequences; e has the emissions of all tokens by state."""
+        at = Layout(lengths, segment)
+        matrix, logs = self.transfers(e, at)
+        _, between = self.into(matrix, at)
+        out = np.bincount(at.text, logs + between, len(lengths))
+        order, running = at.steps(np.flatnonzero(at.first & at.last))
+        begin, total = at.begin[order], np.zeros(len(order))
+        alpha = np.broadcast_to(self.initial, (len(order), len(self.initial)))
         for t, m in enumerate(running):
-            alpha = (alpha[:m] if t == 0 else alpha[:m] @ self.transition) * self.emission[flat[begin[:m] + t]]
+            alpha = (alpha[:m] if t == 0 else alpha[:m] @ self.transition) * e[begin[:m] + t]
             scale = alpha.sum(1)
             alpha = alpha / scale[:, None]
             total[:m] += np.log10(scale)
-        out[order] = total
+        out[at.text[order]] = total
         return out
 
-    def expected(self, segments: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts of one batch of padded segments (longest first) by scaled forward and backward recursions."""
-        m, width = segments.shape
-        states = len(self.initial)
-        alpha, scale = np.zeros((width, m, states)), np.ones((width, m))
-        running = np.searchsorted(-lengths, -np.arange(1, width + 1), side="right")
-        for t in range(width):
-            k = running[t]
-            a = (self.initial if t == 0 else alpha[t - 1, :k] @ self.transition) * self.emission[segments[:k, t]]
-            scale[t, :k] = a.sum(1)
-            alpha[t, :k] = a / scale[t, :k, None]
-        transition, beta = np.zeros((states, states)), np.ones((m, states))
-        for t in range(width - 1, -1, -1):
-            k = running[t]
-            if t + 1 < width and (j := running[t + 1]):
-                ahead = self.emission[segments[:j, t + 1]] * beta[:j] / scale[t + 1, :j, None]
-                transition += alpha[t, :j].T @ ahead
-                beta[:j] = ahead @ self.transition.T
-            alpha[t, :k] *= beta[:k]
-        live = np.arange(width)[:, None] < lengths[None, :]
-        where = segments.T[live]
-        emission = np.stack([np.bincount(where, alpha[:, :, s][live], len(self.emission)) for s in range(states)], 1)
-        return alpha[0].sum(0), transition * self.transition, emission, float(np.log10(scale).sum())
-
-
-def train(read: DataFrame, first: Model, rounds: int, segment: int, batch_segments: int) -> Model:
-    """Baum-Welch over all training texts: each round is one narrow pass and a sum of counts across tasks."""
-    model, context = first, read.sparkSession.sparkContext
+    def expected(self, e: np.ndarray, lengths: np.ndarray, segment: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Of whole sequences: expected counts of first states and of transitions, each token's share of states, and the
+        log10 likelihood."""
+        at = Layout(lengths, segment)
+        states, step = len(self.initial), self.transition
+        matrix, _ = self.transfers(e, at)
+        u, _ = self.into(matrix, at)
+        behind = np.ones((len(at.begin), states))  # the backward message at each segment's last token
+        for j in range(int(at.rank.max(initial=0)), -1, -1):
+            here = np.flatnonzero((at.rank == j) & ~at.last)
+            message = np.einsum("mkl,ml->mk", matrix[here + 1], behind[here + 1]) @ step.T
+            behind[here] = message / message.sum(1, keepdims=True)
+        order, running = at.steps(np.arange(len(at.begin)))
+        begin, alpha, scale = at.begin[order], np.empty((len(e), states)), np.empty(len(e))
+        a = u[order]
+        for t, m in enumerate(running):
+            rows = begin[:m] + t
+            a = (a[:m] if t == 0 else a[:m] @ step) * e[rows]
+            s = a.sum(1)
+            a = a / s[:, None]
+            alpha[rows], scale[rows] = a, s
+        end = alpha[begin + at.length[order] - 1]
+        beta = behind[order]
+        beta /= (end * beta).sum(1, keepdims=True)
+        moves = np.zeros((states, states))
+        for t in range(len(running) - 1, -1, -1):
+            rows = begin[: running[t]] + t
+            if t + 1 < len(running):
+                j = running[t + 1]
+                ahead = e[rows[:j] + 1] * beta[:j] / scale[rows[:j] + 1, None]
+                moves += alpha[rows[:j]].T @ ahead
+                beta[:j] = ahead @ step.T
+            alpha[rows] *= beta[: running[t]]
+        # moves from a segment's last token to the next one's first
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        here = np.flatnonzero(~at.last)
+        left, ahead = end[place[here]], e[at.begin[here + 1]] * beta[place[here + 1]]
+        moves += left.T @ (ahead / ((left @ step) * ahead).sum(1, keepdims=True))
+        return alpha[at.begin[at.first]].sum(0), moves * step, alpha, float(np.log10(scale).sum())
+
+
+def slices(lengths: np.ndarray, tokens: int) -> Iterator[slice]:
+    """Runs of texts of about so many tokens."""
+    begin = total = 0
+    for k, n in enumerate(lengths):
+        total += n
+        if total >= tokens:
+            yield slice(begin, k + 1)
+            begin, total = k + 1, 0
+    if begin < len(lengths):
+        yield slice(begin, len(lengths))
+
+
+def joined(parts, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in parts), kind)
+
+
+def expected_counts(texts: DataFrame, model: Model, held, own: int, segment: int, tokens: int, by_word: bool) -> DataFrame:
+    """Expected counts of all texts, summed by a shuffle. Rows with `at` are the parameters: symbols, then the first
+    states, the transitions by state, and the log10 likelihood (in n0). With by_word also a row for each tail word: hash,
+    class, count, and its expected count in each state."""
+    states, size = len(model.initial), len(model.emission)
+    ns = [f"n{s}" for s in range(states)]
+    schema = pa.schema([("at", pa.int64()), ("h", pa.int64()), ("k", pa.int32()), ("c", pa.int64()), *[(n, pa.float64()) for n in ns]])
+
+    def rows(at, h, k, c, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(n), f.type) if x is None else pa.array(x, f.type) for x, f in zip((at, h, k, c), schema)], *[pa.array(np.ascontiguousarray(x)) for x in n.T]], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = held.value
+        total = np.zeros((size + 2 + states, states))
+        for batch in batches:
+            lengths = batch["n_tokens"].to_numpy()
+            for part in slices(lengths, tokens):
+                x = joined(batch["symbols"][part], np.uint16)
+                first, moves, gamma, log = m.expected(m.emission[x], lengths[part], segment)
+                for s in range(states):
+                    total[:size, s] += np.bincount(x, gamma[:, s], size)
+                total[size] += first
+                total[size + 1 : -1] += moves
+                total[-1, 0] += log
+                if by_word:
+                    tail = x >= own
+                    words, where, c = np.unique(joined(batch["tail"][part], np.int64), return_inverse=True, return_counts=True)
+                    kind = np.zeros(len(words), np.int32)
+                    kind[where] = x[tail].astype(np.int32) - own
+                    yield rows(None, words, kind, c, np.stack([np.bincount(where, gamma[tail, s], len(words)) for s in range(states)], 1))
+        some = np.flatnonzero(total.any(1))
+        yield rows(some, None, None, None, total[some])
+
+    found = texts.mapInArrow(run, "at long, h long, k int, c long, " + ", ".join(f"{n} double" for n in ns))
+    return found.groupBy("at", "h").agg(F.first("k").alias("k"), F.sum("c").alias("c"), *[F.sum(n).alias(n) for n in ns])
+
+
+def maximized(sums: DataFrame, first: Model) -> tuple[Model, float]:
+    """The model of the greatest likelihood for the expected counts, a little smoothed; and the old one's likelihood."""
     size, states = first.emission.shape
-    texts = read.where("symbols is not null and not held_out").select("symbols")
+    got = sums.where("at is not null").select("at", *[f"n{s}" for s in range(states)]).toArrow()
+    total = np.zeros((size + 2 + states, states))
+    total[got["at"].to_numpy()] = np.stack([got[f"n{s}"].to_numpy() for s in range(states)], 1)
     prior = first.emission.mean(1, keepdims=True)  # each symbol keeps a little of the unigram share
-    for _ in range(rounds):
-        held = context.broadcast(model)
-
-        def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = held.value
-            total = [np.zeros(states), np.zeros((states, states)), np.zeros((size, states))]
-            waiting: list[np.ndarray] = []
-
-            def flush() -> None:
-                waiting.sort(key=len, reverse=True)
-                lengths = np.array([len(x) for x in waiting])
-                padded = np.zeros((len(waiting), lengths[0]), np.int64)
-                for k, x in enumerate(waiting):
-                    padded[k, : len(x)] = x
-                for into, found in zip(total, m.expected(padded, lengths)):
-                    into += found
-                waiting.clear()
-
-            for batch in batches:
-                for x in batch["symbols"]:
-                    sequence = np.frombuffer(x.as_py(), np.uint16)
-                    waiting.extend(sequence[k : k + segment] for k in range(0, len(sequence), segment))
-                    while len(waiting) >= batch_segments:
-                        rest = waiting[batch_segments:]
-                        del waiting[batch_segments:]
-                        flush()
-                        waiting.extend(rest)
-            if waiting:
-                flush()
-            flat = np.concatenate([x.ravel() for x in total])
-            at = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "n"])
-
-        got = texts.mapInArrow(counts, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-        flat = np.zeros(states + states * states + size * states)
-        flat[got["at"].to_numpy()] = got["n"].to_numpy()
-        initial, transition, emission = flat[:states] + 1, flat[states : states + states**2].reshape(states, states) + 1, flat[states + states**2 :].reshape(size, states)
-        emission = emission + 50.0 * prior / prior.sum()
-        model = Model(initial / initial.sum(), transition / transition.sum(1, keepdims=True), emission / emission.sum(0))
-        held.unpersist()
-    return model
-
-
-def score(docs: DataFrame, states: int = 6, rounds: int = 3, segment: int = 128, batch_segments: int = 2048, seed: int = 11, frequent: int = FREQUENT, symbols: int = SYMBOLS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    initial, transition, emission = total[size] + 1, total[size + 1 : -1] + 1, total[:size] + 50.0 * prior / prior.sum()
+    return Model(initial / initial.sum(), transition / transition.sum(1, keepdims=True), emission / emission.sum(0)), float(total[-1, 0])
+
+
+@dataclass
+class Tail:
+    """What the emissions of tail words need: totals by class, and the words among the frequent ones, by hash."""
+
+    class_n: np.ndarray  # class x K expected counts
+    class_c: np.ndarray
+    class_v: np.ndarray
+    h: np.ndarray  # sorted
+    c: np.ndarray
+    n: np.ndarray
+
+    def share(self, k: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """P(word | class, state) of words with these classes, counts and expected counts."""
+        q = (c + ALPHA) / (self.class_c[k] + ALPHA * (self.class_v[k] + 1))
+        return (n + MIX * q[:, None]) / (self.class_n[k] + MIX)
+
+
+def tail_of(words: DataFrame, states: int, least: int) -> Tail:
+    """Totals by class, and the rows of the words with counts from `least` on, of which there are FREQUENT at most."""
+    ns = [f"n{s}" for s in range(states)]
+    out = Tail(np.zeros((TAIL, states)), np.zeros(TAIL), np.zeros(TAIL), *[np.empty(0)] * 3)
+    for r in words.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v"), *[F.sum(n).alias(n) for n in ns]).collect():
+        out.class_c[r.k], out.class_v[r.k], out.class_n[r.k] = r.c, r.v, [r[n] for n in ns]
+    got = words.where(F.col("c") >= least).toArrow().sort_by("h")
+    out.h, out.c, out.n = got["h"].to_numpy(), got["c"].to_numpy(), np.stack([got[n].to_numpy() for n in ns], 1)
+    return out
+
+
+def emissions(model: Model, tail: Tail, own: int, x: np.ndarray, h: np.ndarray, rare: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(token | state) of symbols x, whose tail words have the hashes h; and which tokens aren't frequent words, with
+    their counts. rare: hashes, counts and expected counts of those; what isn't there wasn't seen in training."""
+    e = model.emission[x]
+    at = np.flatnonzero(x >= own)
+    c, n, often = np.zeros(len(at)), np.zeros((len(at), e.shape[1])), np.zeros(len(at), bool)
+    for keys, counts, ns in ((tail.h, tail.c, tail.n), rare):
+        if len(keys) and len(at):
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            here = keys[place] == h
+            c[here], n[here] = counts[place[here]], ns[place[here]]
+            if keys is tail.h:
+                often = here
+    e[at] *= tail.share(x[at].astype(np.int64) - own, c, n)
+    return e, at[~often], c[~often]
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def score(docs: DataFrame, states: int = 6, rounds: int = 3, segment: int = 512, tokens: int = 500_000, seed: int = 11, frequent: int = FREQUENT, symbols: int = SYMBOLS, told: list[float] | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. `tokens`: about how many
+    are in memory at once. told: gets the log10 likelihood of the training texts, tail words by class, before each round."""
     counts = materialize(word_counts(docs), "counts")
     lexicon = lexicon_of(counts, frequent, symbols)
+    own, least = lexicon.own, int(lexicon.counts[-1]) if len(lexicon.counts) else 1
+    shares = np.concatenate([lexicon.counts[:own].astype(float), class_counts(counts if not own else counts.where(F.col("c") < int(lexicon.counts[own - 1])))]) + ALPHA
+    release(counts)
     context = docs.sparkSession.sparkContext
     held = context.broadcast(lexicon)
     read = materialize(read_texts(docs, held), "read")
-    shares = np.concatenate([lexicon.counts[: lexicon.own].astype(float), lexicon.class_total]) + ALPHA
-    model = context.broadcast(train(read, Model.start(shares, states, seed), rounds, segment, batch_segments))
+    held.destroy()
+    texts = read.where("not held_out").select("n_tokens", "symbols", "tail")
+    model = Model.start(shares, states, seed)
+    for k in range(rounds):
+        sent = context.broadcast(model)
+        sums = materialize(expected_counts(texts, model, sent, own, segment, tokens, k == rounds - 1), "sums")
+        model, likelihood = maximized(sums, model)
+        sent.destroy()
+        if told is not None:
+            told.append(likelihood)
+        if k < rounds - 1:
+            release(sums)
+    words = sums.where("h is not null")
+    fitted = context.broadcast((model, tail_of(words, states, least)))
+    ns = [f"n{s}" for s in range(states)]
+    rare = read.select("row", F.explode("rare").alias("h")).join(words.where(F.col("c") < least).select("h", "c", *[F.col(n).cast("float").alias(n) for n in ns]), "h")
+    of_row = rare.groupBy("row").agg(F.collect_list(F.struct("h", "c", *ns)).alias("seen"))
+    total, distinct = lexicon.total, lexicon.distinct
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, tail = fitted.value
         for batch in batches:
-            sequences = [np.frombuffer(x.as_py(), np.uint16) for x in batch["symbols"]]
-            yield pa.RecordBatch.from_arrays([*[batch[k] for k in FORWARD[:-1]], pa.array(model.value.log10_likelihood(sequences))], names=FORWARD)
-
-    rare = read.where("word is not null").select("row", "word", "n").join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-
-    def seldom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x: Lexicon = held.value
-        for batch in batches:
-            n, c = batch["n"].to_numpy().astype(float), batch["c"].to_numpy().astype(float)
-            classes = np.array([tail_class(w) for w in batch["word"].to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array((n * (c > 0)).astype(np.int64)), pa.array(n * x.base(c)), pa.array(n * x.in_class(c, classes))], names=["row", "rare_known", "rare_base", "rare_in_class"])
-
-    of_rare = rare.mapInArrow(seldom, "row long, rare_known long, rare_base double, rare_in_class double").groupBy("row").agg(*[F.sum(k).alias(k) for k in ("rare_known", "rare_base", "rare_in_class")])
-    scored = read.where("symbols is not null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "head_base", "head_in_class", "symbols").mapInArrow(forward, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, head_base double, head_in_class double, likelihood double")
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return scored.join(of_rare, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        plus("n_known", "rare_known").alias("n_known"),
-        F.lit(lexicon.total).cast("long").alias("train_tokens"),
-        plus("head_base", "rare_base").alias("base_score"),
-        (F.col("likelihood") + plus("head_in_class", "rare_in_class")).alias("score"),
-    )
-
-
-FORWARD = ["row", "doc_id", "held_out", "n_tokens", "n_known", "head_base", "head_in_class", "likelihood"]
+            lengths = batch["n_tokens"].to_numpy()
+            for part in slices(lengths, tokens):
+                some = batch.slice(part.start, part.stop - part.start)
+                seen = some["seen"].flatten()
+                rare_h, first = np.unique(seen.field("h").to_numpy(zero_copy_only=False), return_index=True)
+                rows = (rare_h, seen.field("c").to_numpy(zero_copy_only=False)[first], np.stack([seen.field(n).to_numpy(zero_copy_only=False)[first].astype(np.float64) for n in ns], 1))
+                e, at, c = emissions(m, tail, own, joined(some["symbols"], np.uint16), joined(some["tail"], np.int64), rows)
+                text = np.repeat(np.arange(len(some)), lengths[part])[at]
+                known = some["n_known"].to_numpy() + np.bincount(text, c > 0, len(some)).astype(np.int64)
+                base = some["head_base"].to_numpy() + np.bincount(text, Lexicon({}, c, total, distinct, 0).base(c), len(some))
+                yield pa.RecordBatch.from_arrays([some["doc_id"], some["held_out"], some["n_tokens"], pa.array(known), pa.array(base), pa.array(m.log10_likelihood(e, lengths[part], segment))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = read.join(of_row, "row", "left").select("doc_id", "held_out", "n_tokens", "n_known", "head_base", "symbols", "tail", "seen").mapInArrow(forward, SCORED)
+    out = materialize(scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"), "scores")
+    release(read, sums)
+    return out

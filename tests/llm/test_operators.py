@@ -2,11 +2,14 @@
 empty tables and clashing extra columns."""
 
 import hashlib
+import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from millrace.llm import chat_template, decontaminate, hidden_markov, jaccard_join, license_scan, quality_classifier, quality_rules, sentencepiece_codec, temporal_lists, warc_audit
@@ -68,22 +71,40 @@ def test_sentencepiece_equals_library(spark):
     assert {r.doc_id: r.text for r in back.collect()} == {k: t or "" for k, t in enumerate(texts)}
 
 
-def test_unigram_viterbi_by_brute_force():
-    scores = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -2.8, "ba": -3.1, "▁ab": -6.5}
-    v = sentencepiece_codec.Vocabulary(False, scores, {p: 300 + k for k, p in enumerate(scores)}, [], {}, [b""] * 400, list(range(256)), 3, -20.0)
+@pytest.mark.parametrize("bpe", [False, True])
+def test_viterbi_by_brute_force(bpe):
+    scores = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -2.8, "ba": -3.1, "▁ab": -6.5, "aba": -3.3, "bb": -9.0}
+    v = sentencepiece_codec.Vocabulary.of(bpe, scores, {p: 300 + k for k, p in enumerate(scores)}, [b""] * 400, list(range(256)), -20.0)
+    names = {300 + k: p for k, p in enumerate(scores)}
+    meet = lambda a, b: not bpe or a is None or sentencepiece_codec.merged(a + b, scores) == [a, b]
 
-    def best(w):
+    def best(w, left=None):
+        """The greatest sum of scores over all cuts of w into pieces, of which neighbours may stand side by side."""
         if not w:
             return 0.0
-        return max([scores[w[:k]] + best(w[k:]) for k in (1, 2, 3) if w[:k] in scores] + ([-20.0 + best(w[1:])] if w[0] not in scores else []))
+        ways = [scores[w[:k]] + best(w[k:], w[:k]) for k in (1, 2, 3) if w[:k] in scores and meet(left, w[:k]) and (not bpe or sentencepiece_codec.merged(w[:k], scores) == [w[:k]])]
+        return max(ways + ([-20.0 + best(w[1:])] if w[0] not in scores else []), default=-math.inf)
 
-    words = sorted({"▁" + "".join(random.choice("abx") for _ in range(random.randint(1, 7))) for _ in range(60)})
-    names = {i: p for p, i in v.ids.items()}
-    import numpy as np
-
-    for w, ids in v.segment(words, {}):
+    words = sorted({"▁" + "".join(random.choice("abx") for _ in range(random.randint(1, 7))) for _ in range(80)})
+    for w, ids, score in v.segment(words, {}):
         pieces = [names.get(i) for i in np.frombuffer(ids, np.int32)]
-        assert sum(scores[p] if p else -20.0 for p in pieces) == pytest.approx(best(w))
+        assert sum(scores[p] if p else -20.0 for p in pieces) == pytest.approx(score) == pytest.approx(best(w))
+        assert sum(v.values[i] for i in np.frombuffer(ids, np.int32)) == pytest.approx(score)
+        if bpe:
+            assert "".join(p or "x" for p in pieces) == w and [p or "x" for p in pieces] == sentencepiece_codec.merged(w, scores)
+
+
+def test_sentencepiece_equals_library_on_odd_texts():
+    import sentencepiece
+
+    model = sentencepiece_codec.default_model()
+    library, v = sentencepiece.SentencePieceProcessor(model_file=model), sentencepiece_codec.Vocabulary.load(model)
+    alphabet = ["a", "b", "th", "er", "ing", " ", " ", "  ", "\n", "é", "ß", "日", "\U0001f600", "1", "23", "!", "▁", "\t", "\u200b", "İ"]
+    for _ in range(400):
+        t = "".join(random.choice(alphabet) for _ in range(random.randint(0, 40)))
+        words = sentencepiece_codec.marked_words(t)
+        known = v.ids_of(set(words), 1000)
+        assert np.frombuffer(b"".join(known[w] for w in words), np.int32).tolist() == library.encode(t), t
 
 
 def test_jaccard_groups_by_brute_force(spark):
@@ -139,8 +160,6 @@ def test_leaks_exact_edited_and_absent(spark):
 
 
 def test_smith_waterman_by_plain_loop():
-    import numpy as np
-
     def plain(a, b):
         h = [[0.0] * (len(a) + 1) for _ in range(len(b) + 1)]
         for i, y in enumerate(b, 1):
@@ -156,8 +175,6 @@ def test_smith_waterman_by_plain_loop():
 def test_rule_statistics_and_learning(spark):
     texts = [None, "", " \t\n ", "a b c a b c", "a a a a", "x y z\n\nx y z\n x y z", text(500), "é#ü **\x0bok\x0cno", "a b a b", "b a a b c b a a b", text(3000) + " " + text(5) * 3]
     got = {r.doc_id: r for r in quality_rules.with_statistics(frame(spark, enumerate(texts)).drop("n_words", "score")).collect()}
-    import re
-
     for k, t in enumerate(texts):
         t = t or ""
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
@@ -191,60 +208,175 @@ def test_classifier_learns_and_never_sees_held_out_labels(spark):
     assert quality_classifier.score(frame(spark, []), model).count() == 0
 
 
-def test_hidden_markov_scores(spark):
-    rows = [(k, text(random.randint(0, 60))) for k in range(80)] + [(500, None), (501, "unseen Words"), (7, "repeated id")]
-    got = hidden_markov.score(frame(spark, rows), states=3, rounds=2, segment=16, batch_segments=32, frequent=30, symbols=12).collect()
-    counts = Counter()
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 10:
-            counts.update((t or "").lower().split() + [""])
-    n, v = sum(counts.values()), len(counts)
-    want = Counter()
-    for i, t in rows:
-        words = (t or "").lower().split() + [""]
-        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
-        want[i, len(words), sum(counts[w] > 0 for w in words), n, round(base, 6)] += 1
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+def paths(model, e):
+    """Every sequence of states of a text with emissions e, and its probability together with the text."""
+    for s in itertools.product(range(len(model.initial)), repeat=len(e)):
+        p = model.initial[s[0]] * e[0, s[0]]
+        for k in range(1, len(e)):
+            p *= model.transition[s[k - 1], s[k]] * e[k, s[k]]
+        yield s, p
 
 
-def test_forward_and_expected_counts_by_plain_sums():
-    import itertools
+def plain_forward(model, e):
+    """Log10 likelihood of a text by a loop over its tokens."""
+    a, log = None, 0.0
+    for row in e:
+        a = (model.initial if a is None else a @ model.transition) * row
+        log += math.log10(a.sum())
+        a = a / a.sum()
+    return log
 
-    import numpy as np
 
+@pytest.mark.parametrize("segment", [1, 2, 3, 512])
+def test_forward_and_expected_counts_by_plain_sums(segment):
     model = hidden_markov.Model.start(np.array([5.0, 3.0, 2.0]), 2, 1)
-    sequences = [np.array(x, np.uint16) for x in ([0, 1, 2, 0], [2], [1, 1])]
-
-    def paths(x):
-        for s in itertools.product(range(2), repeat=len(x)):
-            p = model.initial[s[0]] * model.emission[x[0], s[0]]
-            for k in range(1, len(x)):
-                p *= model.transition[s[k - 1], s[k]] * model.emission[x[k], s[k]]
-            yield s, p
-
-    assert model.log10_likelihood(sequences) == pytest.approx([math.log10(sum(p for _, p in paths(x))) for x in sequences])
-    emission, transition = np.zeros((3, 2)), np.zeros((2, 2))
-    for x in sequences:
-        whole = sum(p for _, p in paths(x))
-        for s, p in paths(x):
-            for k in range(len(x)):
-                emission[x[k], s[k]] += p / whole
+    model.transition = np.array([[0.7, 0.3], [0.2, 0.8]])
+    sequences = [np.array(x) for x in ([0, 1, 2, 0, 2, 1, 1], [2], [1, 1], [0, 2, 2, 1, 0, 0])]
+    lengths, x = np.array([len(s) for s in sequences]), np.concatenate(sequences)
+    e = model.emission[x]
+    parts = np.split(e, np.cumsum(lengths)[:-1])
+    logs = [math.log10(sum(p for _, p in paths(model, part))) for part in parts]
+    assert model.log10_likelihood(e, lengths, segment) == pytest.approx(logs) == [plain_forward(model, part) for part in parts]
+    initial, transition, gamma = np.zeros(2), np.zeros((2, 2)), []
+    for part in parts:
+        whole, here = sum(p for _, p in paths(model, part)), np.zeros_like(part)
+        for s, p in paths(model, part):
+            initial[s[0]] += p / whole
+            for k in range(len(part)):
+                here[k, s[k]] += p / whole
                 if k:
                     transition[s[k - 1], s[k]] += p / whole
-    padded, lengths = np.array([[0, 1, 2, 0], [1, 1, 0, 0], [2, 0, 0, 0]]), np.array([4, 2, 1])
-    _, t, e, _ = model.expected(padded, lengths)
-    assert e == pytest.approx(emission) and t == pytest.approx(transition)
-
-
-def test_license_places(spark):
-    texts = [None, "", "...", "Under THE mit-License; under the MIT license", "the Apache License, Version 2.0", "cc by nc cc by-nc", "under mit license", "This work is licensed under the GNU General Public License.", "x " * 4000 + "CC BY NC"]
-    got = {r.doc_id: r for r in license_scan.scan(frame(spark, enumerate(texts))).collect()}
-    assert [(r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for _, r in sorted(got.items())] == [
-        (0, None, None, "", ""), (0, None, None, "", ""), (0, None, None, "", ""), (2, 0, 4, "mit", "mit"), (1, 1, 1, "apache-2", "apache-2"),
-        (2, 0, 3, "cc-by-nc", "cc-by-nc"), (0, None, None, "", ""), (0, None, None, "", "gpl"), (1, 4000, 4000, "cc-by-nc", "cc-by-nc"),
-    ]
-    assert got[7].score == pytest.approx(1.0) and 0 < got[3].score < 1 and license_scan.scan(frame(spark, [])).count() == 0
+        gamma.append(here)
+    i, t, g, log = model.expected(e, lengths, segment)
+    assert i == pytest.approx(initial) and t == pytest.approx(transition) and g == pytest.approx(np.concatenate(gamma)) and log == pytest.approx(sum(logs))
+
+
+def plain_markov(rows, states, rounds, frequent, symbols, seed=11):
+    """The scores of texts by loops over whole sequences, with one dict of emissions for all words."""
+    h = hidden_markov
+    texts = [(i, (t or "").lower().encode().split() + [b""]) for i, t in rows]
+    train = [w for i, w in texts if not h.held_out_py(i)]
+    counts = Counter(x for w in train for x in w)
+    by_width = Counter(math.floor(math.log2(c) * 16) for c in counts.values())
+    total = own = 0
+    for k in sorted(by_width, reverse=True):
+        total += by_width[k]
+        if total > frequent:
+            break
+        own = total if total <= symbols else own
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))[:own]
+    symbol = {w: k for k, w in enumerate(ranked)}
+    of = lambda w: symbol.get(w, own + h.tail_class(w))
+    shares = np.zeros(own + h.TAIL)
+    for w, c in counts.items():
+        shares[of(w)] += c
+    model = first = h.Model.start(shares + h.ALPHA, states, seed)
+    for _ in range(rounds):
+        first, n = model, {w: np.zeros(states) for w in counts}
+        initial, moves, emission = np.ones(states), np.ones((states, states)), np.zeros(model.emission.shape)
+        for words in train:
+            e = model.emission[[of(w) for w in words]]
+            alpha, beta = [model.initial * e[0]], [np.ones(states)]
+            for row in e[1:]:
+                alpha.append((alpha[-1] / alpha[-1].sum()) @ model.transition * row)
+            for row in e[:0:-1]:
+                beta.insert(0, model.transition @ (row * beta[0] / (row * beta[0]).sum()))
+            for k, w in enumerate(words):
+                g = alpha[k] * beta[k] / (alpha[k] @ beta[k])
+                emission[of(w)] += g
+                n[w] += g
+                if k == 0:
+                    initial += g
+                else:
+                    x = np.outer(alpha[k - 1], e[k] * beta[k]) * model.transition
+                    moves += x / x.sum()
+        prior = first.emission.mean(1, keepdims=True)
+        emission += 50.0 * prior / prior.sum()
+        model = h.Model(initial / initial.sum(), moves / moves.sum(1, keepdims=True), emission / emission.sum(0))
+    tails = defaultdict(list)
+    for w in counts:
+        if w not in symbol:
+            tails[h.tail_class(w)].append(w)
+
+    def emit(w):
+        if w in symbol:
+            return model.emission[symbol[w]]
+        k = h.tail_class(w)
+        q = (counts[w] + 0.1) / (sum(counts[v] for v in tails[k]) + 0.1 * (len(tails[k]) + 1))
+        return model.emission[own + k] * (n.get(w, np.zeros(states)) + h.MIX * q) / (sum((n[v] for v in tails[k]), np.zeros(states)) + h.MIX)
+
+    return [(i, plain_forward(model, np.array([emit(w) for w in words]))) for i, words in texts], model, emit, counts
+
+
+@pytest.mark.parametrize("sizes", [{"frequent": 30, "symbols": 12}, {"frequent": 12, "symbols": 12}, {}])
+def test_hidden_markov_scores(spark, sizes):
+    rows = [(k, text(random.randint(0, 60))) for k in range(80)] + [(500, None), (501, "unseen Words"), (7, "repeated id"), (None, "null id"), (502, text(900))]
+    told = []
+    got = hidden_markov.score(frame(spark, rows), states=3, rounds=2, segment=16, tokens=300, told=told, **sizes).collect()
+    n_and_v = Counter()
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            n_and_v.update((t or "").lower().split() + [""])
+    n, v = sum(n_and_v.values()), len(n_and_v)
+    want = Counter()
+    for i, t in rows:
+        words = (t or "").lower().split() + [""]
+        base = sum(math.log10((n_and_v[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
+        want[i, len(words), sum(n_and_v[w] > 0 for w in words), n, round(base, 6)] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    plain, model, emit, counts = plain_markov(rows, 3, 2, sizes.get("frequent", hidden_markov.FREQUENT), sizes.get("symbols", hidden_markov.SYMBOLS))
+    by = lambda pairs: sorted(pairs, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    assert [x[1] for x in by((r.doc_id, r.score) for r in got)] == pytest.approx([x[1] for x in by(plain)], rel=1e-5)
+    assert told[1] > told[0]
+    unseen = sum(emit(b"\xff" + w[-2:] + (b"" if len(w) < 3 else b"")) for w in [b""])  # some unseen word
+    assert (sum(emit(w) for w in counts) <= 1 + 1e-9).all() and (unseen > 0).all()
+
+
+def test_hidden_markov_without_training_or_rows(spark):
+    held = [k for k in range(200) if hidden_markov.held_out_py(k)][:3]
+    got = hidden_markov.score(frame(spark, [(k, "ba do") for k in held]), states=2, rounds=2).collect()
+    assert len(got) == 3 and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and math.isfinite(r.score) for r in got)
+    assert hidden_markov.score(frame(spark, []), states=2, rounds=1).count() == 0
+    small = hidden_markov.score(frame(spark, [(k, " ".join(f"w{random.randrange(400)}" for _ in range(30))) for k in range(60)]))
+    assert small.count() == 60
+
+
+def plain_scan(texts):
+    """Places, labels and scores of all notices by a loop over every place of every text."""
+    cut = {k: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if w] for k, t in texts}
+    n, df = len(texts), Counter(w for words in cut.values() for w in set(words))
+    idf = {w: math.log((1 + n) / (1 + df[w])) + 1 for w in license_scan.template_words(license_scan.TEMPLATES)}
+    for k, words in cut.items():
+        base, labels, base_labels, score = [], set(), set(), 0.0
+        for t in license_scan.TEMPLATES:
+            phrase, notice = t.phrase.split(), t.notice.split()
+            ahead = next(j for j in range(len(notice)) if notice[j : j + len(phrase)] == phrase)
+            for at in [j for j in range(len(words)) if words[j : j + len(phrase)] == phrase]:
+                labels.add(t.label)
+                if t.base:
+                    base.append(at)
+                    base_labels.add(t.label)
+                stand = [w for j, w in enumerate(notice) if 0 <= at - ahead + j < len(words) and words[at - ahead + j] == w]
+                score = max(score, sum(idf[w] for w in stand) / sum(idf[w] for w in notice))
+        yield k, len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), pytest.approx(score)
+
+
+def test_license_scan_by_brute_force(spark):
+    pool = sorted({w for t in license_scan.TEMPLATES for w in t.notice.split()})
+    odd = [None, "", "...", "Under THE mit-License; under the MIT license", "the Apache License, Version 2.0", "cc by nc cc by-nc", "under mit license", "x " * 4000 + "CC BY NC", "under the mit license " * 30]
+    mixed = []
+    for _ in range(60):
+        parts = [random.choice([t.notice, t.phrase, t.notice.upper().replace(" ", ", "), " ".join(random.choices(pool, k=6)), text(3)]) for t in random.choices(license_scan.TEMPLATES, k=random.randint(1, 5))]
+        mixed.append(random.choice([" ", "\n", " - ", "é "]).join(parts))
+    texts = list(enumerate([*odd, *mixed, odd[3], odd[3]]))
+    rows = license_scan.scan(frame(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    got = {r.doc_id: (r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in rows}
+    assert [got[x[0]] for x in plain_scan(texts)] == list(plain_scan(texts))
+    assert got[3][5] == "mit" and sum(bool(x[6]) for x in got.values()) > 20
+    again = license_scan.scan(frame(spark, [(1, odd[3]), (1, odd[3]), (None, odd[3])])).collect()
+    assert [(r.n_base, r.labels) for r in again] == [(2, "mit")] * 3
+    assert license_scan.scan(frame(spark, [])).count() == 0
 
 
 def test_dated_lists(spark):
