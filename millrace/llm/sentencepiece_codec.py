@@ -4,11 +4,11 @@ Spaces become the mark U+2581, a text gets one mark in front, and it is cut wher
 across: before each run of marks, and at line ends. The distinct words of a batch are sorted, which lays out their
 trie, and are visited depth-first: the forward scores of a prefix stay on a stack and serve every word that shares it.
 
-In a unigram model the best path to a prefix maximizes the sum of piece scores; ties go to the longer last piece. In a
-BPE model a path may only join pieces that merging leaves side by side: a sequence of pieces is what merging gives
-exactly if each two neighbours, merged alone, stay as they are. So of all pieces that end a prefix one is left, and
-the path is the library's own segmentation. Which neighbours may meet is remembered. Characters outside of
-the vocabulary fall back to bytes. Each text's ids are joined from those of its words; decoding maps ids back.
+The best path to a prefix maximizes the sum of piece scores; ties go to the longer last piece. In a BPE model a path may
+only join pieces that merging leaves side by side, which is a condition of the same recursion: a sequence of pieces is
+what merging gives exactly if each two neighbours, merged alone, stay as they are, so the best path that meets it is the
+library's own segmentation. Which neighbours may meet is remembered. Characters outside of the vocabulary fall back to
+bytes, at a penalty a character. Each text's ids are joined from those of its words; decoding maps ids back.
 
 Scale: one narrow pass, no shuffle; a worker remembers at most about 2 * `cache_words` words and holds one slice of texts.
 Broadcast is the vocabulary, whose size is the model's. The model file is read on the driver only.
@@ -92,12 +92,11 @@ def merged(text: str, scores: dict[str, float]) -> list[str]:
 class Vocabulary:
     bpe: bool
     scores: dict[str, float]
-    ids: dict[str, int]
+    values: list[float]  # of each id; a character of bytes has its penalty on the first one
     pieces: list[str]  # of each id; empty if no text gives it
     ends: dict  # trie of reversed pieces; a piece's id is under ""
     decoded: list[bytes]  # of each id
     byte_ids: list[int]  # of each byte value
-    longest: int
     unknown_score: float
     #: What a worker process remembers from task to task, as the broadcast value stays with it.
     new_words: dict[str, bytes] = field(default_factory=dict)
@@ -125,27 +124,33 @@ class Vocabulary:
             raise ValueError("the model has no byte fallback")
         if any(MARK in piece.lstrip(MARK) or "\n" in piece for piece in scores):
             raise ValueError("a piece reaches across words; this model can't be cut at marks")
-        if bpe := is_bpe(model_file):
-            ids = {x: i for x, i in ids.items() if merged(x, scores) == [x]}
-        pieces, ends = [""] * len(decoded), {}
+        return Vocabulary.of(is_bpe(model_file), scores, ids, decoded, byte_ids, min(scores.values()) - UNKNOWN_PENALTY)
+
+    @staticmethod
+    def of(bpe: bool, scores: dict[str, float], ids: dict[str, int], decoded: list[bytes], byte_ids: list[int], unknown_score: float) -> Vocabulary:
+        """A vocabulary from its pieces; those of a BPE model that merging never gives are left out of the trie."""
+        pieces, ends, values = [""] * len(decoded), {}, [0.0] * len(decoded)
+        for b, i in enumerate(byte_ids):
+            values[i] = 0.0 if b & 0xC0 == 0x80 else unknown_score
         for piece, i in ids.items():
-            pieces[i], node = piece, ends
+            if bpe and merged(piece, scores) != [piece]:
+                continue
+            pieces[i], values[i], node = piece, scores[piece], ends
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node[""] = i
-        return Vocabulary(bpe, scores, ids, pieces, ends, decoded, byte_ids, max(map(len, scores)), min(scores.values()) - UNKNOWN_PENALTY)
+        return Vocabulary(bpe, scores, values, pieces, ends, decoded, byte_ids, unknown_score)
 
-    def segment(self, words: list[str], may_meet: dict[int, bool]) -> Iterator[tuple[str, bytes]]:
-        """(word, ids as int32 bytes) for sorted distinct words: a depth-first walk over their trie. may_meet remembers
-        which pieces of a BPE model may be neighbours, by left id * number of pieces + right id."""
-        forward = self._only if self.bpe else self._best
+    def segment(self, words: list[str], may_meet: dict[int, bool]) -> Iterator[tuple[str, bytes, float]]:
+        """(word, ids as int32 bytes, score of its path) for sorted distinct words: a depth-first walk over their trie.
+        may_meet remembers which pieces of a BPE model may be neighbours, by left id * number of pieces + right id."""
         before, score, last, start = "", [0.0], [-1], [0]
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del score[shared + 1 :], last[shared + 1 :], start[shared + 1 :]
-            forward(word, shared + 1, score, last, start, may_meet)
+            self._forward(word, shared + 1, score, last, start, may_meet)
             found, end = [], len(word)
             while end:
                 i, k = last[end], start[end]
@@ -156,7 +161,7 @@ class Vocabulary:
                 end = k
             found.reverse()
             before = word
-            yield word, array("i", found).tobytes()
+            yield word, array("i", found).tobytes(), score[-1]
 
     def ids_of(self, words: set[str], most: int) -> dict[str, bytes]:
         """Ids (int32 bytes) of at least these words. Of what was asked before, up to 2 * most words are remembered, in
@@ -173,53 +178,37 @@ class Vocabulary:
                 missing.append(word)
             else:
                 known[word] = ids
-        known.update(self.segment(sorted(missing), self.may_meet))
+        known.update((word, ids) for word, ids, _ in self.segment(sorted(missing), self.may_meet))
         return known
 
-    def _best(self, word: str, first: int, score: list[float], last: list[int], start: list[int], _) -> None:
-        """Unigram: for each end from `first` on, the piece up to it that ends the path of the greatest score."""
-        score_of, id_of, longest = self.scores.get, self.ids.get, self.longest
+    def _forward(self, word: str, first: int, score: list[float], last: list[int], start: list[int], may_meet: dict[int, bool]) -> None:
+        """For each end from `first` on, the piece up to it that ends the path of the greatest score, among the pieces
+        that may stand next to the last one before them. Pieces are found from behind, by the trie of reversed pieces."""
+        ends, n, meets, pieces, values, bpe = self.ends, len(self.decoded), may_meet.get, self.pieces, self.values, self.bpe
         for end in range(first, len(word) + 1):
-            top, at = None, end - 1
-            for k in range(end - longest if end > longest else 0, end):
-                s = score_of(word[k:end])
-                if s is not None and (top is None or score[k] + s > top):
-                    top, at = score[k] + s, k
-            if word[end - 1] not in self.scores and (top is None or score[end - 1] + self.unknown_score > top):
-                top, at = score[end - 1] + self.unknown_score, end - 1
-            score.append(top)
-            last.append(id_of(word[at:end], -1))
-            start.append(at)
-
-    def _only(self, word: str, first: int, score: list[float], last: list[int], start: list[int], may_meet: dict[int, bool]) -> None:
-        """BPE: for each end from `first` on, the piece up to it that may stand next to the last piece before it. Pieces
-        that end there are found from behind, by a trie of reversed pieces."""
-        ends, n, meets, pieces = self.ends, len(self.decoded), may_meet.get, self.pieces
-        for end in range(first, len(word) + 1):
-            node, k, at, found = ends, end, end - 1, -1
+            node, k, top, at, found = ends, end, None, end - 1, -1
             while k:
                 k -= 1
                 node = node.get(word[k])
                 if node is None:
                     break
                 i = node.get("")
-                if i is not None:
-                    if k == 0:
-                        at, found = 0, i
-                        break
-                    left = last[k]
-                    if left >= 0:
-                        pair = left * n + i
-                        fits = meets(pair)
-                        if fits is None:
-                            fits = may_meet[pair] = merged(pieces[left] + pieces[i], self.scores) == [pieces[left], pieces[i]]
-                        if fits:
-                            at, found = k, i
-                            break
-                    else:  # behind a character without a piece, which nothing merges with
-                        at, found = k, i
-                        break
-            score.append(0.0)
+                if i is None:
+                    continue
+                total = score[k] + values[i]
+                if top is not None and total < top:
+                    continue
+                if bpe and k and (left := last[k]) >= 0:  # nothing merges with a character without a piece
+                    pair = left * n + i
+                    fits = meets(pair)
+                    if fits is None:
+                        fits = may_meet[pair] = merged(pieces[left] + pieces[i], self.scores) == [pieces[left], pieces[i]]
+                    if not fits:
+                        continue
+                top, at, found = total, k, i
+            if top is None or (not bpe and word[end - 1] not in self.scores and score[end - 1] + self.unknown_score > top):
+                top, at, found = score[end - 1] + self.unknown_score, end - 1, -1
+            score.append(top)
             last.append(found)
             start.append(at)
 
@@ -246,18 +235,20 @@ def slices(texts: list[str | None], chars: int) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-ENCODED = "doc_id long, n_tokens long, n_byte_tokens long, round_trip boolean, token_ids array<int>"
+ENCODED = "doc_id long, n_tokens long, n_byte_tokens long, path_score double, round_trip boolean, token_ids array<int>"
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, cache_words: int = 500_000, slice_chars: int = 2_000_000) -> DataFrame:
-    """doc_id, n_tokens, n_byte_tokens, round_trip (decoding the ids gave the text) and token_ids of every row."""
+    """doc_id, n_tokens, n_byte_tokens, path_score (of the best path, all words together), round_trip (decoding the ids
+    gave the text) and token_ids of every row."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_byte_tokens", pa.int64()), ("round_trip", pa.bool_()), ("token_ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_byte_tokens", pa.int64()), ("path_score", pa.float64()), ("round_trip", pa.bool_()), ("token_ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
         is_byte = np.zeros(len(v.decoded), bool)
         is_byte[v.byte_ids] = True
+        values = np.array(v.values)
         for batch in batches:
             for part in slices(texts := batch["text"].to_pylist(), slice_chars):
                 texts_here = texts[part]
@@ -271,7 +262,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, cache_words: int = 500_000,
                 in_bytes = np.concatenate([[0], np.cumsum(is_byte[flat])])
                 back = [v.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts_here)]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][part], pa.array(sizes), pa.array(in_bytes[ends[1:]] - in_bytes[ends[:-1]]), pa.array(back), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][part], pa.array(sizes), pa.array(in_bytes[ends[1:]] - in_bytes[ends[:-1]]), pa.array([float(values[x].sum()) for x in ids], pa.float64()), pa.array(back), lists], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
 
