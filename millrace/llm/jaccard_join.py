@@ -5,9 +5,9 @@ fixed hash values; of two sets, each fragment is intersected on its own, and the
 
 1. *First fragment, all sets.* A set can lack at most a fixed share of its n-grams in any partner, so of its n-grams in
    the first fragment nearly all must be in some other set as well. Sets that fail this are done: they have no link.
-2. *Fronts.* The first fragment of the sets that are left is put in order of frequency, rarest first. Partners share an
-   n-gram in the front of their sets, and for most sizes many; pairs that share too few there are not counted further.
-3. *All fragments.* What is left is intersected fragment by fragment and summed.
+2. *Fronts.* The n-grams of the sets that are left are put in order of frequency, rarest first. Partners share an n-gram
+   in the front of their sets, early enough that what follows it can reach the threshold.
+3. *All fragments.* Pairs that are left are intersected fragment by fragment and summed.
 
 Big groups: equal sets are one class from the start, so copies never pair up. Inside a bucket (sets with the same front
 n-gram), pairs are first counted against one hub only; what those links already connect is not compared again, and only
@@ -18,7 +18,7 @@ that the links form, not the list of links: pairs inside of a class that is conn
 
 Scale: texts are reread instead of shuffled (two narrow passes, and one over the sets that step 1 leaves). Shuffled are
 the first fragment of all sets (27 % of the n-grams at 0.85), combined per slice of texts before, so that a frequent
-n-gram sends one row a slice; then the sets of step 2. Nothing is windowed by an n-gram: hubs and counts are aggregates
+n-gram sends one row a slice; then the n-grams of the sets of step 2. Nothing is windowed by an n-gram: hubs and counts are aggregates
 joined back, which adaptive execution splits where one n-gram is hot. Broadcast is a bitmap of BITMAP bits (8 MB).
 
 Defined cases: null or empty text, or text without words: no n-grams, linked with nothing, its own group; fewer than n
@@ -102,11 +102,6 @@ class Cuts:
         return np.split(found, np.searchsorted(found, self.at))
 
 
-def may_lack(size, num: int, den: int):
-    """How many n-grams of a set of this size a partner can lack."""
-    return (den - num) * size // den
-
-
 def _survey(n: int):
     """Each text's size and digest."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("tag", pa.int64())])
@@ -169,10 +164,9 @@ def bit_of(doc_id: str) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(BITMAP))
 
 
-def _segments(n: int, num: int, den: int, cuts: Cuts, wanted):
-    """(doc_id, node, fragment, grams) of the texts that the bitmap lets through. For the first fragment also extra: what
-    a front that is longer than the fragment takes of the rest."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64())), ("extra", pa.list_(pa.int64()))])
+def _segments(n: int, cuts: Cuts, wanted):
+    """(doc_id, node, fragment, grams) of the texts that the bitmap lets through."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -188,15 +182,11 @@ def _segments(n: int, num: int, den: int, cuts: Cuts, wanted):
                     node = node_of(found)
                     if node is None:
                         continue
-                    parts = cuts.split(found)
-                    more = max(0, may_lack(len(found), num, den) + 1 - len(parts[0]))
-                    for k, part in enumerate(parts):
-                        if k == 0 or len(part):
-                            out.append((doc_id, node, k, part.view(np.int64), found[len(parts[0]) : len(parts[0]) + more].view(np.int64) if k == 0 else None))
+                    out.extend((doc_id, node, k, part.view(np.int64)) for k, part in enumerate(cuts.split(found)) if len(part))
                 begin += len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
 
-    return run, "doc_id long, node binary, fragment int, grams array<long>, extra array<long>"
+    return run, "doc_id long, node binary, fragment int, grams array<long>"
 
 
 def least_overlap(a: Column, b: Column, num: int, den: int) -> Column:
@@ -240,7 +230,8 @@ class Join:
         self.sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
         self.links: list[DataFrame] = []
 
-    def lack(self, size) -> Column:
+    def lack(self, size: str) -> Column:
+        """How many n-grams of a set of this size a partner can lack."""
         return F.floor((self.den - self.num) * F.col(size) / F.lit(self.den)).cast("int")
 
     def suspects(self) -> DataFrame:
@@ -256,37 +247,37 @@ class Join:
         return materialize(rest.select("id", "doc_id", "node", "size"), "suspects")
 
     def segments(self, suspects: DataFrame) -> DataFrame:
-        """(id, size, fragment, grams, extra) of the suspects, each fragment once."""
+        """(id, size, fragment, grams) of the suspects, each fragment once."""
         wanted = self.spark.sparkContext.broadcast(bitmap(suspects))
-        run, schema = _segments(self.n, self.num, self.den, self.cuts, wanted)
+        run, schema = _segments(self.n, self.cuts, wanted)
         found = self.texts.where("doc_id is not null").withColumn("bit", bit_of("doc_id")).mapInArrow(run, schema)
         out = found.join(suspects, ["doc_id", "node"]).dropDuplicates(["doc_id", "node", "fragment"])
-        out = materialize(out.select("id", "size", "fragment", "grams", "extra"), "segments")
+        out = materialize(out.select("id", "size", "fragment", "grams"), "segments")
         wanted.destroy()
         return out
 
-    def fronts(self) -> DataFrame:
-        """(gram, id, size, place, weight): the front of each set in the global order, which is the first fragment by
-        frequency and then the rest by hash. N-grams that no other suspect has come first, and are left out."""
-        zero = self.all_segments.where("fragment = 0")
-        each = zero.select("id", F.explode("grams").alias("gram"))
+    def fronts(self, suspects: DataFrame) -> DataFrame:
+        """(gram, id, size, place, weight): the front of each set in the global order by frequency. N-grams that no other
+        suspect has come first, and are left out; a set whose front has no others is done."""
+        each = self.all_segments.select("id", F.explode("grams").alias("gram"))
         often = each.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
         listed = each.join(often, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("l"))
-        whole = zero.join(listed, "id", "left").select("id", "size", "extra", F.size("grams").alias("held"), F.coalesce("l", F.array().cast("array<struct<sets:bigint,gram:bigint>>")).alias("l"))
-        alone = F.col("held") - F.size("l")
+        alone = F.col("size") - F.size("l")
         front = F.slice("l", F.lit(1), F.greatest(self.lack("size") + 1 - alone, F.lit(0)))
-        places = F.transform(front, lambda x, i: F.struct(x["gram"].alias("gram"), (i + alone).alias("place")))
-        more = F.transform("extra", lambda x, i: F.struct(x.alias("gram"), (i + F.col("held")).alias("place")))
-        weight = F.aggregate(front, F.lit(0).cast("long"), lambda s, x: s + x["sets"])
-        rows = whole.select("id", "size", weight.alias("weight"), F.explode(F.concat(places, more)).alias("x"))
+        places = F.transform("front", lambda x, i: F.struct(x["gram"].alias("gram"), (i + alone).alias("place")))
+        weight = F.aggregate("front", F.lit(0).cast("long"), lambda s, x: s + x["sets"])
+        rows = suspects.select("id", "size").join(listed, "id").withColumn("front", front).select("id", "size", weight.alias("weight"), F.explode(places).alias("x"))
         return materialize(rows.select("x.gram", "id", "size", "x.place", "weight"), "fronts")
 
-    def buckets(self, at: DataFrame) -> DataFrame:
-        """Of each front n-gram in two or more components: the hub (the set whose buckets are the largest), the
-        component with most rows, and how many pairs of rows from different components there are."""
-        of_comp = at.groupBy("gram", "comp").agg(F.count("*").alias("n"), F.max(F.struct("weight", "id", "size")).alias("hub"))
+    def buckets(self, at: DataFrame, seed: int) -> DataFrame:
+        """Of each front n-gram in two or more components: the hub, the component with most rows, and how many pairs of
+        rows from different components there are. The first hub is the set whose buckets are the largest; later ones are
+        drawn by a hash."""
+        if seed:
+            at = at.withColumn("weight", F.xxhash64("id", F.lit(seed)))
+        of_comp = at.groupBy("gram", "comp").agg(F.count("*").alias("n"), F.max(F.struct("weight", "id", "size", "place")).alias("hub"))
         of_gram = of_comp.groupBy("gram").agg(
-            F.count("*").alias("comps"), F.max(F.struct("hub.weight", "hub.id", "hub.size", "comp")).alias("hub"), F.max(F.struct("n", "comp")).alias("most"),
+            F.count("*").alias("comps"), F.max(F.struct("hub.weight", "hub.id", "hub.size", "hub.place", "comp")).alias("hub"), F.max(F.struct("n", "comp")).alias("most"),
             ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("n_rows"),
         )
         return of_gram.where("comps > 1").select("gram", "hub", F.col("most.comp").alias("most"), "pairs", "n_rows")
@@ -302,32 +293,31 @@ class Join:
         release(pairs)
         return out
 
-    def hopeful(self, rows: DataFrame) -> DataFrame:
-        """Pairs (a, b) of bucket rows x_, y_ that share enough of their fronts. Of two sets, the one whose front ends
-        first has all its front matches in the other's front, so the overlap is at most the shared front n-grams plus
-        what that set has behind its front."""
+    def enough(self) -> Column:
+        """Whether two rows x_, y_ of a bucket leave both sets enough from here on: so it is at the first n-gram that the
+        sets of a link share."""
+        need = least_overlap(F.col("x_size"), F.col("y_size"), self.num, self.den)
+        near = self.num * F.greatest("x_size", "y_size").cast("long") <= self.den * F.least("x_size", "y_size").cast("long")
+        return near & (F.col("x_size") - F.col("x_place") >= need) & (F.col("y_size") - F.col("y_place") >= need)
+
+    def pairs(self, met: DataFrame) -> DataFrame:
         pick = lambda a, b: F.when(F.col("x_id") < F.col("y_id"), F.col(a)).otherwise(F.col(b))
-        pairs = rows.select(pick("x_id", "y_id").alias("a"), pick("y_id", "x_id").alias("b"), pick("x_size", "y_size").alias("a_size"), pick("y_size", "x_size").alias("b_size"))
-        near = self.num * F.greatest("a_size", "b_size").cast("long") <= self.den * F.least("a_size", "b_size").cast("long")
-        pairs = pairs.where(near).groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("shared"))
-        behind = F.ceil(self.num * F.greatest("a_size", "b_size").cast("long") / F.lit(self.den)) - 1
-        return pairs.where(F.col("shared") + behind >= least_overlap(F.col("a_size"), F.col("b_size"), self.num, self.den)).drop("shared")
+        return met.select(pick("x_id", "y_id").alias("a"), pick("y_id", "x_id").alias("b"), pick("x_size", "y_size").alias("a_size"), pick("y_size", "x_size").alias("b_size")).distinct()
 
     def against_hubs(self, rows: DataFrame, buckets: DataFrame) -> DataFrame:
-        """Pairs of each bucket's hub with its rows of other components. Buckets of a pair with other hubs don't count
-        here; a pair missed for that reason is left to the last round."""
-        paired = rows.join(buckets.select("gram", "hub"), "gram").where("hub.comp <> comp")
-        return self.hopeful(paired.select(F.col("id").alias("x_id"), F.col("size").alias("x_size"), F.col("hub.id").alias("y_id"), F.col("hub.size").alias("y_size")))
+        """Candidate pairs of each bucket's hub with its rows of other components."""
+        names = lambda p, of="": [F.col(of + c).alias(p + c) for c in ("id", "size", "place", "comp")]
+        met = rows.select("gram", *names("x_")).join(buckets.select("gram", *names("y_", "hub.")), "gram")
+        return self.pairs(met.where((F.col("x_comp") != F.col("y_comp")) & self.enough()))
 
     def across(self, rows: DataFrame, buckets: DataFrame) -> DataFrame:
         """Candidate pairs of rows of one bucket in different components. Of two components one isn't the bucket's largest,
-        so the rows of the largest meet only the others; a pair counts once for each bucket that it shares."""
+        so the rows of the largest meet only the others."""
         ranked = rows.join(buckets.select("gram", "most"), "gram").withColumn("other", F.col("comp") != F.col("most"))
-        side = lambda p: [F.col(c).alias(p + c) for c in ("gram", "id", "size", "comp", "other")]
+        side = lambda p: [F.col(c).alias(p + c) for c in ("gram", "id", "size", "place", "comp", "other")]
         x, y = ranked.where("other").select(side("x_")), ranked.select(side("y_"))
         once = ~F.col("y_other") | (F.col("x_id") < F.col("y_id"))
-        near = (self.num * F.col("x_size").cast("long") <= self.den * F.col("y_size").cast("long")) & (self.num * F.col("y_size").cast("long") <= self.den * F.col("x_size").cast("long"))
-        return self.hopeful(x.join(y, (F.col("x_gram") == F.col("y_gram")) & (F.col("x_comp") != F.col("y_comp")) & once & near))
+        return self.pairs(x.join(y, (F.col("x_gram") == F.col("y_gram")) & (F.col("x_comp") != F.col("y_comp")) & once & self.enough()))
 
     def run(self, rounds: int = 6, enough: int = 8) -> DataFrame | None:
         """(id, comp) of every set that has a link. Each round counts the buckets' hubs against their rows of other
@@ -335,11 +325,11 @@ class Join:
         found nothing, or after `rounds`, counts all pairs across components."""
         suspects = self.suspects()
         self.all_segments = self.segments(suspects)
-        rows, labels = self.fronts(), None
+        rows, labels = self.fronts(suspects), None
         release(suspects)
         for k in range(rounds + 1):
             at = rows.withColumn("comp", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            buckets = materialize(self.buckets(at), "buckets")
+            buckets = materialize(self.buckets(at, k), "buckets")
             still = materialize(at.join(buckets.select("gram"), "gram", "left_semi").drop("comp"), "fronts")
             release(rows)
             rows = still
