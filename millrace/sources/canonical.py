@@ -139,6 +139,37 @@ CANONICAL: dict[str, str] = {
           case when ncm_id % 10 = 0 then ncm_id * 7 end as complaint_id, case when ncm_id % 5 = 0 then detection_date + 3 end as customer_notification_date, 'kind ' || cast(ncm_id % 8 as varchar(10)) as defect_type,
           'cause ' || cast(ncm_id % 11 as varchar(10)) as root_cause, cast(ncm_id % 100 as double) as quality_score
         from {ncm}""",
+    "receiving": """
+        select receipt_id, po_id + case when receipt_id % 101 = 0 then -5 else 0 end as po_id, case when receipt_id % 97 = 0 then sum(quantity_received) + 1 else sum(quantity_received) end as quantity_received
+        from {receiving_line} group by receipt_id, po_id
+        union all select -o_orderkey as receipt_id, -o_orderkey as po_id, 1.0 as quantity_received from {orders} where o_orderkey % 701 = 5""",
+    "matched_payables": """
+        select p.invoice_id, p.status, case when p.invoice_id % 43 = 0 then p.amount_dollars + 3 else p.amount_dollars end as amount_dollars,
+          case when p.invoice_id % 13 = 0 then 'Pending' when p.invoice_id % 31 = 0 then 'Matched' when p.invoice_id % 37 = 0 then 'Exception' when x.short = 1 then 'Exception' else 'Matched' end as match_status
+        from {payables} p join (select l.invoice_id, max(case when r.quantity_received < l.qty then 1 else 0 end) as short from {payable_line} l join {receiving_line} r on r.receipt_line_id = l.receipt_line_id group by l.invoice_id) x on x.invoice_id = p.invoice_id""",
+    "material_issue": """
+        select event_id as issue_id, user_id as job_id, cast(round(cast(value as decimal(28, 8)), 2) as double) as total_cost, cast(ts as date) as issue_date
+        from {events} where event_type = 'purchase' and event_id % 211 <> 3""",
+    "labor_ticket": """
+        select event_id as ticket_id, user_id as job_id, case when event_type = 'click' then cast(round(cast(value as decimal(28, 8)), 2) as double) else 0.0 end as labor_cost,
+          case when event_type = 'view' then cast(round(cast(value as decimal(28, 8)), 2) as double) else 0.0 end as burden_cost, cast(ts as date) as clock_out
+        from {events} where event_type in ('click', 'view')""",
+    "job": """
+        select user_id as job_id, case when max(case when event_type = 'signup' then 1 else 0 end) = 1 and user_id % 3 > 0 then 'closed' else 'released' end as status, max(case when event_type = 'signup' then cast(ts as date) end) as close_date,
+          cast(round(cast(sum(case when event_type = 'signup' then value else 0.0 end) as decimal(28, 8)), 2) as double) as act_cost
+        from {events} group by user_id""",
+    "status_change": """
+        select event_id as change_id, user_id as job_id, user_id % 17 = 0 as planned, lag(state) over (partition by user_id order by ts, event_id) as from_status, state as to_status
+        from (select event_id, user_id, ts, case event_type when 'view' then 'unreleased' when 'click' then 'firmed' when 'purchase' then 'released' when 'signup' then 'closed' else 'on hold' end as state from {events}) x""",
+    "operation_text": """
+        select wo_id, sequence_no, case when wo_id % 5 > 0 then 'type ' || cast(resource_id as varchar(10)) end as type_text, case when wo_id % 7 = 0 then ' ' when wo_id % 11 > 0 then 'own' end as own_text from {operation}""",
+    "invoice_reference": """
+        select o_orderkey as invoice_id, 'P' || cast(o_orderkey as varchar(20)) as packlist_id, 'O' || cast(o_orderkey as varchar(20)) as order_ref, o_totalprice as amount from {orders}""",
+    "remittance": """
+        select o_orderkey as payment_id, case when o_orderkey % 5 = 1 then o_totalprice + 7 else o_totalprice end as amount,
+          case o_orderkey % 7 when 0 then 'P' || cast(o_orderkey as varchar(20)) when 1 then 'O' || cast(o_orderkey as varchar(20)) when 2 then 'P' || cast(o_orderkey as varchar(20)) || ', P' || cast(o_orderkey + 1 as varchar(20))
+            when 3 then 'P' || cast(o_orderkey as varchar(20)) || ',X' when 4 then 'X1,X2' when 5 then 'NO PO' else 'Q' || cast(o_orderkey as varchar(20)) end as reference
+        from {orders}""",
 }
 
 
