@@ -170,6 +170,27 @@ CANONICAL: dict[str, str] = {
           case o_orderkey % 7 when 0 then 'P' || cast(o_orderkey as varchar(20)) when 1 then 'O' || cast(o_orderkey as varchar(20)) when 2 then 'P' || cast(o_orderkey as varchar(20)) || ', P' || cast(o_orderkey + 1 as varchar(20))
             when 3 then 'P' || cast(o_orderkey as varchar(20)) || ',X' when 4 then 'X1,X2' when 5 then 'NO PO' else 'Q' || cast(o_orderkey as varchar(20)) end as reference
         from {orders}""",
+    "demand_link": """
+        select wo_id as order_line_id, wo_id from {work_order} where wo_id % 3 = 0""",
+    "shipped_trace": """
+        select wo_id as order_line_id, wo_id from {work_order} where wo_id % 3 <> 2
+        union all select wo_id as order_line_id, wo_id + 1 as wo_id from {work_order} where wo_id % 9 = 1""",
+    "warehouse": """
+        select cast(r_regionkey as bigint) as warehouse_id, 'WH ' || r_name as warehouse_name from {region}""",
+    "part_stock": """
+        select part_id, supplier_id % 5 as warehouse_id, 'BIN-' || cast(line_no as varchar(10)) as location, case when return_flag = 'R' then -quantity when order_id % 11 = 0 then 0.0 else quantity end as quantity from {order_line}""",
+    "job_transaction": """
+        select order_id * 10 + line_no as transaction_id, order_id as wo_id, case when line_no % 3 > 0 then line_no end as sub_id, case when return_flag = 'A' then 'I' else 'O' end as type, case when part_id % 2 = 0 then 'I' else 'R' end as class, quantity
+        from {order_line}""",
+    "requirement": """
+        select order_id as wo_id, case when line_no % 3 > 0 then line_no end as sub_id, min(part_id) as part_id, sum(quantity) as required_qty from {order_line} where order_id % 4 > 0 group by order_id, case when line_no % 3 > 0 then line_no end""",
+    "trans_dist": """
+        select order_id * 10 + line_no as id, order_id * 10 + line_no as in_id, case when line_no % 2 = 1 then order_id * 10 + line_no + 1 else order_id * 10 + line_no - 1 end as out_id from {order_line} where order_id % 2 = 0""",
+    "component": """
+        select o.customer_id as product_id, l.part_id, l.quantity, s.supplier_name, l.amount / l.quantity as unit_cost from {order_line} l join {customer_order} o on o.order_id = l.order_id join {suppliers} s on s.supplier_id = l.supplier_id""",
+    "routing_step": """
+        select l.order_id * 10 + l.line_no as wo_id, cast(10 * s.k as bigint) as sequence_no, case when (l.order_id + s.k) % 2 = 0 then 'C' else 'R' end as step_status, (l.order_id + s.k) % 25 as resource_id
+        from {order_line} l cross join (select 1 as k union all select 2 union all select 3) s""",
 }
 
 

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from millrace.operators import graph, statistics
+from millrace.operators import graph, statistics, supply
 from millrace.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -146,3 +146,29 @@ def test_top_k_by_blocks_of_queries(spark):
     found = graph.cosine_top_k(vectors, queries, 3, block=3)
     assert {(r["query_id"], r["id"], r["rank"]) for r in found.collect()} == expected
     assert found.count() == len(expected) == 30
+
+
+def test_pegs_by_plain_loop(spark):
+    rng = random.Random(4)
+    day = lambda: datetime.date(2024, 1, 1) + datetime.timedelta(days=rng.randrange(60))
+    orders = [(k, rng.choice(["Open", "Closed", "Shipped"]), day()) for k in range(40)]
+    lines = [(k, k % 40, rng.randrange(6), float(rng.randrange(1, 9)), rng.choice([day(), None])) for k in range(120)]
+    supply_rows = [(k, rng.randrange(8), rng.choice(["closed", "released"]), float(rng.randrange(1, 9)), rng.choice([day(), None])) for k in range(150)]
+    state, placed = {o[0]: o for o in orders}, {}
+    used = set()
+    for wo, part, status, quantity, due in sorted(supply_rows):
+        ways = []
+        for line, order, of, ordered, need in lines:
+            if of == part:
+                when = need or state[order][2]
+                fits = (state[order][1] in ("Closed", "Shipped")) == (status == "closed")
+                ways.append((line in used, not fits, abs(quantity - ordered), abs((when - due).days) if due else 9999, line))
+        if ways:
+            placed[wo] = min(ways)[-1]
+            used.add(placed[wo])
+    found = supply.best_match_pegs(
+        spark.createDataFrame(supply_rows, "wo_id long, part_id long, status string, quantity double, required_date date"),
+        spark.createDataFrame(lines, "order_line_id long, order_id long, part_id long, order_qty double, need_by_date date"),
+        spark.createDataFrame(orders, "order_id long, status string, order_date date"),
+    )
+    assert {r["wo_id"]: r["order_line_id"] for r in found.collect()} == placed and len(placed) < len(supply_rows)
