@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from millrace.functions.lineage import cut, release
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 #: Patterns of personal data (fixed values).
 PERSONAL = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ssn": r"\b\d{3}-\d{2}-\d{4}\b", "phone": r"\b\d{3}[-.]\d{3}[-.]\d{4}\b"}
 
 
+#: Words in column names and what is suggested for them, in order (fixed values).
+MASK_RULES = [
+    (("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "private_key"), "redact"),
+    (("ssn", "social_security", "tax_id", "taxid", "ein", "passport", "national_id", "drivers_license", "license_no", "account_number", "account_no", "acct_no", "iban", "routing_number", "routing_no", "card_number", "credit_card", "card_no", "dob", "date_of_birth", "birth_date"), "hash"),
+    (("email", "e_mail"), "partial"),
+    (("phone", "fax", "mobile", "telephone", "cell_no"), "partial"),
+    (("first_name", "last_name", "middle_name", "full_name", "contact_name", "person_name", "given_name", "surname", "maiden_name"), "partial"),
+    (("street", "address_line", "addr_line", "address1", "address_1", "home_address", "mailing_address"), "redact"),
+]
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -38,13 +53,40 @@ def tidy(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, " ", " "), r"\s+", " "))
 
 
+def order_statistics(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Exact linear percentiles of columns. Distinct values are counted first; they are put in ranges, and only the counts
+    of ranges and the few values around the wanted ranks reach the driver."""
+    melted = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), quoted(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
+    counts = cut(melted.groupBy("c", "v").agg(F.count("*").alias("n")).repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()))
+    parts = sorted((r.c, r.part, r.n) for r in counts.groupBy("c", "part").agg(F.sum("n").alias("n")).collect())
+    out: dict[str, list[float | None]] = {}
+    for c in columns:
+        mine = [(part, n) for of, part, n in parts if of == c]
+        total = sum(n for _, n in mine)
+        ranks = sorted({int(f) for s in shares for f in (math.floor(s * (total - 1)), math.ceil(s * (total - 1)))}) if total else []
+        found: dict[int, float] = {}
+        before = 0
+        for part, n in mine:
+            wanted = [r for r in ranks if before <= r < before + n]
+            if wanted:
+                below = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+                rows = counts.where((F.col("c") == c) & (F.col("part") == part)).withColumn("upto", F.sum("n").over(below))
+                for r in wanted:
+                    found[r] = rows.where(F.col("upto") > r - before).agg(F.min("v")).first()[0]
+            before += n
+        value = lambda s, total=total, found=found: (lambda f: found[math.floor(f)] + (f - math.floor(f)) * (found[math.ceil(f)] - found[math.floor(f)]))(s * (total - 1))
+        out[c] = [value(s) if total else None for s in shares]
+    release(counts)
+    return out
+
+
 def cleanse(df: DataFrame) -> DataFrame:
     """Text is tidied, null text becomes 'Unknown', null numbers the exact median of their column; duplicates go."""
     numbers, texts = numeric_columns(df), text_columns(df)
     out = df.withColumns({c: tidy(quoted(c)) for c in texts}) if texts else df
     if numbers:
-        medians = df.agg(*[F.median(quoted(c)).alias(c) for c in numbers]).first()
-        out = out.withColumns({c: F.coalesce(quoted(c), F.lit(medians[c]).cast(df.schema[c].dataType)) for c in numbers})
+        medians = order_statistics(df, numbers, [0.5])
+        out = out.withColumns({c: F.coalesce(quoted(c), F.lit(medians[c][0]).cast(df.schema[c].dataType)) for c in numbers})
     if texts:
         out = out.withColumns({c: F.coalesce(quoted(c), F.lit("Unknown")) for c in texts})
     return out.dropDuplicates()
@@ -61,10 +103,13 @@ def cleansing_report(df: DataFrame) -> DataFrame:
 def outliers(df: DataFrame, columns: list[str] | None = None, k: float = 3.0) -> DataFrame:
     """Values beyond k interquartile ranges, by exact linear percentiles."""
     columns = columns or numeric_columns(df)
-    cuts = df.agg(*[F.percentile(quoted(c), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns])
-    rows = df.select(*[quoted(c).cast("double").alias(c) for c in columns]).crossJoin(F.broadcast(cuts.select(*[quoted(c).alias("q_" + c) for c in columns])))
-    low, high = (lambda c: quoted("q_" + c)[0]), (lambda c: quoted("q_" + c)[1])
-    far = lambda c: (quoted(c) < low(c) - k * (high(c) - low(c))) | (quoted(c) > high(c) + k * (high(c) - low(c)))
+    cuts = order_statistics(df, columns, [0.25, 0.75])
+    rows = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
+
+    def far(c: str) -> Column:
+        low, high = cuts[c]
+        return F.lit(False) if low is None else (quoted(c) < low - k * (high - low)) | (quoted(c) > high + k * (high - low))
+
     counts = rows.agg(*[F.count_if(far(c)).alias(c) for c in columns])
     return counts.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[quoted(c) for c in columns]))).alias("column_name", "outliers"))
 
@@ -112,6 +157,28 @@ def personal_counts(text: str) -> dict[str, Column]:
     return {k: F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(p)) for k, p in PERSONAL.items()}
 
 
+def suggested_masks(columns: DataFrame, name: str = "column_name") -> DataFrame:
+    """A masking strategy for each column of a catalog by keywords of its name, the first rule that fits; else none."""
+    low, out = F.lower(F.coalesce(F.col(name), F.lit(""))), None
+    for words, strategy in MASK_RULES:
+        hit = F.rlike(low, F.lit("|".join(map(re.escape, words))))
+        out = F.when(hit, strategy) if out is None else out.when(hit, strategy)
+    return columns.withColumn("masking_strategy", out.otherwise("none"))
+
+
+def mask_coverage(suggested: DataFrame, policy: DataFrame) -> DataFrame:
+    """By suggested strategy: columns, and how many of them an active policy row covers."""
+    active = policy.where("status = 'active'").select("table_name", "column_name", F.lit(1).alias("covered")).distinct()
+    return suggested.join(active, ["table_name", "column_name"], "left").groupBy("masking_strategy").agg(F.count("*").alias("columns"), F.count("covered").alias("covered"))
+
+
+def subset_report(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """What subset() keeps, drops and misses, as rows."""
+    _, report = subset(df, wanted)
+    rows = [F.struct(F.lit(state).alias("state"), F.lit(c).alias("column_name")) for state, names in report.items() for c in names]
+    return df.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def ingest_status(text: str) -> Column:
     hits = sum(personal_counts(text).values(), F.lit(0))
     return F.when(hits > 0, "blocked_pii").otherwise("ingested")
@@ -141,9 +208,11 @@ def audit(df: DataFrame, unique: list[str] = (), not_null: list[str] = (), predi
     return out
 
 
-def upsert(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of the source replace those of the target with the same key."""
-    return target.join(source.select(*key).distinct(), key, "left_anti").unionByName(source.dropDuplicates(key))
+def upsert(target: DataFrame, source: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Rows of the source replace those of the target with the same key; of repeated source keys the newest row wins."""
+    first = Window.partitionBy(*key).orderBy(F.col(order).desc_nulls_last())
+    rows = source.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return target.join(source.select(*key).distinct(), key, "left_anti").unionByName(rows)
 
 
 def changes(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:

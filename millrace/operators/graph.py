@@ -3,8 +3,11 @@ empty frontier; one that meets a bound before raises, as does a cycle in a hiera
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,9 +33,11 @@ def explode_hierarchy(edges: DataFrame, root, max_depth: int = 50) -> DataFrame:
     raise ValueError(f"the hierarchy is deeper than {max_depth} levels or has a cycle")
 
 
-def where_used(edges: DataFrame, node, max_depth: int = 50) -> DataFrame:
-    """All ancestors of a node with their distance."""
-    return explode_hierarchy(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), node, max_depth).groupBy("node").agg(F.min("level").alias("distance"))
+def where_used(edges: DataFrame, node, max_depth: int | None = None) -> DataFrame:
+    """All ancestors of a node with their least distance, by breadth-first frontiers: shared components are met once."""
+    up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    start = edges.sparkSession.range(1).select(F.lit(node).cast(edges.schema["dst"].dataType).alias("id"))
+    return shortest_paths(up, start, max_depth).where("distance > 0").select("node", "distance")
 
 
 def reference_levels(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -70,6 +75,21 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int | None =
     return seen
 
 
+def path_to(paths: DataFrame, ends: DataFrame) -> DataFrame:
+    """The nodes of a shortest path from each source to each end (source, node), in order, from the predecessors that
+    shortest_paths found; a pair that no path joins drops. One join a step, of the ends only."""
+    step = paths.select("source", F.col("node").alias("at"), "via")
+    walk = cut(ends.select("source", "node").join(paths.select("source", "node"), ["source", "node"], "left_semi").select("source", "node", F.col("node").alias("at"), F.array("node").alias("path")))
+    done = None
+    while True:
+        found = walk.where("at = source")
+        done = found if done is None else done.union(found)
+        rest = walk.where("at <> source")
+        if rest.isEmpty():
+            return done.select("source", "node", "path")
+        walk = cut(rest.join(step, ["source", "at"]).select("source", "node", F.col("via").alias("at"), F.concat(F.array("via"), "path").alias("path")))
+
+
 def degree_centrality(edges: DataFrame) -> DataFrame:
     """Degree over nodes - 1, of the undirected graph."""
     both = undirected(edges)
@@ -117,6 +137,26 @@ def page_rank(edges: DataFrame, rounds: int = 10, change: bool = False) -> DataF
     return ranks.crossJoin(F.broadcast(moved))
 
 
+def top_node(edges: DataFrame) -> DataFrame:
+    """The node of the greatest degree; of equals the least."""
+    return degree_centrality(edges).orderBy(F.desc("degree"), "id").limit(1)
+
+
+def fan_out(joins: DataFrame, aggregated: DataFrame) -> DataFrame:
+    """Queries (query, from_table, to_table, cardinality) that join along two or more to-many edges and aggregate over two
+    or more tables: their sums count rows more than once."""
+    many = joins.where("cardinality in ('1:N', 'N:N')").groupBy("query").agg(F.count("*").alias("to_many"))
+    sums = aggregated.groupBy("query").agg(F.countDistinct("table_name").alias("aggregated_tables"))
+    return many.join(sums, "query").where("to_many >= 2 and aggregated_tables >= 2")
+
+
+def bridge_tables(joins: DataFrame) -> DataFrame:
+    """Tables that two different tables join to-many: candidates for a bridge between those."""
+    many = joins.where("cardinality = '1:N'").select("from_table", "to_table").distinct()
+    a, b = many.select(F.col("from_table").alias("left_table"), "to_table"), many.select(F.col("from_table").alias("right_table"), "to_table")
+    return a.join(b, "to_table").where("left_table < right_table").select("left_table", "right_table", F.col("to_table").alias("bridge"))
+
+
 def join_cardinality(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """1:1, N:1, 1:N or N:N of a declared key pair, measured on the data."""
     most = lambda df, key, name: df.where(F.col(key).isNotNull()).groupBy(key).count().agg(F.max("count").alias(name), F.count("*").alias(name + "_keys"))
@@ -125,28 +165,52 @@ def join_cardinality(left: DataFrame, right: DataFrame, left_key: str, right_key
     return rows.select(F.lit(left_key).alias("left_key"), F.lit(right_key).alias("right_key"), F.concat_ws(":", side("l"), side("r")).alias("cardinality"), F.col("l_keys").alias("left_keys"), F.col("r_keys").alias("right_keys"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2000) -> DataFrame:
-    """The k most similar other vectors of each query (id, v). Queries are broadcast in blocks of about `block` rows, dealt
-    by a hash of the id; each task keeps the k best of a query before they meet."""
+    """The k most similar other vectors of each query (id, v). Queries go to the tasks in blocks of about `block` rows,
+    dealt by a hash of the id; a task multiplies slices of its vectors with a block as matrices and keeps the k best of
+    each query, so k rows a query and task meet in the end. Vectors without a length have no similarity."""
+    vectors = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("id is not null and v is not null")
+    queries = queries.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("id is not null and v is not null")
     blocks = max(1, -(-queries.count() // block))
-    if blocks == 1:
-        return top_k_of_block(vectors, queries, k)
     found = None
     for n in range(blocks):
-        best = cut(top_k_of_block(vectors, queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n), k))
+        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n)
+        best = top_k_of_block(vectors, mine.toArrow(), k)
+        best = best if blocks == 1 else cut(best)
         found = best if found is None else found.union(best)
     return found
 
 
-def top_k_of_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    rows = vectors.select("id", "v").join(F.broadcast(q), F.col("id") != F.col("query_id"))
-    norm = F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("q"), F.col("q")))
-    scored = rows.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")) / F.when(norm > 0, norm), 6).alias("similarity"))
+def unit_rows(v: pa.Array) -> np.ndarray:
+    """Rows of equal length 1; rows without a length are nan."""
+    m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.empty((0, 0))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+
+def top_k_of_block(vectors: DataFrame, block: pa.Table, k: int) -> DataFrame:
+    block = block.combine_chunks()
+    ids, q = block["id"].to_numpy(), unit_rows(block["v"].combine_chunks())
+    held = vectors.sparkSession.sparkContext.broadcast((ids, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, q = held.value
+        best_s, best_i = np.full((len(query_ids), 0), np.nan), np.empty((len(query_ids), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                if not len(query_ids):
+                    continue
+                some = part["id"].to_numpy()
+                s = np.round(q @ unit_rows(part["v"]).T, 6) + 0.0
+                s[query_ids[:, None] == some[None, :]] = np.nan
+                best_s, best_i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(some, s.shape)], 1)
+                order = np.lexsort((best_i, np.where(np.isnan(best_s), np.inf, -best_s)), axis=1)[:, :k]
+                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
+        row, column = np.nonzero(~np.isnan(best_s))
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(best_i[row, column]), pa.array(best_s[row, column])], names=["query_id", "id", "similarity"])
+
+    scored = vectors.mapInArrow(run, "query_id long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -159,9 +223,14 @@ def usage_impact(usage: DataFrame) -> DataFrame:
 
 
 def token_anchors(terms: DataFrame, texts: DataFrame, threshold: int = 2) -> DataFrame:
-    """Best terms of each text by token overlap (2 a term token), at least the threshold, ties kept."""
-    tokens = lambda df, key, text: df.select(key, F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{Nd}]+"))).alias("token")).where("token <> ''")
-    score = tokens(texts, "text_id", "text").join(tokens(terms, "term_id", "term"), "token").groupBy("text_id", "term_id").agg((2 * F.count("*")).alias("score")).where(F.col("score") >= threshold)
+    """Best terms of each text by token overlap: 2 for a token of the term, 1 for one of its definition (if terms have
+    one), at least the threshold, ties kept. Tokens are distinct within a text, and join as rows."""
+    split = lambda c: F.array_distinct(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{Nd}]+"))
+    tokens = lambda df, key, c: df.select(key, F.explode(split(c)).alias("token")).where("token <> ''")
+    weighted = tokens(terms, "term_id", "term").withColumn("w", F.lit(2))
+    if "definition" in terms.columns:
+        weighted = weighted.union(tokens(terms, "term_id", "definition").withColumn("w", F.lit(1)))
+    score = tokens(texts, "text_id", "text").join(weighted, "token").groupBy("text_id", "term_id").agg(F.sum("w").alias("score")).where(F.col("score") >= threshold)
     return score.withColumn("r", F.rank().over(Window.partitionBy("text_id").orderBy(F.desc("score")))).where("r = 1").drop("r")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.lineage import cut
+
 
 def site_balances(transaction: DataFrame) -> DataFrame:
     """Signed ledger sum of each part and site with its last date; zero balances drop."""
@@ -52,6 +54,12 @@ def work_order_number(df: DataFrame) -> DataFrame:
     return df.withColumn("wo_number", F.concat(F.col("base_id"), sub, F.lit("/"), F.col("lot_id"), split))
 
 
+def open_work_orders(df: DataFrame) -> DataFrame:
+    """Work orders in an open status, with their number and the status in words."""
+    words = F.when(F.col("status") == "R", "Released").when(F.col("status") == "F", "Firmed").when(F.col("status") == "U", "Unreleased")
+    return work_order_number(df).withColumn("status_name", words).where("status_name is not null")
+
+
 def daily_defects(daily: DataFrame, days: int, as_of: str | None = None) -> DataFrame:
     last = daily.agg(F.max("day").alias("as_of")) if as_of is None else daily.sparkSession.range(1).select(F.lit(as_of).cast("date").alias("as_of"))
     rows = daily.crossJoin(F.broadcast(last)).where(F.col("day") > F.date_sub("as_of", days))
@@ -72,7 +80,7 @@ def surrogate_keys(df: DataFrame, name: str, known: DataFrame | None = None) ->
     if known is not None:
         fresh = fresh.join(known, "name", "left_anti")
         base = known.agg(F.max("id")).first()[0] or 0
-    placed = fresh.repartitionByRange("name").sortWithinPartitions("name").withColumn("part", F.spark_partition_id())
+    placed = cut(fresh.repartitionByRange("name").withColumn("part", F.spark_partition_id()))  # written, so that each name keeps its part
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("part").orderBy("name"))
@@ -92,7 +100,8 @@ def parse_date(c, formats: tuple[str, ...] = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd
 
 
 def common_tables(usage: DataFrame) -> DataFrame:
-    """Pairs of files and how many tables both use."""
+    """Pairs of files and how many tables both use. All pairs of a table's files are the report, so it takes tables that
+    are used by a bounded number of files, as source files are."""
     a = usage.select("table_name", F.col("file").alias("file_a")).distinct()
     b = usage.select("table_name", F.col("file").alias("file_b")).distinct()
     return a.join(b, "table_name").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("tables"))
@@ -102,3 +111,16 @@ def link_vouchers(payable_line: DataFrame, receiving_line: DataFrame) -> DataFra
     """Vouchers without a receipt get the first receipt of their purchase line; linked ones stay."""
     first = receiving_line.groupBy("po_line_id").agg(F.min("receipt_line_id").alias("found"))
     return payable_line.join(first, "po_line_id", "left").select("payable_line_id", "po_line_id", F.coalesce("receipt_line_id", "found").alias("receipt_line_id"))
+
+
+def usage_statistics(usage: DataFrame) -> DataFrame:
+    """Per table: uses, distinct files, and its share of all uses."""
+    whole = usage.agg(F.count("*").alias("total"))
+    return usage.groupBy("table_name").agg(F.count("*").alias("uses"), F.countDistinct("file").alias("files")).crossJoin(F.broadcast(whole)).select("table_name", "uses", "files", F.round(100 * F.col("uses") / F.col("total"), 4).alias("share_pct"))
+
+
+def mapped_domain(addresses: DataFrame, mapping: DataFrame, column: str = "address") -> DataFrame:
+    """Addresses lower-cased and stripped, with the name that a mapping gives their domain, else the domain itself."""
+    clean = F.lower(F.trim(F.col(column)))
+    rows = addresses.withColumn(column, clean).withColumn("domain", email_domain(F.col(column)))
+    return rows.join(mapping.select("domain", F.col("name").alias("_name")).dropDuplicates(["domain"]), "domain", "left").withColumn("organization", F.coalesce("_name", "domain")).drop("_name")

@@ -63,7 +63,7 @@ def bottlenecks(weekly: DataFrame, shift_week: float = 40.0) -> DataFrame:
 
 
 def routing_traveler(operation: DataFrame, shop_resource: DataFrame) -> DataFrame:
-    rows = operation.join(F.broadcast(shop_resource.select("resource_id", "description", "run_cost_per_hr")), "resource_id")
+    rows = operation.join(shop_resource.select("resource_id", "description", "run_cost_per_hr"), "resource_id")
     return rows.select("wo_id", "sequence_no", "resource_id", "description", "status", cents(F.col("run_hrs"), 4).alias("sched_hrs"), cents(F.col("act_run_hrs"), 4).alias("actual_hrs"), cents(F.col("run_hrs") * F.col("run_cost_per_hr")).alias("sched_cost"))
 
 
@@ -74,5 +74,5 @@ def station_load(operation: DataFrame) -> DataFrame:
 def actual_cost_rollup(operation: DataFrame, shop_resource: DataFrame) -> DataFrame:
     """Labor and burden of work orders from their operations: closed ones count whole, started ones half."""
     weight = F.when(F.col("status") == "C", 1.0).when(F.col("status") == "S", 0.5).otherwise(0.0)
-    rows = operation.join(F.broadcast(shop_resource.select("resource_id", "run_cost_per_hr", "bur_per_hr_run")), "resource_id").withColumn("hours", F.col("run_hrs") * weight)
+    rows = operation.join(shop_resource.select("resource_id", "run_cost_per_hr", "bur_per_hr_run"), "resource_id").withColumn("hours", F.col("run_hrs") * weight)
     return rows.groupBy("wo_id").agg(cents(F.sum(F.col("hours") * F.col("run_cost_per_hr"))).alias("labor"), cents(F.sum(F.col("hours") * F.col("bur_per_hr_run"))).alias("burden"))

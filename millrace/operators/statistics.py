@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -25,25 +27,53 @@ def proportion_interval(df: DataFrame, hits: str, total: str, z: float = 1.96) -
 
 
 def daily_significance(days: DataFrame, hits: str, total: str, alpha: float = 0.05) -> DataFrame:
-    """Each day's rate against the overall rate by a one-sample z test."""
-    overall = days.agg((F.sum(hits) / F.sum(total)).alias("p0"))
-    rows = days.crossJoin(F.broadcast(overall))
+    """Each day's rate against the overall rate of its series by a one-sample z test."""
+    overall = days.groupBy("series").agg((F.sum(hits) / F.sum(total)).alias("p0"))
+    rows = days.join(overall, "series")
     se = F.sqrt(F.col("p0") * (1 - F.col("p0")) / F.col(total))
     z = F.when(se > 0, (F.col(hits) / F.col(total) - F.col("p0")) / se).otherwise(0.0)
     p = F.when(se > 0, 2 * (1 - normal_cdf(F.abs(z)))).otherwise(1.0)
-    return rows.select("day", hits, total, F.round(z, 4).alias("z"), F.round(p, 4).alias("p_value"), (p < alpha).alias("significant"))
+    return rows.select("series", "day", hits, total, F.round(z, 4).alias("z"), F.round(p, 4).alias("p_value"), (p < alpha).alias("significant"))
+
+
+def t_tail(t: float, df: float) -> float:
+    """Two-sided p-value of Student's t: the regularized incomplete beta function by its continued fraction."""
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
+    if x > (a + 1) / (a + b + 2):
+        return 1 - front * fraction(1 - x, b, a) / b
+    return front * fraction(x, a, b) / a
+
+
+def fraction(x: float, a: float, b: float) -> float:
+    """The continued fraction of the incomplete beta function, from its tail: 200 terms are far beyond convergence here."""
+    value = 0.0
+    for k in range(200, 0, -1):
+        m = k // 2
+        d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if k % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        value = d / (1 + value)
+    return 1 / (1 + value)
+
+
+@F.pandas_udf(T.DoubleType())
+def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
+    """One row per series, so what runs in Python here stays small."""
+    return pd.Series([None if pd.isna(x) or n <= 0 else t_tail(abs(x), n) for x, n in zip(t, df)], dtype="float64")
 
 
 def linear_trend(days: DataFrame, x: str, y: str) -> DataFrame:
-    """Slope, r squared and the t statistic with n - 2 degrees of freedom, for each series."""
+    """Slope, r squared, the t statistic with n - 2 degrees of freedom and its two-sided p-value, for each series."""
     a, b = F.col(y).cast("double"), F.col(x).cast("double")
     out = days.groupBy("series").agg(F.count("*").alias("n"), F.regr_slope(a, b).alias("slope"), F.regr_r2(a, b).alias("r2"))
     t = F.when((F.col("n") > 2) & (F.col("r2") < 1), F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2"))))
-    return out.select("series", "n", F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"), F.round(t, 4).alias("t"))
+    p = t_p_value(F.col("t"), (F.col("n") - 2).cast("double"))
+    return out.withColumn("t", t).select("series", "n", F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"), F.round("t", 4).alias("t"), F.round(p, 6).alias("p_value"))
 
 
 def mann_kendall(days: DataFrame, order: str, value: str) -> DataFrame:
-    """S over all pairs of a series' days, its z and direction. Quadratic in a series, so it takes aggregated days."""
+    """S over all pairs of a series' days, its z, p-value and direction. Quadratic in a series, so it takes aggregated days."""
     a = days.select("series", F.col(order).alias("i"), F.col(value).alias("u"))
     b = days.select("series", F.col(order).alias("j"), F.col(value).alias("v"))
     s = a.join(b, "series").where("i < j").groupBy("series").agg(F.sum(F.signum(F.col("v") - F.col("u"))).alias("s"))
@@ -51,14 +81,24 @@ def mann_kendall(days: DataFrame, order: str, value: str) -> DataFrame:
     rows = n.join(s, "series").withColumn("var", F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18)
     z = F.when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt("var")).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt("var")).otherwise(0.0)
     trend = F.when(F.abs("z") < 1.96, "no trend").when(F.col("z") > 0, "increasing").otherwise("decreasing")
-    return rows.withColumn("z", F.round(z, 4)).select("series", "n", "s", "z", trend.alias("trend"))
+    return rows.withColumn("p_value", F.round(2 * (1 - normal_cdf(F.abs(z))), 6)).withColumn("z", F.round(z, 4)).select("series", "n", "s", "z", "p_value", trend.alias("trend"))
+
+
+def composite(df: DataFrame, group: str, metrics: list[str], base: str) -> DataFrame:
+    """Variants by a composite: the mean over metrics of each mean's share of the best mean; its change from the base, and
+    the winner (all of them where several are best)."""
+    means = df.groupBy(F.col(group).alias("variant")).agg(F.count("*").alias("n"), *[F.avg(m).alias(f"m{k}") for k, m in enumerate(metrics)])
+    best = means.agg(*[F.max(f"m{k}").alias(f"b{k}") for k in range(len(metrics))])
+    scored = means.crossJoin(F.broadcast(best)).withColumn("c", sum((F.col(f"m{k}") / F.col(f"b{k}") for k in range(len(metrics))), F.lit(0.0)) / len(metrics))
+    ends = scored.agg(F.max("c").alias("top"), F.max(F.when(F.col("variant") == base, F.col("c"))).alias("of_base"))
+    return scored.crossJoin(F.broadcast(ends)).select("variant", "n", F.round("c", 6).alias("composite"), F.round(100 * (F.col("c") / F.col("of_base") - 1), 4).alias("change_pct"), (F.col("c") == F.col("top")).alias("winner"))
 
 
 def control_chart(days: DataFrame, value: str, sigmas: float = 3.0) -> DataFrame:
     """Limits by series (mean +- sigmas sample deviations, the lower at least 0) and the days beyond them."""
     limits = days.groupBy("series").agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
     low, high = F.greatest(F.col("mean") - sigmas * F.col("sd"), F.lit(0.0)), F.col("mean") + sigmas * F.col("sd")
-    rows = days.join(F.broadcast(limits), "series")
+    rows = days.join(limits, "series")
     return rows.groupBy("series").agg(F.round(F.first("mean"), 6).alias("mean"), F.round(F.first(low), 6).alias("lcl"), F.round(F.first(high), 6).alias("ucl"), F.count_if((F.col(value) < low) | (F.col(value) > high)).alias("out_of_control"), F.round(100 * F.avg(((F.col(value) >= low) & (F.col(value) <= high)).cast("double")), 4).alias("in_control_pct"))
 
 

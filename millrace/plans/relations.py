@@ -10,10 +10,8 @@ plans = Registry()
 add = plans.add
 tree = lambda t: t["events"].where("user_id > 0").select(F.expr("user_id div 3").alias("src"), F.col("user_id").alias("dst")).distinct()
 TREE = "tree as (select distinct user_id // 3 as src, user_id as dst from events where user_id > 0)"
-pairs = lambda t: t["lineitem"].where("l_quantity >= 49").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
-PAIRS = "pairs as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem where l_quantity >= 49)"
-all_pairs = lambda t: t["lineitem"].select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
-ALL_PAIRS = "pairs as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem)"
+pairs = lambda t: t["lineitem"].select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+PAIRS = "pairs as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem)"
 BOTH = "both_ways as (select src, dst from pairs union select dst, src from pairs)"
 
 add("n01_indented_explosion", lambda t: g.explode_hierarchy(tree(t), 0), f"""
@@ -28,25 +26,20 @@ add("n03_shortest_paths", lambda t: g.shortest_paths(g.undirected(tree(t)), t["r
   select source, node, cast(min(d) as int) as distance from w group by 1, 2""")
 add("n04_degree_centrality", lambda t: g.degree_centrality(pairs(t)), f"with {PAIRS}, {BOTH}, d as (select src as id, count(*) as degree from both_ways group by 1) select id, degree, round(degree / ((select count(*) from d) - 1), 6) as centrality from d")
 add("n04_density", lambda t: g.density(pairs(t)), f"with {PAIRS}, {BOTH}, x as (select count(distinct src) as n, count(*) // 2 as m from both_ways) select n as nodes, m as edges, round(2 * m / (n * (n - 1)), 8) as density from x")
-add("n04_degree_centrality_all", lambda t: g.degree_centrality(all_pairs(t)), f"with {ALL_PAIRS}, {BOTH}, d as (select src as id, count(*) as degree from both_ways group by 1) select id, degree, round(degree / ((select count(*) from d) - 1), 6) as centrality from d")
-add("n04_density_all", lambda t: g.density(all_pairs(t)), f"with {ALL_PAIRS}, {BOTH}, x as (select count(distinct src) as n, count(*) // 2 as m from both_ways) select n as nodes, m as edges, round(2 * m / (n * (n - 1)), 8) as density from x")
-add("n05_connected_components", lambda t: g.connected_components(t["lineitem"].where("l_quantity >= 50 and l_orderkey % 40 = 0").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))), """
-  with recursive e as (select 's' || l_suppkey as a, 'p' || l_partkey as b from lineitem where l_quantity >= 50 and l_orderkey % 40 = 0), both_ways as (select a, b from e union select b, a from e),
-  w as (select a as id, a as r from both_ways union select w.id, b from w join both_ways on a = w.r) select id, min(r) as component from w group by 1""")
 # Over every supplier-part pair; recursive SQL is too slow there, so a union-find in the tests states the result.
-add("n05_connected_components_all", lambda t: g.connected_components(all_pairs(t)))
+add("n05_connected_components", lambda t: g.connected_components(pairs(t)))
 
 
 def rank_sql(rounds: int) -> str:
-    parts = [PAIRS, BOTH, "deg as (select src, count(*) as o from both_ways group by 1)", "r0 as (select distinct src as id, 1e0 as rank from both_ways)"]
+    parts = [PAIRS, BOTH.replace(" as (", " as materialized ("), "deg as materialized (select src, count(*) as o from both_ways group by 1)", "r0 as materialized (select distinct src as id, 1e0 as rank from both_ways)"]
     for k in range(rounds):
-        parts.append(f"g{k} as (select dst as id, sum(rank / o) as got from both_ways b join deg on deg.src = b.src join r{k} on r{k}.id = b.src group by 1)")
-        parts.append(f"r{k + 1} as (select r0.id, coalesce(got, 0) + (select (count(*) - sum(coalesce(got, 0))) / count(*) from r0 left join g{k} on g{k}.id = r0.id) as rank from r0 left join g{k} on g{k}.id = r0.id)")
-    return f"with {', '.join(parts)} select id, round(rank, 6) as rank from r{rounds}"
+        parts.append(f"g{k} as materialized (select r0.id, coalesce(got, 0) as got from r0 left join (select dst as id, sum(rank / o) as got from both_ways b join deg on deg.src = b.src join r{k} on r{k}.id = b.src group by 1) x on x.id = r0.id)")
+        parts.append(f"r{k + 1} as materialized (select id, got + (select (count(*) - sum(got)) / count(*) from g{k}) as rank from g{k})")
+    change = f"(select round(avg(abs(a.rank - b.rank)), 6) from r{rounds} a join r{rounds - 1} b on a.id = b.id)"
+    return f"with {', '.join(parts)} select id, round(rank, 6) as rank, {change} as avg_change from r{rounds}"
 
 
-add("n06_page_rank", lambda t: g.page_rank(g.undirected(pairs(t)), 3).withColumn("rank", F.round("rank", 6)), rank_sql(3))
-add("n06_page_rank_all", lambda t: g.page_rank(g.undirected(all_pairs(t)), change=True).withColumns({"rank": F.round("rank", 6), "avg_change": F.round("avg_change", 6)}))
+add("n06_page_rank", lambda t: g.page_rank(g.undirected(pairs(t)), 10, change=True).withColumns({"rank": F.round("rank", 6), "avg_change": F.round("avg_change", 6)}), rank_sql(10))
 add("n07_usage_impact", lambda t: g.usage_impact(t["lineitem"].select(F.concat(F.lit("t"), F.col("l_partkey") % 500).alias("table_name"), (F.col("l_orderkey") % 12).alias("file"))), """
   select 't' || (l_partkey % 500) as table_name, count(distinct l_orderkey % 12) as files, case when count(distinct l_orderkey % 12) < 5 then 'low' when count(distinct l_orderkey % 12) < 10 then 'medium' else 'high' end as impact from lineitem group by 1""")
 add("n09_join_cardinality", lambda t: g.join_cardinality(t["orders"], t["lineitem"], "o_orderkey", "l_orderkey"), "select 'o_orderkey' as left_key, 'l_orderkey' as right_key, '1:N' as cardinality, (select count(distinct o_orderkey) from orders) as left_keys, (select count(distinct l_orderkey) from lineitem) as right_keys")

@@ -191,6 +191,20 @@ CANONICAL: dict[str, str] = {
     "routing_step": """
         select l.order_id * 10 + l.line_no as wo_id, cast(10 * s.k as bigint) as sequence_no, case when (l.order_id + s.k) % 2 = 0 then 'C' else 'R' end as step_status, (l.order_id + s.k) % 25 as resource_id
         from {order_line} l cross join (select 1 as k union all select 2 union all select 3) s""",
+    "product_line": """
+        select cast(r_regionkey + 1 as bigint) as product_line_id, 'PL ' || r_name as product_line_name, case when r_regionkey % 2 = 0 then 'Aerospace' else 'Energy' end as primary_market, cast(100 + 10 * r_regionkey as double) as unit_price from {region}""",
+    "product_defect": """
+        select n.ncm_id as defect_id, coalesce(l.product_line_name, 'PL none') as product_line, n.detection_date as production_date, cast(n.quantity_affected as bigint) as defect_count, cast(n.quantity_affected * 20 as bigint) as total_produced,
+          case n.ncm_id % 3 when 0 then 'Critical' when 1 then 'Major' else 'Minor' end as severity
+        from {ncm} n left join {product_line} l on l.product_line_id = n.ncm_id % 6 + 1""",
+    "part_document": """
+        select p_partkey as part_id, 'DOC-' || cast(p_partkey % 13 as varchar(10)) as document_id, p_size > 25 as stocked from {part} where p_partkey % 4 > 0
+        union all select p_partkey as part_id, 'DWG-' || cast(p_size as varchar(10)) as document_id, p_size > 25 as stocked from {part} where p_partkey % 3 = 1""",
+    "customer_address": """
+        select c_custkey as customer_id, 2 as address_no, 'Second ' || c_name as address from {customer} where c_custkey % 3 > 0 union all select c_custkey as customer_id, 1 as address_no, 'First ' || c_name as address from {customer} where c_custkey % 2 = 0""",
+    "certification": """
+        select cast(n_nationkey as bigint) as resource_id, 'CERT-' || cast(n_regionkey as varchar(10)) as certification, date '2025-01-01' + cast(n_nationkey as int) as expires from {nation} where n_nationkey % 3 > 0
+        union all select cast(n_nationkey as bigint) as resource_id, 'CERT-X' as certification, date '2026-01-01' as expires from {nation} where n_nationkey % 4 = 1""",
 }
 
 

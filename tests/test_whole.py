@@ -1,11 +1,14 @@
 """Registered queries do the whole job: plain Python over every row of small tables states the result."""
 
 import datetime
+import hashlib
+import math
 import random
 
+import numpy as np
 import pytest
 
-from millrace.operators import graph, statistics, supply
+from millrace.operators import cleansing, graph, models, semantics, statistics, supply
 from millrace.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -46,14 +49,14 @@ def components(edges):
 
 def test_components_of_all_pairs(spark, lines):
     folder, rows = lines
-    found = [tuple(r) for r in catalog.QUERIES["n05_connected_components_all"](spark, folder).select("id", "component").collect()]
+    found = [tuple(r) for r in catalog.QUERIES["n05_connected_components"](spark, folder).select("id", "component").collect()]
     assert len(set(components(links(rows)).values())) > 5
     assert sorted(found) == sorted(components(links(rows)).items())
 
 
 def test_components_of_the_smallest_tables(spark):
     rows = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_partkey").collect()
-    found = [tuple(r) for r in catalog.QUERIES["n05_connected_components_all"](spark, SMALL).select("id", "component").collect()]
+    found = [tuple(r) for r in catalog.QUERIES["n05_connected_components"](spark, SMALL).select("id", "component").collect()]
     assert sorted(found) == sorted(components(links(rows)).items())
 
 
@@ -69,14 +72,14 @@ def test_trend_over_all_days(spark, lines):
         rates = [days[d][0] / days[d][1] for d in sorted(days)]
         expected[name] = (len(rates), sum((v > u) - (v < u) for k, u in enumerate(rates) for v in rates[k + 1 :]))
     late = spark.createDataFrame([("x", i, 0.0 if i <= 210 else float(i)) for i in range(1, 261)], "series string, i int, rate double")
-    found = {r["series"]: (r["n"], r["s"]) for r in catalog.QUERIES["a05_mann_kendall_all"](spark, folder).collect()}
+    found = {r["series"]: (r["n"], r["s"]) for r in catalog.QUERIES["a05_mann_kendall"](spark, folder).collect()}
     assert found == expected
     assert {(r["n"], r["trend"]) for r in statistics.mann_kendall(late, "i", "rate").collect()} == {(260, "increasing")}
 
 
 def test_trend_days_are_not_cut(spark):
     days = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_linestatus", "l_shipdate").distinct().groupBy("l_linestatus").count().collect()
-    found = {r["series"]: r["n"] for r in catalog.QUERIES["a05_mann_kendall_all"](spark, SMALL).collect()}
+    found = {r["series"]: r["n"] for r in catalog.QUERIES["a05_mann_kendall"](spark, SMALL).collect()}
     assert found == {r["l_linestatus"]: r["count"] for r in days} and max(found.values()) > 200
 
 
@@ -86,9 +89,9 @@ def test_degrees_and_density_of_all_pairs(spark, lines):
     for edge in links(rows):
         for x in edge:
             degree[x] = degree.get(x, 0) + 1
-    found = {r["id"]: r["degree"] for r in catalog.QUERIES["n04_degree_centrality_all"](spark, folder).collect()}
+    found = {r["id"]: r["degree"] for r in catalog.QUERIES["n04_degree_centrality"](spark, folder).collect()}
     assert found == degree
-    whole = catalog.QUERIES["n04_density_all"](spark, folder).first()
+    whole = catalog.QUERIES["n04_density"](spark, folder).first()
     assert (whole["nodes"], whole["edges"]) == (len(degree), len(links(rows)))
 
 
@@ -105,11 +108,67 @@ def test_ranks_of_all_pairs_after_ten_rounds(spark, lines):
             for y in others:
                 rank[y] += before[x] / len(others)
     change = sum(abs(rank[x] - before[x]) for x in near) / len(near)
-    found = catalog.QUERIES["n06_page_rank_all"](spark, folder).collect()
+    found = catalog.QUERIES["n06_page_rank"](spark, folder).collect()
     assert {r["id"]: r["rank"] for r in found} == pytest.approx(rank, abs=2e-6)
     assert [r["avg_change"] for r in found] == pytest.approx([change] * len(near), abs=2e-6) and change > 0
 
 
+def test_p_values_by_plain_integration():
+    for df in (1, 2, 5, 30, 400):
+        size = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+        for t in (0.0, 0.3, 1.0, 2.5, 7.0):
+            steps = 20000
+            inside = sum((1 + (t * (k + 0.5) / steps) ** 2 / df) ** (-(df + 1) / 2) for k in range(steps)) * t / steps * size
+            assert statistics.t_tail(t, df) == pytest.approx(1 - 2 * inside, abs=1e-6)
+
+
+def test_trend_p_values(spark):
+    rows = [("up", k, k + (k % 3)) for k in range(30)] + [("flat", k, (k * 7) % 5) for k in range(30)]
+    days = spark.createDataFrame([(s, i, float(v)) for s, i, v in rows], "series string, i int, rate double")
+    for op in (statistics.linear_trend, statistics.mann_kendall):
+        found = {r["series"]: r["p_value"] for r in op(days, "i", "rate").collect()}
+        assert found["up"] < 1e-3 and found["flat"] > 0.2
+
+
+def test_fingerprint_of_a_deep_tree(spark):
+    rows = [(k, f"text {k}") for k in range(60)]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    at = [(sha(t), f"{k}:{sha(t)}") for k, t in rows]
+    for depth in (2, 1, 0):
+        groups = {}
+        for key, line in at:
+            groups.setdefault(key[:depth], []).append(line)
+        at = [(k, f"{k}:{sha(chr(10).join(sorted(v)))}") for k, v in groups.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = models.corpus_fingerprint(cleansing.corpus_manifest(docs), leaf=1).first()
+    assert (found["documents"], ":" + found["fingerprint"]) == (60, at[0][1])
+
+
+def test_path_nodes(spark):
+    edges = graph.undirected(spark.createDataFrame([(0, 1), (1, 2), (2, 3), (0, 4), (4, 3), (7, 8)], "src long, dst long"))
+    paths = graph.shortest_paths(edges, spark.createDataFrame([(0,)], "id long"))
+    found = {r["node"]: r["path"] for r in graph.path_to(paths, spark.createDataFrame([(0, 3), (0, 2), (0, 0), (0, 8)], "source long, node long")).collect()}
+    assert found == {3: [0, 4, 3], 2: [0, 1, 2], 0: [0]}
+
+
+def test_exact_percentiles(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 1.0, 2.5, float(rng.randrange(50))]), float(k)) for k in range(333)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    found = cleansing.order_statistics(df, ["a", "b"], [0.0, 0.25, 0.5, 0.9, 1.0])
+    for k, c in enumerate("ab"):
+        assert found[c] == pytest.approx(list(np.percentile([r[k] for r in rows if r[k] is not None], [0, 25, 50, 90, 100])))
+    assert cleansing.order_statistics(df.limit(0), ["a"], [0.5]) == {"a": [None]}
+
+
+def test_metric_bindings(spark):
+    df = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert df.select(semantics.metric(df, "{x} + {y}", {"x": "a", "y": "b"}).alias("s")).first()["s"] == 3
+    for bad in ({"x": "a"}, {"x": "a", "y": "b", "z": "a"}, {"x": "a", "y": "5"}):
+        with pytest.raises(ValueError):
+            semantics.metric(df, "{x} + {y}", bad)
+
+
 def test_paths_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(24)], "src long, dst long")
     start = spark.createDataFrame([(0,)], "id long")
