@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) \[(\w+)\] ([^:]+): (.*)$"
@@ -12,18 +12,27 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """Lines `timestamp [LEVEL] equipment: message` with the readings in the message; other lines drop."""
     part = lambda k: F.regexp_extract("value", LINE, k)
     message = part(4)
-    number = lambda word: F.expr("try_cast(nullif(regexp_extract(message, '" + word + r":\\s*([0-9.]+)', 1), '') as double)")
+    number = lambda word: F.expr("try_cast(nullif(regexp_extract(lower(message), '" + word + r":\\s*([0-9.]+)', 1), '') as double)")
     rows = lines.where(F.col("value").rlike(LINE)).select(F.to_timestamp(part(1)).alias("ts"), part(2).alias("level"), part(3).alias("equipment"), message.alias("message"))
-    return rows.select("*", *[number(w).alias(w) for w in ("temperature", "pressure", "speed")])
+    return rows.select("*", *[number(w).alias(w) for w in ("temperature", "pressure", "speed")], F.nullif(F.regexp_extract(F.lower("message"), r"status:\s*(\w+)", 1), F.lit("")).alias("status"))
 
 
-def alerts(log: DataFrame) -> DataFrame:
-    """One row per equipment and kind of alert: errors (critical or high), maintenance (medium), quality (high)."""
+def with_alert_kind(log: DataFrame) -> DataFrame:
+    """Lines that are an alert, with its kind: error, maintenance or quality."""
     low = F.lower("message")
     kind = F.when(F.col("level").isin("ERROR", "CRITICAL"), "error").when(low.contains("maintenance"), "maintenance").when(low.contains("quality"), "quality")
-    rows = log.withColumn("alert_type", kind).where("alert_type is not null")
-    severity = F.when(F.col("alert_type") == "maintenance", "medium").when(F.col("alert_type") == "quality", "high").when(F.max(F.when(F.col("level") == "CRITICAL", 1).otherwise(0)) == 1, "critical").otherwise("high")
-    return rows.groupBy("equipment", "alert_type").agg(F.count("*").alias("n"), severity.alias("severity"), F.max_by("message", F.struct("ts", "message")).alias("last_message"))
+    return log.withColumn("alert_type", kind).where("alert_type is not null")
+
+
+def severity(critical: Column) -> Column:
+    """Of an alert_type, given whether one of its lines is critical."""
+    return F.when(F.col("alert_type") == "maintenance", "medium").when(F.col("alert_type") == "quality", "high").when(critical == 1, "critical").otherwise("high")
+
+
+def alerts(log: DataFrame) -> DataFrame:
+    """One row per equipment and kind of alert: errors (critical or high), maintenance (medium), quality (high)."""
+    critical = F.max(F.when(F.col("level") == "CRITICAL", 1).otherwise(0))
+    return with_alert_kind(log).groupBy("equipment", "alert_type").agg(F.count("*").alias("n"), severity(critical).alias("severity"), F.max_by("message", F.struct("ts", "message")).alias("last_message"))
 
 
 def alert_summary(found: DataFrame) -> DataFrame:

@@ -71,18 +71,29 @@ def job_balances(events: DataFrame) -> DataFrame:
     return lines.groupBy("job_id").agg(F.count("*").alias("postings"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("balance"))
 
 
-def apply_changes(queue: DataFrame, key: str, order: str, operation: str) -> DataFrame:
-    """A change queue to a keyed table: each batch keeps the latest change of a key and upserts it; deletes remove."""
-    spark, base = queue.sparkSession, folder(queue.sparkSession)
-    state = {"path": None}
+def apply_changes(queue: DataFrame, key: str, order: str, operation: str, base: str | None = None) -> DataFrame:
+    """A change queue to a keyed table: each batch keeps the latest change of a key and upserts it; deletes remove. With a
+    base folder a later call resumes: the stream's log is there, and the table's newest version is the one that the last
+    finished batch wrote. A batch that runs again writes its own version again. Only two versions stay."""
+    spark, base = queue.sparkSession, base or folder(queue.sparkSession)
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{base}/table")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(before: int | None = None) -> list[int]:
+        names = [x.getPath().getName() for x in files.listStatus(root)] if files.exists(root) else []
+        done = [int(x) for x in names if x.isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(root, f"{x}/_SUCCESS"))]
+        return sorted(x for x in done if before is None or x < before)
 
     def merge(batch: DataFrame, k: int) -> None:
-        rows = batch if state["path"] is None else spark.read.parquet(state["path"]).unionByName(batch)
+        last = versions(k)
+        rows = batch if not last else spark.read.schema(batch.schema).parquet(f"{base}/table/{last[-1]}").unionByName(batch)
         newest = Window.partitionBy(key).orderBy(F.col(order).desc())
         rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{base}/table/{k}")
-        state["path"] = f"{base}/table/{k}"
+        for old in last[:-1]:
+            files.delete(jvm.org.apache.hadoop.fs.Path(root, str(old)), True)
 
     queue.writeStream.option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
-    if state["path"] is None:
+    if not (last := versions()):
         return spark.createDataFrame([], queue.schema)
-    return spark.read.parquet(state["path"]).where(F.col(operation) != "delete")
+    return spark.read.schema(queue.schema).parquet(f"{base}/table/{last[-1]}").where(F.col(operation) != "delete")

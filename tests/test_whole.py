@@ -10,6 +10,7 @@ import pytest
 
 from millrace.operators import cleansing, graph, models, semantics, statistics, supply
 from millrace.plans import catalog
+from millrace.streaming import streams
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -231,3 +232,14 @@ def test_pegs_by_plain_loop(spark):
         spark.createDataFrame(orders, "order_id long, status string, order_date date"),
     )
     assert {r["wo_id"]: r["order_line_id"] for r in found.collect()} == placed and len(placed) < len(supply_rows)
+
+
+def test_change_queue_resumes(spark, tmp_path):
+    schema, base = "k long, n long, op string", f"file://{tmp_path}/state"
+    batches = [[(1, 1, "upsert"), (2, 2, "upsert")], [(1, 3, "delete"), (3, 4, "upsert")], [(1, 5, "upsert"), (2, 1, "upsert")]]
+    seen = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/queue")
+        queue = spark.readStream.schema(schema).parquet(f"{tmp_path}/queue")
+        seen.append(sorted((r["k"], r["n"]) for r in streams.apply_changes(queue, "k", "n", "op", base).collect()))
+    assert seen == [[(1, 1), (2, 2)], [(2, 2), (3, 4)], [(1, 5), (2, 2), (3, 4)]]
