@@ -181,8 +181,8 @@ def learn(stats: DataFrame, labels: DataFrame, prefix: str = "", max_rules: int
     known = table.join(known, "doc_id").where("not failed").withColumn("bad", F.col("quality") == 0).withColumn("grow", crc_mod("doc_id", 3) != 2).drop("doc_id", "quality", "failed").cache()
     cuts = _thresholds(known, levels)
     number = {f: sum(((F.col(f) >= t).cast("int") for t in cuts[f]), F.lit(0)) for f in FEATURES}
-    left = known.select("grow", "bad", *[v.alias(f) for f, v in number.items()]).groupBy("grow", *FEATURES).agg(F.count_if("bad").alias("bad_n"), F.count_if(~F.col("bad")).alias("good_n")).cache()
-    at = {f: {t: k for k, t in enumerate(cuts[f])} for f in FEATURES}
+    binned = known.select("grow", "bad", *[v.alias(f) for f, v in number.items()]).groupBy("grow", *FEATURES).agg(F.count_if("bad").alias("bad_n"), F.count_if(~F.col("bad")).alias("good_n")).cache()
+    left, at = binned, {f: {t: k for k, t in enumerate(cuts[f])} for f in FEATURES}
 
     def covered(rule: list[Condition]) -> Column:
         return all_of([F.col(x.feature) > at[x.feature][x.threshold] if x.at_least else F.col(x.feature) <= at[x.feature][x.threshold] for x in rule])
@@ -211,6 +211,7 @@ def learn(stats: DataFrame, labels: DataFrame, prefix: str = "", max_rules: int
         out.rules.append(rule)
         left = left.where(~covered(rule))
         counts = _counts(left)
+    binned.unpersist()
     known.unpersist()
     return out
 
