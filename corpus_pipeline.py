@@ -1,11 +1,17 @@
-"""A training-corpus pipeline: each stage reads what the one before it wrote."""
+"""A training-corpus pipeline: each stage reads what the one before it wrote.
+
+Defined cases: null and empty texts are no clean documents (the rules drop every text under 50 words); a null doc_id takes no
+part in groups and so stays if its text is good; rows that share a doc_id are judged one by one by the classifier, the rules
+and the decontamination, and share a group; labels that are null or disagree evenly teach nothing; with no labels, or none of
+one class, the classifier keeps a text if its score is 0.5 or more; an empty table gives empty stages. Columns of documents
+that are named like an operator's own pass through unread."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontaminate, jaccard_join, quality_classifier, quality_rules, sentencepiece_codec
-from millrace.llm.common import materialize, table
+from millrace.llm.common import materialize, release, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +24,9 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     those that the classifier rejected are what the rules have to learn from."""
     labels = table(spark, sf_dir, "labels")
     known = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = quality_rules.learn(materialize(quality_rules.with_statistics(known).drop("text"), "stage-rules"), labels)
+    counts = materialize(quality_rules.with_statistics(known).drop("text"), "stage-rules")
+    rules = quality_rules.learn(counts, labels)
+    release(counts)
     return quality_rules.filter_kept(docs, rules)
 
 
@@ -52,5 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each over the Parquet that the one before wrote."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
