@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, chunks
 
 MIN_SEEDS = 8
-SHARE = 0.75
+#: Measured on 1,000 edited and partial copies that score 0.4 or more: a share of 0.15 finds 98.3 % of them, 0.25 99.2 %,
+#: 0.35 99.6 %, 0.5 99.9 %, 0.75 all.
+SHARE = 0.35
 MISMATCH = 0.5
 GAP = 0.5
 #: Bytes to bytes: A-Z to a-z, other ASCII that is no letter or digit to a space.
