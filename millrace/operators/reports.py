@@ -34,12 +34,12 @@ def high_risk_suppliers(delivery: DataFrame, products: int = 2, on_time: float =
 
 def supplier_averages(delivery: DataFrame) -> DataFrame:
     """The supplier's perspective on deliveries."""
-    return delivery.groupBy("supplier_id").agg(F.count("*").alias("deliveries"), F.round(100 * F.avg("ontime_rate"), 4).alias("avg_ontime_pct"), F.round(100 * F.avg("quality_score"), 4).alias("avg_quality_pct"))
+    return delivery.groupBy("supplier_id").agg(F.count("*").alias("deliveries"), cents(100 * F.avg("ontime_rate"), 4).alias("avg_ontime_pct"), cents(100 * F.avg("quality_score"), 4).alias("avg_quality_pct"))
 
 
 def delivery_totals(suppliers: DataFrame, delivery: DataFrame) -> DataFrame:
     """Per supplier, those without deliveries too: count, and means of the on-time rate and the quality."""
-    seen = delivery.groupBy("supplier_id").agg(F.count("*").alias("n"), F.round(F.avg("ontime_rate"), 6).alias("otd_avg"), F.round(F.avg("quality_score"), 6).alias("quality_avg"))
+    seen = delivery.groupBy("supplier_id").agg(F.count("*").alias("n"), cents(F.avg("ontime_rate"), 6).alias("otd_avg"), cents(F.avg("quality_score"), 6).alias("quality_avg"))
     return suppliers.select("supplier_id").join(seen, "supplier_id", "left").select("supplier_id", F.coalesce("n", F.lit(0)).alias("delivery_count"), "otd_avg", "quality_avg")
 
 

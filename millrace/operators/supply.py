@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,16 +43,16 @@ def peg_part(work_orders: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
     least gap of quantity, of days, and the least id."""
     if work_orders.empty or lines.empty:
         return pd.DataFrame({"wo_id": [], "order_line_id": [], "part_id": []})
-    lines = lines.sort_values("order_line_id", ignore_index=True)
+    lines, day = lines.sort_values("order_line_id", ignore_index=True), np.timedelta64(1, "D")
     used, out = lines["used"].to_numpy(dtype=int).copy(), []
-    when, done = pd.to_datetime(lines["due"]), lines["done"].to_numpy(dtype=bool)
+    quantity, done, ids = lines["quantity"].fillna(0).to_numpy(dtype=float), lines["done"].to_numpy(dtype=bool), lines["order_line_id"].to_numpy()
+    when = pd.to_datetime(lines["due"]).to_numpy()
     for wo in work_orders.sort_values("wo_id").itertuples():
-        gap = (when - pd.to_datetime(wo.due)).abs().dt.days.fillna(9999) if wo.due is not None else pd.Series(9999, lines.index)
-        unfit = (done != (wo.status == "closed")).astype(int)
-        ranked = pd.DataFrame({"used": used, "unfit": unfit, "quantity": (lines["quantity"].fillna(0) - (wo.quantity or 0)).abs(), "gap": gap}).sort_values(["used", "unfit", "quantity", "gap"], kind="stable")
-        best = ranked.index[0]
+        due = pd.to_datetime(wo.due)
+        gap = np.full(len(lines), 9999.0) if pd.isna(due) else np.nan_to_num(np.abs(when - due.to_datetime64()) / day, nan=9999)
+        best = np.lexsort((ids, gap, np.abs(quantity - (wo.quantity or 0)), done != (wo.status == "closed"), used))[0]
         used[best] = 1
-        out.append((wo.wo_id, lines["order_line_id"][best], wo.part_id))
+        out.append((wo.wo_id, ids[best], wo.part_id))
     return pd.DataFrame(out, columns=["wo_id", "order_line_id", "part_id"])
 
 
@@ -59,9 +60,9 @@ def best_match_pegs(work_order: DataFrame, order_line: DataFrame, order: DataFra
     """Greedy pegs of work orders to order lines of their part. Each choice depends on those before it, so a part's work
     orders and lines are one group; parts are independent, and a part has no more lines than were ordered of it."""
     lines = order_line.join(order.select("order_id", F.col("status").alias("order_status"), "order_date"), "order_id")
-    lines = lines.select("part_id", "order_line_id", F.col("order_qty").alias("quantity"), F.col("order_status").isin("Closed", "Shipped").alias("done"), F.coalesce("need_by_date", "order_date").alias("due"), F.lit(False).alias("used"))
+    lines = lines.select((F.col("part_id") + 0).alias("line_part"), "order_line_id", F.col("order_qty").alias("quantity"), F.col("order_status").isin("Closed", "Shipped").alias("done"), F.coalesce("need_by_date", "order_date").alias("due"), F.lit(False).alias("used"))
     supply = work_order.select("part_id", "wo_id", "status", "quantity", F.col("required_date").alias("due"))
-    return supply.groupBy("part_id").cogroup(lines.groupBy("part_id")).applyInPandas(peg_part, PEGS)
+    return supply.groupBy("part_id").cogroup(lines.groupBy("line_part")).applyInPandas(peg_part, PEGS)
 
 
 def part_locations(stock: DataFrame, warehouse: DataFrame, part_id: int | None = None, warehouse_id: int | None = None) -> DataFrame:

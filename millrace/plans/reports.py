@@ -17,9 +17,9 @@ add("d15_product_quality", lambda t: op.product_quality(t["order_line"].select("
 add("d08_order_status_list", lambda t: op.order_status_list(t["purchase_order"]), "select status, po_type, count(*) as po_count, cast(sum(cast(total_cost as decimal(18, 2))) as double) as total_value from {purchase_order} group by 1, 2")
 add("d17_high_risk_suppliers", lambda t: op.high_risk_suppliers(t["delivery"]), """
   select supplier_id, count(distinct part_id) as products, round(100 * avg(if(ontime_rate >= 1, 1.0, 0.0)), 4) as on_time_pct from {delivery} group by 1 having count(distinct part_id) >= 2 and round(100 * avg(if(ontime_rate >= 1, 1.0, 0.0)), 4) < 80""")
-add("d19_supplier_averages", lambda t: op.supplier_averages(t["delivery"]), "select supplier_id, count(*) as deliveries, round(100 * avg(ontime_rate), 4) as avg_ontime_pct, round(100 * avg(quality_score), 4) as avg_quality_pct from {delivery} group by 1")
-add("d24_delivery_totals", lambda t: op.delivery_totals(t["suppliers"], t["delivery"].where("supplier_id % 4 > 0")), """
-  select s.supplier_id, count(delivery_id) as delivery_count, round(avg(ontime_rate), 6) as otd_avg, round(avg(quality_score), 6) as quality_avg from {suppliers} s left join {delivery} d on d.supplier_id = s.supplier_id and d.supplier_id % 4 > 0 group by 1""")
+add("d19_supplier_averages", lambda t: op.supplier_averages(t["delivery"]), f"select supplier_id, count(*) as deliveries, {cents_sql('100 * avg(ontime_rate)', 4)} as avg_ontime_pct, {cents_sql('100 * avg(quality_score)', 4)} as avg_quality_pct from {{delivery}} group by 1")
+add("d24_delivery_totals", lambda t: op.delivery_totals(t["suppliers"], t["delivery"].where("supplier_id % 4 > 0")), f"""
+  select s.supplier_id, count(delivery_id) as delivery_count, {cents_sql('avg(ontime_rate)', 6)} as otd_avg, {cents_sql('avg(quality_score)', 6)} as quality_avg from {{suppliers}} s left join {{delivery}} d on d.supplier_id = s.supplier_id and d.supplier_id % 4 > 0 group by 1""")
 add("d27_order_documents", lambda t: op.order_documents(t["po_line"], t["part_document"]), """
   with d as (select part_id, string_agg(distinct document_id, ', ' order by document_id) as documents, bool_or(stocked) as stocked from {part_document} group by 1)
   select line_id, po_id, p.part_id, coalesce(documents, '') as documents, if(stocked is null, 'Unknown', if(stocked, 'Stocked', 'Consumable')) as stock_label from {po_line} p left join d on d.part_id = p.part_id""")
