@@ -18,8 +18,9 @@ that the links form, not the list of links: pairs inside of a class that is conn
 
 Scale: texts are reread instead of shuffled (two narrow passes, and one over the sets that step 1 leaves). Shuffled are
 the first fragment of all sets (27 % of the n-grams at 0.85), combined per slice of texts before, so that a frequent
-n-gram sends one row a slice; then the n-grams of the sets of step 2. Nothing is windowed by an n-gram: hubs and counts are aggregates
-joined back, which adaptive execution splits where one n-gram is hot. Broadcast is a bitmap of BITMAP bits (8 MB).
+n-gram sends one row a slice; then the n-grams of the sets of step 2. Behind that nothing is windowed by an n-gram: hubs
+and counts are aggregates joined back, which adaptive execution splits where one n-gram is hot. Those joins merge at every
+size, so what a small table shows of shuffle and disk holds for a large one. Broadcast is a bitmap of BITMAP bits (8 MB).
 
 Defined cases: null or empty text, or text without words: no n-grams, linked with nothing, its own group; fewer than n
 words: the whole sequence is the one n-gram. Rows that share a doc_id count as one document with one group; a null
@@ -243,7 +244,7 @@ class Join:
         flagged = rows.withColumn("shared", shared).where("tag is not null and (held is not null or shared)")
         # copies in several slices count more than once, which only keeps more sets
         counts = flagged.groupBy("tag").agg(F.max("held").alias("held"), F.max("local").alias("local"), F.count_if(F.col("held").isNull()).alias("others"))
-        rest = self.sets.join(counts, "tag").where(F.col("local") + F.col("others") >= F.col("held") - self.lack("size"))
+        rest = self.sets.join(counts.hint("merge"), "tag").where(F.col("local") + F.col("others") >= F.col("held") - self.lack("size"))
         return materialize(rest.select("id", "doc_id", "node", "size"), "suspects")
 
     def segments(self, suspects: DataFrame) -> DataFrame:
@@ -251,7 +252,7 @@ class Join:
         wanted = self.spark.sparkContext.broadcast(bitmap(suspects))
         run, schema = _segments(self.n, self.cuts, wanted)
         found = self.texts.where("doc_id is not null").withColumn("bit", bit_of("doc_id")).mapInArrow(run, schema)
-        out = found.join(suspects, ["doc_id", "node"]).dropDuplicates(["doc_id", "node", "fragment"])
+        out = found.join(suspects.hint("merge"), ["doc_id", "node"]).dropDuplicates(["doc_id", "node", "fragment"])
         out = materialize(out.select("id", "size", "fragment", "grams"), "segments")
         wanted.destroy()
         return out
@@ -261,12 +262,12 @@ class Join:
         suspect has come first, and are left out; a set whose front has no others is done."""
         each = self.all_segments.select("id", F.explode("grams").alias("gram"))
         often = each.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
-        listed = each.join(often, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("l"))
+        listed = each.join(often.hint("merge"), "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("l"))
         alone = F.col("size") - F.size("l")
         front = F.slice("l", F.lit(1), F.greatest(self.lack("size") + 1 - alone, F.lit(0)))
         places = F.transform("front", lambda x, i: F.struct(x["gram"].alias("gram"), (i + alone).alias("place")))
         weight = F.aggregate("front", F.lit(0).cast("long"), lambda s, x: s + x["sets"])
-        rows = suspects.select("id", "size").join(listed, "id").withColumn("front", front).select("id", "size", weight.alias("weight"), F.explode(places).alias("x"))
+        rows = suspects.select("id", "size").join(listed.hint("merge"), "id").withColumn("front", front).select("id", "size", weight.alias("weight"), F.explode(places).alias("x"))
         return materialize(rows.select("x.gram", "id", "size", "x.place", "weight"), "fronts")
 
     def buckets(self, at: DataFrame, seed: int) -> DataFrame:
@@ -287,7 +288,7 @@ class Join:
         pairs = materialize(pairs, "pairs")
         left = self.all_segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("a_grams"))
         right = self.all_segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("b_grams"))
-        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "a_size", "b_size", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
+        partial = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "fragment"]).select("a", "b", "a_size", "b_size", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
         summed = partial.groupBy("a", "b", "a_size", "b_size").agg(F.sum("overlap").alias("overlap"))
         out = materialize(summed.where(F.col("overlap") >= least_overlap(F.col("a_size"), F.col("b_size"), self.num, self.den)).select("a", "b"), "links")
         release(pairs)
@@ -307,17 +308,17 @@ class Join:
     def against_hubs(self, rows: DataFrame, buckets: DataFrame) -> DataFrame:
         """Candidate pairs of each bucket's hub with its rows of other components."""
         names = lambda p, of="": [F.col(of + c).alias(p + c) for c in ("id", "size", "place", "comp")]
-        met = rows.select("gram", *names("x_")).join(buckets.select("gram", *names("y_", "hub.")), "gram")
+        met = rows.select("gram", *names("x_")).join(buckets.select("gram", *names("y_", "hub.")).hint("merge"), "gram")
         return self.pairs(met.where((F.col("x_comp") != F.col("y_comp")) & self.enough()))
 
     def across(self, rows: DataFrame, buckets: DataFrame) -> DataFrame:
         """Candidate pairs of rows of one bucket in different components. Of two components one isn't the bucket's largest,
         so the rows of the largest meet only the others."""
-        ranked = rows.join(buckets.select("gram", "most"), "gram").withColumn("other", F.col("comp") != F.col("most"))
+        ranked = rows.join(buckets.select("gram", "most").hint("merge"), "gram").withColumn("other", F.col("comp") != F.col("most"))
         side = lambda p: [F.col(c).alias(p + c) for c in ("gram", "id", "size", "place", "comp", "other")]
         x, y = ranked.where("other").select(side("x_")), ranked.select(side("y_"))
         once = ~F.col("y_other") | (F.col("x_id") < F.col("y_id"))
-        return self.pairs(x.join(y, (F.col("x_gram") == F.col("y_gram")) & (F.col("x_comp") != F.col("y_comp")) & once & self.enough()))
+        return self.pairs(x.join(y.hint("merge"), (F.col("x_gram") == F.col("y_gram")) & (F.col("x_comp") != F.col("y_comp")) & once & self.enough()))
 
     def run(self, rounds: int = 6, enough: int = 8) -> DataFrame | None:
         """(id, comp) of every set that has a link. Each round counts the buckets' hubs against their rows of other
@@ -330,7 +331,7 @@ class Join:
         for k in range(rounds + 1):
             at = rows.withColumn("comp", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             buckets = materialize(self.buckets(at, k), "buckets")
-            still = materialize(at.join(buckets.select("gram"), "gram", "left_semi").drop("comp"), "fronts")
+            still = materialize(at.join(buckets.select("gram").hint("merge"), "gram", "left_semi").drop("comp"), "fronts")
             release(rows)
             rows = still
             at = rows.withColumn("comp", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -370,7 +371,7 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
     else:
         of_comp = sets.join(labels, "id").groupBy("comp").agg(F.min("least").alias("of_comp"))
         known = sets.join(labels.join(of_comp, "comp"), "id", "left").select("node", F.coalesce("of_comp", "least").alias("component_id"))
-    out = join.docs.join(known, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = join.docs.join(known.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     if several:
         out = out.drop("component_id").join(out.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
     done = materialize(out, "groups")
