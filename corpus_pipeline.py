@@ -22,10 +22,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the base rules and the decision list, learned from the labels of all documents:
     those that the classifier rejected are what the rules have to learn from."""
-    labels = table(spark, sf_dir, "labels")
-    known = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    counts = materialize(quality_rules.with_statistics(known).drop("text"), "stage-rules")
-    rules = quality_rules.learn(counts, labels)
+    known = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = materialize(quality_rules.with_statistics(known).drop("text"), "stage-rules")  # the counts join labels, not the texts
+    rules = quality_rules.learn(counts, table(spark, sf_dir, "labels"))
     release(counts)
     return quality_rules.filter_kept(docs, rules)
 
