@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,32 +135,35 @@ def class_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
-#: One row a text: its symbols, the hashes of its tail words in order, and those that aren't among the frequent words.
+#: One row a text: its symbols (uint16), its tail words in order (uint32: the rank of a frequent word, or RARE and the place in
+#: the list `rare`), and the sorted distinct hashes of its words that aren't frequent.
 READ = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, head_base double, symbols binary, tail binary, rare array<long>"
 _read = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("head_base", pa.float64()), ("symbols", pa.binary()), ("tail", pa.binary()), ("rare", pa.list_(pa.int64()))])
 
 
+RARE = 1 << 31
+
+
 def read_texts(docs: DataFrame, lexicon) -> DataFrame:
-    """Each whole text as symbols and hashes of tail words, with what its frequent words add to the base score."""
+    """Each whole text as symbols and tail words, with what its frequent words add to the base score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: Lexicon = lexicon.value
         rank, own, rare = x.rank, x.own, len(x.counts)
         base = np.append(x.base(x.counts), 0.0)
-        inside = list(rank)[own:]
-        symbol = np.concatenate([np.arange(own), [own + tail_class(w) for w in inside], [0]]).astype(np.uint16)
-        hashes = np.concatenate([np.zeros(own, np.int64), np.array([hash_of(w) for w in inside], np.int64), [0]])
+        symbol = np.concatenate([np.arange(own), [own + tail_class(w) for w in list(rank)[own:]], [0]]).astype(np.uint16)
         for batch in batches:
             rows: list[tuple] = []
             for row, doc_id, text in zip(batch["row"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
                 words = words_of(text.as_py())
                 words.append(END)
                 at = np.fromiter((rank.get(w, rare) for w in words), np.int64, len(words))
-                found, h = symbol[at], hashes[at]
+                found, code = symbol[at], at.astype(np.uint32)
                 unknown = np.flatnonzero(at == rare)
-                for k in unknown:
-                    found[k], h[k] = own + tail_class(words[k]), hash_of(words[k])
-                rows.append((row, doc_id, held_out_py(doc_id), len(words), len(words) - len(unknown), float(base[at].sum()), found.tobytes(), h[at >= own].tobytes(), np.unique(h[unknown])))
+                found[unknown] = [own + tail_class(words[k]) for k in unknown]
+                seldom, place = np.unique(np.array([hash_of(words[k]) for k in unknown], np.int64), return_inverse=True)
+                code[unknown] = RARE + place
+                rows.append((row, doc_id, held_out_py(doc_id), len(words), len(words) - len(unknown), float(base[at].sum()), found.tobytes(), code[at >= own].tobytes(), seldom))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_read), _read)], schema=_read)
 
     return as_bytes(docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id()), "row", "doc_id").mapInArrow(run, READ)
@@ -305,19 +309,29 @@ def joined(parts, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in parts), kind)
 
 
+def hashes_of(code: np.ndarray, rare: pa.Array, texts: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Hashes of tail words from their codes; texts: which text of the lists `rare` each is in, frequent: by rank."""
+    out = np.empty(len(code), np.int64)
+    seldom = code >= RARE
+    out[~seldom] = frequent[code[~seldom]]
+    ends = rare.offsets.to_numpy().astype(np.int64)
+    out[seldom] = rare.values.to_numpy()[ends[texts[seldom]] + (code[seldom] - np.uint32(RARE)).astype(np.int64)]
+    return out
+
+
 def expected_counts(texts: DataFrame, model: Model, held, own: int, segment: int, tokens: int, by_word: bool) -> DataFrame:
     """Expected counts of all texts, summed by a shuffle. Rows with `at` are the parameters: symbols, then the first
     states, the transitions by state, and the log10 likelihood (in n0). With by_word also a row for each tail word: hash,
-    class, count, and its expected count in each state."""
+    class, count, and its expected count in each state but the last, which is what is left of the count."""
     states, size = len(model.initial), len(model.emission)
     ns = [f"n{s}" for s in range(states)]
     schema = pa.schema([("at", pa.int64()), ("h", pa.int64()), ("k", pa.int32()), ("c", pa.int64()), *[(n, pa.float64()) for n in ns]])
 
     def rows(at, h, k, c, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*[pa.nulls(len(n), f.type) if x is None else pa.array(x, f.type) for x, f in zip((at, h, k, c), schema)], *[pa.array(np.ascontiguousarray(x)) for x in n.T]], schema=schema)
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(n), f.type) if x is None else pa.array(x, f.type) for x, f in zip((at, h, k, c), schema)], *[pa.array(np.ascontiguousarray(x)) for x in n.T], *[pa.nulls(len(n), pa.float64())] * (states - n.shape[1])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = held.value
+        m, frequent = held.value
         total = np.zeros((size + 2 + states, states))
         for batch in batches:
             lengths = batch["n_tokens"].to_numpy()
@@ -331,10 +345,12 @@ def expected_counts(texts: DataFrame, model: Model, held, own: int, segment: int
                 total[-1, 0] += log
                 if by_word:
                     tail = x >= own
-                    words, where, c = np.unique(joined(batch["tail"][part], np.int64), return_inverse=True, return_counts=True)
+                    text = np.repeat(np.arange(part.stop - part.start), lengths[part])[tail]
+                    h = hashes_of(joined(batch["tail"][part], np.uint32), batch["rare"][part], text, frequent)
+                    words, where, c = np.unique(h, return_inverse=True, return_counts=True)
                     kind = np.zeros(len(words), np.int32)
                     kind[where] = x[tail].astype(np.int32) - own
-                    yield rows(None, words, kind, c, np.stack([np.bincount(where, gamma[tail, s], len(words)) for s in range(states)], 1))
+                    yield rows(None, words, kind, c, np.stack([np.bincount(where, gamma[tail, s], len(words)) for s in range(states - 1)], 1))
         some = np.flatnonzero(total.any(1))
         yield rows(some, None, None, None, total[some])
 
@@ -370,6 +386,12 @@ class Tail:
         return (n + MIX * q[:, None]) / (self.class_n[k] + MIX)
 
 
+def with_last(words: DataFrame, states: int) -> DataFrame:
+    """Tail words with their expected count in the last state too."""
+    rest = F.col("c") - sum((F.col(f"n{s}") for s in range(states - 1)), F.lit(0.0))
+    return words.withColumn(f"n{states - 1}", F.greatest(rest, F.lit(0.0)))
+
+
 def tail_of(words: DataFrame, states: int, least: int) -> Tail:
     """Totals by class, and the rows of the words with counts from `least` on, of which there are FREQUENT at most."""
     ns = [f"n{s}" for s in range(states)]
@@ -381,21 +403,29 @@ def tail_of(words: DataFrame, states: int, least: int) -> Tail:
     return out
 
 
-def emissions(model: Model, tail: Tail, own: int, x: np.ndarray, h: np.ndarray, rare: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(token | state) of symbols x, whose tail words have the hashes h; and which tokens aren't frequent words, with
-    their counts. rare: hashes, counts and expected counts of those; what isn't there wasn't seen in training."""
+def emissions(model: Model, tail: Tail, own: int, x: np.ndarray, code: np.ndarray, texts: np.ndarray, seen: pa.Array, frequent: np.ndarray, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(token | state) of symbols x of several texts, whose tail words have these codes; and which tokens aren't frequent
+    words, with their counts. seen: for each text the places, counts and expected counts of its rare words that training
+    texts have; a word that isn't there wasn't seen."""
     e = model.emission[x]
     at = np.flatnonzero(x >= own)
-    c, n, often = np.zeros(len(at)), np.zeros((len(at), e.shape[1])), np.zeros(len(at), bool)
-    for keys, counts, ns in ((tail.h, tail.c, tail.n), rare):
-        if len(keys) and len(at):
-            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            here = keys[place] == h
-            c[here], n[here] = counts[place[here]], ns[place[here]]
-            if keys is tail.h:
-                often = here
+    c, n, seldom = np.zeros(len(at)), np.zeros((len(at), e.shape[1])), code >= RARE
+    if len(tail.h) and not seldom.all():
+        place = np.searchsorted(tail.h, frequent[code[~seldom]])
+        c[~seldom], n[~seldom] = tail.c[place], tail.n[place]
+    rows = seen.flatten()
+    if len(rows) and seldom.any():
+        counts = pa.compute.fill_null(pa.compute.list_value_length(seen), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        column = lambda name: rows.field(name).to_numpy(zero_copy_only=False)
+        keys = (np.repeat(np.arange(len(seen)), counts) << 32) | column("i").astype(np.int64)
+        order = np.argsort(keys)
+        wanted = (texts[at][seldom] << 32) | (code[seldom] - np.uint32(RARE)).astype(np.int64)
+        place = order[np.minimum(np.searchsorted(keys, wanted, sorter=order), len(keys) - 1)]
+        here = keys[place] == wanted
+        found = np.flatnonzero(seldom)[here]
+        c[found], n[found] = column("c")[place[here]], np.stack([column(k)[place[here]] for k in columns], 1)
     e[at] *= tail.share(x[at].astype(np.int64) - own, c, n)
-    return e, at[~often], c[~often]
+    return e, at[seldom], c[seldom]
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -413,10 +443,11 @@ def score(docs: DataFrame, states: int = 6, rounds: int = 3, segment: int = 512,
     held = context.broadcast(lexicon)
     read = materialize(read_texts(docs, held), "read")
     held.destroy()
-    texts = read.where("not held_out").select("n_tokens", "symbols", "tail")
+    texts = read.where("not held_out").select("n_tokens", "symbols", "tail", "rare")
+    frequent_h = np.array([hash_of(w) for w in lexicon.rank], np.int64)
     model = Model.start(shares, states, seed)
     for k in range(rounds):
-        sent = context.broadcast(model)
+        sent = context.broadcast((model, frequent_h))
         sums = materialize(expected_counts(texts, model, sent, own, segment, tokens, k == rounds - 1), "sums")
         model, likelihood = maximized(sums, model)
         sent.destroy()
@@ -424,24 +455,22 @@ def score(docs: DataFrame, states: int = 6, rounds: int = 3, segment: int = 512,
             told.append(likelihood)
         if k < rounds - 1:
             release(sums)
-    words = sums.where("h is not null")
-    fitted = context.broadcast((model, tail_of(words, states, least)))
+    words = with_last(sums.where("h is not null"), states)
+    fitted = context.broadcast((model, tail_of(words, states, least), frequent_h))
     ns = [f"n{s}" for s in range(states)]
-    rare = read.select("row", F.explode("rare").alias("h")).join(words.where(F.col("c") < least).select("h", "c", *[F.col(n).cast("float").alias(n) for n in ns]), "h")
-    of_row = rare.groupBy("row").agg(F.collect_list(F.struct("h", "c", *ns)).alias("seen"))
+    rare = read.select("row", F.posexplode("rare").alias("i", "h")).join(words.where(F.col("c") < least).select("h", "c", *[F.col(n).cast("float").alias(n) for n in ns]), "h")
+    of_row = rare.groupBy("row").agg(F.collect_list(F.struct("i", F.col("c").cast("int").alias("c"), *ns)).alias("seen"))
     total, distinct = lexicon.total, lexicon.distinct
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, tail = fitted.value
+        m, tail, frequent = fitted.value
         for batch in batches:
             lengths = batch["n_tokens"].to_numpy()
             for part in slices(lengths, tokens):
                 some = batch.slice(part.start, part.stop - part.start)
-                seen = some["seen"].flatten()
-                rare_h, first = np.unique(seen.field("h").to_numpy(zero_copy_only=False), return_index=True)
-                rows = (rare_h, seen.field("c").to_numpy(zero_copy_only=False)[first], np.stack([seen.field(n).to_numpy(zero_copy_only=False)[first].astype(np.float64) for n in ns], 1))
-                e, at, c = emissions(m, tail, own, joined(some["symbols"], np.uint16), joined(some["tail"], np.int64), rows)
-                text = np.repeat(np.arange(len(some)), lengths[part])[at]
+                texts = np.repeat(np.arange(len(some)), lengths[part])
+                e, at, c = emissions(m, tail, own, joined(some["symbols"], np.uint16), joined(some["tail"], np.uint32), texts, some["seen"], frequent, ns)
+                text = texts[at]
                 known = some["n_known"].to_numpy() + np.bincount(text, c > 0, len(some)).astype(np.int64)
                 base = some["head_base"].to_numpy() + np.bincount(text, Lexicon({}, c, total, distinct, 0).base(c), len(some))
                 yield pa.RecordBatch.from_arrays([some["doc_id"], some["held_out"], some["n_tokens"], pa.array(known), pa.array(base), pa.array(m.log10_likelihood(e, lengths[part], segment))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
