@@ -364,8 +364,8 @@ def maximized(sums: DataFrame, first: Model) -> tuple[Model, float]:
     got = sums.where("at is not null").select("at", *[f"n{s}" for s in range(states)]).toArrow()
     total = np.zeros((size + 2 + states, states))
     total[got["at"].to_numpy()] = np.stack([got[f"n{s}"].to_numpy() for s in range(states)], 1)
-    prior = first.emission.mean(1, keepdims=True)  # each symbol keeps a little of the unigram share
-    initial, transition, emission = total[size] + 1, total[size + 1 : -1] + 1, total[:size] + 50.0 * prior / prior.sum()
+    prior = first.emission.mean(1, keepdims=True)  # each symbol keeps a little of the unigram share, and no less than ALPHA in all
+    initial, transition, emission = total[size] + 1, total[size + 1 : -1] + 1, total[:size] + 50.0 * prior / prior.sum() + ALPHA / states
     return Model(initial / initial.sum(), transition / transition.sum(1, keepdims=True), emission / emission.sum(0)), float(total[-1, 0])
 
 

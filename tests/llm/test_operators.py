@@ -291,7 +291,7 @@ def plain_markov(rows, states, rounds, frequent, symbols, seed=11):
                     x = np.outer(alpha[k - 1], e[k] * beta[k]) * model.transition
                     moves += x / x.sum()
         prior = first.emission.mean(1, keepdims=True)
-        emission += 50.0 * prior / prior.sum()
+        emission += 50.0 * prior / prior.sum() + h.ALPHA / states
         model = h.Model(initial / initial.sum(), moves / moves.sum(1, keepdims=True), emission / emission.sum(0))
     tails = defaultdict(list)
     for w in counts:
