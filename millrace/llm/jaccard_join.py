@@ -379,7 +379,20 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
     return done
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in gone. A bitmap of the ids, of BITMAP / 64 words at most, is broadcast as a table
+    and lets most texts stay where they are; only those that it marks are shuffled to the ids themselves."""
+    number = F.col("doc_id").cast("long")
+    bit = F.pmod(F.xxhash64(number), F.lit(BITMAP))
+    words = gone.select(bit.alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__bit & 63 as int))")).alias("__bits"))
+    at = docs.withColumn("__bit", bit).withColumn("__at", F.shiftright("__bit", 6)).join(F.broadcast(words), "__at", "left")
+    marked = F.coalesce(F.expr("(shiftright(__bits, cast(__bit & 63 as int)) & 1L) = 1L"), F.lit(False))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    some = at.where(marked).withColumn("__id", number).join(gone.select(number.alias("__id")), "__id", "left_anti")
+    return at.where(~marked).select(*own).union(some.select(*own))
+
+
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs whose doc_id is the least of its group; repeated rows of that doc_id and null ids stay."""
     gone = groups(docs, n, num, den).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(docs, gone)
