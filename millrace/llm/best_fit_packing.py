@@ -49,8 +49,8 @@ _classes[list(range(65, 91)) + list(range(97, 123)) + [0xC3]] = LETTER
 _classes[48:58] = DIGIT
 _classes[list(b"'<")] = ODD
 #: Words that a worker remembers the ids of.
-REMEMBERED = 1 << 20
-SLICE_BYTES = 8_000_000
+REMEMBERED = 1 << 19
+SLICE_BYTES = 4_000_000
 
 
 def runs_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

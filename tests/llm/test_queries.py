@@ -41,7 +41,7 @@ def documents(spark):
 
 
 def test_all_queries_are_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in registry.QUERIES} and "pipeline" in entry.queries()
+    assert {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in registry.QUERIES} and "pipeline" in entry.queries()
 
 
 def test_tokens_of_all_documents(spark):
