@@ -70,7 +70,7 @@ def best(s: np.ndarray, wanted: np.ndarray, ids: np.ndarray, k: int) -> tuple[np
     if s.dtype == object or np.abs(s).max(initial=0) * n >= EXACT:
         key = np.full(s.shape, None, object)
         key[wanted] = s[wanted]
-        order = np.array([sorted(range(n), key=lambda j, row=row: (row[j] is None, -(row[j] or 0), j))[:k] for row in key], np.int64).reshape(len(s), -1)
+        order = np.array([sorted(range(n), key=lambda j, row=row: (row[j] is None, -(row[j] or 0), j))[:k] for row in key], np.int64).reshape(len(s), min(k, n))
     else:
         key = np.where(wanted, s * n - np.arange(n), NONE)
         order = np.argpartition(key, n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), s.shape)
