@@ -10,8 +10,9 @@ unary path. Paths are compacted by pointer doubling into (path, place); behind i
 next word adds to the phrases it contains, all with the path's count.
 
 Codes: words among the `dictionary` most frequent (65,533 at most, a broadcast of bounded size) have a code of two bytes,
-so that four of them are one long. A gram with another word is a second row, of four 64-bit word hashes; its flow counts
-for the lengths from that word on, and the plain row stops before it. Results don't depend on the dictionary.
+so that four of them are one long. Rows end before a word that too few places have; what other words the dictionary lacks
+is kept in a bitmap of fixed size, and grams with one of those are rows of their own, of four 64-bit word hashes, whose
+flow counts for the lengths from that word on. Results don't depend on the dictionary or on false hits of the bitmap.
 
 Scale: a slice's rows are summed before the shuffle. They are dealt by language and first two words; pairs that a slice
 has often (HOT of all places or more, 2 / HOT pairs at most) are dealt by three words, and their sums meet once more.
@@ -35,7 +36,9 @@ from pyspark.sql.window import Window
 from . import byte_words
 from .common import as_bytes, chunks, materialize, release
 
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 8_000_000
+#: Bits of the filter of words that the dictionary lacks.
+BITMAP = 1 << 24
 #: Share of all places from which a word pair is dealt by three words.
 HOT = 1 / 1000
 #: Longest word of the dictionary, in bytes.
@@ -80,17 +83,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = often >= max(2, HOT / 2 * len(h))
         keys = np.concatenate([distinct, pairs[hot]]).view(np.int64)
         n = len(keys)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(keys), pa.array(words + [None] * int(hot.sum()), pa.binary()), pa.array(np.concatenate([c, often[hot]]))], names=["lang", "h", "word", "c"])
+        yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), pa.array(keys), pa.array(words + [None] * int(hot.sum()), pa.binary()), pa.array(np.concatenate([c, often[hot]]))], names=["lang", "h", "word", "c"])
 
 
 class Codes:
-    """The dictionary: sorted word hashes and their codes from 1, and the hash of each code."""
+    """The dictionary (sorted word hashes and their codes from 1, and the hash of each code), the hot pairs, and the bitmap
+    of other words with enough places."""
 
-    def __init__(self, words: list[int], hot: list[int]):
+    def __init__(self, words: list[int], hot: list[int], others: np.ndarray):
         self.of_code = np.array([0, *words], np.int64).view(np.uint64)
         order = np.argsort(self.of_code[1:], kind="stable")
         self.sorted, self.codes = self.of_code[1:][order], (order + 1).astype(np.uint64)
-        self.hot = np.sort(np.array(hot, np.int64).view(np.uint64))
+        self.hot, self.others = np.sort(np.array(hot, np.int64).view(np.uint64)), others
 
     @staticmethod
     def places(x: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,110 +106,141 @@ class Codes:
         at, found = self.places(h, self.sorted)
         return np.where(found, self.codes[at], _u64(0)) if len(self.sorted) else np.zeros(len(h), np.uint64)
 
+    def other(self, h: np.ndarray) -> np.ndarray:
+        """Whether words that the dictionary lacks can have enough places."""
+        at = (h & _u64(BITMAP - 1)).astype(np.int64)
+        return (self.others[at >> 6] >> (at & 63).astype(np.uint64)) & _u64(1) == 1
 
-def _edges(held):
-    """(lang, k, wide, cut, hot, c): the longest gram at each place, summed by slice. Plain rows have codes in k; wide ones
-    have hashes of the words, and cut, the number of words up to the first that the dictionary lacks."""
-    schema = pa.schema([("lang", pa.string()), ("k", pa.int64()), ("wide", pa.binary()), ("cut", pa.int32()), ("hot", pa.bool_()), ("c", pa.int64())])
+
+def _coded_edges(held):
+    """(lang, k, hot, c): the longest gram at each place as codes, up to the first word without one; summed by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: Codes = held.value
         for lang, _, _, _, h, opens in slices(batches):
-            piece = np.cumsum(opens)
-            grams = np.stack([h, *(following(h, piece, j) for j in (1, 2, 3))])
-            there = np.stack([np.ones(len(h), bool), *(following(np.ones(len(h), bool), piece, j) for j in (1, 2, 3))])
-            own = codes.code(h)
-            coded = np.stack([own, *(following(own, piece, j) for j in (1, 2, 3))])
-            hot = codes.places(pair_hash(grams[0], grams[1]), codes.hot)[1]
-            lacks = there & (coded == 0)
-            until = np.where(lacks.any(0), lacks.argmax(0), 4)  # words before the first that the dictionary lacks
-            coded[np.arange(4)[:, None] >= until] = 0
-            k = coded[0] << _u64(48) | coded[1] << _u64(32) | coded[2] << _u64(16) | coded[3]
-            distinct, at, c = np.unique(k, return_index=True, return_counts=True)
-            at, distinct, c = at[distinct != 0], distinct[distinct != 0], c[distinct != 0]
-            n = len(distinct)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(distinct.view(np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.array(hot[at]), pa.array(c)], schema=schema)
-            rest = np.flatnonzero(until < 4)
-            if len(rest):
-                some, at, c = np.unique(grams[:, rest].astype(">u8").T.copy().view("V32").ravel(), return_index=True, return_counts=True)
-                n, at = len(some), rest[at]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.nulls(n, pa.int64()), pa.array([x.tobytes() for x in some], pa.binary()), pa.array(until[at] + 1, pa.int32()), pa.array(hot[at]), pa.array(c)], schema=schema)
-
-    return run, "lang string, k long, wide binary, cut int, hot boolean, c long"
+            piece, own = np.cumsum(opens), codes.code(h)
+            k, alive = own << _u64(48), own != 0
+            for j in (1, 2, 3):
+                word = following(own, piece, j)
+                alive &= word != 0
+                k |= np.where(alive, word, _u64(0)) << _u64(48 - 16 * j)
+            distinct, at, c = np.unique(k[own != 0], return_index=True, return_counts=True)
+            at = np.flatnonzero(own != 0)[at]
+            hot = codes.places(pair_hash(h[at], following(h, piece, 1)[at]), codes.hot)[1]
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(c)), pa.array(distinct.view(np.int64)), pa.array(hot), pa.array(c, pa.int32())], names=["lang", "k", "hot", "c"])
+
+    return run, "lang string, k long, hot boolean, c int"
+
+
+def _other_edges(held):
+    """(lang, k, hot, c, cut): the grams with a word that the dictionary lacks, as four hashes; cut: the number of words up
+    to the first such word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: Codes = held.value
+        for lang, _, _, _, h, opens in slices(batches):
+            piece, coded = np.cumsum(opens), codes.code(h) != 0
+            other = ~coded & codes.other(h)
+            usable, near = coded | other, other.copy()
+            for j in (1, 2, 3):
+                near |= following(other, piece, j)
+            places = np.flatnonzero(near & usable)
+            grams, alive = np.zeros((len(places), 4), np.uint64), np.ones(len(places), bool)
+            first = np.full(len(places), 4)
+            for j in range(4):
+                at = np.minimum(places + j, len(h) - 1)
+                alive &= (places + j < len(h)) & (piece[at] == piece[places]) & usable[at]
+                grams[alive, j] = h[at[alive]]
+                first = np.where(alive & other[at] & (first == 4), j, first)
+            grams, first = grams[first < 4], first[first < 4]
+            rows, at, c = np.unique(grams.astype(">u8").view("V32").ravel(), return_index=True, return_counts=True)
+            hot = codes.places(pair_hash(grams[at, 0], grams[at, 1]), codes.hot)[1]
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(c)), fixed(rows.view(np.uint8), len(c), 32), pa.array(hot), pa.array(c, pa.int32()), pa.array(first[at] + 1, pa.int32())], names=["lang", "k", "hot", "c", "cut"])
+
+    return run, "lang string, k binary, hot boolean, c int, cut int"
+
+
+def fixed(data: np.ndarray, n: int, width: int) -> pa.Array:
+    """n binary values of one width."""
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 class Flow:
-    """Sums over sorted rows: what has been read of the group that is open at each length."""
+    """Sums over one language's rows, in order of their words: what has been read of the group that is open at each length."""
 
-    def __init__(self, held, least: int):
-        self.codes, self.least = held.value, least
+    def __init__(self, least: int, of_code: np.ndarray | None):
+        self.least, self.of_code = least, of_code  # of_code: words are codes, else hashes
         self.last, self.sums = None, [0] * 4
 
-    def add(self, lang: np.ndarray, words: np.ndarray, cut: np.ndarray, wide: np.ndarray, hot: np.ndarray, c: np.ndarray) -> list[tuple]:
-        """Rows of closed groups (lang, level, key, f), given the next rows in order."""
-        out: list[tuple] = []
-        n = len(c)
-        before = np.concatenate([[self.last[1]] if self.last else words[:1], words[:-1]])
-        new = np.ones(n, bool)
-        new[1:] = (lang[1:] != lang[:-1]) | (wide[1:] != wide[:-1])
-        if self.last:
-            new[0] = lang[0] != self.last[0] or wide[0] != self.last[3]
+    def add(self, words: np.ndarray, cut: np.ndarray, hot: np.ndarray, c: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Closed groups (length, words, f), given the next rows."""
+        out = []
+        new = np.zeros(len(c), bool)
         for j in range(4):
-            new = new | (words[:, j] != before[:, j])
+            new[1:] |= words[1:, j] != words[:-1, j]
+            new[0] = not self.last or new[0] or words[0, j] != self.last[0][0, j]
             at = np.flatnonzero(new)
-            totals = np.add.reduceat(c, np.append(0, at)) if not len(at) or at[0] else np.append(0, np.add.reduceat(c, at))
-            if self.last:
-                totals[0] += self.sums[j]
-            # totals[0] belongs to the group that was open; the others to those that begin at `at`, of which the last stays open
+            sums = np.add.reduceat(c, at) if len(at) else np.empty(0, np.int64)
+            self.sums[j] += int(c[: at[0]].sum() if len(at) else c.sum())
             if len(at):
                 if self.last:
-                    self.keep(out, j, totals[:1], np.array([self.last[0]], object), self.last[1][None], self.last[2:3], np.array([self.last[3]]), np.array([self.last[4]]))
-                closed = at[:-1]
-                self.keep(out, j, totals[1:-1], lang[closed], words[closed], cut[closed], wide[closed], hot[closed])
-            self.sums[j] = int(totals[-1])
-        self.last = (lang[-1], words[-1].copy(), cut[-1], wide[-1], hot[-1])
+                    self.keep(out, j, np.array([self.sums[j]]), *self.last)
+                self.keep(out, j, sums[:-1], words[at[:-1]], cut[at[:-1]], hot[at[:-1]])
+                self.sums[j] = int(sums[-1])
+        self.last = (words[-1:].copy(), cut[-1:], hot[-1:])
         return out
 
-    def keep(self, out: list, j: int, f: np.ndarray, lang, words, cut, wide, hot) -> None:
-        """A group counts at a length if its gram is that long, and, if wide, from the length on at which it is. Counts of
+    def keep(self, out: list, j: int, f: np.ndarray, words: np.ndarray, cut: np.ndarray, hot: np.ndarray) -> None:
+        """A group counts at a length if its gram is that long, and the dictionary lacks one of its words, if of any. Counts of
         single words and of hot pairs are parts of sums, and all kept."""
-        counts = (words[:, j] != 0) & (~wide | (np.asarray(cut) <= j + 1)) & ((f >= self.least) | (j == 0) | (hot & (j == 1)))
-        for n in np.flatnonzero(counts).tolist():
-            key = words[n, : j + 1] if wide[n] else self.codes.of_code[words[n, : j + 1].astype(np.int64)]
-            out.append((lang[n], j + 1, key.astype(">u8").tobytes(), int(f[n])))
-
-    def close(self) -> list[tuple]:
-        out: list[tuple] = []
-        if self.last:
-            for j in range(4):
-                self.keep(out, j, np.array([self.sums[j]]), np.array([self.last[0]], object), self.last[1][None], self.last[2:3], np.array([self.last[3]]), np.array([self.last[4]]))
+        counts = (words[:, j] != 0) & (cut <= j + 1) & ((f >= self.least) | (j == 0) | (hot & (j == 1)))
+        if counts.any():
+            key = words[counts, : j + 1]
+            out.append((j + 1, key if self.of_code is None else self.of_code[key.astype(np.int64)], f[counts]))
+
+    def close(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        out = []
+        for j in range(4) if self.last else ():
+            self.keep(out, j, np.array([self.sums[j]]), *self.last)
         return out
 
 
-def _flow(held, least: int):
-    schema = pa.schema([("lang", pa.string()), ("level", pa.int32()), ("key", pa.binary()), ("f", pa.int64())])
+def _flow(held, least: int, coded: bool):
+    """(lang, level, key, f) of the groups of rows in order of k."""
     shifts = np.array([48, 32, 16, 0], np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flow = Flow(held, least)
-
-        def rows(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found) if found else [[]] * 4, schema)], schema=schema)
+    def rows(lang: str, found: list) -> Iterator[pa.RecordBatch]:
+        for level, words, f in found:
+            n = len(f)
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), pa.repeat(pa.scalar(level, pa.int32()), n), fixed(words.astype(">u8").view(np.uint8), n, 8 * level), pa.array(f)], names=["lang", "level", "key", "f"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flows: dict[str, Flow] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            wide = batch["wide"].is_valid().to_numpy(zero_copy_only=False)
-            words = (batch["k"].fill_null(0).to_numpy().view(np.uint64)[:, None] >> shifts) & _u64(0xFFFF)
-            if wide.any():
-                words[wide] = np.frombuffer(b"".join(x for x in batch["wide"].to_pylist() if x is not None), ">u8").reshape(-1, 4)
-            lang = np.array(batch["lang"].to_pylist(), object)
-            yield rows(flow.add(lang, words, batch["cut"].fill_null(0).to_numpy(), wide, batch["hot"].to_numpy(zero_copy_only=False), batch["c"].to_numpy()))
-        yield rows(flow.close())
+            langs = batch["lang"].dictionary_encode()
+            for n, lang in enumerate(langs.dictionary.to_pylist()):
+                mine = np.flatnonzero(langs.indices.to_numpy() == n)
+                part = batch if len(mine) == batch.num_rows else batch.take(pa.array(mine))
+                if coded:
+                    words, cut = (part["k"].to_numpy().view(np.uint64)[:, None] >> shifts) & _u64(0xFFFF), np.zeros(len(mine), np.int64)
+                else:
+                    words, cut = np.frombuffer(b"".join(part["k"].to_pylist()), ">u8").reshape(-1, 4).astype(np.uint64), part["cut"].to_numpy()
+                flow = flows.setdefault(lang, Flow(least, held.value.of_code if coded else None))
+                yield from rows(lang, flow.add(words, cut, part["hot"].to_numpy(zero_copy_only=False), part["c"].to_numpy().astype(np.int64)))
+        for lang, flow in flows.items():
+            yield from rows(lang, flow.close())
 
     return run, "lang string, level int, key binary, f long"
 
 
+def other_words(counted: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of words, of BITMAP / 64 longs, and how many words it has."""
+    bits = counted.select(F.expr(f"h & {BITMAP - 1}L").alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"), F.count("*").alias("n")).toArrow()
+    out = np.zeros(BITMAP >> 6, np.int64)
+    out[bits["at"].to_numpy()] = bits["bits"].to_numpy()
+    return out.view(np.uint64), int(bits["n"].to_numpy().sum())
+
+
 def gram_counts(docs: DataFrame, least: int, dictionary: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, level, key, f) of the grams with at least `least` places, key being the hashes of their words; (lang, n); and
     (lang, h, word) of the words among them."""
@@ -214,20 +249,27 @@ def gram_counts(docs: DataFrame, least: int, dictionary: int) -> tuple[DataFrame
     seen = texts.mapInArrow(_counts, "lang string, h long, word binary, c long")
     counted = materialize(seen.groupBy("lang", "h", F.col("word").isNull().alias("pair")).agg(F.sum("c").alias("c"), F.min("word").alias("word")), "words")
     total = counted.where("not pair").agg(F.sum("c")).first()[0] or 0
-    of_word = counted.where(~F.col("pair") & (F.octet_length("word") <= LONGEST)).groupBy("h").agg(F.sum("c").alias("c"))
-    known = [r.h for r in of_word.orderBy(F.desc("c"), "h").limit(min(dictionary, 65_533)).collect()]
+    of_word = counted.where(~F.col("pair")).groupBy("h").agg(F.sum("c").alias("c"), F.max(F.octet_length("word")).alias("bytes")).where(F.col("c") >= least)
+    some = of_word.where(F.col("bytes") <= LONGEST).orderBy(F.desc("c"), "h").limit(min(dictionary, 65_533)).select("h").toArrow()["h"].to_pylist()
+    rare = of_word.join(F.broadcast(spark.createDataFrame([(h,) for h in some], "h long")), "h", "left_anti") if some else of_word
+    others, n_others = other_words(rare)
     hot = [r.h for r in counted.where("pair").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT / 2 * total).select("h").collect()]  # 2 / HOT rows at most
-    held = spark.sparkContext.broadcast(Codes(known, hot))
-    run, schema = _edges(held)
-    pair, third = F.shiftrightunsigned("k", 32), F.shiftrightunsigned("k", 16)
-    by = F.coalesce(F.when(F.col("wide").isNotNull(), F.when(F.col("hot"), F.xxhash64(F.substring("wide", 1, 24))).otherwise(F.xxhash64(F.substring("wide", 1, 16)))), F.when(F.col("hot"), F.xxhash64(third)).otherwise(F.xxhash64(pair)))
-    rows = texts.mapInArrow(run, schema).repartition("lang", by).sortWithinPartitions("lang", "wide", "k")
-    run, schema = _flow(held, least)
-    sums = materialize(rows.mapInArrow(run, schema).groupBy("lang", "level", "key").agg(F.sum("f").alias("f")), "grams")
+    held = spark.sparkContext.broadcast(Codes(some, hot, others))
+    first = lambda n: F.xxhash64(F.substring("k", 1, 8 * n))
+    code = lambda n: F.xxhash64(F.shiftrightunsigned("k", 64 - 16 * n))
+    sums = None
+    for edges, begin, coded in [(_coded_edges, code, True)] * bool(some) + [(_other_edges, first, False)] * bool(n_others):
+        run, schema = edges(held)
+        rows = texts.mapInArrow(run, schema).repartition("lang", F.when(F.col("hot"), begin(3)).otherwise(begin(2))).sortWithinPartitions("k")
+        run, schema = _flow(held, least, coded)
+        parts = rows.mapInArrow(run, schema)
+        sums = parts if sums is None else sums.union(parts)
+    if sums is None:
+        sums = spark.createDataFrame([], "lang string, level int, key binary, f long")
+    sums = materialize(sums.groupBy("lang", "level", "key").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "grams")
     held.destroy()
-    n = sums.where("level = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    words = counted.where(~F.col("pair") & (F.col("c") >= least)).select("lang", "h", "word")
-    return sums, n, words
+    n = counted.where("not pair").groupBy("lang").agg(F.sum("c").alias("n"))
+    return sums, n, counted.where(~F.col("pair") & (F.col("c") >= least)).select("lang", "h", "word")
 
 
 def cut_key(first: int | Column, n: int | Column) -> Column:
@@ -280,8 +322,7 @@ def collocations(docs: DataFrame, least: int = 30, most: int = 2000, share: tupl
     """Each language's first `most` phrases: lang, rank, phrase, a, l, r, n, score, and path_words, the length of the unary
     path that a phrase of four words lies on (of others, their own)."""
     num, den = share
-    grams, n, words = gram_counts(docs, least, dictionary)
-    often = materialize(grams.where(F.col("f") >= least), "often")
+    often, n, words = gram_counts(docs, least, dictionary)
     paths = unary_paths(often)
     exact = lambda c: F.col(c).cast("decimal(38,0)")
     inside = held_inside(often, paths)
