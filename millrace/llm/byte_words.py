@@ -46,9 +46,9 @@ def spans(data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """uint64 hashes of the words of data."""
-    out = np.empty(len(starts), np.uint64)
+    out = np.zeros(len(starts), np.uint64)
     for low in range(0, len(data), BLOCK):
-        i, j = np.searchsorted(starts, (low, low + BLOCK))
+        i, j = np.searchsorted(starts, (low, low + BLOCK))  # a word without bytes behind the last one has the hash 0
         if i == j:
             continue
         block = data[low : low + BLOCK + LONG]

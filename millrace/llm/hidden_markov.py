@@ -18,8 +18,8 @@ forward and backward messages over its borders, so the counts and the likelihood
 `segment` only bounds memory.
 
 Scale: broadcast are the FREQUENT most frequent words and the model, both of fixed size. Other words never reach one
-place: their counts and emissions are tables, joined with the (text, word) rows of the texts that have them. Words other
-than SYMBOLS are told apart by 64-bit hashes there. Texts are kept as arrays in the shared folder and reread each round.
+place: their counts and emissions are tables, joined with the (text, word) rows of the texts that have them. Words are
+told apart by 64-bit hashes where texts are read (`byte_words`). Texts are kept as arrays in the shared folder and reread each round.
 
 Defined cases: null and empty text are the end token alone; with no training text every count is 0 and smoothing alone
 speaks (V is 0, so the end has probability 1); a corpus without tail words has an empty table of them; rows that share a
@@ -29,18 +29,17 @@ doc_id are scored one by one. Only doc_id and text are read; a null doc_id is ne
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, release, words_of
+from . import byte_words
+from .common import as_bytes, chunks, materialize, release
 
 ALPHA = 0.1
 #: Bound of the frequent words (broadcast with their counts), of those that have a row of the emission matrix, of classes.
@@ -51,6 +50,7 @@ TAIL = 1 << 8
 MIX = 4.0
 #: The end of a text counts as a token; no word is empty.
 END = b""
+_kinds = byte_words.kinds(b" \t\n\x0b\x0c\r")
 
 
 def tail_class(word: bytes) -> int:
@@ -58,28 +58,35 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:] + (b"s" if len(word) < 6 else b"l")) % TAIL
 
 
-def hash_of(word: bytes) -> int:
-    """64-bit hash, as a signed long."""
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes, as signed longs; the end's is 0."""
+    ends = np.cumsum(np.array([len(w) for w in words], np.int64))
+    return byte_words.hashes(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1])[: len(words)], ends).view(np.int64)
 
 
 def held_out_py(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
+def cut(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one, lower-cased; the place behind each of them; ends, starts and hashes (int64) of their words."""
+    joined = b" ".join(x or b"" for x in texts).lower()
+    data = np.frombuffer(joined, np.uint8)
+    starts, ends, _ = byte_words.spans(data, _kinds)
+    return joined, np.cumsum([len(x or b"") + 1 for x in texts]), ends, starts, byte_words.hashes(data, starts, ends).view(np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over the training texts, ends included: counted per slice, then summed by a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            ids = batch["doc_id"].to_pylist()
-            for doc_id, x in zip(ids, batch["text"]):
-                if not held_out_py(doc_id):
-                    counts.update(words_of(x.as_py()))
-                    counts[END] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+            learned = pa.array([not held_out_py(x) for x in batch["doc_id"].to_pylist()], pa.bool_())
+            for texts in chunks(batch["text"].filter(learned).to_pylist()):
+                joined, _, ends, starts, h = cut(texts)
+                _, at, c = np.unique(h, return_index=True, return_counts=True)
+                words = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array([*c.tolist(), len(texts)], pa.int64())], names=["word", "c"])
 
     return as_bytes(docs, "doc_id").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -144,27 +151,52 @@ _read = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.
 RARE = 1 << 31
 
 
+def packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Runs of values of these lengths, each as bytes."""
+    ends = np.append(0, np.cumsum(lengths)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def read_texts(docs: DataFrame, lexicon) -> DataFrame:
     """Each whole text as symbols and tail words, with what its frequent words add to the base score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: Lexicon = lexicon.value
-        rank, own, rare = x.rank, x.own, len(x.counts)
+        own, rare = x.own, len(x.counts)
+        frequent = word_hashes(list(x.rank))
+        order = np.argsort(frequent, kind="stable")
         base = np.append(x.base(x.counts), 0.0)
-        symbol = np.concatenate([np.arange(own), [own + tail_class(w) for w in list(rank)[own:]], [0]]).astype(np.uint16)
+        symbol = np.concatenate([np.arange(own), [own + tail_class(w) for w in list(x.rank)[own:]], [0]]).astype(np.uint16)
         for batch in batches:
-            rows: list[tuple] = []
-            for row, doc_id, text in zip(batch["row"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
-                words = words_of(text.as_py())
-                words.append(END)
-                at = np.fromiter((rank.get(w, rare) for w in words), np.int64, len(words))
-                found, code = symbol[at], at.astype(np.uint32)
+            begin = 0
+            for texts in chunks(batch["text"].to_pylist()):
+                part = batch.slice(begin, len(texts))
+                begin += len(texts)
+                joined, behind, ends, starts, h = cut(texts)
+                distinct, where, which = np.unique(h, return_index=True, return_inverse=True)
+                distinct, where = np.append(distinct, 0), np.append(where, -1)  # the last is the end
+                at = np.full(len(distinct), rare)
+                if rare:
+                    place = order[np.minimum(np.searchsorted(frequent, distinct, sorter=order), rare - 1)]
+                    at = np.where(frequent[place] == distinct, place, rare)
                 unknown = np.flatnonzero(at == rare)
-                found[unknown] = [own + tail_class(words[k]) for k in unknown]
-                seldom, place = np.unique(np.array([hash_of(words[k]) for k in unknown], np.int64), return_inverse=True)
-                code[unknown] = RARE + place
-                rows.append((row, doc_id, held_out_py(doc_id), len(words), len(words) - len(unknown), float(base[at].sum()), found.tobytes(), code[at >= own].tobytes(), seldom))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_read), _read)], schema=_read)
+                found = symbol[at]
+                found[unknown] = [own + tail_class(joined[starts[k] : ends[k]] if k >= 0 else END) for k in where[unknown].tolist()]
+                upto = np.searchsorted(starts, behind)
+                word = np.insert(which, upto, len(distinct) - 1)  # of each token, ends included
+                lengths = np.diff(upto, prepend=0) + 1
+                text = np.repeat(np.arange(len(texts)), lengths)
+                seldom = np.flatnonzero(at[word] == rare)
+                lists, place = np.unique(text[seldom] * len(distinct) + word[seldom], return_inverse=True)
+                first = np.searchsorted(lists, np.arange(len(texts) + 1) * len(distinct))
+                code = at[word].astype(np.uint32)
+                code[seldom] = RARE + place - first[text[seldom]]
+                tail = found[word] >= own
+                yield pa.RecordBatch.from_arrays([
+                    part["row"], part["doc_id"], pa.array([held_out_py(k) for k in part["doc_id"].to_pylist()], pa.bool_()), pa.array(lengths), pa.array(lengths - np.bincount(text[seldom], minlength=len(texts))),
+                    pa.array(np.bincount(text, base[at[word]], len(texts))), packed(found[word], lengths), packed(code[tail], np.bincount(text[tail], minlength=len(texts))),
+                    pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(distinct[lists % len(distinct)])),
+                ], schema=_read)
 
     return as_bytes(docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id()), "row", "doc_id").mapInArrow(run, READ)
 
@@ -444,7 +476,7 @@ def score(docs: DataFrame, states: int = 6, rounds: int = 3, segment: int = 512,
     read = materialize(read_texts(docs, held), "read")
     held.destroy()
     texts = read.where("not held_out").select("n_tokens", "symbols", "tail", "rare")
-    frequent_h = np.array([hash_of(w) for w in lexicon.rank], np.int64)
+    frequent_h = word_hashes(list(lexicon.rank))
     model = Model.start(shares, states, seed)
     for k in range(rounds):
         sent = context.broadcast((model, frequent_h))
