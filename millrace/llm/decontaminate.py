@@ -1,14 +1,17 @@
 """Benchmark decontamination: rare n-gram seeds find candidate places, Smith-Waterman alignment scores them.
 
 Words are runs of letters and digits (A-Z lower-cased), so changed punctuation doesn't hide a copy. Every word of the
-test items is counted over all texts; of an item's n-grams the SHARE with the rarest words are its seeds (at least
-MIN_SEEDS, or all). Words are counted, not n-grams: an n-gram that leaks is frequent for that very reason, and the
-n-grams that an edited copy has lost would seem the rarest. Rarity is relative within an item, so an item that many
-texts leak keeps its seeds. A place of a text that has a seed is aligned with the item: match +1, mismatch and gap -0.5
-a word, local, over the item's length; edited, cut or reworded copies score by how much of the item they keep.
+test items is counted over all texts; of an item's n-grams the SHARE with the rarest words are its rare seeds (at least
+MIN_SEEDS, or all), the others its common ones. Words are counted, not n-grams: an n-gram that leaks is frequent for that
+very reason, and the n-grams that an edited copy has lost would seem the rarest. Rarity is relative within an item, so an
+item that many texts leak keeps its seeds. A place of a text that has a rare seed, or common ones twice, is aligned with
+the item: match +1, mismatch and gap -0.5 a word, local, over the item's length; edited, cut or reworded copies score by
+how much of the item they keep. A copy that isn't aligned has no rare n-gram of the item and at most one common one;
+n-grams of short items (SHORT) that edits have broken up are found by those of one word less, which count as common ones.
 
 Scale: two narrow passes over the texts, no shuffle of text. Broadcast is a block of items of at most about
-`block_words` words; a larger benchmark is taken in several such blocks, each against all texts.
+`block_words` words; a larger benchmark is taken in several such blocks, each against all texts. Pairs are aligned in
+groups of at most CELLS words of texts, or one by one: a pair with an item of m words takes memory in proportion to m.
 
 Defined cases: null or empty texts and items match nothing; an item with fewer than n words is one seed; repeated items
 and texts are matched one by one, so a pair can appear once per repeated row of its text; null item ids are ignored.
@@ -28,9 +31,11 @@ from pyspark.sql import functions as F
 from .common import as_bytes, chunks
 
 MIN_SEEDS = 8
-#: Measured on 1,000 edited and partial copies that score 0.4 or more: a share of 0.15 finds 98.3 % of them, 0.25 99.2 %,
-#: 0.35 99.6 %, 0.5 99.9 %, 0.75 all.
-SHARE = 0.35
+#: Share of an item's n-grams of which one is enough; of the others two are. The tests hold the found pairs against all.
+SHARE = 0.75
+#: Items of fewer words also have seeds of one word less, which are common ones.
+SHORT = 32
+CELLS = 1 << 18
 MISMATCH = 0.5
 GAP = 0.5
 #: Bytes to bytes: A-Z to a-z, other ASCII that is no letter or digit to a space.
@@ -51,6 +56,7 @@ class Block:
     items: list[np.ndarray]
     keys: np.ndarray  # sorted distinct n-gram keys
     where: list[list[tuple[int, int]]]  # of each key
+    width: list[int]
 
     @staticmethod
     def of(rows: list[tuple[int, bytes]], n: int) -> Block:
@@ -62,12 +68,14 @@ class Block:
                 ids.append(item_id)
                 items.append(np.array([words.setdefault(w, len(words)) for w in found], np.int64))
         found_at: dict[int, list[tuple[int, int]]] = {}
+        width_of: dict[int, int] = {}
         for k, item in enumerate(items):
-            for q, key in enumerate(keys_of(item, n, len(words)).tolist()):
-                if key >= 0:
+            for width in (n, n - 1) if n <= len(item) < SHORT and n > 1 else (n,):
+                for q, key in enumerate(keys_of(item, width).tolist()):
                     found_at.setdefault(key, []).append((k, q))
+                    width_of[key] = min(width, len(item))
         keys = np.array(sorted(found_at), np.int64)
-        return Block(n, words, ids, items, keys, [found_at[x] for x in keys.tolist()])
+        return Block(n, words, ids, items, keys, [found_at[x] for x in keys.tolist()], [width_of[x] for x in keys.tolist()])
 
     def numbers(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' words as numbers (-1: in no item), n - 1 gaps of -1 behind each text; and where texts begin."""
@@ -80,29 +88,27 @@ class Block:
             parts.append(np.full(self.n - 1, -1, np.int64))
         return np.concatenate(parts) if parts else np.empty(0, np.int64), np.array(begin, np.int64)
 
-    def hits(self, numbers: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, key places) of the n-grams of the texts that items have."""
         if not len(self.keys):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        shortest = min(map(len, self.items))
+        shortest = min(min(map(len, self.items)), self.n - (self.n > 1 and any(len(x) < SHORT for x in self.items)))
         places, which = [], []
         for width in range(min(self.n, shortest), self.n + 1):  # items shorter than n have a key of their own width
-            keys = keys_of(numbers, width, len(self.words), whole=False)
+            keys = keys_of(numbers, width, whole=False)
             at = np.flatnonzero(keys >= 0)
             k = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
             same = self.keys[k] == keys[at]
-            if allowed is not None:
-                same &= allowed[k]
             places.append(at[same])
             which.append(k[same])
         return np.concatenate(places), np.concatenate(which)
 
 
-def keys_of(numbers: np.ndarray, n: int, size: int, whole: bool = True) -> np.ndarray:
+def keys_of(numbers: np.ndarray, n: int, whole: bool = True) -> np.ndarray:
     """A key for each n-gram of word numbers, -1 where one of them isn't in any item. whole: a shorter sequence is one
     n-gram of its own width. The width is part of the key."""
     if len(numbers) < n:
-        return keys_of(numbers, len(numbers), size) if whole and len(numbers) else np.empty(0, np.int64)
+        return keys_of(numbers, len(numbers)) if whole and len(numbers) else np.empty(0, np.int64)
     out = np.zeros(len(numbers) - n + 1, np.uint64)
     good = np.ones(len(out), bool)
     for k in range(n):
@@ -139,20 +145,32 @@ def padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
     return out
 
 
-def matches(block: Block, seeds: np.ndarray, texts: list[bytes | None], least: float, together: int = 256) -> list[tuple[int, int, float, int, int]]:
-    """(text, item, score, first word, behind the last word) of every pair that scores at least `least`."""
+def groups_of(order: list, sizes: list[int], cells: int) -> Iterator[list]:
+    """Runs of pairs, the smallest first, of at most `cells` padded words each, or of one pair."""
+    begin = 0
+    for k in range(1, len(order) + 1):
+        if k == len(order) or (k + 1 - begin) * sizes[k] > cells:
+            yield order[begin:k]
+            begin = k
+
+
+def matches(block: Block, seeds: np.ndarray, texts: list[bytes | None], least: float, cells: int = CELLS) -> list[tuple[int, int, float, int, int]]:
+    """(text, item, score, first word, behind the last word) of every pair that scores at least `least`. seeds: which keys
+    are enough alone."""
     numbers, begin = block.numbers(texts)
-    places, which = block.hits(numbers, seeds)
-    windows = set()
+    places, which = block.hits(numbers)
+    windows: dict[tuple[int, int, int], int] = {}
     text_of = np.searchsorted(begin, places, side="right") - 1
     for t, p, k in zip(text_of.tolist(), (places - begin[text_of]).tolist(), which.tolist()):
         for item, q in block.where[k]:
-            windows.add((t, item, (p - q) // len(block.items[item])))
+            window = (t, item, (p - q) // len(block.items[item]))
+            windows[window] = windows.get(window, 0) + (2 if seeds[k] else 1)
+    # a shift that an edit makes can part the two hits of a pair: those of the neighbour before count too
+    wanted = [w for w, n in windows.items() if n + windows.get((w[0], w[1], w[2] - 1), 0) > 1 or n + windows.get((w[0], w[1], w[2] + 1), 0) > 1]
     ends = np.append(begin[1:], len(numbers)) - (block.n - 1)
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    order = sorted(windows, key=lambda w: len(block.items[w[1]]))
-    for k in range(0, len(order), together):
-        some = order[k : k + together]
+    order = sorted(wanted, key=lambda w: len(block.items[w[1]]))
+    for some in groups_of(order, [4 * len(block.items[w[1]]) for w in order], cells):
         items = [block.items[i] for _, i, _ in some]
         pads = [len(x) // 2 + 1 for x in items]
         starts = [max(0, b * len(x) - pad) for (_, _, b), x, pad in zip(some, items, pads)]
@@ -181,7 +199,7 @@ def blocks_of(benchmark: DataFrame, n: int, block_words: int) -> Iterator[Block]
 
 
 def rare_seeds(docs: DataFrame, block: Block) -> np.ndarray:
-    """Which keys of the block are seeds: of each item the SHARE n-grams whose words are the rarest over all texts."""
+    """Which keys of the block are rare seeds: of each item the SHARE n-grams whose words are the rarest over all texts."""
     held = docs.sparkSession.sparkContext.broadcast(block)
     size = len(block.words)
 
@@ -202,7 +220,8 @@ def rare_seeds(docs: DataFrame, block: Block) -> np.ndarray:
     of_item: list[dict[int, float]] = [{} for _ in block.items]
     for k, where in enumerate(block.where):
         for item, q in where:
-            of_item[item][k] = float(weight[block.items[item][q : q + block.n]].sum())
+            if block.width[k] == min(block.n, len(block.items[item])):
+                of_item[item][k] = float(weight[block.items[item][q : q + block.n]].sum())
     out = np.zeros(len(block.keys), bool)
     for keys in of_item:
         rarest = sorted(keys, key=lambda k: (keys[k], k))
