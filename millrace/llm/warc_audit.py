@@ -6,10 +6,15 @@ hash, in order, into a range node, and 16 neighbours into a node of the next lev
 agree are alike. Else only the children of nodes that differ are read, level by level, down to the ranges, and only the
 records of those ranges are compared: altered, missing (not in the replica) or extra (only in the replica).
 
-Scale: record bytes are hashed where they are read and never shuffled; what is shuffled are digests. Groups are bounded:
-a range has at most range_bytes / (least record) records, a node 16 children; levels shrink by 16.
+Only the primary has offsets. Of it the first record of each range is sent on, and a record of the replica belongs to the
+last range of its file that begins at or before it: no record meets its twin before its range is known to differ.
 
-Defined cases: null url and html are empty; a null page_id counts as -1; rows that share a page_id are told apart by
+Scale: record bytes are hashed where they are read and never shuffled; what is shuffled are digests, by file. Groups are
+bounded: a file has the records of `file_ids` ids, a range at most range_bytes / (least record) of them, a node 16
+children; levels shrink by 16. Nodes are (file, number) pairs, so ids of any size fit.
+
+Defined cases: null url and html are empty; rows with a null page_id are told apart by their digests, from which they
+get a file of negative number, and are reported with a null page_id; rows that share a page_id are told apart by
 their order (url, then digest); empty tables have no tree and no differences. Only page_id, url and html are read.
 """
 
@@ -22,30 +27,45 @@ from pyspark.sql.window import Window
 from .common import materialize, release
 
 FANOUT = 16
-#: Range numbers of a file; a power of FANOUT, so that files are whole branches.
-RANGES = FANOUT**5
 
 
 def record_bytes() -> Column:
     """A WARC response record (ISO 28500) of a page."""
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
     return F.concat(head, html, F.lit("\r\n\r\n"))
 
 
+def floor_div(c: str, n: int) -> Column:
+    """Whole-number division that rounds down, for any long."""
+    return F.expr(f"{c} div {n} - if({c} % {n} < 0, 1, 0)")
+
+
 def records(pages: DataFrame, file_ids: int) -> DataFrame:
-    """page_id, nth (among rows of one page_id), file_no, length and digest of every record."""
-    out = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), "url", "html").withColumn("record", record_bytes())
-    out = out.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("url", "digest"))
-    return out.select("page_id", nth.alias("nth"), F.floor(F.col("page_id") / file_ids).cast("long").alias("file_no"), "length", "digest")
+    """page_id, id (page_id, or of the digest), nth (among rows of one id), file_no, length and digest of every record."""
+    out = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), "html").withColumn("record", record_bytes())
+    out = out.select("page_id", "url", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+    out = out.withColumn("id", F.coalesce("page_id", F.xxhash64("digest"))).withColumn("nameless", F.col("page_id").isNull())
+    nth = F.row_number().over(Window.partitionBy("nameless", "id").orderBy("url", "digest"))
+    return out.select("page_id", "nameless", "id", nth.alias("nth"), floor_div("id", file_ids).alias("file_no"), "length", "digest")
+
+
+FILE = ["nameless", "file_no"]
 
 
 def with_offsets(found: DataFrame, range_bytes: int) -> DataFrame:
-    """Adds the offset in its file, and range_id: the number of the record's offset range in the archive."""
-    before = Window.partitionBy("file_no").orderBy("page_id", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    """Adds the offset in its file, and the number of the record's offset range there."""
+    before = Window.partitionBy(*FILE).orderBy("id", "nth").rowsBetween(Window.unboundedPreceding, -1)
     at = found.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return at.withColumn("range_id", F.col("file_no") * RANGES + F.least(F.expr(f"offset div {range_bytes}"), F.lit(RANGES - 1)))
+    return at.withColumn("range_no", F.expr(f"offset div {range_bytes}"))
+
+
+def in_ranges(found: DataFrame, starts: DataFrame) -> DataFrame:
+    """Adds range_no: of the last range of the record's file that begins at or before it, 0 where there is none."""
+    marks = starts.select(*FILE, "id", "nth", "range_no", F.lit(0).alias("kind"))
+    both = found.withColumn("kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    last = F.last("range_no", ignorenulls=True).over(Window.partitionBy(*FILE).orderBy("id", "nth", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("range_no", F.coalesce(last, F.lit(0).cast("long"))).where("kind = 1").drop("kind")
 
 
 def ordered_hash(order: list[str], digest: str) -> Column:
@@ -59,40 +79,40 @@ def differs() -> Column:
     return ~F.col("a").eqNullSafe(F.col("b"))
 
 
-def _shifted(nodes: DataFrame, by: int) -> DataFrame:
-    out = nodes.withColumn("id", F.col("id") + by)
-    out._written_at = nodes._written_at
-    return out
+def level_up(nodes: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """The nodes above: 16 neighbours, which agree in `keys`, hash in order of their number."""
+    up = nodes.groupBy(*keys, floor_div(number, FANOUT).alias("up"))
+    return materialize(up.agg(ordered_hash([number], "a").alias("a"), ordered_hash([number], "b").alias("b")).withColumnRenamed("up", number), "tree")
 
 
 def audit(primary: DataFrame, replica: DataFrame, file_ids: int = 1000, range_bytes: int = 1 << 16) -> DataFrame:
     """One row per record that differs: page_id, nth, kind, file_no, offset and length (in the primary, null if extra),
     primary_sha256 and replica_sha256."""
     a = materialize(with_offsets(records(primary, file_ids), range_bytes), "primary")
-    b = records(replica, file_ids)
-    placed = a.select("page_id", "nth", "range_id", "offset")
-    # a record that the primary doesn't have belongs to the first range of its file
-    b = b.join(placed, ["page_id", "nth"], "left").withColumn("range_id", F.coalesce("range_id", F.col("file_no") * RANGES))
-    b = materialize(b.select("page_id", "nth", "range_id", "file_no", "digest"), "replica")
-    side = lambda df, name: df.groupBy("range_id").agg(ordered_hash(["page_id", "nth"], "digest").alias(name))
-    nodes = side(a, "a").join(side(b, "b"), "range_id", "full").withColumnRenamed("range_id", "id")
-    levels = [materialize(nodes, "tree")]
-    span = levels[0].agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
-    shift = (span.low or 0) // RANGES * RANGES  # node ids count from the first file, so that they shrink to the root 0
-    levels[0] = _shifted(levels[0], -shift)
-    most = (span.high or 0) - shift
-    while most:
-        most //= FANOUT
-        up = levels[-1].groupBy(F.floor(F.col("id") / FANOUT).cast("long").alias("parent")).agg(ordered_hash(["id"], "a").alias("a"), ordered_hash(["id"], "b").alias("b"))
-        levels.append(materialize(up.withColumnRenamed("parent", "id"), "tree"))
-    open_nodes = levels[-1].where(differs()).select("id")
-    for below in reversed(levels[:-1]):
-        parent = open_nodes.withColumnRenamed("id", "parent")
-        open_nodes = below.withColumn("parent", F.floor(F.col("id") / FANOUT).cast("long")).join(parent, "parent", "left_semi").where(differs()).select("id")
-    ranges = materialize(open_nodes.select((F.col("id") + shift).alias("range_id")), "ranges")
-    release(*levels)
-    left = a.join(ranges, "range_id", "left_semi").select("page_id", "nth", F.col("file_no").alias("a_file"), "offset", "length", F.col("digest").alias("primary_sha256"))
-    right = b.join(ranges, "range_id", "left_semi").select("page_id", "nth", F.col("file_no").alias("b_file"), F.col("digest").alias("replica_sha256"))
-    both = left.join(right, ["page_id", "nth"], "full").where(~F.col("primary_sha256").eqNullSafe(F.col("replica_sha256")))
+    starts = a.groupBy(*FILE, "range_no").agg(F.min(F.struct("id", "nth")).alias("x")).select(*FILE, "range_no", "x.id", "x.nth")
+    b = materialize(in_ranges(records(replica, file_ids), starts), "replica")
+    side = lambda df, name: df.groupBy(*FILE, "range_no").agg(ordered_hash(["id", "nth"], "digest").alias(name))
+    levels = [(materialize(side(a, "a").join(side(b, "b"), [*FILE, "range_no"], "full"), "tree"), "range_no")]
+    while levels[-1][0].where("range_no <> 0").limit(1).count():  # ranges of a file, up to the file
+        levels.append((level_up(levels[-1][0], FILE, "range_no"), "range_no"))
+    levels.append((levels[-1][0].drop("range_no"), "file_no"))
+    while levels[-1][0].where("file_no not in (-1, 0)").limit(1).count():  # files, up to the root of those below 0 and of the others
+        levels.append((level_up(levels[-1][0], ["nameless"], "file_no"), "file_no"))
+    top, _ = levels[-1]
+    open_nodes = top.where(differs())
+    for (below, number), (above, of_above) in zip(reversed(levels[:-1]), reversed(levels[1:])):
+        keys = [c for c in (*FILE, "range_no") if c in above.columns]
+        same = of_above == number  # else a file and its ranges' root, which are one node
+        parent = open_nodes.select(*[F.col(c).alias(f"up_{c}") for c in keys])
+        meets = [F.col(c) == F.col(f"up_{c}") for c in keys if not (same and c == number)]
+        if same:
+            meets.append(floor_div(number, FANOUT) == F.col(f"up_{number}"))
+        open_nodes = below.join(parent, meets, "left_semi").where(differs())
+    ranges = materialize(open_nodes.select(*FILE, "range_no"), "ranges")
+    release(*[x for x, _ in levels if hasattr(x, "_written_at")])
+    key = ["nameless", "id", "nth"]
+    left = a.join(ranges, [*FILE, "range_no"], "left_semi").select(*key, F.col("file_no").alias("a_file"), "offset", "length", F.col("digest").alias("primary_sha256"))
+    right = b.join(ranges, [*FILE, "range_no"], "left_semi").select(*key, F.col("file_no").alias("b_file"), F.col("digest").alias("replica_sha256"))
+    both = left.join(right, key, "full").where(~F.col("primary_sha256").eqNullSafe(F.col("replica_sha256")))
     kind = F.when(F.col("replica_sha256").isNull(), "missing").when(F.col("primary_sha256").isNull(), "extra").otherwise("altered")
-    return both.select("page_id", "nth", kind.alias("kind"), F.coalesce("a_file", "b_file").alias("file_no"), "offset", "length", "primary_sha256", "replica_sha256")
+    return both.select(F.when(~F.col("nameless"), F.col("id")).alias("page_id"), "nth", kind.alias("kind"), F.coalesce("a_file", "b_file").alias("file_no"), "offset", "length", "primary_sha256", "replica_sha256")
