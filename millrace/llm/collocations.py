@@ -10,9 +10,10 @@ unary path. Paths are compacted by pointer doubling into (path, place); behind i
 next word adds to the phrases it contains, all with the path's count.
 
 Codes: words among the `dictionary` most frequent (65,533 at most, a broadcast of bounded size) have a code of two bytes,
-so that four of them are one long. Rows end before a word that too few places have; what other words the dictionary lacks
-is kept in a bitmap of fixed size, and grams with one of those are rows of their own, of four 64-bit word hashes, whose
-flow counts for the lengths from that word on. Results don't depend on the dictionary or on false hits of the bitmap.
+so that four of them are one long. Rows end before a word that too few places have. Other words that the dictionary lacks
+are kept in a bitmap of fixed size, and so are their pairs with a neighbour that have enough places. Grams with such a word
+are rows of their own, of four 64-bit word hashes, that end where a pair isn't in the bitmap; their flow counts for the
+lengths from that word on. Results don't depend on the dictionary or on false hits of the bitmaps.
 
 Scale: a slice's rows are summed before the shuffle. They are dealt by language and first two words; pairs that a slice
 has often (HOT of all places or more, 2 / HOT pairs at most) are dealt by three words, and their sums meet once more.
@@ -25,6 +26,7 @@ rows that share a doc_id count one by one; an empty table gives no rows. Only te
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,10 +108,30 @@ class Codes:
         at, found = self.places(h, self.sorted)
         return np.where(found, self.codes[at], _u64(0)) if len(self.sorted) else np.zeros(len(h), np.uint64)
 
-    def other(self, h: np.ndarray) -> np.ndarray:
-        """Whether words that the dictionary lacks can have enough places."""
-        at = (h & _u64(BITMAP - 1)).astype(np.int64)
-        return (self.others[at >> 6] >> (at & 63).astype(np.uint64)) & _u64(1) == 1
+
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h & _u64(BITMAP - 1)).astype(np.int64)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & _u64(1) == 1
+
+
+def pair_in(lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a pair of words of a language."""
+    return pair_hash(pair_hash(np.full(len(a), zlib.crc32(lang.encode()), np.uint64), a), b)
+
+
+def _other_pairs(held):
+    """(h, c): pairs of neighbours of which the dictionary lacks one or both, each with enough places by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: Codes = held.value
+        for lang, _, _, _, h, opens in slices(batches):
+            coded = codes.code(h) != 0
+            other = ~coded & in_bitmap(codes.others, h)
+            first = np.flatnonzero(~opens[1:] & (coded | other)[1:] & (coded | other)[:-1] & (other[1:] | other[:-1]))
+            pairs, c = np.unique(pair_in(lang, h[first], h[first + 1]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(c, pa.int32())], names=["h", "c"])
+
+    return run, "h long, c int"
 
 
 def _coded_edges(held):
@@ -132,7 +154,7 @@ def _coded_edges(held):
     return run, "lang string, k long, hot boolean, c int"
 
 
-def _other_edges(held):
+def _other_edges(held, pairs):
     """(lang, k, hot, c, cut): the grams with a word that the dictionary lacks, as four hashes; cut: the number of words up
     to the first such word."""
 
@@ -140,7 +162,7 @@ def _other_edges(held):
         codes: Codes = held.value
         for lang, _, _, _, h, opens in slices(batches):
             piece, coded = np.cumsum(opens), codes.code(h) != 0
-            other = ~coded & codes.other(h)
+            other = ~coded & in_bitmap(codes.others, h)
             usable, near = coded | other, other.copy()
             for j in (1, 2, 3):
                 near |= following(other, piece, j)
@@ -150,6 +172,8 @@ def _other_edges(held):
             for j in range(4):
                 at = np.minimum(places + j, len(h) - 1)
                 alive &= (places + j < len(h)) & (piece[at] == piece[places]) & usable[at]
+                if j:
+                    alive &= ~(other[at] | other[at - 1]) | in_bitmap(pairs.value, pair_in(lang, h[at - 1], h[at]))
                 grams[alive, j] = h[at[alive]]
                 first = np.where(alive & other[at] & (first == 4), j, first)
             grams, first = grams[first < 4], first[first < 4]
@@ -233,8 +257,8 @@ def _flow(held, least: int, coded: bool):
     return run, "lang string, level int, key binary, f long"
 
 
-def other_words(counted: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of words, of BITMAP / 64 longs, and how many words it has."""
+def bitmap_of(counted: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of hashes h, of BITMAP / 64 longs, and how many it has."""
     bits = counted.select(F.expr(f"h & {BITMAP - 1}L").alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"), F.count("*").alias("n")).toArrow()
     out = np.zeros(BITMAP >> 6, np.int64)
     out[bits["at"].to_numpy()] = bits["bits"].to_numpy()
@@ -252,14 +276,18 @@ def gram_counts(docs: DataFrame, least: int, dictionary: int) -> tuple[DataFrame
     of_word = counted.where(~F.col("pair")).groupBy("h").agg(F.sum("c").alias("c"), F.max(F.octet_length("word")).alias("bytes")).where(F.col("c") >= least)
     some = of_word.where(F.col("bytes") <= LONGEST).orderBy(F.desc("c"), "h").limit(min(dictionary, 65_533)).select("h").toArrow()["h"].to_pylist()
     rare = of_word.join(F.broadcast(spark.createDataFrame([(h,) for h in some], "h long")), "h", "left_anti") if some else of_word
-    others, n_others = other_words(rare)
+    others, n_others = bitmap_of(rare)
     hot = [r.h for r in counted.where("pair").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT / 2 * total).select("h").collect()]  # 2 / HOT rows at most
     held = spark.sparkContext.broadcast(Codes(some, hot, others))
     first = lambda n: F.xxhash64(F.substring("k", 1, 8 * n))
     code = lambda n: F.xxhash64(F.shiftrightunsigned("k", 64 - 16 * n))
     sums = None
-    for edges, begin, coded in [(_coded_edges, code, True)] * bool(some) + [(_other_edges, first, False)] * bool(n_others):
-        run, schema = edges(held)
+    passes = [(_coded_edges(held), code, True)] * bool(some)
+    if n_others:
+        run, schema = _other_pairs(held)
+        pairs = texts.mapInArrow(run, schema).groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+        passes.append((_other_edges(held, spark.sparkContext.broadcast(bitmap_of(pairs)[0])), first, False))
+    for (run, schema), begin, coded in passes:
         rows = texts.mapInArrow(run, schema).repartition("lang", F.when(F.col("hot"), begin(3)).otherwise(begin(2))).sortWithinPartitions("k")
         run, schema = _flow(held, least, coded)
         parts = rows.mapInArrow(run, schema)
