@@ -1,7 +1,7 @@
 """Sources and materialized models: typed scans, text scans, profiles, full and incremental models, merges.
 
-Tables are folders of Parquet files in a place that all executors share. A refresh of a model whose plan reads the table
-itself is written beside it first and moved in, so a lost executor never leaves half a table."""
+Tables are snapshots in a place that all executors share: a refresh is written beside what is there, and seen at once or
+not at all, so a lost executor or driver never leaves half a table, and a plan may read the table that it refreshes."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.functions.lineage import cut, release
+from millrace.sources.snapshots import PART, WHOLE, Snapshots
 
 from .cleansing import quoted
 
@@ -46,27 +46,21 @@ def typed_profile(df: DataFrame, first: int = 10, samples: int = 3) -> DataFrame
 
 
 def full_model(df: DataFrame, path: str) -> DataFrame:
-    """Recomputes and replaces; df may read the table that it replaces."""
-    written = cut(df, "model")
-    written.write.mode("overwrite").parquet(path)
-    release(written)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Recomputes and replaces at once; df may read the table that it replaces."""
+    table = Snapshots(df.sparkSession, path)
+    table.replace(df.withColumn(PART, F.lit(WHOLE)))
+    return table.read(df.schema)
 
 
 def time_range_model(source: DataFrame, path: str, day: str, start: str, end: str, lookback: int = 0) -> DataFrame:
-    """Replaces the days from `lookback` before start to end, one partition a day; days of the range without rows become
+    """Replaces the days from `lookback` before start to end at once, one part a day; days of the range without rows become
     empty, other days stay."""
-    spark = source.sparkSession
+    spark, table = source.sparkSession, Snapshots(source.sparkSession, path)
     low = F.date_sub(F.lit(start).cast("date"), lookback)
-    fresh = source.where(F.col(day).between(low, F.lit(end).cast("date")))
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
-    out = spark.read.schema(T.StructType([*[f for f in source.schema if f.name != day], source.schema[day]])).parquet(path)
-    gone = out.where(F.col(day).between(low, F.lit(end).cast("date"))).select(day).distinct().join(fresh.select(day).distinct(), day, "left_anti")
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in gone.collect():  # days, of which a range has few
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"{day}={r[0]}"), True)
-    return spark.read.schema(out.schema).parquet(path)
+    fresh = source.where(F.col(day).between(low, F.lit(end).cast("date"))).withColumn(PART, F.col(day).cast("date").cast("string"))
+    days = spark.range(1).select(low.alias("low"), F.lit(end).cast("date").alias("high")).where("low <= high").select(F.explode(F.sequence("low", "high")).alias("day"))
+    table.replace(fresh, [str(r.day) for r in days.collect()])  # of the range, not of the table
+    return table.read(T.StructType([*[f for f in source.schema if f.name != day], source.schema[day]]))
 
 
 def newest(df: DataFrame, key: list[str], order: str) -> DataFrame:

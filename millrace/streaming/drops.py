@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from millrace.operators import cleansing, logs
 
+from . import streams
+
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.text(folder)
 
 
-def log_alerts(lines: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Alerts by equipment, kind and window of time; lines later than the watermark are dropped."""
-    rows = logs.with_alert_kind(logs.parse_lines(lines)).withWatermark("ts", late)
+def log_alerts(lines: DataFrame, late: str = "1 hour", width: str = "1 day", end: str | None = None) -> DataFrame:
+    """Alerts by equipment, kind and window of time, once the watermark has closed the window; later lines are dropped. end:
+    see streams.under_watermark."""
+    rows = streams.under_watermark(streams.counted(logs.with_alert_kind(logs.parse_lines(lines))), late, end)
     counts = rows.groupBy(F.window("ts", width).alias("w"), "equipment", "alert_type").agg(F.count("*").alias("n"), F.max(F.when(F.col("level") == "CRITICAL", 1).otherwise(0)).alias("critical"))
     return counts.select(F.col("w.start").cast("date").cast("string").alias("day"), "equipment", "alert_type", "n", logs.severity(F.col("critical")).alias("severity"))
 
