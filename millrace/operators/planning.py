@@ -174,7 +174,7 @@ def netting_inputs(part: DataFrame, customer_order: DataFrame, customer_order_li
     lines = open_lines(customer_order, customer_order_line)
     open_qty = F.greatest(F.col("order_qty") - F.coalesce("shipped_qty", F.lit(0.0)), F.lit(0.0))
     co = by_bucket(lines, "need_by_date", open_qty, start, months, "co", past=0)
-    fc = by_bucket(forecast.crossJoin(F.broadcast(start)).where("forecast_date >= plan_start").drop("plan_start"), "forecast_date", F.col("forecast_qty"), start, months, "fc", past=0)
+    fc = by_bucket(forecast, "forecast_date", F.col("forecast_qty"), start, months, "fc", past=0)
     sched = by_bucket(scheduled_receipts(work_order, po_line, purchase_order), "day", F.col("quantity"), start, months, "sched", past=0)
     grid = active(part).where(~bad_lead()).select("part_id", "on_hand_qty", "safety_stock", "lead_time_days").withColumn("bucket_index", F.explode(F.sequence(F.lit(0), F.lit(months))))
     out = grid
@@ -207,14 +207,32 @@ def netting_grid(inputs: DataFrame, start: DataFrame) -> DataFrame:
     return rows.select("part_id", "bucket_index", F.round("gross", 4).alias("gross_requirements"), F.round("sched", 4).alias("scheduled_receipts"), F.round("pab", 4).alias("projected_balance"), (F.round("net", 4) + F.lit(0.0)).alias("net_requirement"), F.round(F.coalesce("planned_release", F.lit(0.0)), 4).alias("planned_release"))
 
 
-def planning_problems(part: DataFrame, inputs: DataFrame, strict: bool = False) -> DataFrame:
-    """One row per problem of an active part: no usable lead time, or nothing on hand and nothing to be received."""
-    lead = active(part).where(bad_lead()).select("part_id", F.lit("bad lead time").alias("problem"))
-    coming = inputs.where("sched > 0").select("part_id").distinct()
-    empty = active(part).where("coalesce(on_hand_qty, 0) <= 0").join(coming, "part_id", "left_anti").select("part_id", F.lit("no supply").alias("problem"))
-    out = lead.unionByName(empty)
-    if strict and (first := out.limit(1).collect()):
-        raise ValueError(f"part {first[0].part_id}: {first[0].problem}")
+def in_horizon(rows: DataFrame, day: str, work_order: DataFrame, months: int) -> DataFrame:
+    """Rows whose day is in the months from the plan start on; past-due ones aren't."""
+    span = plan_start(work_order).withColumn("horizon_end", F.add_months("plan_start", months))
+    return rows.crossJoin(F.broadcast(span)).where(F.col(day).isNotNull() & (F.col(day) >= F.col("plan_start")) & (F.col(day) < F.col("horizon_end"))).drop("plan_start", "horizon_end")
+
+
+def planning_parts(part: DataFrame, customer_order: DataFrame, customer_order_line: DataFrame, forecast: DataFrame, work_order: DataFrame, months: int = 9) -> DataFrame:
+    """Parts with open order lines or forecasts in the horizon, active or not, and whatever their lead time: the lines, and
+    what is open of them plus what is forecast. A forecast of a part that isn't there is left out."""
+    lines = in_horizon(open_lines(customer_order, customer_order_line), "need_by_date", work_order, months)
+    open_qty = F.greatest(F.col("order_qty") - F.coalesce("shipped_qty", F.lit(0.0)), F.lit(0.0))
+    ordered = lines.groupBy("part_id").agg(F.count("*").alias("demand_lines"), F.sum(open_qty).alias("co"))
+    expected = in_horizon(forecast.where("forecast_qty > 0"), "forecast_date", work_order, months).groupBy("part_id").agg(F.sum("forecast_qty").alias("fc"))
+    rows = part.select("part_id", "part_class", "lead_time_days", "on_hand_qty").join(ordered.join(expected, "part_id", "full"), "part_id")
+    return rows.select("part_id", "part_class", "lead_time_days", "on_hand_qty", F.coalesce("demand_lines", F.lit(0)).alias("demand_lines"), F.round(F.coalesce("co", F.lit(0.0)) + F.coalesce("fc", F.lit(0.0)), 4).alias("demand_qty"))
+
+
+def planning_problems(parts: DataFrame, receipts: DataFrame, work_order: DataFrame, months: int = 9, strict: bool = False) -> DataFrame:
+    """What keeps parts with demand (planning_parts) from being planned, a row a part: no usable lead time, else nothing on
+    hand and no scheduled receipt in the horizon. strict: raises, with the first problems, if there are any."""
+    coming = in_horizon(receipts, "day", work_order, months).select("part_id", F.lit(True).alias("coming")).distinct()
+    bare = (F.coalesce("on_hand_qty", F.lit(0.0)) <= 0) & F.col("coming").isNull()
+    problem = F.when(bad_lead(), "missing or non-positive lead_time_days").when(bare, "no on-hand inventory and no scheduled receipts in the horizon")
+    out = parts.join(coming, "part_id", "left").select("part_id", problem.alias("problem")).where("problem is not null")
+    if strict and (first := out.orderBy("part_id").limit(20).collect()):
+        raise ValueError("planning inputs are incomplete: " + "; ".join(f"part {r.part_id}: {r.problem}" for r in first))
     return out
 
 
@@ -222,10 +240,6 @@ def forecast_consumption(inputs: DataFrame) -> DataFrame:
     return inputs.where("co > 0 or fc > 0").select("part_id", "bucket_index", F.round("co", 4).alias("customer_demand"), F.round("fc", 4).alias("forecast"), F.round(F.col("co") + F.greatest(F.col("fc") - F.col("co"), F.lit(0.0)), 4).alias("gross_requirements"))
 
 
-def planning_parts(inputs: DataFrame) -> DataFrame:
-    return inputs.groupBy("part_id").agg(F.round(F.sum("co"), 4).alias("order_demand"), F.round(F.sum("fc"), 4).alias("forecast_demand")).where("order_demand > 0 or forecast_demand > 0")
-
-
 def stock_allocation(part: DataFrame, requirement: DataFrame) -> DataFrame:
     """What is left on hand after each requirement, in order of the required date; equal dates share a balance."""
     w = Window.partitionBy("part_id").orderBy("required_date")

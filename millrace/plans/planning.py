@@ -79,10 +79,23 @@ def inputs(t):
     return op.netting_inputs(t["erp_part"], t["customer_order"], t["customer_order_line"], op.forecast_of(t["customer_order_line"]), t["work_order"], t["po_line"], t["purchase_order"])
 
 
+def parts(t):
+    return op.planning_parts(t["erp_part"], t["customer_order"], t["customer_order_line"], op.forecast_of(t["customer_order_line"]), t["work_order"])
+
+
+FORECAST = "(select part_id, cast(date_trunc('month', need_by_date) + interval 12 month as date) as d, order_qty * 1.1e0 as f from {customer_order_line})"
+#: Parts with demand in the horizon: lines of open orders and forecasts dated from its start to before its end.
+PARTS = f"""
+  with st as (select plan_start as low, plan_start + interval 9 month as high from {START}),
+  co as (select part_id, count(*) as n, sum(greatest(order_qty - coalesce(shipped_qty, 0), 0)) as q from {OPEN} cross join st where need_by_date >= low and need_by_date < high group by 1),
+  fc as (select part_id, sum(f) as q from {FORECAST} cross join st where d >= low and d < high and f > 0 group by 1),
+  parts as (
+    select p.part_id, part_class, lead_time_days, on_hand_qty, coalesce(n, 0) as demand_lines, round(coalesce(co.q, 0) + coalesce(fc.q, 0), 4) as demand_qty
+    from {{erp_part}} p left join co on co.part_id = p.part_id left join fc on fc.part_id = p.part_id where co.part_id is not null or fc.part_id is not null)"""
 INPUTS = f"""
   with recursive st as {START},
   co as (select part_id, {bucket('need_by_date', 0)} as b, sum(greatest(order_qty - coalesce(shipped_qty, 0), 0)) as q from {OPEN} cross join st where need_by_date is not null group by 1, 2),
-  fc as (select part_id, {bucket('d', 0)} as b, sum(f) as q from (select part_id, cast(date_trunc('month', need_by_date) + interval 12 month as date) as d, order_qty * 1.1e0 as f from {{customer_order_line}}) y cross join st where d >= plan_start group by 1, 2),
+  fc as (select part_id, {bucket('d', 0)} as b, sum(f) as q from {FORECAST} y cross join st where d is not null group by 1, 2),
   rc as (select part_id, {bucket('day', 0)} as b, sum(q) as q from {RECEIPTS} r cross join st where day is not null group by 1, 2),
   inp as (
     select p.part_id, cast(x.b as bigint) as b, on_hand_qty as h, safety_stock as ss, lead_time_days as lead, coalesce(co.q, 0) as co, coalesce(fc.q, 0) as fc, coalesce(rc.q, 0) as s
@@ -100,13 +113,13 @@ plans.add("p14_netting_grid", lambda t: op.netting_grid(inputs(t), op.plan_start
   rel as (select part_id, if(b = 0 or day < plan_start, 0, date_diff('month', plan_start, cast(day as date)) + 1) as b, sum(n) as q from net where n > 0 group by 1, 2)
   select net.part_id, cast(net.b as int) as bucket_index, round(g, 4) as gross_requirements, round(s, 4) as scheduled_receipts, round(pab, 4) as projected_balance, round(n, 4) + 0e0 as net_requirement, round(coalesce(rel.q, 0), 4) as planned_release
   from net left join rel on rel.part_id = net.part_id and rel.b = net.b""")
-plans.add("p15_planning_problems", lambda t: op.planning_problems(t["erp_part"], inputs(t)), INPUTS + """
-  select part_id, 'bad lead time' as problem from {erp_part} where active = 1 and coalesce(lead_time_days, 0) <= 0
-  union all select part_id, 'no supply' from {erp_part} where active = 1 and coalesce(on_hand_qty, 0) <= 0 and part_id not in (select part_id from inp where s > 0)""")
+plans.add("p15_planning_problems", lambda t: op.planning_problems(parts(t), op.scheduled_receipts(t["work_order"], t["po_line"], t["purchase_order"]), t["work_order"]), PARTS + f""",
+  coming as (select distinct part_id from {RECEIPTS} r cross join st where day >= low and day < high)
+  select part_id, if(coalesce(lead_time_days, 0) <= 0, 'missing or non-positive lead_time_days', 'no on-hand inventory and no scheduled receipts in the horizon') as problem
+  from parts where coalesce(lead_time_days, 0) <= 0 or (coalesce(on_hand_qty, 0) <= 0 and part_id not in (select part_id from coming))""")
 plans.add("p16_forecast_consumption", lambda t: op.forecast_consumption(inputs(t)), INPUTS + """
   select part_id, cast(b as int) as bucket_index, round(co, 4) as customer_demand, round(fc, 4) as forecast, round(greatest(co, fc), 4) as gross_requirements from inp where co > 0 or fc > 0""")
-plans.add("p17_planning_parts", lambda t: op.planning_parts(inputs(t)), INPUTS + """
-  select part_id, round(sum(co), 4) as order_demand, round(sum(fc), 4) as forecast_demand from inp group by 1 having sum(co) > 0 or sum(fc) > 0""")
+plans.add("p17_planning_parts", parts, PARTS + " select * from parts")
 plans.add("p18_open_quantity", lambda t: op.open_quantity(t["customer_order_line"]), "select order_line_id, part_id, order_qty, greatest(order_qty - coalesce(shipped_qty, 0), 0) as open_qty from {customer_order_line}")
 
 

@@ -52,12 +52,44 @@ def test_netting_equals_the_loop(spark):
     assert sum(r.planned_release for r in got) == pytest.approx(sum(r.net_requirement for r in got))
 
 
-def test_bad_lead_time_fails_closed(spark):
-    parts = part(spark, [(1, "a", "RAW", "EA", 1.0, None, 0.0, 10.0, 0.0, 1), (2, "b", "RAW", "EA", 1.0, 5, 0.0, 0.0, 0.0, 1)])
-    inputs = spark.createDataFrame([(2, 0.0)], "part_id long, sched double")
-    assert {(r.part_id, r.problem) for r in planning.planning_problems(parts, inputs).collect()} == {(1, "bad lead time"), (2, "no supply")}
-    with pytest.raises(ValueError):
-        planning.planning_problems(parts, inputs, strict=True)
+def demand(spark):
+    """Parts with and without demand, lead time and supply; the plan starts on 2026-06-01."""
+    parts = part(spark, [(k, "a", "RAW", "EA", 1.0, lead, 0.0, on_hand, 0.0, active) for k, lead, on_hand, active in [(1, None, 0.0, 1), (2, 5, 0.0, 1), (3, 5, 0.0, 1), (4, 0, 0.0, 1), (5, 5, 0.0, 1), (6, 5, 9.0, 0), (7, 5, 0.0, 1), (8, 5, None, 1)]])
+    orders = spark.createDataFrame([(1, DAY(2026, 1, 1), "Open"), (2, DAY(2026, 1, 1), "Closed")], "order_id long, order_date date, status string")
+    lines = spark.createDataFrame(
+        [(1, 1, DAY(2026, 6, 5), 3.0, None), (1, 2, DAY(2026, 6, 1), 4.0, 1.0), (1, 2, DAY(2027, 2, 28), 1.0, 3.0), (1, 4, DAY(2026, 5, 31), 9.0, None), (1, 5, DAY(2027, 3, 1), 9.0, None), (2, 4, DAY(2026, 7, 1), 9.0, None), (1, 6, DAY(2026, 7, 1), 2.0, None), (1, 4, None, 2.0, None)],
+        "order_id long, part_id long, need_by_date date, order_qty double, shipped_qty double",
+    )
+    forecast = spark.createDataFrame([(3, DAY(2026, 8, 1), 5.0), (3, DAY(2026, 5, 1), 50.0), (2, DAY(2026, 8, 1), 2.0), (5, DAY(2026, 8, 1), 0.0), (99, DAY(2026, 8, 1), 1.0), (8, DAY(2026, 8, 1), 1.0)], "part_id long, forecast_date date, forecast_qty double")
+    work = spark.createDataFrame([(7, 50.0, "closed", None, DAY(2026, 6, 12)), (3, 1.0, "released", DAY(2026, 6, 1), None), (2, 1.0, "released", DAY(2026, 5, 31), None), (2, 1.0, "firmed", DAY(2027, 3, 1), None)], "part_id long, quantity double, status string, required_date date, close_date date")
+    po, po_line = spark.createDataFrame([(1, "Open", DAY(2026, 9, 1))], "po_id long, status string, required_date date"), spark.createDataFrame([(1, 8, 2.0)], "po_id long, part_id long, quantity double")
+    return parts, orders, lines, forecast, work, po, po_line
+
+
+def test_parts_with_demand_in_the_horizon(spark):
+    """Past-due lines and those after the horizon aren't demand; parts without a lead time and inactive ones are listed."""
+    parts, orders, lines, forecast, work, *_ = demand(spark)
+    got = {r.part_id: (r.demand_lines, r.demand_qty) for r in planning.planning_parts(parts, orders, lines, forecast, work).collect()}
+    assert got == {1: (1, 3.0), 2: (2, 5.0), 3: (0, 5.0), 6: (1, 2.0), 8: (0, 1.0)}
+
+
+def test_bad_inputs_fail_closed(spark):
+    """One row a part with demand; a bad lead time comes first; receipts must be due in the horizon; a part without demand has none."""
+    parts, orders, lines, forecast, work, po, po_line = demand(spark)
+    rows, receipts = planning.planning_parts(parts, orders, lines, forecast, work), planning.scheduled_receipts(work, po_line, po)
+    got = [(r.part_id, r.problem.split()[0]) for r in planning.planning_problems(rows, receipts, work).orderBy("part_id").collect()]
+    assert got == [(1, "missing"), (2, "no")]
+    with pytest.raises(ValueError, match="part 1: missing"):
+        planning.planning_problems(rows, receipts, work, strict=True)
+    assert planning.planning_problems(rows.where("part_id > 2"), receipts, work, strict=True).count() == 0
+
+
+def test_past_forecasts_are_past_due_demand(spark):
+    parts, orders, lines, forecast, work, po, po_line = demand(spark)
+    inputs = planning.netting_inputs(parts, orders, lines, forecast, work, po_line, po)
+    assert {(r.bucket_index, r.fc) for r in inputs.where("part_id = 3 and fc > 0").collect()} == {(0, 50.0), (3, 5.0)}
+    grid = {r.bucket_index: r for r in planning.netting_grid(inputs, planning.plan_start(work)).where("part_id = 3").collect()}
+    assert (grid[0].gross_requirements, grid[0].net_requirement, grid[3].gross_requirements) == (50.0, 50.0, 5.0)
 
 
 def test_over_receipt_never_offsets_a_short_line(spark):
