@@ -12,8 +12,8 @@ next word adds to the phrases it contains, all with the path's count.
 Codes: words among the `dictionary` most frequent (65,533 at most, a broadcast of bounded size) have a code of two bytes,
 so that four of them are one long. Rows end before a word that too few places have. Other words that the dictionary lacks
 are kept in a bitmap of fixed size, and so are their pairs with a neighbour that have enough places. Grams with such a word
-are rows of their own, of four 64-bit word hashes, that end where a pair isn't in the bitmap; their flow counts for the
-lengths from that word on. Results don't depend on the dictionary or on false hits of the bitmaps.
+are rows of their own, of up to four 64-bit word hashes, that end where a pair isn't in the bitmap; their flow counts for
+the lengths from that word on, and from two words on. Results don't depend on the dictionary or on false hits of the bitmaps.
 
 Scale: a slice's rows are summed before the shuffle. They are dealt by language and first two words; pairs that a slice
 has often (HOT of all places or more, 2 / HOT pairs at most) are dealt by three words, and their sums meet once more.
@@ -176,7 +176,8 @@ def _other_edges(held, pairs):
                     alive &= ~(other[at] | other[at - 1]) | in_bitmap(pairs.value, pair_in(lang, h[at - 1], h[at]))
                 grams[alive, j] = h[at[alive]]
                 first = np.where(alive & other[at] & (first == 4), j, first)
-            grams, first = grams[first < 4], first[first < 4]
+            some = (first < 4) & (grams[:, 1] != 0)  # single words have been counted
+            grams, first = grams[some], first[some]
             rows, at, c = np.unique(grams.astype(">u8").view("V32").ravel(), return_index=True, return_counts=True)
             hot = codes.places(pair_hash(grams[at, 0], grams[at, 1]), codes.hot)[1]
             yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(c)), fixed(rows.view(np.uint8), len(c), 32), pa.array(hot), pa.array(c, pa.int32()), pa.array(first[at] + 1, pa.int32())], names=["lang", "k", "hot", "c", "cut"])
@@ -217,6 +218,8 @@ class Flow:
     def keep(self, out: list, j: int, f: np.ndarray, words: np.ndarray, cut: np.ndarray, hot: np.ndarray) -> None:
         """A group counts at a length if its gram is that long, and the dictionary lacks one of its words, if of any. Counts of
         single words and of hot pairs are parts of sums, and all kept."""
+        if j == 0 and self.of_code is None:
+            return
         counts = (words[:, j] != 0) & (cut <= j + 1) & ((f >= self.least) | (j == 0) | (hot & (j == 1)))
         if counts.any():
             key = words[counts, : j + 1]
@@ -292,8 +295,8 @@ def gram_counts(docs: DataFrame, least: int, dictionary: int) -> tuple[DataFrame
         run, schema = _flow(held, least, coded)
         parts = rows.mapInArrow(run, schema)
         sums = parts if sums is None else sums.union(parts)
-    if sums is None:
-        sums = spark.createDataFrame([], "lang string, level int, key binary, f long")
+    single = counted.where(~F.col("pair")).join(rare.select("h"), "h", "left_semi").select("lang", F.lit(1).alias("level"), F.unhex(F.lpad(F.hex("h"), 16, "0")).alias("key"), F.col("c").alias("f"))
+    sums = single if sums is None else sums.union(single)
     sums = materialize(sums.groupBy("lang", "level", "key").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "grams")
     held.destroy()
     n = counted.where("not pair").groupBy("lang").agg(F.sum("c").alias("n"))
