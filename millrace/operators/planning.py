@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from millrace.functions.money import cents
 
+from .running import running_sums, with_ties
+
 FALLBACK_AS_OF = "2026-06-12"
 OPEN_WORK = ["unreleased", "firmed", "released"]
 OPEN_PURCHASE = ["Open", "Partial"]
@@ -150,8 +152,9 @@ def simple_atp(part: DataFrame, customer_order: DataFrame, customer_order_line:
 
 
 def running_demand(customer_order: DataFrame, customer_order_line: DataFrame) -> DataFrame:
-    order = Window.partitionBy("part_id").orderBy("need_by_date", "order_id", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return open_lines(customer_order, customer_order_line).select("part_id", "order_id", "line_no", F.col("need_by_date").cast("string").alias("need_by_date"), "order_qty", F.round(F.sum("order_qty").over(order), 2).alias("running_demand"))
+    lines = open_lines(customer_order, customer_order_line).select("part_id", "order_id", "line_no", "need_by_date", "order_qty")
+    rows = running_sums(lines, ["part_id"], ["need_by_date", "order_id", "line_no"], {"running_demand": "order_qty"})
+    return rows.withColumn("need_by_date", F.col("need_by_date").cast("string")).withColumn("running_demand", F.round("running_demand", 2))
 
 
 def demand_register(customer_order: DataFrame, customer_order_line: DataFrame, part: DataFrame) -> DataFrame:
@@ -242,9 +245,8 @@ def forecast_consumption(inputs: DataFrame) -> DataFrame:
 
 def stock_allocation(part: DataFrame, requirement: DataFrame) -> DataFrame:
     """What is left on hand after each requirement, in order of the required date; equal dates share a balance."""
-    w = Window.partitionBy("part_id").orderBy("required_date")
-    rows = requirement.join(part.select("part_id", "on_hand_qty"), "part_id")
-    return rows.select("requirement_id", "part_id", F.col("required_date").cast("string").alias("required_date"), "open_qty", F.round(F.col("on_hand_qty") - F.sum("open_qty").over(w), 2).alias("remaining"))
+    rows = with_ties(requirement, ["part_id"], "required_date", {"taken": "open_qty"}).join(part.select("part_id", "on_hand_qty"), "part_id")
+    return rows.select("requirement_id", "part_id", F.col("required_date").cast("string").alias("required_date"), "open_qty", F.round(F.col("on_hand_qty") - F.col("taken"), 2).alias("remaining"))
 
 
 #: (class, type) of a transaction, what it is called and its sign: fixed values.

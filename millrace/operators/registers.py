@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 
 from millrace.functions.lineage import cut
 
+from .running import running_sums
+
 
 def site_balances(transaction: DataFrame) -> DataFrame:
     """Signed ledger sum of each part and site with its last date; zero balances drop."""
@@ -18,10 +20,9 @@ def site_balances(transaction: DataFrame) -> DataFrame:
 
 def due_against_stock(part: DataFrame, lines: DataFrame) -> DataFrame:
     """Running open quantity of a part by ship date against what is on hand, and the first row of each part."""
-    w = Window.partitionBy("part_id").orderBy("need_by_date", "order_line_id")
-    running = F.sum("open_qty").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = lines.join(part.select("part_id", "on_hand_qty"), "part_id")
-    return rows.select("order_line_id", "part_id", "open_qty", F.round(running, 2).alias("running_due"), (running <= F.col("on_hand_qty")).alias("covered"), (F.row_number().over(w) == 1).alias("first_in_part"))
+    rows = running_sums(lines.withColumn("_one", F.lit(1)), ["part_id"], ["need_by_date", "order_line_id"], {"_due": "open_qty", "_nth": "_one"})
+    rows = rows.join(part.select("part_id", "on_hand_qty"), "part_id")
+    return rows.select("order_line_id", "part_id", "open_qty", F.round("_due", 2).alias("running_due"), (F.col("_due") <= F.col("on_hand_qty")).alias("covered"), (F.col("_nth") == 1).alias("first_in_part"))
 
 
 def trace_rollup(transaction: DataFrame) -> DataFrame:

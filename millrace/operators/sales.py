@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .purchasing import latest
+from .running import with_ties
 
 
 def money(c, name: str):
@@ -65,8 +66,9 @@ def ar_aging(receivable: DataFrame) -> DataFrame:
 
 def cash_receipts(receivable: DataFrame, receivable_payment: DataFrame) -> DataFrame:
     """Cumulative by invoice; installments of one date share their total (the default frame)."""
-    rows = receivable_payment.join(receivable.select("invoice_id", "amount_dollars"), "invoice_id")
-    paid = F.sum(F.col("amount").cast("decimal(18,2)")).over(Window.partitionBy("invoice_id").orderBy("payment_date")).cast("double")
+    exact = receivable_payment.withColumn("_exact", F.col("amount").cast("decimal(18,2)"))
+    rows = with_ties(exact, ["invoice_id"], "payment_date", {"_paid": "_exact"}).join(receivable.select("invoice_id", "amount_dollars"), "invoice_id")
+    paid = F.col("_paid").cast("double")
     return rows.select("invoice_id", "installment_no", F.col("payment_date").cast("string").alias("payment_date"), "amount", paid.alias("cumulative_paid"), F.round(F.col("amount_dollars") - paid, 2).alias("remaining"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .running import running_sums, with_ties
+
 
 def normal_cdf(z: Column) -> Column:
     """Phi by the error-function polynomial 7.1.26 of Abramowitz and Stegun (fixed coefficients)."""
@@ -72,13 +74,31 @@ def linear_trend(days: DataFrame, x: str, y: str) -> DataFrame:
     return out.withColumn("t", t).select("series", "n", F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"), F.round("t", 4).alias("t"), F.round(p, 6).alias("p_value"))
 
 
+def rank_pairs(points: DataFrame, order: str, value: str) -> DataFrame:
+    """(series, s): over all pairs of a series' points in order, how many rise less how many fall; in n log n.
+
+    With t the number of points before a point, two points differ in a highest bit of t. So for each bit, points that
+    agree above it form a group, and each point with the bit is held against those without: as many as have smaller values
+    less as many as have greater ones, which running counts over the group's values give. Points of equal order are no pair."""
+    points = points.where(F.col(order).isNotNull() & F.col(value).isNotNull()).select("series", F.col(order).alias("o"), F.col(value).alias("v"), F.lit(1).cast("long").alias("one"))
+    at = with_ties(points, ["series"], "o", {"upto": "one"})
+    same = points.groupBy("series", "o").agg(F.count("*").alias("ties"))
+    at = at.join(same, ["series", "o"]).select("series", "v", (F.col("upto") - F.col("ties")).alias("t"))
+    bits = at.agg(F.max("t").alias("t")).withColumn("bits", F.length(F.bin("t")))
+    each = at.crossJoin(F.broadcast(bits.select("bits"))).select("series", "v", "t", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("bit"))
+    has = F.expr("shiftright(t, bit) & 1")
+    sides = each.select("series", "bit", F.expr("shiftright(t, bit + 1)").alias("g"), "v", has.alias("late"), (1 - has).alias("early"))
+    of_value = sides.groupBy("series", "bit", "g", "v").agg(F.sum("late").alias("late"), F.sum("early").alias("early"))
+    upto = running_sums(of_value, ["series", "bit", "g"], ["v"], {"upto": "early"})
+    groups = upto.groupBy("series", "bit", "g").agg(F.sum(F.col("late") * (2 * F.col("upto") - F.col("early"))).alias("a"), F.sum("late").alias("n_late"), F.sum("early").alias("n_early"))
+    return groups.groupBy("series").agg(F.sum(F.col("a") - F.col("n_late") * F.col("n_early")).cast("double").alias("s"))
+
+
 def mann_kendall(days: DataFrame, order: str, value: str) -> DataFrame:
-    """S over all pairs of a series' days, its z, p-value and direction. Quadratic in a series, so it takes aggregated days."""
-    a = days.select("series", F.col(order).alias("i"), F.col(value).alias("u"))
-    b = days.select("series", F.col(order).alias("j"), F.col(value).alias("v"))
-    s = a.join(b, "series").where("i < j").groupBy("series").agg(F.sum(F.signum(F.col("v") - F.col("u"))).alias("s"))
+    """S over all pairs of a series' days, its z, p-value and direction."""
+    s = rank_pairs(days, order, value)
     n = days.groupBy("series").agg(F.count("*").alias("n"))
-    rows = n.join(s, "series").withColumn("var", F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18)
+    rows = n.where("n > 1").join(s, "series", "left").fillna(0.0, ["s"]).withColumn("var", F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18)
     z = F.when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt("var")).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt("var")).otherwise(0.0)
     trend = F.when(F.abs("z") < 1.96, "no trend").when(F.col("z") > 0, "increasing").otherwise("decreasing")
     return rows.withColumn("p_value", F.round(2 * (1 - normal_cdf(F.abs(z))), 6)).withColumn("z", F.round(z, 4)).select("series", "n", "s", "z", "p_value", trend.alias("trend"))
