@@ -14,7 +14,11 @@ from millrace.functions.lineage import cut, release
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 #: Patterns of personal data (fixed values).
-PERSONAL = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ssn": r"\b\d{3}-\d{2}-\d{4}\b", "phone": r"\b\d{3}[-.]\d{3}[-.]\d{4}\b"}
+PERSONAL = {
+    "email": r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b",
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "phone": r"\b(?:\+?1[\s.-]?)?(?:\(?\d{3}\)?[\s.-]?)\d{3}[\s.-]?\d{4}\b",
+}
 
 
 #: Words in column names and what is suggested for them, in order (fixed values).

@@ -34,11 +34,13 @@ add("k03_apply_policy", lambda t: cl.apply_policy(t["customer"], "customer", POL
 add("k04_masked_extract", lambda t: cl.masked_extract(t["customer"], "customer", POLICY, SALT), f"""
   select 'customer' as table_name, 'c_name' as column_name, cast(1 as int) as masking_mode, left({HASH.format('c_name')}, 12) as masked_value from customer
   union all select 'customer', 'c_mktsegment', 3, '0x' || left({HASH.format('c_mktsegment')}, 8) from customer union all select 'customer', 'c_acctbal', 2, null from customer""")
-add("k06_personal_data", lambda t: cl.personal_data(t["documents"]), r"""
-  with x as (select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) as e, len(regexp_extract_all(text, '\b\d{3}-\d{2}-\d{4}\b')) as s, len(regexp_extract_all(text, '\b\d{3}[-.]\d{3}[-.]\d{4}\b')) as p from documents)
+# the patterns of an address, a social security number and a telephone number with or without country code, brackets and blanks
+EMAIL, SSN, PHONE = r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", r"\b\d\d\d-\d\d-\d\d\d\d\b", r"\b(?:\+?1[\s.-]?)?(?:\(?\d\d\d\)?[\s.-]?)\d\d\d[\s.-]?\d\d\d\d\b"
+add("k06_personal_data", lambda t: cl.personal_data(t["documents"]), f"""
+  with x as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '{EMAIL}')) as e, len(regexp_extract_all(coalesce(text, ''), '{SSN}')) as s, len(regexp_extract_all(coalesce(text, ''), '{PHONE}')) as p from documents)
   select doc_id, cast(e as int) as email, cast(s as int) as ssn, cast(p as int) as phone, if(e + s + p > 0, 'blocked_pii', 'ingested') as status from x""")
-add("i04_corpus_manifest", lambda t: cl.corpus_manifest(t["documents"]), r"""
-  select doc_id, sha256(text) as sha256, if(regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\b\d{3}-\d{2}-\d{4}\b|\b\d{3}[-.]\d{3}[-.]\d{4}\b'), 'blocked_pii', 'ingested') as status from documents""")
+add("i04_corpus_manifest", lambda t: cl.corpus_manifest(t["documents"]), f"""
+  select doc_id, sha256(text) as sha256, if(regexp_matches(text, '{EMAIL}|{SSN}|{PHONE}'), 'blocked_pii', 'ingested') as status from documents""")
 add("v01_model_audit", lambda t: cl.audit(t["lineitem"], ["l_orderkey"], ["l_shipdate", "l_tax"], {"whole": "l_quantity <= 45", "known flag": "l_returnflag in ('A', 'N')"}), """
   select 'not_null:l_shipdate' as rule, count(*) filter (l_shipdate is null) as violations from lineitem union all select 'not_null:l_tax', count(*) filter (l_tax is null) from lineitem
   union all select 'predicate:whole', count(*) filter (l_quantity > 45) from lineitem union all select 'predicate:known flag', count(*) filter (l_returnflag not in ('A', 'N')) from lineitem

@@ -56,13 +56,16 @@ add("n16_keyword_routing", lambda t: g.route_by_keyword(t["documents"], ROUTES).
 add("n17_ambiguous", lambda t: g.ambiguous(t["part"].select(F.col("p_brand").alias("field"), F.col("p_type").alias("concept"))), "select p_brand as field, cast(count(distinct p_type) as int) as n_concepts, string_agg(distinct p_type, ', ' order by p_type) as concepts from part group by 1 having count(distinct p_type) > 1")
 add("n20_node_keys", lambda t: t["benchmark"].select("item_id", g.node_key("item", F.col("text")).alias("node_key")), """
   with x as (select item_id, text, regexp_replace(text, '[^A-Za-z0-9_\\-:.]', '_', 'g') as c from benchmark) select item_id, 'item:' || if(length(c) > 120, left(c, 60) || '_' || sha1(text), c) as node_key from x""")
-LOG = "date_format(ts, 'yyyy-MM-dd HH:mm:ss') || ' [' || if(event_type = 'error', if(value > 80, 'CRITICAL', 'ERROR'), 'INFO') || '] EQ-' || user_id || ': temperature: ' || round(value, 1) || if(event_type = 'signup', ' maintenance due', if(event_type = 'view', ' quality check', ''))"
+LOG = """date_format(ts, 'yyyy-MM-dd HH:mm:ss') || ' [' || if(event_type = 'error', if(value > 80, 'CRITICAL', 'ERROR'), 'INFO') || ']  EQ-' || user_id || ': Temperature' || if(event_id % 2 = 0, ': ', ' ') || round(value, 1)
+  || if(event_id % 3 = 0, ', pressure ' || (event_id % 50) || ' bar', '') || if(event_id % 5 = 0, ', speed: ' || (event_id % 900) || '.5', '') || element_at(array('', ' Running', ' line stopped', ' caution'), cast(event_id % 4 + 1 as int))
+  || if(event_type = 'signup', ' maintenance due', if(event_type = 'view', ' quality check', ''))"""
 log = lambda t: t["events"].selectExpr(LOG + " as value")
 X = "x as (select user_id, event_type, value, strftime(ts, '%Y-%m-%d %H:%M:%S') as s, if(event_type = 'error', if(value > 80, 'CRITICAL', 'ERROR'), 'INFO') as level, if(event_type = 'signup', ' maintenance due', if(event_type = 'view', ' quality check', '')) as tail from events)"
 KIND = "case event_type when 'error' then 'error' when 'signup' then 'maintenance' else 'quality' end"
 SEVERITY = "case event_type when 'error' then if(max(value) > 80, 'critical', 'high') when 'signup' then 'medium' else 'high' end"
-add("g01_log_parse", lambda t: lg.parse_lines(log(t)).groupBy("level", "equipment").agg(F.count("*").alias("n"), F.round(F.max("temperature"), 1).alias("hottest"), F.max("ts").cast("string").alias("last_ts")), f"""
-  with {X} select level, 'EQ-' || user_id as equipment, count(*) as n, round(max(round(value, 1)), 1) as hottest, max(s) as last_ts from x group by 1, 2""")
+add("g01_log_parse", lambda t: lg.parse_lines(log(t)).groupBy("level", "equipment", "status").agg(F.count("*").alias("n"), F.round(F.max("temperature"), 1).alias("hottest"), F.max("pressure").alias("pressure"), F.max("speed").alias("speed"), F.max("ts").cast("string").alias("last_ts")), """
+  select if(event_type = 'error', if(value > 80, 'CRITICAL', 'ERROR'), 'INFO') as level, 'EQ-' || user_id as equipment, [null, 'operational', 'down', 'warning'][event_id % 4 + 1] as status, count(*) as n, round(max(round(value, 1)), 1) as hottest,
+    max(cast(event_id % 50 as double)) filter (event_id % 3 = 0) as pressure, max(event_id % 900 + 0.5e0) filter (event_id % 5 = 0) as speed, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) as last_ts from events group by 1, 2, 3""")
 add("g02_alerts", lambda t: lg.alerts(lg.parse_lines(log(t))).drop("last_message"), f"with {X} select 'EQ-' || user_id as equipment, {KIND} as alert_type, count(*) as n, {SEVERITY} as severity from x where event_type in ('error', 'signup', 'view') group by user_id, event_type")
 add("g03_alert_summary", lambda t: lg.alert_summary(lg.alerts(lg.parse_lines(log(t)))), f"with {X}, a as (select user_id, {KIND} as alert_type, count(*) as n, {SEVERITY} as severity from x where event_type in ('error', 'signup', 'view') group by user_id, event_type) select severity, alert_type, count(*) as equipment, cast(sum(n) as bigint) as messages from a group by 1, 2")
 QUERIES, ORACLES = plans.queries, plans.oracles

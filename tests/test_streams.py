@@ -49,12 +49,12 @@ def test_open_windows_wait(spark, tmp_path):
 def test_late_log_lines(spark, tmp_path):
     (tmp_path / "log").mkdir()
     for k, hours in enumerate(((1, 5, 9), (9,), (2, 9))):  # the third file's first line is seven hours late
-        (tmp_path / "log" / f"{k}.log").write_text("".join(f"2024-03-01 {h:02d}:10:00 [ERROR] press {h}: broken\n" for h in hours))
+        (tmp_path / "log" / f"{k}.log").write_text("".join(f"2024-03-01 {h:02d}:10:00 [ERROR] PRESS-{h}: broken\n" for h in hours))
         os.utime(tmp_path / "log" / f"{k}.log", (1_700_000_000 + k, 1_700_000_000 + k))
     told, end = {}, str(tmp_path / "end")
     lines = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "log"))
     found = streams.appended(drops.log_alerts(lines, width="1 hour", end=end), told, end).collect()
-    assert sorted((r.equipment, r.n) for r in found) == [("press 1", 1), ("press 5", 1), ("press 9", 3)]
+    assert sorted((r.equipment, r.n) for r in found) == [("PRESS-1", 1), ("PRESS-5", 1), ("PRESS-9", 3)]
     assert told == {"rows": 6, "dropped": 1}
 
 
