@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.functions.keywords import of_first_keyword
 from millrace.functions.lineage import cut, release
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -163,11 +164,8 @@ def personal_counts(text: str) -> dict[str, Column]:
 
 def suggested_masks(columns: DataFrame, name: str = "column_name") -> DataFrame:
     """A masking strategy for each column of a catalog by keywords of its name, the first rule that fits; else none."""
-    low, out = F.lower(F.coalesce(F.col(name), F.lit(""))), None
-    for words, strategy in MASK_RULES:
-        hit = F.rlike(low, F.lit("|".join(map(re.escape, words))))
-        out = F.when(hit, strategy) if out is None else out.when(hit, strategy)
-    return columns.withColumn("masking_strategy", out.otherwise("none"))
+    values = [(word, strategy) for words, strategy in MASK_RULES for word in words]
+    return columns.withColumn("masking_strategy", of_first_keyword(columns.sparkSession, F.lower(F.col(name)), values, "none"))
 
 
 def mask_coverage(suggested: DataFrame, policy: DataFrame) -> DataFrame:

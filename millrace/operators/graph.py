@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.keywords import of_first_keyword
 from millrace.functions.lineage import cut
 
 
@@ -236,10 +237,7 @@ def token_anchors(terms: DataFrame, texts: DataFrame, threshold: int = 2) -> Dat
 
 def route_by_keyword(questions: DataFrame, routes: list[tuple[str, str]], text: str = "text") -> DataFrame:
     """The route of the first keyword in order that a question contains, else OUT_OF_SCOPE."""
-    low, out = F.lower(F.coalesce(F.col(text), F.lit(""))), None
-    for keyword, route in routes:
-        out = F.when(low.contains(keyword), route) if out is None else out.when(low.contains(keyword), route)
-    return questions.withColumn("route", F.lit("OUT_OF_SCOPE") if out is None else out.otherwise("OUT_OF_SCOPE"))
+    return questions.withColumn("route", of_first_keyword(questions.sparkSession, F.lower(F.col(text)), routes, "OUT_OF_SCOPE"))
 
 
 def node_key(prefix: str, name: Column, most: int = 120) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.functions.lineage import cut
 from millrace.sources.snapshots import PART, WHOLE, Snapshots
 
 from .cleansing import quoted
@@ -26,11 +27,15 @@ def typed_scan(spark: SparkSession, path: str, schema: str | T.StructType, grain
 
 
 def numbered_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Lines of text files that a pattern matches, as file, line number in the file (from 1) and text. A whole file is one
-    text value for that, so files up to some hundred MB fit; other files go without numbers by spark.read.text."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
-    return lines.where(F.col("value").rlike(pattern)).select("file", (F.col("at") + 1).alias("line_no"), "value")
+    """Lines of text files that a pattern matches, as file, line number in the file (from 1) and text. Files are read in
+    splits, and each split counts its lines; the lines of the splits before it in its file are added to a line's number."""
+    split = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+    # a line's place within its split is the order in which the split is read: ids that grow within a task, less the split's least
+    read = cut(split.withColumn("_id", F.monotonically_increasing_id()).withColumn("hit", F.coalesce(F.col("value").rlike(pattern), F.lit(False))).select("file", "split", "_id", F.when(F.col("hit"), F.col("value")).alias("value")))
+    counts = read.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.select("file", "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return read.where("value is not null").join(placed, ["file", "split"]).select("file", (F.col("before") + F.col("_id") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def typed_profile(df: DataFrame, first: int = 10, samples: int = 3) -> DataFrame:

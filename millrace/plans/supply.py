@@ -10,8 +10,21 @@ add = plans.add
 add("p19_declared_pegs", lambda t: op.declared_pegs(t["customer_order_line"], t["demand_link"], t["shipped_trace"]), """
   select distinct l.order_line_id, l.part_id, coalesce(d.wo_id, s.wo_id) as wo_id, if(coalesce(d.wo_id, s.wo_id) is null, 'N', 'Y') as allocated
   from {customer_order_line} l left join {demand_link} d on d.order_line_id = l.order_line_id left join {shipped_trace} s on s.order_line_id = l.order_line_id""")
-# Each choice depends on those before it, which SQL can't say; a loop in the tests states the result.
-add("p20_best_match_pegs", lambda t: op.best_match_pegs(t["work_order"], t["customer_order_line"], t["customer_order"]))
+# each choice depends on those before it: a walk over a part's work orders, which carries the lines that are used
+add("p20_best_match_pegs", lambda t: op.best_match_pegs(t["work_order"], t["customer_order_line"], t["customer_order"]), """
+  with recursive l as (
+    select l.part_id, order_line_id as id, coalesce(order_qty, 0) as q, o.status in ('Closed', 'Shipped') as done, cast(coalesce(need_by_date, order_date) as date) as due
+    from {customer_order_line} l join {customer_order} o on o.order_id = l.order_id),
+  ls as (select part_id, list(struct_pack(id := id, q := q, done := done, due := due)) as ls from l group by 1),
+  w as (select part_id, wo_id, status = 'closed' as closed, coalesce(quantity, 0) as q, cast(required_date as date) as due, row_number() over (partition by part_id order by wo_id) as k from {work_order}),
+  walk as (
+    select part_id, cast(0 as bigint) as k, cast([] as bigint[]) as used, cast(null as bigint) as wo_id, cast(null as bigint) as best from ls
+    union all
+    select part_id, k, list_append(used, best), wo_id, best from (
+      select x.part_id, w.k, x.used, w.wo_id,
+        list_min(list_transform(ls.ls, lambda y: struct_pack(a := list_contains(x.used, y.id), b := y.done <> w.closed, c := abs(y.q - w.q), d := coalesce(abs(date_diff('day', w.due, y.due)), 9999), e := y.id))).e as best
+      from walk x join w on w.part_id = x.part_id and w.k = x.k + 1 join ls on ls.part_id = x.part_id))
+  select wo_id, best as order_line_id, part_id from walk where wo_id is not null""")
 add("p25_part_locations", lambda t: op.part_locations(t["part_stock"], t["warehouse"], warehouse_id=2), "select part_id, warehouse_id, warehouse_name, location, quantity from {part_stock} join {warehouse} using (warehouse_id) where quantity <> 0 and warehouse_id = 2")
 add("p28_returned_material", lambda t: op.returned_material(t["job_transaction"], t["requirement"], t["trans_dist"]), """
   with r as (select * from {job_transaction} where type = 'I' and class = 'I'), p as (select distinct transaction_id, d.id, if(in_id = transaction_id, out_id, in_id) as paired_id from r join {trans_dist} d on in_id = transaction_id or out_id = transaction_id)
