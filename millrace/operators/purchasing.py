@@ -128,24 +128,33 @@ def partial_receipt_accrual(purchase_order: DataFrame, po_line: DataFrame, recei
     return rows.select("po_id", "line_id", "part_id", "supplier_id", F.round("quantity", 1).alias("qty_ordered"), F.round("received", 1).alias("qty_received"), F.round("invoiced", 1).alias("qty_invoiced"), F.round(left, 1).alias("qty_uninvoiced"), cents(left * F.col("unit_cost")).alias("accrued_value"), F.col("last_receipt").cast("string").alias("last_receipt_date"))
 
 
-def three_way_match(purchase_order: DataFrame, po_line: DataFrame, receiving_line: DataFrame, payable_line: DataFrame, payables: DataFrame, end: str | None = None) -> DataFrame:
-    """Purchase line x receipt line x voucher line, with the match status of each."""
-    lines = po_line.select("line_id", "po_id", "part_id", "quantity").join(purchase_order.where("status <> 'Cancelled'").select("po_id", "supplier_id"), "po_id")
-    receipts = between(receiving_line, "receipt_date", None, end).select(F.col("po_line_id").alias("line_id"), "receipt_line_id", "quantity_received")
-    vouchers = payable_line.join(payables.select("invoice_id", "status", "invoice_date"), "invoice_id", "left").select("receipt_line_id", "payable_line_id", "qty", "status", "invoice_date")
-    rows = lines.join(receipts, "line_id", "left").join(vouchers, "receipt_line_id", "left")
-    live = F.col("payable_line_id").isNotNull() & (F.coalesce("status", F.lit("")) != "Cancelled")
-    if end is not None:
-        live = live & F.coalesce(F.col("invoice_date") <= F.lit(end).cast("date"), F.lit(False))
-    billed = F.abs("qty")
+def three_way_match(purchase_order: DataFrame, po_line: DataFrame, suppliers: DataFrame, receiving_line: DataFrame, payable_line: DataFrame, payables: DataFrame, supplier: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Purchase line x receipt line x voucher line, with what exists of each and the match status. start and end bound the date
+    of a receipt: a line that has receipts, but none in the window, has no row, and one without a receipt always has. A
+    voucher after the end doesn't cover. None is no filter."""
+    orders = purchase_order.where("status <> 'Cancelled'").select("po_id", "supplier_id", "site_id")
+    orders = orders if supplier is None else orders.where(F.col("supplier_id") == supplier)
+    lines = po_line.select("line_id", "po_id", "part_id", "quantity").join(orders, "po_id").join(suppliers.select("supplier_id", F.col("supplier_name").alias("vendor_name")), "supplier_id", "left")
+    receipts = receiving_line.select(F.col("po_line_id").alias("line_id"), "receipt_line_id", "quantity_received", F.col("receipt_date").alias("received_date"))
+    vouchers = payable_line.join(payables.select("invoice_id", F.lit(1).alias("document"), F.col("status").alias("voucher_status"), "invoice_date"), "invoice_id", "left")
+    vouchers = vouchers.select("receipt_line_id", "payable_line_id", "qty", "invoice_id", "document", "voucher_status", "invoice_date")
+    received = between(lines.join(receipts, "line_id", "left").where("receipt_line_id is not null"), "received_date", start, end)
+    rows = received.unionByName(lines.join(receipts.select("line_id"), "line_id", "left_anti"), allowMissingColumns=True).join(vouchers, "receipt_line_id", "left")
+    in_time = F.lit(True) if end is None else F.col("invoice_date") <= F.lit(end).cast("date")
+    billed, exists = F.abs("qty"), lambda c: F.col(c).isNotNull().cast("int")
     status = (
         F.when(F.col("receipt_line_id").isNull(), "Not Received")
-        .when(~live, "Received-Uninvoiced")
+        .when(F.col("payable_line_id").isNull() | (F.col("voucher_status") == "Cancelled") | ~in_time, "Received-Uninvoiced")
         .when(billed < F.col("quantity_received"), "Partially Invoiced")
         .when(billed == F.col("quantity_received"), "Matched")
         .otherwise("Over-Invoiced")
     )
-    return rows.select("po_id", "line_id", "part_id", "supplier_id", "receipt_line_id", "payable_line_id", F.round("quantity", 1).alias("qty_ordered"), F.round(F.coalesce("quantity_received", F.lit(0.0)), 1).alias("qty_received"), F.round(F.when(live, billed).otherwise(0.0), 1).alias("qty_invoiced"), status.alias("match_status"))
+    day = lambda c: F.col(c).cast("string").alias(c)
+    return rows.select(
+        "po_id", "line_id", "part_id", "supplier_id", "vendor_name", "site_id", F.round("quantity", 1).alias("qty_ordered"), exists("receipt_line_id").alias("receipt_exists"), exists("payable_line_id").alias("voucher_exists"), exists("document").alias("invoice_document_exists"),
+        "receipt_line_id", "payable_line_id", F.round(F.coalesce("quantity_received", F.lit(0.0)), 1).alias("qty_received"), day("received_date"), "invoice_id", day("invoice_date"), "voucher_status",
+        F.round(F.when((F.col("voucher_status") != "Cancelled") & in_time, billed).otherwise(0.0), 1).alias("qty_invoiced"), status.alias("match_status"),
+    )
 
 
 def match_exceptions(match: DataFrame) -> DataFrame:

@@ -105,13 +105,14 @@ def mann_kendall(days: DataFrame, order: str, value: str) -> DataFrame:
 
 
 def composite(df: DataFrame, group: str, metrics: list[str], base: str) -> DataFrame:
-    """Variants by a composite: the mean over metrics of each mean's share of the best mean; its change from the base, and
-    the winner (all of them where several are best)."""
+    """Variants by a composite, the mean of their metrics' means: the confidence in which it differs from the base (the gap as
+    a share of the greater one, significant above 0.1), and the winner, which is the base unless another one is above it."""
     means = df.groupBy(F.col(group).alias("variant")).agg(F.count("*").alias("n"), *[F.avg(m).alias(f"m{k}") for k, m in enumerate(metrics)])
-    best = means.agg(*[F.max(f"m{k}").alias(f"b{k}") for k in range(len(metrics))])
-    scored = means.crossJoin(F.broadcast(best)).withColumn("c", sum((F.col(f"m{k}") / F.col(f"b{k}") for k in range(len(metrics))), F.lit(0.0)) / len(metrics))
-    ends = scored.agg(F.max("c").alias("top"), F.max(F.when(F.col("variant") == base, F.col("c"))).alias("of_base"))
-    return scored.crossJoin(F.broadcast(ends)).select("variant", "n", F.round("c", 6).alias("composite"), F.round(100 * (F.col("c") / F.col("of_base") - 1), 4).alias("change_pct"), (F.col("c") == F.col("top")).alias("winner"))
+    scored = means.withColumn("c", sum((F.col(f"m{k}") for k in range(len(metrics))), F.lit(0.0)) / len(metrics))
+    first = F.struct(F.col("c"), F.when(F.col("variant") == base, 1).otherwise(0), F.col("variant"))
+    ends = scored.agg(F.max(first).alias("top"), F.max(F.when(F.col("variant") == base, F.col("c"))).alias("of_base"))
+    rows = scored.crossJoin(F.broadcast(ends)).withColumn("confidence", F.abs(F.col("c") - F.col("of_base")) / F.greatest("c", "of_base"))
+    return rows.select("variant", "n", F.round("c", 6).alias("composite"), F.round("confidence", 6).alias("confidence"), (F.col("confidence") > 0.1).alias("significant"), (F.col("variant") == F.col("top.variant")).alias("winner"))
 
 
 def control_chart(days: DataFrame, value: str, sigmas: float = 3.0) -> DataFrame:

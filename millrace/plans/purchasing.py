@@ -51,18 +51,27 @@ add("d12_partial_receipt_accrual", lambda t: op.partial_receipt_accrual(t["purch
   from x join {{purchase_order}} o on o.po_id = x.po_id and o.status <> 'Cancelled' where got > 0 and got < quantity and inv < got""")
 
 
-def match(t):
-    return op.three_way_match(t["purchase_order"], t["po_line"], t["receiving_line"], t["payable_line"], t["payables"])
+def match(t, **bounds):
+    return op.three_way_match(t["purchase_order"], t["po_line"], t["suppliers"], t["receiving_line"], t["payable_line"], t["payables"], **bounds)
 
 
-MATCH = """(
-  select o.po_id, l.line_id, l.part_id, o.supplier_id, r.receipt_line_id, v.payable_line_id, round(l.quantity, 1) as qty_ordered, round(coalesce(r.quantity_received, 0), 1) as qty_received,
-    round(if(p.status <> 'Cancelled', abs(v.qty), 0), 1) as qty_invoiced,
-    case when r.receipt_line_id is null then 'Not Received' when v.payable_line_id is null or p.status = 'Cancelled' then 'Received-Uninvoiced'
+def match_sql(supplier: str = "null", start: str = "null", end: str = "null") -> str:
+    """The report with its guards; a null parameter is no filter."""
+    return f"""(
+  select o.po_id, l.line_id, l.part_id, o.supplier_id, s.supplier_name as vendor_name, o.site_id, round(l.quantity, 1) as qty_ordered, if(r.receipt_line_id is null, 0, 1) as receipt_exists, if(v.payable_line_id is null, 0, 1) as voucher_exists,
+    if(p.invoice_id is null, 0, 1) as invoice_document_exists, r.receipt_line_id, v.payable_line_id, round(coalesce(r.quantity_received, 0), 1) as qty_received, cast(r.receipt_date as varchar) as received_date, v.invoice_id, cast(p.invoice_date as varchar) as invoice_date,
+    p.status as voucher_status, round(case when v.payable_line_id is not null and p.status <> 'Cancelled' and ({end} is null or p.invoice_date <= {end}) then abs(v.qty) else 0 end, 1) as qty_invoiced,
+    case when r.receipt_line_id is null then 'Not Received' when v.payable_line_id is null or p.status = 'Cancelled' or not ({end} is null or p.invoice_date <= {end}) then 'Received-Uninvoiced'
       else case sign(abs(v.qty) - r.quantity_received) when -1 then 'Partially Invoiced' when 0 then 'Matched' else 'Over-Invoiced' end end as match_status
-  from {purchase_order} o join {po_line} l on l.po_id = o.po_id left join {receiving_line} r on r.po_line_id = l.line_id left join {payable_line} v on v.receipt_line_id = r.receipt_line_id
-  left join {payables} p on p.invoice_id = v.invoice_id where o.status <> 'Cancelled')"""
-add("d13_three_way_match", match, "select * replace (coalesce(qty_invoiced, 0) as qty_invoiced) from " + MATCH)
+  from {{purchase_order}} o join {{po_line}} l on l.po_id = o.po_id left join {{suppliers}} s on s.supplier_id = o.supplier_id left join {{receiving_line}} r on r.po_line_id = l.line_id
+  left join {{payable_line}} v on v.receipt_line_id = r.receipt_line_id left join {{payables}} p on p.invoice_id = v.invoice_id
+  where o.status <> 'Cancelled' and ({supplier} is null or s.supplier_id = {supplier}) and ({start} is null or r.receipt_line_id is null or r.receipt_date >= {start}) and ({end} is null or r.receipt_line_id is null or r.receipt_date <= {end}))"""
+
+
+MATCH = match_sql()
+add("d13_three_way_match", match, "select * from " + MATCH)
+add("d13_match_in_window", lambda t: match(t, start="1994-01-01", end="1996-06-30"), "select * from " + match_sql(start="date '1994-01-01'", end="date '1996-06-30'"))
+add("d13_match_of_supplier", lambda t: match(t, supplier=3, end="1996-06-30"), "select * from " + match_sql(supplier="3", end="date '1996-06-30'"))
 add("d13_match_exceptions", lambda t: op.match_exceptions(match(t)), f"select supplier_id, match_status, count(*) as lines, round(sum(qty_invoiced - qty_received), 2) as qty_gap from {MATCH} x where match_status in ('Partially Invoiced', 'Over-Invoiced') group by 1, 2")
 add("d16_daily_deliveries", lambda t: op.daily_deliveries(t["delivery"]), """
   with x as (select cast(delivery_date as varchar) as delivery_date, count(*) as deliveries, sum(if(ontime_rate >= 1, actual_quantity, 0)) as a, sum(if(ontime_rate < 1, actual_quantity, 0)) as b from {delivery} group by 1)

@@ -81,9 +81,9 @@ add("a07_overall", lambda t: st.overall(days(t), "defects", "total"), f"select s
 add("a08_group_comparison", lambda t: st.group_comparison(t["events"], "event_type", "value", "view"), """
   with m as (select event_type as v, count(*) as n, avg(value) as m from events group by 1), b as (select m as b from m where v = 'view')
   select v as variant, n, round(m, 6) as mean, round(100 * (m - b) / b, 4) as change_pct, abs((m - b) / b) > 0.1 as significant from m, b""")
-add("a08_composite", lambda t: st.composite(t["events"], "event_type", ["value", "user_id"], "view"), """
-  with m as (select event_type as v, count(*) as n, avg(value) as a, avg(user_id) as b from events group by 1), c as (select v, n, (a / (select max(a) from m) + b / (select max(b) from m)) / 2 as s from m)
-  select v as variant, n, round(s, 6) as composite, round(100 * (s / (select s from c where v = 'view') - 1), 4) as change_pct, s = (select max(s) from c) as winner from c""")
+add("a08_composite", lambda t: st.composite(t["events"], "event_type", ["value", "user_id", "event_id"], "view"), """
+  with m as (select event_type as v, count(*) as n, (avg(value) + avg(user_id) + avg(event_id)) / 3 as s from events group by 1), b as (select s as of_base from m where v = 'view')
+  select v as variant, n, round(s, 6) as composite, round(abs(s - of_base) / greatest(s, of_base), 6) as confidence, abs(s - of_base) / greatest(s, of_base) > 0.1 as significant, v = (select v from m order by s desc, v = 'view' desc, v desc limit 1) as winner from m, b""")
 add("a10_month_matrix", lambda t: st.month_matrix(t["lineitem"], "l_shipdate", "l_returnflag", ["A", "N", "R"]), "select strftime(l_shipdate, '%Y-%m') as month, count(*) filter (l_returnflag = 'A') as A, count(*) filter (l_returnflag = 'N') as N, count(*) filter (l_returnflag = 'R') as R from lineitem group by 1")
 add("a11_word_counts", lambda t: st.word_counts(t["documents"]), r"""
   with w as (select unnest(string_split_regex(regexp_replace(lower(text), '[^\p{L}\s]', '', 'g'), '\s+')) as word from documents) select word, count(*) as n from w where length(word) >= 4 group by 1 order by 2 desc, 1 limit 100""")

@@ -120,3 +120,19 @@ def test_cycle_raises(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src long, dst long")
     with pytest.raises(ValueError):
         graph.explode_hierarchy(edges, 1, max_depth=5)
+
+
+def test_three_way_match_guards(spark):
+    """A line whose receipts are all outside of the window has no row; one without a receipt has; a late voucher doesn't cover."""
+    po = spark.createDataFrame([(1, 9, "Open", "S1"), (2, 8, "Open", "S1"), (3, 9, "Cancelled", "S1")], "po_id long, supplier_id long, status string, site_id string")
+    lines = spark.createDataFrame([(11, 1, 5, 10.0), (12, 1, 5, 10.0), (13, 1, 5, 4.0), (21, 2, 5, 1.0), (31, 3, 5, 1.0)], "line_id long, po_id long, part_id long, quantity double")
+    who = spark.createDataFrame([(9, "nine")], "supplier_id long, supplier_name string")
+    got = spark.createDataFrame([(110, 11, 10.0, DAY(2026, 1, 5)), (111, 11, 2.0, DAY(2026, 3, 1)), (120, 12, 10.0, DAY(2026, 3, 5))], "receipt_line_id long, po_line_id long, quantity_received double, receipt_date date")
+    bills = spark.createDataFrame([(1, 110, 77, 10.0), (2, 111, 78, 5.0), (3, 120, 79, 1.0)], "payable_line_id long, receipt_line_id long, invoice_id long, qty double")
+    papers = spark.createDataFrame([(77, "Open", DAY(2026, 2, 1)), (78, "Cancelled", DAY(2026, 3, 2))], "invoice_id long, status string, invoice_date date")
+    run = lambda **x: {(r.line_id, r.receipt_line_id, r.match_status, r.qty_invoiced, r.invoice_document_exists) for r in purchasing.three_way_match(po, lines, who, got, bills, papers, **x).collect()}
+    open_lines = {(13, None, "Not Received", 0.0, 0), (21, None, "Not Received", 0.0, 0)}
+    assert run() == open_lines | {(11, 110, "Matched", 10.0, 1), (11, 111, "Received-Uninvoiced", 0.0, 1), (12, 120, "Partially Invoiced", 0.0, 0)}
+    assert run(end="2026-01-31") == open_lines | {(11, 110, "Received-Uninvoiced", 0.0, 1)}
+    assert run(start="2026-03-02") == open_lines | {(12, 120, "Partially Invoiced", 0.0, 0)}
+    assert run(supplier=8) == {(21, None, "Not Received", 0.0, 0)}
