@@ -175,10 +175,10 @@ def mask_coverage(suggested: DataFrame, policy: DataFrame) -> DataFrame:
 
 
 def subset_report(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """What subset() keeps, drops and misses, as rows."""
+    """What subset() keeps, drops and misses, as rows, with the values that each column has; one pass over the data."""
     _, report = subset(df, wanted)
-    rows = [F.struct(F.lit(state).alias("state"), F.lit(c).alias("column_name")) for state, names in report.items() for c in names]
-    return df.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    rows = [F.struct(F.lit(state).alias("state"), F.lit(c).alias("column_name"), (F.lit(0).cast("long") if state == "missing" else F.count(quoted(c))).alias("n_values")) for state, names in report.items() for c in names]
+    return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 def ingest_status(text: str) -> Column:

@@ -215,3 +215,15 @@ def part_history(transaction: DataFrame, part: DataFrame, part_id: int | None =
 def first_per(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key, in order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def next_rows(left: DataFrame, right: DataFrame, key: str, after: str, order: str) -> DataFrame:
+    """Each row of left with the row of right of its key that comes first behind it (order > after; of equal ones the least by
+    its other columns); left rows without one drop. Both are put in one order, last first, in which a left row takes the
+    last right row before it, so no row is multiplied by a join."""
+    rest = [c for c in right.columns if c not in (key, order)]
+    rows = left.select(key, F.col(after).alias("_at"), F.lit(0).alias("_kind"), F.struct(*left.columns).alias("_left")).unionByName(
+        right.select(key, F.col(order).alias("_at"), F.lit(1).alias("_kind"), F.struct(order, *rest).alias("_right")), allowMissingColumns=True)
+    down = Window.partitionBy(key).orderBy(F.desc("_at"), "_kind", F.desc("_right")).rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("_next", F.last("_right", ignorenulls=True).over(down)).where("_kind = 0 and _next is not null")
+    return met.select("_left.*", "_next.*")

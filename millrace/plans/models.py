@@ -67,7 +67,9 @@ STRATEGY = "case c_custkey % 7 when 0 then 'none' when 1 then 'redact' when 3 th
 add("k05_suggested_masks", lambda t: cl.suggested_masks(CATALOG(t)), f"select c_custkey % 40 as table_name, (['order_', 'home_address_', 'email_', 'passport_', 'password_', 'cell_no_', 'surname_'])[c_custkey % 7 + 1] || c_custkey as column_name, {STRATEGY} as masking_strategy from customer")
 add("k05_mask_coverage", lambda t: cl.mask_coverage(cl.suggested_masks(CATALOG(t)), CATALOG(t).withColumn("status", F.when(F.col("table_name") % 2 == 0, "active").otherwise("static"))), f"select {STRATEGY} as masking_strategy, count(*) as columns, count(*) filter (c_custkey % 40 % 2 = 0) as covered from customer group by 1")
 add("v04_normalized_names", lambda t: cl.normalize_names(t["region"].select(F.col("r_regionkey").alias("Region Key!"), F.col("r_name").alias(" Name (long) "))), "select r_regionkey as region_key, r_name as name_long from region")
-add("v07_subset_report", lambda t: cl.subset_report(t["nation"].limit(0), ["n_name", "n_none"]), "select 'kept' as state, 'n_name' as column_name union all select 'missing', 'n_none' union all select 'dropped', 'n_nationkey' union all select 'dropped', 'n_regionkey'")
+add("v07_subset_report", lambda t: cl.subset_report(t["customer"].withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 > 0, F.col("c_acctbal"))), ["c_name", "c_acctbal", "c_none"]), """
+  select 'kept' as state, 'c_name' as column_name, count(c_name) as n_values from customer union all select 'kept', 'c_acctbal', count(c_acctbal) filter (c_custkey % 5 > 0) from customer union all select 'missing', 'c_none', 0
+  union all select 'dropped', 'c_custkey', count(c_custkey) from customer union all select 'dropped', 'c_nationkey', count(c_nationkey) from customer union all select 'dropped', 'c_mktsegment', count(c_mktsegment) from customer""")
 add("v09_mapped_domains", lambda t: rg.mapped_domain(t["customer"].select("c_custkey", F.concat(F.lit(" U"), "c_custkey", F.lit("@Mail.N"), F.col("c_nationkey"), F.lit(".com ")).alias("address")), t["nation"].where("n_nationkey < 10").select(F.concat(F.lit("n"), "n_nationkey", F.lit(".com")).alias("domain"), F.col("n_name").alias("name"))), """
   select c_custkey, 'u' || c_custkey || '@mail.n' || c_nationkey || '.com' as address, 'n' || c_nationkey || '.com' as domain, coalesce(if(c_nationkey < 10, n_name, null), 'n' || c_nationkey || '.com') as organization from customer left join nation on n_nationkey = c_nationkey""")
 add("o16_open_work_orders", lambda t: rg.open_work_orders(t["order_line"].select(F.col("order_id").alias("base_id"), F.lit(0).alias("sub_id"), F.col("line_no").alias("lot_id"), F.lit(0).alias("split_id"), F.element_at(F.array(*map(F.lit, "RFUC")), (F.col("order_id") % 4 + 1).cast("int")).alias("status"))), """

@@ -29,9 +29,8 @@ add("o16_work_order_number", lambda t: rg.work_order_number(t["order_line"].sele
 add("q01_daily_defects", lambda t: rg.daily_defects(statistics.series_of(t["lineitem"]), 30), """
   with d as (select cast(l_shipdate as date) as day, count(*) as produced, count(*) filter (l_returnflag = 'R') as defects from lineitem group by 1)
   select cast(day as varchar) as day, produced, defects, round(100 * defects / produced, 4) as defect_rate from d where day > (select max(day) - 30 from d)""")
-add("i02_column_profile", lambda t: rg.column_profile(t["customer"].select("c_mktsegment", "c_nationkey")), """
-  select 'c_mktsegment' as column_name, count(c_mktsegment) as non_null, count(distinct c_mktsegment) as distinct_values, min(c_mktsegment) as least, max(c_mktsegment) as greatest from customer
-  union all select 'c_nationkey', count(c_nationkey), count(distinct c_nationkey), min(cast(c_nationkey as varchar)), max(cast(c_nationkey as varchar)) from customer""")
+add("i02_column_profile", lambda t: rg.column_profile(t["customer"]), " union all ".join(
+    f"select '{c}' as column_name, count({c}) as non_null, count(distinct {c}) as distinct_values, min(cast({c} as varchar)) as least, max(cast({c} as varchar)) as greatest from customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
 add("i11_surrogate_keys", lambda t: rg.surrogate_keys(t["part"], "p_name", t["part"].where("p_partkey <= 40").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))), """
   with k as (select p_name as name, min(p_partkey) as id from part where p_partkey <= 40 group by 1), f as (select distinct p_name as name from part where p_name not in (select name from k))
   select id, name from k union all select (select max(id) from k) + row_number() over (order by name), name from f""")

@@ -40,8 +40,8 @@ add("p32_transaction_profile", lambda t: op.transaction_profile(t["inventory_tra
 add("p33_in_list", lambda t: op.in_list(t["erp_part"], "part_class", "PROMO, STANDARD ,ECONOMY").select("part_id", "part_class"), "select part_id, part_class from {erp_part} where part_class in ('PROMO', 'STANDARD', 'ECONOMY')")
 add("p34_part_history", lambda t: op.part_history(t["inventory_transaction"], t["erp_part"]), """
   select transaction_id, x.part_id, part_description, unit_of_measure, type, class, quantity, cast(trans_date as varchar) as trans_date from {inventory_transaction} x join {erp_part} p on p.part_id = x.part_id""")
-add("d26_service_next_operation", lambda t: op.first_per(
-    t["receiving_line"].select("receipt_line_id", F.col("po_line_id").alias("wo_id"), (F.col("receipt_line_id") % 3 * 10).alias("demand_seq")).join(t["routing_step"], "wo_id").where("sequence_no > demand_seq"), ["receipt_line_id"], ["sequence_no"]
+add("d26_service_next_operation", lambda t: op.next_rows(
+    t["receiving_line"].select("receipt_line_id", F.col("po_line_id").alias("wo_id"), (F.col("receipt_line_id") % 3 * 10).alias("demand_seq")), t["routing_step"], "wo_id", "demand_seq", "sequence_no"
 ).select("receipt_line_id", "wo_id", "sequence_no", "step_status", "resource_id"), """
   select receipt_line_id, wo_id, sequence_no, step_status, resource_id from {receiving_line} join {routing_step} s on s.wo_id = po_line_id and sequence_no > receipt_line_id % 3 * 10 qualify row_number() over (partition by receipt_line_id order by sequence_no) = 1""")
 QUERIES, ORACLES = plans.queries, plans.oracles
