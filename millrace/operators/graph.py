@@ -223,16 +223,37 @@ def usage_impact(usage: DataFrame) -> DataFrame:
     return rows.withColumn("impact", F.when(n == 0, "none").when(n < 5, "low").when(n < 10, "medium").otherwise("high"))
 
 
-def token_anchors(terms: DataFrame, texts: DataFrame, threshold: int = 2) -> DataFrame:
+def token_anchors(terms: DataFrame, texts: DataFrame, threshold: int = 2, often: int = 1000) -> DataFrame:
     """Best terms of each text by token overlap: 2 for a token of the term, 1 for one of its definition (if terms have
-    one), at least the threshold, ties kept. Tokens are distinct within a text, and join as rows."""
+    one), at least the threshold, ties kept. Tokens are distinct within a text.
+
+    Tokens of at most `often` terms join texts with terms. Of the more frequent ones each text and each term has a set; equal
+    sets are one, and sets are held against sets, so that a token of all texts and terms makes no pair of each. Terms of a
+    set are listed only for texts of which that set alone gives the best score."""
     split = lambda c: F.array_distinct(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{Nd}]+"))
     tokens = lambda df, key, c: df.select(key, F.explode(split(c)).alias("token")).where("token <> ''")
     weighted = tokens(terms, "term_id", "term").withColumn("w", F.lit(2))
     if "definition" in terms.columns:
         weighted = weighted.union(tokens(terms, "term_id", "definition").withColumn("w", F.lit(1)))
-    score = tokens(texts, "text_id", "text").join(weighted, "token").groupBy("text_id", "term_id").agg(F.sum("w").alias("score")).where(F.col("score") >= threshold)
-    return score.withColumn("r", F.rank().over(Window.partitionBy("text_id").orderBy(F.desc("score")))).where("r = 1").drop("r")
+    weighted, of_text = weighted.groupBy("term_id", "token").agg(F.sum("w").alias("w")), tokens(texts, "text_id", "text")
+    frequent = weighted.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > often).select("token")
+    best = Window.partitionBy("text_id")
+    if not frequent.limit(1).count():
+        score = of_text.join(weighted, "token").groupBy("text_id", "term_id").agg(F.sum("w").alias("score"))
+        return score.where(F.col("score") >= threshold).withColumn("top", F.max("score").over(best)).where("score = top").drop("top")
+    frequent = cut(frequent)
+    rare = of_text.join(frequent, "token", "left_anti").join(weighted, "token").groupBy("text_id", "term_id").agg(F.sum("w").alias("rare"))
+    numbered = lambda rows, key, item, name: rows.join(frequent, "token", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn(name, F.sha2(F.to_json("items"), 256))
+    term_sets, text_sets = cut(numbered(weighted, "term_id", F.struct("token", "w"), "term_set")), cut(numbered(of_text, "text_id", F.struct("token"), "text_set"))
+    items = lambda rows, name: rows.groupBy(name).agg(F.first("items").alias("items")).select(name, F.explode("items").alias("x")).select(name, "x.*")
+    pairs = cut(items(text_sets, "text_set").join(items(term_sets, "term_set"), "token").groupBy("text_set", "term_set").agg(F.sum("w").alias("both")))
+    found = rare.join(text_sets.select("text_id", "text_set"), "text_id", "left").join(term_sets.select("term_id", "term_set"), "term_id", "left").join(pairs, ["text_set", "term_set"], "left")
+    found = found.select("text_id", "term_id", (F.col("rare") + F.coalesce("both", F.lit(0))).alias("score"))
+    set_best = pairs.withColumn("top", F.max("both").over(Window.partitionBy("text_set"))).where("both = top").select("text_set", "term_set", F.col("top").alias("score"))
+    alone = text_sets.select("text_id", "text_set").join(set_best, "text_set").join(found.groupBy("text_id").agg(F.max("score").alias("by_rare")), "text_id", "left").where("by_rare is null or score >= by_rare")
+    listed = alone.join(term_sets.select("term_id", "term_set"), "term_set").select("text_id", "term_id", "score")
+    both = found.unionByName(listed).groupBy("text_id", "term_id").agg(F.max("score").alias("score")).where(F.col("score") >= threshold)
+    return both.withColumn("top", F.max("score").over(best)).where("score = top").drop("top")
 
 
 def route_by_keyword(questions: DataFrame, routes: list[tuple[str, str]], text: str = "text") -> DataFrame:
