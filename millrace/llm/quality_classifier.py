@@ -151,8 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, held_out_rem
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], pa.array(found, pa.binary())], names=["doc_id", "quality", "found"])
 
     picked = as_bytes(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "quality")
-    got = sorted((r.doc_id, r.quality, bytes(r.found)) for r in picked.mapInArrow(numbers, "doc_id long, quality double, found binary").collect())
-    got = list({r[0]: r for r in got}.values())[:max_rows]
+    # rows that share a doc_id become one before they leave the executors
+    each = picked.mapInArrow(numbers, "doc_id long, quality double, found binary").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("found").alias("found"))
+    got = sorted((r.doc_id, r.quality, bytes(r.found)) for r in each.collect())
     return fit([np.frombuffer(r[2], np.int32).astype(np.int64) for r in got], np.array([float(r[1] > 0.5) for r in got]))
 
 

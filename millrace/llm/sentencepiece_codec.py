@@ -73,6 +73,16 @@ def is_bpe(model_file: str) -> bool:
     return next((v for k, v in _fields(trainer) if k == 3), 1) == 2
 
 
+def check_normalizer(model_file: str) -> None:
+    """Raises if the model changes texts in another way than a mark before the text and for each blank: by its normalizer
+    settings (field 3) it may have no table of characters (2), and must add the mark (3), keep white space (4) and escape
+    it (5); fields that aren't there are true."""
+    with open(model_file, "rb") as f:
+        settings = dict(_fields(next((v for k, v in _fields(f.read()) if k == 3), b"")))
+    if settings.get(2) or not settings.get(3, 1) or settings.get(4, 1) or not settings.get(5, 1):
+        raise ValueError("the model normalizes texts; only models that leave them as they are can be read")
+
+
 def merged(text: str, scores: dict[str, float]) -> list[str]:
     """Merging done literally, for short strings: the best-scored neighbours first, the leftmost of equals."""
     parts, score_of = list(text), scores.get
@@ -107,6 +117,7 @@ class Vocabulary:
     def load(model_file: str) -> Vocabulary:
         import sentencepiece
 
+        check_normalizer(model_file)
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         scores, ids, decoded, byte_ids = {}, {}, [], [-1] * 256
         for i in range(sp.get_piece_size()):

@@ -60,3 +60,32 @@ def test_a_long_item_and_its_copy(spark):
     bench = spark.createDataFrame([(7, " ".join(item)), (8, "short one here")], "item_id long, text string")
     found = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(spark.createDataFrame(rows, SCHEMA), bench).collect()}
     assert set(found) == {(1, 7), (2, 7)} and found[1, 7] == 1.0 and abs(found[2, 7] - 0.5) < 0.01
+
+
+def test_models_that_normalize_are_refused(tmp_path):
+    """The public model with settings of a normalizer that changes texts: a table of characters, or blanks that go."""
+    import pytest
+
+    from millrace.llm import sentencepiece_codec as codec
+
+    with open(codec.default_model(), "rb") as f:
+        model = f.read()
+    codec.check_normalizer(codec.default_model())
+    for settings in (b"\x12\x01x", b"\x18\x00", b"\x20\x01", b"\x28\x00"):
+        path = tmp_path / "other.model"
+        spec = settings if settings[:1] == b"\x20" else settings + b"\x20\x00"
+        path.write_bytes(b"".join([b"\x1a", bytes([len(spec)]), spec]) + model)  # the first one that is read counts
+        with pytest.raises(ValueError):
+            codec.Vocabulary.load(str(path))
+
+
+def test_repeated_rows_teach_once(spark):
+    from millrace.llm import quality_classifier
+
+    some = random.Random(3)
+    text = lambda good: " ".join(some.choices(["clear", "plain", "words", "about", "things"] if good else ["buy", "now", "!!!", "win", "$$$"], k=30))
+    rows = [(k, text(k % 2)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    once = quality_classifier.train(spark.createDataFrame(rows, SCHEMA), labels)
+    many = quality_classifier.train(spark.createDataFrame(rows * 5, SCHEMA).repartition(4), labels)
+    assert np.array_equal(once.weights, many.weights)
