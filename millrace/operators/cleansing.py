@@ -63,26 +63,34 @@ def order_statistics(df: DataFrame, columns: list[str], shares: list[float]) ->
     of ranges and the few values around the wanted ranks reach the driver."""
     melted = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), quoted(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
     counts = cut(melted.groupBy("c", "v").agg(F.count("*").alias("n")).repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()))
-    parts = sorted((r.c, r.part, r.n) for r in counts.groupBy("c", "part").agg(F.sum("n").alias("n")).collect())
-    out: dict[str, list[float | None]] = {}
-    for c in columns:
-        mine = [(part, n) for of, part, n in parts if of == c]
-        total = sum(n for _, n in mine)
-        ranks = sorted({int(f) for s in shares for f in (math.floor(s * (total - 1)), math.ceil(s * (total - 1)))}) if total else []
-        found: dict[int, float] = {}
+    sizes: dict[str, list[tuple[int, int]]] = {c: [] for c in columns}
+    for r in sorted(counts.groupBy("c", "part").agg(F.sum("n").alias("n")).collect()):  # a row a range, and a range more a column
+        sizes[r.c].append((r.part, r.n))
+    wanted: list[tuple[str, int, int, int]] = []
+    total = {c: sum(n for _, n in mine) for c, mine in sizes.items()}
+    for c, mine in sizes.items():
         before = 0
+        ranks = {int(f(s * (total[c] - 1))) for s in shares for f in (math.floor, math.ceil)} if total[c] else set()
         for part, n in mine:
-            wanted = [r for r in ranks if before <= r < before + n]
-            if wanted:
-                below = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-                rows = counts.where((F.col("c") == c) & (F.col("part") == part)).withColumn("upto", F.sum("n").over(below))
-                for r in wanted:
-                    found[r] = rows.where(F.col("upto") > r - before).agg(F.min("v")).first()[0]
+            wanted += [(c, part, r, r - before) for r in ranks if before <= r < before + n]
             before += n
-        value = lambda s, total=total, found=found: (lambda f: found[math.floor(f)] + (f - math.floor(f)) * (found[math.ceil(f)] - found[math.floor(f)]))(s * (total - 1))
-        out[c] = [value(s) if total else None for s in shares]
+    found: dict[tuple[str, int], float] = {}
+    if wanted:  # one job for all ranks, over the ranges that hold one
+        at = df.sparkSession.createDataFrame(wanted, "c string, part int, rank long, inside long")
+        below = Window.partitionBy("c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        held = counts.join(F.broadcast(at.select("c", "part").distinct()), ["c", "part"], "left_semi").withColumn("upto", F.sum("n").over(below))
+        rows = held.join(F.broadcast(at), ["c", "part"]).where("upto > inside").groupBy("c", "rank").agg(F.min("v").alias("v"))
+        found = {(r.c, r["rank"]): r.v for r in rows.collect()}
     release(counts)
-    return out
+
+    def value(c: str, s: float) -> float | None:
+        if not total[c]:
+            return None
+        f = s * (total[c] - 1)
+        low, high = found[c, math.floor(f)], found[c, math.ceil(f)]
+        return low + (f - math.floor(f)) * (high - low)
+
+    return {c: [value(c, s) for s in shares] for c in columns}
 
 
 def cleanse(df: DataFrame) -> DataFrame:
