@@ -9,11 +9,12 @@ Edges that must follow each other (the node between has no other edge, begin or
 unary path. Paths are compacted by pointer doubling into (path, place); behind its first edge a path adds only what each
 next word adds to the phrases it contains, all with the path's count.
 
-Codes: words among the `dictionary` most frequent (65,533 at most, a broadcast of bounded size) have a code of two bytes,
-so that four of them are one long. Rows end before a word that too few places have. Other words that the dictionary lacks
-are kept in a bitmap of fixed size, and so are their pairs with a neighbour that have enough places. Grams with such a word
-are rows of their own, of up to four 64-bit word hashes, that end where a pair isn't in the bitmap; their flow counts for
-the lengths from that word on, and from two words on. Results don't depend on the dictionary or on false hits of the bitmaps.
+Codes: words among the `dictionary` most frequent (2,097,150 at most, a broadcast of bounded size) have a code of 21 bits, so
+that three of them are one long, and the fourth an int. Rows end before a word that too few places have. Other words that the
+dictionary lacks are kept in a bitmap of fixed size, and so are their pairs with a neighbour that have enough places. Grams
+with such a word are rows of their own, of up to four 64-bit word hashes, that end where a pair isn't in the bitmap; their
+flow counts for the lengths from that word on, and from two words on. Results don't depend on the dictionary or on false
+hits of the bitmaps.
 
 Scale: a slice's rows are summed before the shuffle. They are dealt by language and first two words; pairs that a slice
 has often (HOT of all places or more, 2 / HOT pairs at most) are dealt by three words, and their sums meet once more.
@@ -36,9 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import byte_words
-from .common import as_bytes, chunks, materialize, release
+from .common import as_bytes, materialize, release
 
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
+#: Bits of a code, and the most words that have one.
+BITS = 21
+DICTIONARY = (1 << BITS) - 2
 #: Bits of the filter of words that the dictionary lacks.
 BITMAP = 1 << 24
 #: Share of all places from which a word pair is dealt by three words.
@@ -51,17 +55,32 @@ _u64 = np.uint64
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(lang, bytes, starts, ends, hash, opens) for the words of runs of texts of one language; opens: first of its piece."""
+    """(lang, bytes, starts, ends, hash, opens) for the words of runs of texts of one language; opens: first of its piece.
+    Texts wait by language until there are SLICE_BYTES of one, or four times as many of all."""
+    held: dict[str, list[bytes]] = {}
+    size: dict[str, int] = {}
+
+    def words(lang: str):
+        joined = b"\n".join(held.pop(lang)).lower()
+        del size[lang]
+        data = np.frombuffer(joined, np.uint8)
+        starts, ends, opens = byte_words.spans(data, _kinds)
+        return (lang, joined, starts, ends, byte_words.hashes(data, starts, ends), opens) if len(starts) else None
+
     for batch in batches:
-        langs = np.array([x or "" for x in batch["lang"].to_pylist()], object)
-        for lang in sorted(set(langs.tolist())):
-            mine = batch.filter(pa.array(langs == lang))
-            for texts in chunks(mine["text"].to_pylist(), SLICE_BYTES):
-                joined = b"\n".join(x or b"" for x in texts).lower()
-                data = np.frombuffer(joined, np.uint8)
-                starts, ends, opens = byte_words.spans(data, _kinds)
-                if len(starts):
-                    yield lang, joined, starts, ends, byte_words.hashes(data, starts, ends), opens
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            for lang, text in zip(part["lang"].to_pylist(), part["text"].to_pylist()):
+                held.setdefault(lang, []).append(text or b"")
+                size[lang] = size.get(lang, 0) + len(text or b"") + 1
+                if size[lang] >= SLICE_BYTES and (found := words(lang)):
+                    yield found
+            while sum(size.values()) > 4 * SLICE_BYTES:
+                if found := words(max(size, key=size.get)):
+                    yield found
+    for lang in sorted(held):
+        if found := words(lang):
+            yield found
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,8 +111,8 @@ class Codes:
     """The dictionary (sorted word hashes and their codes from 1, and the hash of each code), the hot pairs, and the bitmap
     of other words with enough places."""
 
-    def __init__(self, words: list[int], hot: list[int], others: np.ndarray):
-        self.of_code = np.array([0, *words], np.int64).view(np.uint64)
+    def __init__(self, words: np.ndarray, hot: list[int], others: np.ndarray):
+        self.of_code = np.append(0, words).astype(np.int64).view(np.uint64)
         order = np.argsort(self.of_code[1:], kind="stable")
         self.sorted, self.codes = self.of_code[1:][order], (order + 1).astype(np.uint64)
         self.hot, self.others = np.sort(np.array(hot, np.int64).view(np.uint64)), others
@@ -135,23 +154,30 @@ def _other_pairs(held):
 
 
 def _coded_edges(held):
-    """(lang, k, hot, c): the longest gram at each place as codes, up to the first word without one; summed by slice."""
+    """(lang, k, d, hot, c): the longest gram at each place as codes (three in k, the fourth in d), up to the first word without
+    one; summed by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: Codes = held.value
         for lang, _, _, _, h, opens in slices(batches):
             piece, own = np.cumsum(opens), codes.code(h)
-            k, alive = own << _u64(48), own != 0
+            piece, own = np.cumsum(opens), codes.code(h)
+            k, d, alive = own << _u64(2 * BITS), np.zeros(len(own), np.uint32), own != 0
             for j in (1, 2, 3):
                 word = following(own, piece, j)
                 alive &= word != 0
-                k |= np.where(alive, word, _u64(0)) << _u64(48 - 16 * j)
-            distinct, at, c = np.unique(k[own != 0], return_index=True, return_counts=True)
-            at = np.flatnonzero(own != 0)[at]
+                word[~alive] = 0
+                if j < 3:
+                    k |= word << _u64(BITS * (2 - j))
+                else:
+                    d = word.astype(np.uint32)
+            # equal rows stand together in order of a hash of both
+            distinct, at, c = np.unique(pair_hash(k, d.astype(np.uint64)), return_index=True, return_counts=True)
+            at, c = at[own[at] != 0], c[own[at] != 0]
             hot = codes.places(pair_hash(h[at], following(h, piece, 1)[at]), codes.hot)[1]
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(c)), pa.array(distinct.view(np.int64)), pa.array(hot), pa.array(c, pa.int32())], names=["lang", "k", "hot", "c"])
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(c)), pa.array(k[at].view(np.int64)), pa.array(d[at].view(np.int32)), pa.array(hot), pa.array(c, pa.int32())], names=["lang", "k", "d", "hot", "c"])
 
-    return run, "lang string, k long, hot boolean, c int"
+    return run, "lang string, k long, d int, hot boolean, c int"
 
 
 def _other_edges(held, pairs):
@@ -234,7 +260,7 @@ class Flow:
 
 def _flow(held, least: int, coded: bool):
     """(lang, level, key, f) of the groups of rows in order of k."""
-    shifts = np.array([48, 32, 16, 0], np.uint64)
+    shifts, mask = np.array([2 * BITS, BITS, 0], np.uint64), _u64((1 << BITS) - 1)
 
     def rows(lang: str, found: list) -> Iterator[pa.RecordBatch]:
         for level, words, f in found:
@@ -249,7 +275,8 @@ def _flow(held, least: int, coded: bool):
                 mine = np.flatnonzero(langs.indices.to_numpy() == n)
                 part = batch if len(mine) == batch.num_rows else batch.take(pa.array(mine))
                 if coded:
-                    words, cut = (part["k"].to_numpy().view(np.uint64)[:, None] >> shifts) & _u64(0xFFFF), np.zeros(len(mine), np.int64)
+                    three = (part["k"].to_numpy().view(np.uint64)[:, None] >> shifts) & mask
+                    words, cut = np.column_stack([three, part["d"].to_numpy().astype(np.uint64)]), np.zeros(len(mine), np.int64)
                 else:
                     words, cut = np.frombuffer(b"".join(part["k"].to_pylist()), ">u8").reshape(-1, 4).astype(np.uint64), part["cut"].to_numpy()
                 flow = flows.setdefault(lang, Flow(least, held.value.of_code if coded else None))
@@ -277,25 +304,27 @@ def gram_counts(docs: DataFrame, least: int, dictionary: int) -> tuple[DataFrame
     counted = materialize(seen.groupBy("lang", "h", F.col("word").isNull().alias("pair")).agg(F.sum("c").alias("c"), F.min("word").alias("word")), "words")
     total = counted.where("not pair").agg(F.sum("c")).first()[0] or 0
     of_word = counted.where(~F.col("pair")).groupBy("h").agg(F.sum("c").alias("c"), F.max(F.octet_length("word")).alias("bytes")).where(F.col("c") >= least)
-    some = of_word.where(F.col("bytes") <= LONGEST).orderBy(F.desc("c"), "h").limit(min(dictionary, 65_533)).select("h").toArrow()["h"].to_pylist()
-    rare = of_word.join(F.broadcast(spark.createDataFrame([(h,) for h in some], "h long")), "h", "left_anti") if some else of_word
+    short, most = of_word.where(F.col("bytes") <= LONGEST), min(dictionary, DICTIONARY)
+    known = materialize((short if short.count() <= most else short.orderBy(F.desc("c"), "h").limit(most)).select("h"), "dictionary")
+    some = known.toArrow()["h"].to_numpy()  # `most` at most
+    rare = materialize(of_word.join(known, "h", "left_anti").select("h"), "other-words")
     others, n_others = bitmap_of(rare)
     hot = [r.h for r in counted.where("pair").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT / 2 * total).select("h").collect()]  # 2 / HOT rows at most
     held = spark.sparkContext.broadcast(Codes(some, hot, others))
     first = lambda n: F.xxhash64(F.substring("k", 1, 8 * n))
-    code = lambda n: F.xxhash64(F.shiftrightunsigned("k", 64 - 16 * n))
+    code = lambda n: F.xxhash64(F.shiftrightunsigned("k", BITS * (3 - n)))
     sums = None
-    passes = [(_coded_edges(held), code, True)] * bool(some)
+    passes = [(_coded_edges(held), code, True)] * bool(len(some))
     if n_others:
         run, schema = _other_pairs(held)
         pairs = texts.mapInArrow(run, schema).groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
         passes.append((_other_edges(held, spark.sparkContext.broadcast(bitmap_of(pairs)[0])), first, False))
     for (run, schema), begin, coded in passes:
-        rows = texts.mapInArrow(run, schema).repartition("lang", F.when(F.col("hot"), begin(3)).otherwise(begin(2))).sortWithinPartitions("k")
+        rows = texts.mapInArrow(run, schema).repartition("lang", F.when(F.col("hot"), begin(3)).otherwise(begin(2))).sortWithinPartitions(*(["k", "d"] if coded else ["k"]))
         run, schema = _flow(held, least, coded)
         parts = rows.mapInArrow(run, schema)
         sums = parts if sums is None else sums.union(parts)
-    single = counted.where(~F.col("pair")).join(rare.select("h"), "h", "left_semi").select("lang", F.lit(1).alias("level"), F.unhex(F.lpad(F.hex("h"), 16, "0")).alias("key"), F.col("c").alias("f"))
+    single = counted.where(~F.col("pair")).join(rare, "h", "left_semi").select("lang", F.lit(1).alias("level"), F.unhex(F.lpad(F.hex("h"), 16, "0")).alias("key"), F.col("c").alias("f"))
     sums = single if sums is None else sums.union(single)
     sums = materialize(sums.groupBy("lang", "level", "key").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "grams")
     held.destroy()
@@ -349,7 +378,7 @@ def held_inside(grams: DataFrame, paths: DataFrame) -> DataFrame:
     return of_paths.union(of_nodes).groupBy("lang", "key").agg(F.max("f").alias("most"))
 
 
-def collocations(docs: DataFrame, least: int = 30, most: int = 2000, share: tuple[int, int] = (80, 100), dictionary: int = 65_533) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, most: int = 2000, share: tuple[int, int] = (80, 100), dictionary: int = DICTIONARY) -> DataFrame:
     """Each language's first `most` phrases: lang, rank, phrase, a, l, r, n, score, and path_words, the length of the unary
     path that a phrase of four words lies on (of others, their own)."""
     num, den = share

@@ -52,7 +52,7 @@ def plain_collocations(rows, least, most):
     return sorted(out)
 
 
-@pytest.mark.parametrize("dictionary", [65_533, 4, 0])
+@pytest.mark.parametrize("dictionary", [collocations.DICTIONARY, 4, 0])
 @pytest.mark.parametrize("batch", [10_000, 7])
 def test_collocations_by_plain_counts(spark, dictionary, batch):
     """Whatever the dictionary, and wherever the batches that the sums read end."""
