@@ -160,7 +160,6 @@ def _coded_edges(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: Codes = held.value
         for lang, _, _, _, h, opens in slices(batches):
-            piece, own = np.cumsum(opens), codes.code(h)
             piece, own = np.cumsum(opens), codes.code(h)
             k, d, alive = own << _u64(2 * BITS), np.zeros(len(own), np.uint32), own != 0
             for j in (1, 2, 3):
