@@ -2,7 +2,9 @@
 
 import hashlib
 
-from millrace.operators import cleansing, models
+import pytest
+
+from millrace.operators import cleansing, graph, models
 from millrace.plans import catalog
 
 
@@ -25,3 +27,16 @@ def test_fingerprint_without_documents(spark):
     none = cleansing.corpus_manifest(spark.createDataFrame([], "doc_id long, text string"))
     found = models.corpus_fingerprint(none, depth=1).collect()
     assert [tuple(r) for r in found] == [(0, None)]
+
+
+def test_paths_of_the_registered_query_end_at_14_edges(spark, tmp_path):
+    spark.createDataFrame([(0,)], "r_regionkey int").write.parquet(f"{tmp_path}/region.parquet")
+    spark.createDataFrame([(3**k,) for k in range(17)], "user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    found = catalog.QUERIES["n03_shortest_paths"](spark, str(tmp_path)).collect()
+    assert {r["node"]: r["distance"] for r in found} == {0: 0} | {3**k: k + 1 for k in range(14)}
+    chain = graph.undirected(spark.createDataFrame([(k, k + 1) for k in range(16)], "src long, dst long"))
+    start = spark.createDataFrame([(0,)], "id long")
+    assert graph.shortest_paths(chain, start).count() == 17
+    assert graph.shortest_paths(chain, start, within=3).count() == 4
+    with pytest.raises(ValueError):
+        graph.shortest_paths(chain, start, max_depth=3)
