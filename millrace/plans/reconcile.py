@@ -15,7 +15,8 @@ def lines(t):
     return ledger.post(t["gl_events"])
 
 
-add("v02_match_integrity", lambda t: op.match_integrity(t["purchase_order"], t["po_line"], t["receiving"], t["receiving_line"], t["matched_payables"], t["payable_line"]), """
+integrity = lambda t: op.match_integrity(t["purchase_order"], t["po_line"], t["receiving"], t["receiving_line"], t["matched_payables"], t["payable_line"])
+add("v02_match_integrity", lambda t: integrity(t.kept("po_line", "purchase_order", "receiving", "matched_payables")), """
   with l as (select l.*, r.quantity_received from {payable_line} l left join {receiving_line} r on r.receipt_line_id = l.receipt_line_id)
   select 'closed order not received' as check_name, count(*) as violations from {po_line} p join {purchase_order} o on o.po_id = p.po_id and o.status = 'Closed' where not exists (select 1 from {receiving_line} r where r.po_line_id = p.line_id and r.quantity_received >= p.quantity)
   union all select 'receipt header differs', count(*) from {receiving} h join (select receipt_id, sum(quantity_received) as q from {receiving_line} group by 1) r on r.receipt_id = h.receipt_id where abs(h.quantity_received - q) > 0.005
@@ -66,7 +67,8 @@ add("d23_remittance_classes", lambda t: op.remittance_classes(t["remittance"], t
   hit as (select payment_id from two union all select payment_id from three union all select payment_id from four), none as (select payment_id from rest union all select payment_id from p where l is not null)
   select * from one union all select * from oneb union all select * from two union all select * from three union all select * from four
   union all select payment_id, null, '5' from none where payment_id not in (select payment_id from hit) union all select payment_id, null, '6' from p where reference = 'NO PO'""")
-add("d25_procure_to_pay", lambda t: op.procure_to_pay(t["po_line"], t["receiving_line"], t["payable_line"], t["payables"], t["suppliers"], t["erp_part"]), """
+chain = lambda t: op.procure_to_pay(t["po_line"], t["receiving_line"], t["payable_line"], t["payables"], t["suppliers"], t["erp_part"])
+add("d25_procure_to_pay", lambda t: chain(t.kept("po_line")), """
   select distinct p.line_id, p.po_id, supplier_name, part_description, p.quantity, r.receipt_line_id, quantity_received, payable_line_id, qty as invoiced_qty, y.status as payable_status
   from {po_line} p left join {receiving_line} r on r.po_line_id = p.line_id left join {payable_line} b on b.receipt_line_id = r.receipt_line_id left join {payables} y on y.invoice_id = b.invoice_id
   left join {suppliers} s on s.supplier_id = p.supplier_id left join {erp_part} e on e.part_id = p.part_id""")
