@@ -102,7 +102,12 @@ INPUTS = f"""
     from {{erp_part}} p cross join (select unnest(range(0, 10)) as b) x
     left join co on co.part_id = p.part_id and co.b = x.b left join fc on fc.part_id = p.part_id and fc.b = x.b left join rc on rc.part_id = p.part_id and rc.b = x.b
     where active = 1 and lead_time_days > 0)"""
-plans.add("p14_netting_grid", lambda t: op.netting_grid(inputs(t), op.plan_start(t["work_order"])), INPUTS + """,
+def grid(t):
+    t = t.kept("order_line", "work_order", "po_line")
+    return op.netting_grid(inputs(t), op.plan_start(t["work_order"]))
+
+
+plans.add("p14_netting_grid", grid, INPUTS + """,
   walk as (
     select part_id, b, greatest(co, fc) as g, s, h as before, if(greatest(co, fc) > 0, greatest(h + s - greatest(co, fc), ss), h + s) as pab, lead from inp where b = 0
     union all
