@@ -87,13 +87,14 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, labels: n
     signs = np.where(labels == 1, 1.0, -1.0)
     share = max(1e-9, (labels == 1).mean())
     most = np.where(labels == 1, cost * 0.5 / share, cost * 0.5 / max(1e-9, 1 - share))
-    values = [scale[x] / np.sqrt(len(x)) for x in rows]
-    curve = np.array([(v * v).sum() + 1.0 for v in values])
+    scaled = lambda x: scale[x] / np.sqrt(len(x))  # noqa: E731  # anew at each visit: kept, they are twice the bytes of the rows
+    curve = np.array([(scaled(x) ** 2).sum() + 1.0 for x in rows])
     dual, order = np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            x, v, y = rows[i], values[i], signs[i]
+            x, y = rows[i], signs[i]
+            v = scaled(x)
             gradient = y * (float(w[x] @ v) + b) - 1.0
             new = min(max(dual[i] - gradient / curve[i], 0.0), most[i])
             if step := new - dual[i]:
@@ -153,8 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, held_out_rem
     picked = as_bytes(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "quality")
     # rows that share a doc_id become one before they leave the executors
     each = picked.mapInArrow(numbers, "doc_id long, quality double, found binary").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("found").alias("found"))
-    got = sorted((r.doc_id, r.quality, bytes(r.found)) for r in each.collect())
-    return fit([np.frombuffer(r[2], np.int32).astype(np.int64) for r in got], np.array([float(r[1] > 0.5) for r in got]))
+    # as one Arrow table, whose buffers the rows share: a Python row for each would take the driver several times its bytes
+    got = each.toArrow().sort_by("doc_id")
+    rows = [np.frombuffer(x.as_buffer(), np.int32) for x in got["found"]]
+    return fit(rows, (got["quality"].to_numpy() > 0.5).astype(float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

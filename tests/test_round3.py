@@ -3,11 +3,14 @@
 import hashlib
 import random
 import time
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from millrace.functions import lineage
+from millrace.llm import quality_classifier
 from millrace.operators import cleansing, graph, models, registers, supply
 from millrace.plans import catalog
 
@@ -115,3 +118,13 @@ def test_either_key_join_holds_no_pairs(spark):
     found = supply.either_key_join(left, right, "id", ["a", "b"])
     assert sorted((r["id"], r["right_id"]) for r in found.collect()) == [(1, 10), (1, 12), (2, 10), (2, 11), (3, 13)]
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fitting_holds_no_second_copy_of_the_rows():
+    some = np.random.default_rng(1)
+    rows = [np.sort(some.choice(quality_classifier.SHAPE_AT, 20_000, replace=False)).astype(np.int32) for _ in range(300)]
+    tracemalloc.start()
+    quality_classifier.dual_coordinate_descent(rows, np.ones(quality_classifier.SIZE), np.arange(300) % 2, 1.0, 2, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(x.nbytes for x in rows) / 2  # the scaled values of all rows are twice their bytes
